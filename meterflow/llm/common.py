@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,15 +149,6 @@ def lowered(texts: Texts) -> np.ndarray:
     return np.where((d >= 65) & (d <= 90), d + np.uint8(32), d).astype(np.uint8)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df from a Parquet table of its own in the shared checkpoint folder: for wide rows, which checkpoint() would not compress."""
-    spark = df.sparkSession
-    checkpointed(spark.range(0))  # sets the folder where it is unset
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Bloom:
     """A Bloom filter of 64-bit keys with about ten bits a key; its size is known before it is built."""
 

@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Texts, Words, blank_table, bloom_of, checkpointed, gram_hashes, slices, word_hashes, written
+from .common import Bloom, Texts, Words, blank_table, bloom_of, checkpointed, gram_hashes, slices, word_hashes
 
-WINDOW, GRAM = 13, 7
+WINDOW, GRAM = 13, 5
 #: Anchors of at least so many documents are dealt out window by window.
 HOT = 2000
 #: The filter of shared anchors is broadcast up to this many bytes; a larger one is left out, and all segments are then shuffled.
 BROADCAST_BYTES = 64 << 20
 _BLANK = blank_table()
-_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_MOST, _ANCHOR = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64((1 << 48) - 1)
+#: Distinct segments that a task holds back to merge equal ones.
+HELD = 200_000
 
 
 class Segments:
@@ -49,7 +51,7 @@ class Segments:
         place += np.arange(n)
         start = np.flatnonzero(valid & ~np.concatenate([[False], valid[:-1] & (place[1:] == place[:-1])])) if n else np.zeros(0, np.int64)
         stop = np.flatnonzero(valid & ~np.concatenate([valid[1:] & (place[1:] == place[:-1]), [False]])) if n else np.zeros(0, np.int64)
-        self.anchor, self.start, self.windows = least[start].view(np.int64), start, stop - start + 1
+        self.anchor, self.start, self.windows = (least[start] & _ANCHOR).view(np.int64), start, stop - start + 1
         self.document = np.searchsorted(self.words.first, start, "right") - 1
         self.hashes, self.window = h, window
 
@@ -68,6 +70,14 @@ class Segments:
         self.anchor, self.start = np.concatenate([self.anchor, h.view(np.int64)]), np.concatenate([self.start, start])
         self.windows, self.document = np.concatenate([self.windows, np.ones(len(start), np.int64)]), np.concatenate([self.document, document])
 
+    def content(self) -> np.ndarray:
+        """A 64-bit hash of the words of each segment."""
+        h, n = np.zeros(len(self.start), np.uint64), self.windows + self.window - 1
+        for j in range(int(n.max(initial=0))):
+            more = j < n
+            h[more] = h[more] * np.uint64(0xD6E8FEB86659FD93) + self.hashes[self.start[more] + j]
+        return h.view(np.int64)
+
     def texts(self) -> list[bytes]:
         """The words of each segment, joined by single blanks."""
         raw = self.data.tobytes()
@@ -85,13 +95,12 @@ def _anchors(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            both = np.concatenate(held)
+            both = _extremes(np.concatenate(held))
             held.clear()
-            both = _extremes(both)
-            part = (both[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            part = both[:, 0] % parts
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(1, parts))
-            chunks = [(k, x.tobytes()) for k, x in enumerate(np.split(both[order], cuts)) if len(x)]
+            chunks = [(k, _pack(x)) for k, x in enumerate(np.split(both[order], cuts)) if len(x)]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()), pa.array([x for _, x in chunks], pa.binary())], ["part", "packed"])
 
         size = 0
@@ -110,7 +119,7 @@ def _anchors(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(k, []).append(np.frombuffer(x, np.int64).reshape(-1, 4))
+                held.setdefault(k, []).append(_unpack(x))
         for k in list(held):
             both = _extremes(np.concatenate(held.pop(k)))
             both = both[both[:, 1] < both[:, 2]]
@@ -120,6 +129,26 @@ def _anchors(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").mapInArrow(count, "anchor long, docs long")
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Rows of one id as six bytes of anchor and the id in as few bytes as the ids need; the others whole."""
+    one = (rows[:, 1] == rows[:, 2]) & (rows[:, 3] == 1)
+    ids = rows[one, 1]
+    base = int(ids.min(initial=1 << 62))
+    width = next(w for w in (1, 2, 4, 8) if len(ids) == 0 or int(ids.max()) - base < 1 << (8 * w - 1))
+    head = np.array([len(ids), base, width], np.int64).tobytes()
+    anchors = np.ascontiguousarray(rows[one, 0]).view(np.uint8).reshape(-1, 8)[:, :6]
+    return head + anchors.tobytes() + (ids - base).astype(f"i{width}").tobytes() + rows[~one].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, base, width = np.frombuffer(data, np.int64, 3).tolist()
+    anchors = np.zeros((n, 8), np.uint8)
+    anchors[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 24).reshape(-1, 6)
+    ids = np.frombuffer(data, f"i{width}", n, 24 + 6 * n).astype(np.int64) + base
+    rest = np.frombuffer(data, np.int64, -1, 24 + (6 + width) * n).reshape(-1, 4) if len(data) > 24 + (6 + width) * n else np.zeros((0, 4), np.int64)
+    return np.concatenate([np.stack([anchors.view(np.int64)[:, 0], ids, ids, np.ones(n, np.int64)], axis=1), rest])
+
+
 def _extremes(rows: np.ndarray) -> np.ndarray:
     """Rows (anchor, low, high, count), one for each anchor."""
     if not len(rows):
@@ -224,7 +253,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     small = Bloom.size(total) <= BROADCAST_BYTES
     known = spark.sparkContext.broadcast((bloom_of(shared.select("anchor"), total) if small else None, hot))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Segments]]:
         anchors, hot = known.value
         for batch in slices(batches):
             s = Segments(Texts(batch.column(1)), window, gram)
@@ -233,44 +262,70 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, s.anchor), len(hot) - 1)
                 s.split(hot[at] == s.anchor)
-            start = s.start - s.words.first[s.document]
-            yield pa.RecordBatch.from_arrays([pa.array(s.anchor), pa.array(batch.column(0).to_numpy()[s.document]), pa.array(start.astype(np.int32)), pa.array(s.texts(), pa.binary())], ["anchor", "doc_id", "start", "segment"])
+            yield batch.column(0).to_numpy()[s.document], s
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal segments of a task are merged, so that one that every document has is sent a few times for each task."""
+        held: dict[tuple[int, int], list] = {}
 
-    found = docs.mapInArrow(cut, "anchor long, doc_id long, start int, segment binary")
-    found = written(found.withColumn("hash", F.xxhash64("segment")))
-    kinds = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        def flush() -> pa.RecordBatch:
+            rows = [(a, h, *x) for (a, h), x in held.items()]
+            held.clear()
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "hash", "segment", "first", "last"])
+
+        for ids, s in segments(batches):
+            for key, text, i in zip(zip(s.anchor.tolist(), s.content().tolist()), s.texts(), ids.tolist()):
+                x = held.get(key)
+                if x is None:
+                    held[key] = [text, i, i]
+                elif i < x[1]:
+                    x[1] = i
+                elif i > x[2]:
+                    x[2] = i
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; an anchor has at most as many segments as HOT allows, others have been split."""
-        anchor, own = None, []
-        out: list[tuple[int, bytes, list[int]]] = []
+        """Rows come sorted by anchor; an anchor has fewer segments than HOT allows, or one window's (others are split)."""
+        anchor, own = None, {}
+        out: list[tuple[int, int, list[int]]] = []
 
         def close() -> None:
-            for (text, _, last), first in zip(own, first_documents([x[:2] for x in own], window)):
+            for (h, (_, _, last)), first in zip(own.items(), first_documents([x[:2] for x in own.values()], window)):
                 if min(first) < last:
-                    out.append((anchor, text, first))
+                    out.append((anchor, h, first))
 
         def batch_of() -> pa.RecordBatch:
-            a, b, c = zip(*out) if out else ((), (), ())
+            columns = list(zip(*out)) or [()] * 3
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.list_(pa.int64()))], ["anchor", "segment", "firsts"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["anchor", "hash", "firsts"])
 
         for batch in batches:
-            for a, text, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, h, text, first, last in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != anchor:
                     if own:
                         close()
-                    anchor, own = a, []
-                own.append((text, first, last))
+                    anchor, own = a, {}
+                x = own.get(h)
+                own[h] = (text, first, last) if x is None else (text, min(first, x[1]), max(last, x[2]))
             yield batch_of()
         if own:
             close()
         yield batch_of()
 
-    kinds = kinds.select("anchor", "segment", "first", "last").repartition("anchor").sortWithinPartitions("anchor")
-    firsts = kinds.mapInArrow(shard, "anchor long, segment binary, firsts array<long>")
-    firsts = checkpointed(firsts.select("anchor", F.xxhash64("segment").alias("hash"), "firsts"))
-    spans = found.select("anchor", "hash", "doc_id", "start").join(firsts, ["anchor", "hash"])
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, s in segments(batches):
+            start = s.start - s.words.first[s.document]
+            yield pa.RecordBatch.from_arrays([pa.array(s.anchor), pa.array(s.content()), pa.array(ids), pa.array(start.astype(np.int32))], ["anchor", "hash", "doc_id", "start"])
+
+    kinds = docs.mapInArrow(distinct, "anchor long, hash long, segment binary, first long, last long")
+    kinds = kinds.repartition("anchor").sortWithinPartitions("anchor")
+    firsts = checkpointed(kinds.mapInArrow(shard, "anchor long, hash long, firsts array<long>"))
+    found = docs.mapInArrow(places, "anchor long, hash long, doc_id long, start int")
+    spans = found.join(firsts, ["anchor", "hash"])
     starts = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     spans = spans.select("doc_id", starts.alias("at")).where(F.size("at") > 0)
     runs = spans.select("doc_id", F.array_min("at").alias("low"), F.array_max("at").alias("high"), "at")
