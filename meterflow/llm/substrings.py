@@ -28,7 +28,7 @@ BROADCAST_BYTES = 64 << 20
 _BLANK = blank_table()
 _MOST, _ANCHOR = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64((1 << 48) - 1)
 #: Distinct segments that a task holds back to merge equal ones.
-HELD = 200_000
+HELD = 40_000
 
 
 class Segments:
@@ -109,7 +109,7 @@ def _anchors(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
             ids = batch.column(0).to_numpy()[s.document]
             held.append(np.stack([s.anchor, ids, ids, np.ones(len(ids), np.int64)], axis=1))
             size += len(ids)
-            if size > 1_000_000:
+            if size > 300_000:
                 yield flush()
                 size = 0
         if held:
