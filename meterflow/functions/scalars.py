@@ -39,7 +39,7 @@ def compared_account(text: Column) -> Column:
 def account_variants(account: Column) -> Column:
     """Forms in which an account is written: the number after two region digits with fewer leading zeros, then with the region."""
     rest = F.substring(account, 3, 1000)
-    shortest = F.greatest(F.length(F.ltrim(F.lit("0"), rest)), F.lit(1))
+    shortest = F.greatest(F.length(F.ltrim(rest, F.lit("0"))), F.lit(1))
     tails = F.transform(F.sequence(shortest, F.length(rest)), lambda n: F.substring(rest, F.length(rest) - n + 1, n))
     region = F.substring(account, 1, 2)
     both = F.array_distinct(F.concat(tails, F.transform(tails, lambda t: F.concat(region, t))))
@@ -109,3 +109,17 @@ def missing_digit(centers: Column, expected: int = 5, gap: float = 1.6) -> Colum
     mean = (F.element_at(centers, -1) - F.element_at(centers, 1)) / (F.size(centers) - 1)
     wide = F.filter(F.transform(steps, lambda s, i: F.when(s > mean * gap, i + 1)), lambda i: i.isNotNull())
     return F.when(F.size(centers) == expected - 1, F.get(wide, F.lit(0)))
+
+
+def plausible(reading: Column, last: Column, low: int = -1500, high: int = 3000) -> Column:
+    """Whether the change since the last reading lies in the window; false where either is missing."""
+    return F.coalesce((reading - last).between(low, high), F.lit(False))
+
+
+#: Names of older detectors, and what they are called now. Fixed values.
+CLASS_NAMES = {"gas_meter": "meter", "serial_number": "serial", "marker_id": "account"}
+
+
+def standard_class(name: Column) -> Column:
+    """The present name of a detector's class."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in CLASS_NAMES.items() for x in pair])[name], name)

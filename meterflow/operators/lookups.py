@@ -73,3 +73,80 @@ def nearest_by_length(words: DataFrame, lexicon: DataFrame, word: str, entry: st
     """Pairs of words and entries whose lengths differ by at most `window`, as an equi-join on exploded lengths."""
     lengths = words.select(word, F.explode(F.sequence(F.length(word) - window, F.length(word) + window)).alias("_n"))
     return lengths.join(lexicon.select(entry, F.length(entry).alias("_n")), "_n").drop("_n")
+
+
+def substrings_of(text: Column, shortest: int = 3) -> Column:
+    """The distinct runs of at least `shortest` characters of a short text."""
+    starts = F.sequence(F.lit(1), F.length(text) - shortest + 1)
+    runs = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(shortest), F.length(text) - i + 1), lambda n: F.substring(text, i, n)))
+    return F.when(F.length(text) >= shortest, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+
+def not_found_kinds(reads: DataFrame, register: DataFrame, serial: str = "serial_read") -> DataFrame:
+    """(serial, kind) of distinct serials: one_edit if a variant is one edit from a register serial, truncated if it is part of one, else none.
+
+    Containment is an equi-join with the exploded parts of the register's serials, which are short.
+    """
+    asked = reads.select(F.col(serial).alias("_s")).distinct()
+    variants = asked.select("_s", F.explode(lookup_variants(F.col("_s"))).alias("variant"))
+    near = one_edit_join(variants, register, "variant", "serial").join(variants, "variant").select("_s").distinct().withColumn("_near", F.lit(True))
+    parts = register.select("serial").distinct().select(F.explode(substrings_of(F.col("serial"))).alias("_s")).distinct().withColumn("_part", F.lit(True))
+    met = asked.join(near, "_s", "left").join(parts, "_s", "left")
+    return met.select(F.col("_s").alias("serial"), F.when(F.col("_near"), "one_edit").when(F.col("_part"), "truncated").otherwise("none").alias("kind"))
+
+
+def one_edit_candidates(rows: DataFrame, register: DataFrame, serial: str = "serial") -> DataFrame:
+    """(the row's serial as _s, candidate, account, last): register serials one edit from a variant, each with its first register row."""
+    asked = rows.select(F.col(serial).alias("_s")).distinct()
+    variants = asked.select("_s", F.explode(lookup_variants(F.col("_s"))).alias("variant"))
+    near = one_edit_join(variants, register, "variant", "serial").join(variants, "variant").select("_s", F.col("serial").alias("candidate")).distinct()
+    first = pick_last(register, ["serial"], F.col("row_order")).select(F.col("serial").alias("candidate"), "account", "last")
+    return near.join(first, "candidate").select("_s", "candidate", "account", "last")
+
+
+def guesses(rows: DataFrame, register: DataFrame, low: float, high: float) -> DataFrame:
+    """rows (serial, model_reading, ...) with candidates, fits and guess: of the one-edit candidates those whose change lies in [low, high]; the guess is the one that does, if just one.
+
+    Readings with characters other than digits have no fits.
+    """
+    near = one_edit_candidates(rows, register).withColumnRenamed("_s", "serial")
+    number = F.when(F.col("model_reading").rlike("^[0-9]+$"), F.col("model_reading").try_cast("bigint"))
+    asked = rows.select("serial", "model_reading").distinct()
+    met = asked.join(near, "serial")
+    fit = (number - F.col("last")).between(low, high)
+    by = met.groupBy("serial", "model_reading").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(fit).alias("fits"), F.min(F.when(fit, F.col("candidate"))).alias("_one"))
+    out = rows.join(by, ["serial", "model_reading"], "left")
+    out = out.withColumn("candidates", F.coalesce("candidates", F.lit(0))).withColumn("fits", F.coalesce("fits", F.lit(0)))
+    return out.withColumn("guess", F.when(F.col("fits") == 1, F.col("_one"))).drop("_one")
+
+
+def serial_choices(photos: DataFrame, register: DataFrame) -> DataFrame:
+    """(photo, serial, account, row_order) for photos of an ambiguous serial: each account once, at its first row."""
+    met = photos.join(register, "serial")
+    return met.groupBy("photo", "serial", "account").agg(F.min("row_order").alias("row_order"))
+
+
+def dense_ids(low: int, high: int, width: int, register: DataFrame, most: int = 200_000) -> DataFrame:
+    """(account): every zero-filled number from low to high, made by executors; the register's session is used. More than `most` are refused."""
+    if high - low + 1 > most:
+        raise ValueError(f"{high - low + 1} numbers, more than {most}")
+    return register.sparkSession.range(low, high + 1).select(F.lpad(F.col("id").cast("string"), width, "0").alias("account"))
+
+
+def judged(guessed: DataFrame) -> DataFrame:
+    """Guesses with verdict against the operator's answer (manual_outcome, manual_serial): right, other serial, not in table, ? or - without a guess."""
+    found = F.col("manual_outcome").isin("PLUS", "MINUS", "SUSPICIOUS")
+    verdict = F.when(F.col("guess").isNull(), "-").when(found & (F.col("guess") == F.col("manual_serial")), "right")
+    return guessed.withColumn("verdict", verdict.when(F.col("manual_outcome") == "NOT_IN_DB", "not in table").when(found, "other serial").otherwise("?"))
+
+
+def corrected(reads: DataFrame, register: DataFrame) -> DataFrame:
+    """Each read with the first register row of the first variant of its serial that has one, and PLUS or MINUS by its change, whatever its size."""
+    first = pick_last(register, ["serial"], F.col("row_order"))
+    met = prioritised(reads, first).withColumn("delta", F.col("reading") - F.col("last"))
+    return met.withColumn("outcome", F.when(F.col("delta").isNull() | (F.col("delta") >= 0), "PLUS").otherwise("MINUS"))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with n, their place among those of equal keys."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

@@ -80,3 +80,28 @@ def duplicate_contents(files: DataFrame) -> DataFrame:
     hashed = sized.join(sizes, "_size", "left_semi").select(F.sha2("content", 256).alias("sha256"), "label")
     found = hashed.groupBy("sha256", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sha256").agg(F.sum("c").alias("copies"), F.count(F.lit(1)).alias("labels"))
     return found.where("copies > 1")
+
+
+def quantile_range(rows: DataFrame, value: str, parts: int = 20) -> DataFrame:
+    """(low, high): the first and last of parts - 1 exclusive cuts of all values, null below `parts` values.
+
+    Values are counted in 1024 ranges first; only the ranges that hold a wanted rank are sorted, so that no task orders
+    the whole column.
+    """
+    values = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    low, high, n = counts.agg(F.min("v"), F.max("v"), F.sum("c")).first()  # three numbers
+    if n is None or n < parts:
+        return rows.sparkSession.createDataFrame([(None, None)], "low double, high double")
+    bucket = F.least(F.floor((F.col("v") - low) / ((high - low) or 1.0) * 1024), F.lit(1023))
+    placed = counts.withColumn("k", bucket)
+    sizes = placed.groupBy("k").agg(F.sum("c").alias("s"))
+    before = sizes.withColumn("before", F.sum("s").over(Window.orderBy("k")) - F.col("s")).select("k", "before")  # at most 1024 rows
+    ranked = placed.join(F.broadcast(before), "k").withColumn("high", F.col("before") + F.sum("c").over(Window.partitionBy("k").orderBy("v")))
+    cuts = []
+    for name, i in (("low", 1), ("high", parts - 1)):
+        j = max(1, min(i * (n + 1) // parts, n - 1))
+        part = i * (n + 1) - j * parts
+        at = lambda rank: F.min(F.when(F.col("high") >= rank, F.col("v")))
+        cuts.append(((at(j) * (parts - part) + at(j + 1) * part) / parts).alias(name))
+    return ranked.agg(*cuts)

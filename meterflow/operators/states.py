@@ -59,3 +59,9 @@ def first_success(log: DataFrame) -> DataFrame:
     good: Column = F.col("outcome").isin("PLUS", "MINUS")
     n = F.row_number().over(Window.partitionBy("account", good).orderBy("seq"))
     return log.withColumn("decided", F.when(good & (n > 1), "REPEAT").otherwise(F.col("outcome")))
+
+
+def log_row(results: DataFrame) -> DataFrame:
+    """Results as the text of a log row: the confidence with four places, and notes joined by ' | ' without empty parts."""
+    parts = [F.nullif(F.col("notes"), F.lit("")), F.when(F.col("verified_by") != "", "verified")]
+    return results.withColumn("conf", F.coalesce(F.format_string("%.4f", "conf"), F.lit(""))).withColumn("notes", F.concat_ws(" | ", *parts))

@@ -68,6 +68,48 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("photo", true.alias("true"), read.alias("read"), ((F.col("photo") * 37 % 100) / 100.0).alias("conf"), (F.col("photo") % 6).alias("part"))
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fuller processing log from orders: seq, folder, name, final_name, photo_hash, source, outcome, serial, account, reading, model_reading, conf, verified_by, notes, delta."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("p"), (k % 4001).cast("string"), F.lit(".jpg"))
+    reading = (F.floor("o_totalprice") % 12000).cast("bigint")
+    digits = F.lpad(reading.cast("string"), 5, "0")
+    auto = F.element_at(F.array(*[F.lit(x) for x in AUTO_OUTCOMES]), (k % 11 + 1).cast("int"))
+    manual = F.element_at(F.array(*[F.lit(x) for x in MANUAL_OUTCOMES]), (k % 5 + 1).cast("int"))
+    source = F.when(k % 7 == 0, "manual").otherwise("auto")
+    unsure = F.when(k % 8 == 1, F.concat(F.lit("?"), F.substring(digits, 2, 4))).when(k % 8 == 2, F.concat(F.substring(digits, 1, 2), F.lit("?"), F.substring(digits, 4, 2))).otherwise(digits)
+    rows = o.select(
+        k.alias("seq"), F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("f"), (k % 6).cast("string"))).alias("folder"), name.alias("name"),
+        F.when(k % 4001 % 3 == 0, "").otherwise(F.sha2(name, 256)).alias("photo_hash"), source.alias("source"),
+        F.when(k % 7 == 0, manual).otherwise(auto).alias("outcome"), ((k * 31) % 1300).cast("string").alias("serial"),
+        F.col("o_custkey").cast("string").alias("account"), reading.alias("reading"), unsure.alias("model_reading"), ((k * 37 % 1000) / 1000.0).alias("conf"),
+        F.when((k % 7 != 0) & (k % 3 == 0), "op").otherwise("").alias("verified_by"), (reading - (k * 13 % 9000)).cast("double").alias("delta"),
+    )
+    seq = F.col("seq")
+    low = F.concat(F.lit("low conf digits: pos"), (seq % 5).cast("string"), F.lit("(pred="), (seq % 10).cast("string"), F.lit(",conf=0.412), pos4(pred=7,conf=0.300)"))
+    notes = F.when(F.col("outcome") == "DIGITS_ERROR", F.when(seq % 2 == 0, low).when(seq % 3 == 0, "expected 5 digits, got 3").otherwise("")).when(seq % 23 == 0, "copy of p1.jpg")
+    notes = notes.when((F.col("verified_by") == "op") & (seq % 5 == 0), "corrected at check").when(seq % 29 == 0, "filled: pos2='5' (not found), pos4='0' (read 7)").otherwise("")
+    return rows.withColumn("final_name", F.when(F.col("outcome").isin("NO_METER", "SERIAL_NOT_FOUND"), "").otherwise(F.col("name"))).withColumn("notes", notes)
+
+
+AUTO_OUTCOMES = ["PLUS", "PLUS", "PLUS", "PLUS", "MINUS", "MINUS", "REPEAT", "SERIAL_NOT_FOUND", "DIGITS_ERROR", "SUSPICIOUS", "NO_METER"]
+MANUAL_OUTCOMES = ["PLUS", "MINUS", "NOT_IN_DB", "UNREADABLE", "PLUS"]
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digit boxes from lineitem: photo, class, conf, x1, x2, digit, p1, second, p2."""
+    at = F.col("l_linenumber") * 24 + F.col("l_partkey") % 5 + F.when((F.col("l_orderkey") % 9 == 0) & (F.col("l_linenumber") >= 3), 25).otherwise(0)
+    digit = (F.col("l_suppkey") % 10).cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("photo"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.col("l_partkey") % 4 + 1).cast("int")).alias("class"),
+        (F.col("l_partkey") * 53 % 1000 / 1000.0).alias("conf"), at.cast("int").alias("x1"), (at + 20).cast("int").alias("x2"), digit.alias("digit"),
+        (0.5 + F.col("l_partkey") * 7 % 500 / 1000.0).alias("p1"), ((F.col("l_suppkey") + 1 + F.col("l_orderkey") % 2) % 10).cast("int").alias("second"), (F.col("l_partkey") * 11 % 400 / 1000.0).alias("p2"),
+    )
+
+
+CLASSES = ["meter", "gas_meter", "serial", "account"]
+
+
 #: The same tables as SQL, to be put before a query's own.
 SQL = {
     "register": """register AS (
@@ -100,6 +142,25 @@ SQL = {
     "texts": """texts AS (
   SELECT photo, serial_read AS "true", CASE WHEN photo % 5 = 0 THEN left(serial_read, length(serial_read) - 1) || (photo % 10)::VARCHAR
          WHEN photo % 17 = 0 THEN serial_read || '7' ELSE serial_read END AS "read", (photo * 37 % 100) / 100.0::DOUBLE AS conf, photo % 6 AS part FROM reads)""",
+    "runs": """runs AS (
+  SELECT *, CASE WHEN outcome IN ('NO_METER', 'SERIAL_NOT_FOUND') THEN '' ELSE name END AS final_name,
+    CASE WHEN outcome = 'DIGITS_ERROR' THEN CASE WHEN seq % 2 = 0 THEN 'low conf digits: pos' || (seq % 5)::VARCHAR || '(pred=' || (seq % 10)::VARCHAR || ',conf=0.412), pos4(pred=7,conf=0.300)'
+           WHEN seq % 3 = 0 THEN 'expected 5 digits, got 3' ELSE '' END
+         WHEN seq % 23 = 0 THEN 'copy of p1.jpg' WHEN verified_by = 'op' AND seq % 5 = 0 THEN 'corrected at check'
+         WHEN seq % 29 = 0 THEN 'filled: pos2=''5'' (not found), pos4=''0'' (read 7)' ELSE '' END AS notes
+  FROM (SELECT k AS seq, CASE WHEN k % 17 = 0 THEN '' ELSE 'f' || (k % 6)::VARCHAR END AS folder, name, CASE WHEN k % 4001 % 3 = 0 THEN '' ELSE sha256(name) END AS photo_hash,
+      CASE WHEN k % 7 = 0 THEN 'manual' ELSE 'auto' END AS source,
+      CASE WHEN k % 7 = 0 THEN ['PLUS', 'MINUS', 'NOT_IN_DB', 'UNREADABLE', 'PLUS'][k % 5 + 1]
+        ELSE ['PLUS', 'PLUS', 'PLUS', 'PLUS', 'MINUS', 'MINUS', 'REPEAT', 'SERIAL_NOT_FOUND', 'DIGITS_ERROR', 'SUSPICIOUS', 'NO_METER'][k % 11 + 1] END AS outcome,
+      ((k * 31) % 1300)::VARCHAR AS serial, owner AS account, r AS reading,
+      CASE WHEN k % 8 = 1 THEN '?' || substr(d, 2, 4) WHEN k % 8 = 2 THEN substr(d, 1, 2) || '?' || substr(d, 4, 2) ELSE d END AS model_reading,
+      (k * 37 % 1000) / 1000.0::DOUBLE AS conf, CASE WHEN k % 7 <> 0 AND k % 3 = 0 THEN 'op' ELSE '' END AS verified_by, (r - (k * 13 % 9000))::DOUBLE AS delta
+    FROM (SELECT o_orderkey AS k, o_custkey::VARCHAR AS owner, 'p' || (o_orderkey % 4001)::VARCHAR || '.jpg' AS name,
+      floor(o_totalprice)::BIGINT % 12000 AS r, lpad((floor(o_totalprice)::BIGINT % 12000)::VARCHAR, 5, '0') AS d FROM orders)))""",
+    "boxes": """boxes AS (
+  SELECT l_orderkey AS photo, ['meter', 'gas_meter', 'serial', 'account'][l_partkey % 4 + 1] AS class, (l_partkey * 53 % 1000) / 1000.0::DOUBLE AS conf, x1, x1 + 20 AS x2,
+    (l_suppkey % 10)::INTEGER AS digit, 0.5::DOUBLE + (l_partkey * 7 % 500) / 1000.0::DOUBLE AS p1, ((l_suppkey + 1 + l_orderkey % 2) % 10)::INTEGER AS second, (l_partkey * 11 % 400) / 1000.0::DOUBLE AS p2
+  FROM (SELECT *, (l_linenumber * 24 + l_partkey % 5 + CASE WHEN l_orderkey % 9 = 0 AND l_linenumber >= 3 THEN 25 ELSE 0 END)::INTEGER AS x1 FROM lineitem))""",
 }
 
 

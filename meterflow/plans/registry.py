@@ -29,10 +29,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import joins, measures  # noqa: F401  # each adds its own when imported
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -160,7 +163,9 @@ def serial_hints(spark, sf):
     return lookups.serial_hints(A.reads(spark, sf), A.register(spark, sf))
 
 
-@query("j20_account_variants")
+@query("j20_account_variants", """WITH a AS (SELECT '13' || lpad(c_custkey::VARCHAR, 8, '0') AS account, substr(lpad(c_custkey::VARCHAR, 8, '0'), 1, 8) AS rest, length(c_custkey::VARCHAR) AS core FROM customer),
+tails AS (SELECT account, right(rest, n) AS t FROM a, range(1, 9) r(n) WHERE n >= core)
+SELECT account, t AS variant FROM tails UNION SELECT account, '13' || t FROM tails""")
 def account_variants(spark, sf):
     """Written forms of each account with eight digits or more."""
     wide = F.concat(F.lit("13"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
