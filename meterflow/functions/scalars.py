@@ -123,3 +123,46 @@ CLASS_NAMES = {"gas_meter": "meter", "serial_number": "serial", "marker_id": "ac
 def standard_class(name: Column) -> Column:
     """The present name of a detector's class."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in CLASS_NAMES.items() for x in pair])[name], name)
+
+
+def zero_filled(text: Column, width: int) -> Column:
+    """Zeros before a text up to the width; longer texts stay whole."""
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def clean_serial(text: Column) -> Column:
+    """The text without blanks, points, commas and slashes at its edges."""
+    return F.regexp_replace(text, r"(?U)^[\s.,/\\]+|[\s.,/\\]+$", "")
+
+
+def number_text(number: Column) -> Column:
+    """A number from a table cell as text, whole ones without a fraction; null as the empty text."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 9e15)
+    return F.coalesce(F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")), F.lit(""))
+
+
+def crop_name_parts(name: Column) -> Column:
+    """struct<photo, kind, n, answer> of <photo>__<kind><n>[__<answer>].jpg; null for other names."""
+    pattern = r"^([^_]+(?:_[^_]+)*)__(serial|account|digit)([0-9]+)(?:__([0-9A-Za-z]+))?(?:[.][A-Za-z]+)?$"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    return F.when(name.rlike(pattern), F.struct(part(1).alias("photo"), part(2).alias("kind"), part(3).cast("int").alias("n"), F.nullif(part(4), F.lit("")).alias("answer")))
+
+
+def valid_label(line: Column, classes: int) -> Column:
+    """Whether a line has a known class and four fractions from 0 to 1."""
+    cells = F.split(F.trim(line), r"\s+")
+    number = F.transform(F.slice(cells, 2, 10), lambda c: F.when(c.rlike(NUMBER), c.try_cast("double")))
+    class_ = F.when(F.get(cells, F.lit(0)).rlike("^[0-9]+$"), F.get(cells, F.lit(0)).try_cast("int"))
+    return F.coalesce((F.size(cells) == 5) & (class_ < classes) & F.forall(number, lambda x: x.between(0, 1)), F.lit(False))
+
+
+def preset_number(json: Column, key: str, low: float, high: float, default: int) -> Column:
+    """A whole number of a JSON object of settings; the default where it is missing, no number or out of range."""
+    value = F.get_json_object(json, f"$.{key}").try_cast("int")
+    return F.when(value.between(low, high), value).otherwise(F.lit(default))
+
+
+def serial_agrees(read: Column, serial: Column) -> Column:
+    """Whether a variant of what was read is the serial but for one edit; an empty one never is."""
+    near = F.exists(lookup_variants(F.trim(read)), lambda v: F.levenshtein(v, F.trim(serial)) <= 1)
+    return F.coalesce((F.trim(read) != "") & near, F.lit(False))

@@ -26,8 +26,8 @@ def prioritised(reads: DataFrame, register: DataFrame, photo: str = "photo", ser
 
 def in_register(reads: DataFrame, register: DataFrame, serial: str = "serial_read") -> DataFrame:
     """Reads with found: whether any variant of the serial is in the register."""
-    variants = reads.select(serial).distinct().select(serial, F.explode(lookup_variants(F.col(serial))).alias("serial"))
-    known = variants.join(register.select("serial"), "serial", "left_semi").select(serial).distinct().withColumn("_known", F.lit(True))
+    variants = reads.select(serial).distinct().select(serial, F.explode(lookup_variants(F.col(serial))).alias("_variant"))
+    known = variants.join(register.select(F.col("serial").alias("_variant")), "_variant", "left_semi").select(serial).distinct().withColumn("_known", F.lit(True))
     return reads.join(known, serial, "left").withColumn("found", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
