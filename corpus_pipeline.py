@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow.llm import decontaminate, lines, pieces, simhash, toxicity
-from meterflow.llm.common import checkpointed, table
+from meterflow.llm.common import bounded, checkpointed, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that at least 10 of them hold; n_chars follows the text."""
+    bounded(spark)
     kept = lines.drop_lines(docs, lines.LineIndex.build(docs, 10)).drop("n_lines", "n_dropped")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group that SimHash fingerprints over words of five link."""
+    bounded(spark)
     return simhash.near_unique(docs, k=5, bits=3)
 
 
@@ -34,6 +36,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, input_ids, n_tokens and round_trip of each document."""
+    bounded(spark)
     return pieces.encode(docs)
 
 

@@ -11,21 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once inside a task; one longer document is a slice of its own.
 SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch, in the JVM and again in a Python worker; a longer document is a batch of its own.
+BATCH_BYTES = 4 << 20
 #: The bytes that end a word in `[^\x20\x09-\x0D]+`.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with batches for Python bounded in bytes: by default they take 10,000 rows, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from files in the shared checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Texts:

@@ -21,7 +21,7 @@ SPACE = "▁"
 #: Where the public vocabulary files lie; a parameter of every operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of a worker's cache of distinct pre-tokens, and nodes of its trie; a full one is begun again.
-CACHED, NODES = 500_000, 500_000
+CACHED, NODES = 150_000, 500_000
 
 
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
