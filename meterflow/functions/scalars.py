@@ -166,3 +166,13 @@ def serial_agrees(read: Column, serial: Column) -> Column:
     """Whether a variant of what was read is the serial but for one edit; an empty one never is."""
     near = F.exists(lookup_variants(F.trim(read)), lambda v: F.levenshtein(v, F.trim(serial)) <= 1)
     return F.coalesce((F.trim(read) != "") & near, F.lit(False))
+
+
+def month_label(created: Column) -> Column:
+    """yyyy-mm of a timestamp's text; null for other texts."""
+    return F.when(created.rlike("^[0-9]{4}-[0-9]{2}"), F.substring(created, 1, 7))
+
+
+def output_stem(path: Column) -> Column:
+    """A path without extension as one name."""
+    return F.regexp_replace(F.regexp_replace(path, "[.][^./]*$", ""), "/", "__")

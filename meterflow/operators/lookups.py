@@ -150,3 +150,8 @@ def corrected(reads: DataFrame, register: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """rows with n, their place among those of equal keys."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def top(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+    """The first k rows of each key in this order; tasks keep k rows of a key before the shuffle."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
