@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,22 +40,32 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return at.groupBy(F.substring("true", F.col("p"), F.lit(1)).alias("true_digit"), F.substring("read", F.col("p"), F.lit(1)).alias("read_digit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, by equal keys; null keys are equal."""
+    named = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(named, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).drop(*[f"_{k}" for k in keys])
+
+
+def quartiles(rows: DataFrame, keys: list[str], value: str, ranges: int = 1024) -> DataFrame:
     """Exact quartiles by the exclusive method for keys of at least four values.
 
-    A key's values are reduced to (value, count) before they meet, ranks are running counts, and only the two
-    neighbours of each cut are gathered, so no task holds a whole key's values in one cell.
+    A key's values are reduced to (value, count) and dealt into ranges between its least and greatest. Ranks are running
+    counts within a range, after the sum of the ranges before it, so that a key with most of the rows is ranked by many
+    tasks.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.select(*keys, F.col(value).alias("v"), F.sum("c").over(w).alias("high"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"), "c").where("n >= 4")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.groupBy(*keys).agg(F.min("v").alias("_low"), F.max("v").alias("_high"), F.sum("c").alias("n")).where("n >= 4")
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * ranges), F.lit(ranges - 1))).otherwise(0)
+    placed = _matched(counts, ends, keys).withColumn("_r", place)
+    sizes = placed.groupBy(*keys, "_r").agg(F.sum("c").alias("_s"))
+    before = sizes.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_r")) - F.col("_s")).drop("_s")  # at most `ranges` rows a key
+    ranked = _matched(placed, before, [*keys, "_r"]).withColumn("high", F.col("_before") + F.sum("c").over(Window.partitionBy(*keys, "_r").orderBy("v")))
     at = lambda j: F.min(F.when(F.col("high") >= j, F.col("v")))
     out = []
     for i in (1, 2, 3):
-        place = F.lit(i) * (F.col("n") + 1)
-        j = F.greatest(F.lit(1), F.least(F.floor(place / 4), F.col("n") - 1))
-        part = place - j * 4
-        out += [at(j).alias(f"_a{i}"), at(j + 1).alias(f"_b{i}"), F.first(part).alias(f"_p{i}")]
+        spot = F.lit(i) * (F.col("n") + 1)
+        j = F.greatest(F.lit(1), F.least(F.floor(spot / 4), F.col("n") - 1))
+        out += [at(j).alias(f"_a{i}"), at(j + 1).alias(f"_b{i}"), F.first(spot - j * 4).alias(f"_p{i}")]
     cut = lambda i: ((F.col(f"_a{i}") * (4 - F.col(f"_p{i}")) + F.col(f"_b{i}") * F.col(f"_p{i}")) / 4).alias(f"q{i}")
     return ranked.groupBy(*keys, "n").agg(*out).select(*keys, "n", cut(1), cut(2), cut(3))
 

@@ -36,7 +36,8 @@ def selection(photos: DataFrame, states: DataFrame, reread: bool = False) -> Dat
     wanted = F.when(F.col("state").isin("new", "error"), "read").when(F.col("state") == "done", "skip_done")
     wanted = wanted.when(F.col("state") == "not_in_db", F.when(F.col("known"), "read").otherwise("skip_waiting")).when(F.lit(reread) | F.col("known"), "read").otherwise("skip_waiting")
     met = met.withColumn("choice", wanted)
-    order = Window.partitionBy("photo_hash", F.col("choice") == "read").orderBy("folder", "name")
+    alike = F.when(F.col("photo_hash") == "", F.concat("folder", F.lit("/"), "name")).otherwise(F.col("photo_hash"))  # photos without hash are no group
+    order = Window.partitionBy(alike, F.col("photo_hash") == "", F.col("choice") == "read").orderBy("folder", "name")
     copy = (F.col("choice") == "read") & (F.col("photo_hash") != "") & (F.row_number().over(order) > 1)
     return met.withColumn("choice", F.when(copy, "skip_copy").otherwise(F.col("choice")))
 
