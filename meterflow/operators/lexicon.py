@@ -38,13 +38,16 @@ def ctc_scores(matrices: list[np.ndarray], texts: list[str], alphabet: str, blan
     for k, t in enumerate(texts):
         labels[k, 1 : 2 * len(t) : 2] = [place[c] for c in t]
     rows = np.arange(n)
+    padded = np.zeros((n, max(steps.max(), 1), len(alphabet) + 1))
+    for k, m in enumerate(matrices):
+        padded[k, : len(m)] = m
     skip = np.zeros(labels.shape, bool)  # a label may follow the one before the last blank unless they are equal
     skip[:, 2:] = (labels[:, 2:] != blank) & (labels[:, 2:] != labels[:, :-2])
     alpha = np.full(labels.shape, -np.inf)
     with np.errstate(divide="ignore"):
         for t in range(steps.max()):
             live = t < steps
-            now = np.stack([m[min(t, len(m) - 1)][lab] if len(m) else np.full(len(lab), -np.inf) for m, lab in zip(matrices, labels)])
+            now = padded[rows[:, None], t, labels]
             if t == 0:
                 new = np.full(labels.shape, -np.inf)
                 new[:, :2] = now[:, :2]
@@ -67,11 +70,11 @@ def scored(pairs: DataFrame, alphabet: str, blank: int) -> DataFrame:
             out = np.full(len(string), -np.inf)
             good = np.array([isinstance(s, str) and set(s) <= known for s in string], bool)
             at = np.flatnonzero(good)
-            rows = [np.array([np.asarray(r, float) for r in matrix.iloc[k]]) for k in at]
+            rows = [np.asarray(matrix.iloc[k], float).reshape(-1, len(alphabet) + 1) for k in at]
             out[at] = ctc_scores(rows, [string.iloc[k] for k in at], alphabet, blank)
             yield pd.Series(out)
 
-    return pairs.withColumn("ll", F.pandas_udf(run, "double")("matrix", "string"))
+    return pairs.withColumn("ll", F.pandas_udf(run, "double")(F.flatten("matrix"), "string"))
 
 
 def lexicon_matches(images: DataFrame, lexicon: DataFrame, alphabet: str, blank: int, oov: float = 0.05, top: int = 3, window: int = 2) -> DataFrame:
