@@ -24,9 +24,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that SimHash fingerprints over words of five link."""
+    """The document with the smallest doc_id of each group that similarities of 0.8 or more over words of five link."""
     bounded(spark)
-    return simhash.near_unique(docs, k=5, bits=3)
+    return simhash.near_similar(docs, k=5, similarity=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

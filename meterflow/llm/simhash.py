@@ -5,12 +5,17 @@ equal, so some choice of b - r blocks gives both fingerprints one key. Inside a
 to reference fingerprints (pivots) are tabled; by the triangle inequality a pair whose distances to any pivot differ by
 more than r cannot be linked, and only the survivors are compared bit by bit. Tasks return a spanning forest of the
 links that they find, not the pairs.
+
+Word shingles owe a similarity, not a number of bits: near_similar takes as candidates the texts that share one of their
+least shingle hashes and whose fingerprints of 256 bits over distinct shingles are within a radius that a pair of the
+similarity hardly exceeds, and links those whose exact shingle sets are similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +23,28 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import Bloom, bloom_of, checkpointed, slices
 from .components import components, forest
 
 #: Members of a group that are compared in one task; larger groups are compared chunk by chunk.
 GROUP = 4096
+#: Candidate pairs that a task holds before it sends them on.
+PART = 1 << 16
+#: Least shingle hashes that two texts must share one of: a pair of similarity s shares none with a chance of (1 - s) ** LEAST at most.
+LEAST = 10
+#: Words of 64 bits of the fingerprint that parts candidates from chance meetings.
+WORDS = 4
+WORD_COLUMNS = [f"w{n}" for n in range(WORDS)]
+#: Bytes up to which a filter of the texts to verify is broadcast.
+FILTER_BYTES = 64 << 20
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 64, 12, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, k: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of one text; 0 without words."""
+def _gram_hashes(text: str | None, k: int) -> Iterator[bytes]:
+    """The big-endian hashes of a text's runs of k words, 65,536 at a time; of the whole text if it has fewer words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
@@ -38,14 +52,24 @@ def fingerprint(text: str | None, k: int = 3) -> int:
         starts, ends = starts[: len(words) - k + 1], (ends[k - 1 :] - 1).tolist()
     else:
         starts, ends = starts[:1], [len(joined)]
-    digest, n = xxhash.xxh64_digest, len(starts)
-    bits = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])])
+    digest = xxhash.xxh64_digest
+    for at in range(0, len(starts), 1 << 16):
+        yield b"".join([digest(joined[s:e], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])])
+
+
+def _majority(hashes: Iterator[bytes]) -> int:
+    bits, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         bits += np.unpackbits(np.frombuffer(h, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(h) // 8
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, k: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of one text; 0 without words."""
+    return _majority(_gram_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text as a signed long. Null and empty texts have 0."""
 
@@ -65,12 +89,12 @@ def masks(distinct: int, bits: int) -> list[int]:
     return [sum(c) - (1 << 64 if sum(c) >= 1 << 63 else 0) for c in combinations(block, blocks - bits)]
 
 
-def linked(fp: np.ndarray, same: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the rows of equal `same` (a group's number, ascending) whose fingerprints differ in `bits` bits at most."""
+def near_pairs(fp: np.ndarray, same: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """linked() in parts of about PART pairs."""
     away = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int16)
     order = np.lexsort((away[:, 0], same))
     fp, same, away = fp[order], same[order], away[order]
-    found, i = [], np.arange(len(fp))
+    found, held, i = [], 0, np.arange(len(fp))
     for lag in range(1, len(fp)):
         i = i[i + lag < len(fp)]
         i = i[(same[i] == same[i + lag]) & (away[i + lag, 0] - away[i, 0] <= bits)]  # rows are sorted by the first pivot's distance: once too far, too far for longer lags
@@ -79,36 +103,62 @@ def linked(fp: np.ndarray, same: np.ndarray, bits: int) -> tuple[np.ndarray, np.
         near = i[np.abs(away[i, 1:] - away[i + lag, 1:]).max(axis=1) <= bits]
         near = near[np.bitwise_count(fp[near] ^ fp[near + lag]) <= bits]
         found.append((order[near], order[near + lag]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        held += len(near)
+        if held >= PART:
+            yield np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            found, held = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _search(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (group, fp, id) come sorted by group; what follows the last whole group waits for the next batch."""
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(k).to_numpy() for k in range(3)]
-            if rest is not None:
-                rows = [np.concatenate(x) for x in zip(rest, rows)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            rest = [x[cut:] for x in rows]
-            if cut:
-                yield found([x[:cut] for x in rows])
+def linked(fp: np.ndarray, same: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the rows of equal `same` (a group's number, ascending) whose fingerprints differ in `bits` bits at most."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *near_pairs(fp, same, bits)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that come sorted by group, the first column; what follows the last whole group waits for the next batch."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy() for c in batch.columns]
         if rest is not None:
-            yield found(rest)
+            rows = [np.concatenate(x) for x in zip(rest, rows)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        rest = [x[cut:] for x in rows]
+        if cut:
+            yield [x[:cut] for x in rows]
+    if rest is not None:
+        yield rest
+
+
+def _links_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        i, j = linked(rows[1].view(np.uint64), np.unique(rows[0], return_inverse=True)[1], bits)
-        a, b = forest(rows[2][i], rows[2][j])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+def _search(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, fp, ids in _whole_groups(batches):
+            i, j = linked(fp.view(np.uint64), np.unique(group, return_inverse=True)[1], bits)
+            yield _links_of(*forest(ids[i], ids[j]))
 
     return run
 
 
+def _dealt(keys: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with fp, `names` and their group's size as rows (group, fp, *others) sorted by group: groups of over GROUP members by pairs of chunks."""
+    others = [c for c in keys.columns if c not in (*names, "size")]
+    keys = keys.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("size") * 2 / GROUP)).cast("int"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("mine")).alias("low"), F.greatest(c, F.col("mine")).alias("high")))
+    pairs = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(F.filter(each, lambda p: p["low"] < p["high"]))
+    dealt = keys.withColumn("mine", mine).select(*others, *names, F.explode(pairs).alias("p"))
+    dealt = dealt.select(F.xxhash64(*names, "p.low", "p.high").alias("group"), *others)  # groups that share a number are only compared needlessly
+    return dealt.repartition("group").sortWithinPartitions("group")
+
+
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """Links (a, b) that connect all fingerprints within `bits` bits of each other. prints: distinct (fp, id), both long.
 
@@ -119,13 +169,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     keys = prints.select("fp", "id", F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(choices)])).alias("k"))
     keys = keys.select("fp", "id", "k.mask", "k.key")
     sizes = keys.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keys = keys.join(sizes, ["mask", "key"]).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("size") * 2 / GROUP)).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("mine")).alias("low"), F.greatest(c, F.col("mine")).alias("high")))
-    pairs = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(F.filter(others, lambda p: p["low"] < p["high"]))
-    dealt = keys.withColumn("mine", mine).select("fp", "id", "mask", "key", F.explode(pairs).alias("p"))
-    dealt = dealt.select(F.xxhash64("mask", "key", "p.low", "p.high").alias("group"), "fp", "id")  # groups that share a number are only compared needlessly
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_search(bits), "a long, b long")
+    dealt = _dealt(keys.join(sizes, ["mask", "key"]), ["mask", "key"])
+    return dealt.mapInArrow(_search(bits), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
@@ -152,8 +197,129 @@ def near_unique(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
 
     Only ids meet in the join's keys; of rows that repeat one doc_id, one stays.
     """
-    keep = simhash_components(docs, k, bits).where("doc_id = component_id").select("doc_id").distinct()
+    return _first_of_each(docs, simhash_components(docs, k, bits))
+
+
+def _first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    keep = classes.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy("doc_id")  # the join's own partitions and order; only rows that repeat an id are more than one
     kept = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id").withColumn("n", F.row_number().over(order))
     return kept.where("n = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+def shingles(text: str | None, k: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's runs of k words."""
+    return np.unique(np.frombuffer(b"".join(_gram_hashes(text, k)), ">u8")).astype(np.uint64)
+
+
+def _spread(h: np.ndarray, word: int) -> np.ndarray:
+    """Another hash of each hash, with other bits for each word: splitmix64."""
+    z = h + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    z = z ^ z >> np.uint64(31)
+    z = (z + np.uint64(word * 0xD1B54A32D192ED03 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ z >> np.uint64(31)
+
+
+def signature(own: np.ndarray) -> list[int]:
+    """The fingerprint of a set of shingles in WORDS words of 64 bits; copies of a shingle count once, as in the similarity."""
+    parts = [own[at : at + (1 << 16)] for at in range(0, len(own), 1 << 16)]
+    return [_majority(_spread(x, w).astype(">u8").tobytes() for x in parts) for w in range(1, WORDS + 1)]
+
+
+def _node(own: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
+
+
+def radius(similarity: float, bits: int = 64, loss: float = 1e-6) -> int:
+    """The bits within which fingerprints of a pair of this similarity lie but for a chance of `loss`.
+
+    A bit differs with the chance angle / pi for large sets of equal size, where the cosine is 2s / (1 + s); in sets of a
+    few shingles, where one vote decides, with 3 / 16 at similarity 0.8, a quarter more. Bits are taken as independent.
+    """
+    p = 1.25 * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    over, r = 1.0, -1
+    while over > loss and r < bits:
+        r += 1
+        over -= comb(bits, r) * p**r * (1 - p) ** (bits - r)
+    return r
+
+
+def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of kinds (node, size, least, w0 to the last word) that share a least hash and may be as similar as that."""
+    bits, wide = radius(similarity), radius(similarity, 64 * WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, fp, size, node, *more in _whole_groups(batches):
+            for i, j in near_pairs(fp.view(np.uint64), np.unique(group, return_inverse=True)[1], bits):
+                away = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (fp, *more))  # signed, it would count the magnitude's bits
+                fit = (away <= wide) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                a, b = node[i[fit]], node[j[fit]]
+                yield _links_of(np.minimum(a, b), np.maximum(a, b))
+
+    keys = kinds.select(F.col("w0").alias("fp"), F.col("size").alias("shingles"), "node", *WORD_COLUMNS[1:], F.explode("least").alias("key"))
+    keys = keys.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    return _dealt(keys, ["key"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs: links join texts whose sets of k-word shingles have at least this Jaccard similarity.
+
+    Equal sets are one node; null and empty texts have the empty set, and are linked with each other. Every row's text
+    links, also one without doc_id, but only ids name a component. Of two texts, one shared hash among the LEAST least
+    makes a candidate; the exact sets decide. Each candidate is verified first against the smallest it meets, then only
+    pairs whose ends are not linked yet, so that a large class is not verified pair by pair.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for t in batch.column(1).to_pylist():
+                own = shingles(t, k)
+                out.append((_node(own), len(own), own[:LEAST].view(np.int64).tolist(), signature(own)))
+            node, size, least, words = zip(*out)
+            words = np.array(words, np.uint64).view(np.int64).T
+            columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(least, pa.list_(pa.int64())), *map(pa.array, words)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "least", *WORD_COLUMNS])
+
+    rows = checkpointed(texts.mapInArrow(sketch, "doc_id long, node long, size long, least array<long>, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)))
+    kinds = rows.dropDuplicates(["node"])
+    pairs = checkpointed(_candidates(kinds, similarity))
+    nodes = checkpointed(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
+    count = nodes.count()
+    wanted = None
+    if Bloom.size(count) <= FILTER_BYTES:
+        wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, count))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
+            node = np.array([_node(s) for s in sets], np.int64)
+            at = np.flatnonzero(wanted.value.holds(node)) if wanted is not None else np.arange(len(node))
+            lists = pa.array([sets[n].view(np.int64) for n in at], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at], pa.int64()), lists], ["node", "own"])
+
+    sets = checkpointed(texts.mapInArrow(whole, "node long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+    def verified(some: DataFrame) -> DataFrame:
+        met = some.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return met.where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+
+    star = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    so_far = components(star)
+    end = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    found = components(star.unionAll(verified(apart)))
+    rows = rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
+    names = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "c").select("doc_id", "component_id")
+
+
+def near_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each class of similar_components, as near_unique keeps them."""
+    return _first_of_each(docs, similar_components(docs, k, similarity))

@@ -145,6 +145,60 @@ def test_pivots_lose_no_pair_and_big_groups_are_cut(spark, monkeypatch):
     assert lowest(found, range(len(prints))) == lowest(near, range(len(prints)))
 
 
+def plain_shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_similar_components_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in (6, 8, 14, 40, 90, 200, 200, 300, 300, 400)]
+    changed = []
+    for words in base:
+        for edits in range(1, 7):  # scattered edits: similarities on both sides of 0.8, many bits apart
+            w = list(words)
+            for at in rng.integers(0, len(w), edits * max(1, len(w) // 120)):
+                w[at] = f"new{rng.integers(1 << 30)}"
+            changed.append(w)
+    texts = [*edge.TEXTS, *(" ".join(w) for w in base + changed)]
+    docs = edge.frame(spark, texts)
+    own = {r["doc_id"]: plain_shingles(r["text"]) for r in docs.where("doc_id is not null").collect()}
+    alike = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    links = [(a, b) for a in own for b in own if a < b and alike(own[a], own[b])]
+    assert any((simhash.fingerprint(texts[a], 5) ^ simhash.fingerprint(texts[b], 5)).bit_count() > 3 for a, b in links)
+    expected = lowest(links, own)
+    for group in (simhash.GROUP, 4):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        got = simhash.similar_components(docs).collect()
+        assert len(got) == docs.count()
+        assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == expected
+    assert sorted(r["doc_id"] for r in simhash.near_similar(docs).where("doc_id is not null").collect()) == sorted(set(expected.values()))
+    assert simhash.similar_components(edge.empty(spark)).count() == 0
+
+
+def test_signatures_of_similar_sets_lie_within_the_radius():
+    rng = np.random.default_rng(12)
+    for n in (9, 18, 90, 450):
+        for _ in range(200):
+            h = rng.integers(0, 1 << 64, n + n // 9, dtype=np.uint64)
+            x, y = h[:n], h[n // 9 :]  # similarity 0.8
+            a, b = (simhash.signature(np.sort(z)) for z in (x, y))
+            away = [(p ^ q).bit_count() for p, q in zip(a, b)]
+            assert away[0] <= simhash.radius(0.8) and sum(away) <= simhash.radius(0.8, 256)
+
+
+def test_pipeline_stage_drops_similar_texts(spark, sf_dir):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(400)]
+    near = list(words)
+    for at in (50, 130, 210, 290, 370):
+        near[at] = f"new{at}"
+    assert (simhash.fingerprint(" ".join(words), 5) ^ simhash.fingerprint(" ".join(near), 5)).bit_count() > 3
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "another text")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == [1, 3]
+
+
 def unit(rng, n, d=32):
     x = rng.normal(size=(n, d))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
