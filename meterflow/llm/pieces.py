@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,6 +22,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of a worker's cache of distinct pre-tokens, and nodes of its trie; a full one is begun again.
 CACHED, NODES = 150_000, 500_000
+#: Characters beyond which a pre-token gets no nodes in the trie.
+LONG = 1000
 
 
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
@@ -393,44 +395,65 @@ class UnigramTrie:
         self._start()
 
     def _start(self) -> None:
-        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}  # a node by the prefix that leads to it
+        self.nodes: dict[tuple[int, str], int] = {}  # a node by its parent and the character that leads to it
+        self.best: list[tuple[float, int]] = [(0.0, 0)]  # score and tokens by node; 0 is the empty prefix
 
     def tokens(self, token: str) -> int:
-        if len(self.nodes) > NODES:
+        if len(token) > LONG:
+            return self._long(token)
+        if len(self.best) + len(token) > NODES:
             self._start()
-        nodes, score = self.nodes, self.score
-        known = len(token)
-        while token[:known] not in nodes:
-            known -= 1
-        end, best, count = known, -math.inf, 0
+        nodes, path = self.nodes, [0]
+        for char in token:
+            node = nodes.get((path[-1], char))
+            if node is None:
+                break
+            path.append(node)
+        known = len(path) - 1
+        if known == len(token):
+            return self.best[path[-1]][1]
+        scores = [self.best[n] for n in path]
+        for end, found in self._forward(token, known, scores.__getitem__):
+            scores.append(found)
+            nodes[path[-1], token[end - 1]] = len(self.best)
+            path.append(len(self.best))
+            self.best.append(found)
+        return scores[-1][1]
+
+    def _long(self, token: str) -> int:
+        """The count of a token that gets no nodes: only the last scores that a piece can reach back to are held."""
+        size = self.v.longest + 1
+        ring = [(0.0, 0)] * size
+        for end, found in self._forward(token, 0, lambda at: ring[at % size]):
+            ring[end % size] = found
+        return ring[len(token) % size][1]
+
+    def _forward(self, token: str, known: int, before: Callable[[int], tuple[float, int]]) -> Iterator[tuple[int, tuple[float, int]]]:
+        """(end, score and tokens) of each prefix longer than `known`; before gives those of shorter ones, as far back as a piece is long."""
+        end, best, count = known + 1, -math.inf, 0
         for at, (piece, size) in self.v.matches.iter(token, max(0, known + 1 - self.v.longest)):
             if at < known:
                 continue
-            if at >= end:  # the first piece that ends here: what came before is whole
-                if end > known:
-                    self._close(token, end, best, count)
-                for skipped in range(end + 1, at + 1):
-                    self._close(token, skipped, -math.inf, 0)
-                end, best, count = at + 1, -math.inf, 0
-            before, n = nodes[token[: end - size]]
-            s = before + score[piece]
+            while end <= at:  # the first piece that ends here: what came before is whole
+                yield end, self._closed(token, end, best, count, before)
+                end, best, count = end + 1, -math.inf, 0
+            score, n = before(at + 1 - size)
+            s = score + self.score[piece]
             if s > best or s == best and n + 1 < count:
                 best, count = s, n + 1
-        if end > known:
-            self._close(token, end, best, count)
-        for skipped in range(end + 1, len(token) + 1):
-            self._close(token, skipped, -math.inf, 0)
-        return nodes[token][1]
-
-    def _close(self, token: str, end: int, best: float, count: int) -> None:
-        """The node of a prefix; a last character that is no piece may go over its bytes."""
+        while end <= len(token):
+            yield end, self._closed(token, end, best, count, before)
+            end, best, count = end + 1, -math.inf, 0
+
+    def _closed(self, token: str, end: int, best: float, count: int, before: Callable[[int], tuple[float, int]]) -> tuple[float, int]:
+        """Score and tokens of a prefix; a last character that is no piece may go over its bytes."""
         char = token[end - 1]
         if char not in self.v.ids:
             size = len(char.encode()) if self.v.byte else 1
-            before, n = self.nodes[token[: end - 1]]
-            if before + self.unknown * size > best:
-                best, count = before + self.unknown * size, n + size
-        self.nodes[token[:end]] = best, count
+            score, n = before(end - 1)
+            if score + self.unknown * size > best:
+                best, count = score + self.unknown * size, n + size
+        return best, count
 
 
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -95,6 +95,23 @@ def test_token_counts(spark, vocabulary):
     assert pieces.token_counts(edge.empty(spark)).count() == 0
 
 
+def test_token_counts_of_long_runs(vocabulary, monkeypatch):
+    import tracemalloc
+
+    trie, rng = pieces.UnigramTrie(vocabulary), np.random.default_rng(6)
+    odd = ["".join(rng.choice(list("theinga日é"), n)) for n in (5, 60, 150, 299)]
+    expected = [plain_count(trie, w) for w in odd]
+    assert [trie.tokens(w) for w in odd] == [trie.tokens(w) for w in odd] == expected
+    assert [trie._long(w) for w in odd] == expected
+    monkeypatch.setattr(pieces, "NODES", 100)
+    assert [trie.tokens(w) for w in odd] == expected
+    runs = ["".join(rng.choice(list("abcdefghij日本語"), n)) for n in (20_000, 20_000, 200_000)]
+    tracemalloc.start()
+    assert all(0 < trie.tokens(w) <= 3 * len(w) for w in runs)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+
 def plain_tiles(document, item, shortest):
     """Greedy string tiling by comparing every pair of places."""
     shortest = min(shortest, len(item)) or 1
