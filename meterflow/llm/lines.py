@@ -3,13 +3,15 @@
 A LineIndex has two DataFrames: `counts` (key, refs), the number of documents that hold each line key, and `filters`
 (shard, state), one cuckoo filter for each shard of the keys that reached the threshold. Inserting or deleting
 documents adds or subtracts their keys in the counts; keys that cross the threshold enter or leave their shard's
-filter. A line whose key is not in a filter is kept without looking further; the few keys below the threshold that a
-filter takes for members are found by probing the exact counts.
+filter. A shard that would become too full is built anew from the exact counts, and when the frequent keys outgrow the
+shards, each shard is split. A line whose key is not in a filter is kept without looking further; the keys that a
+filter takes for members are confirmed by the exact counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -22,9 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, checkpointed
 
-#: A shard has about this many members, and the filters with their exceptions are broadcast up to this many bytes.
+#: A shard has at most this many members, and the filters with their exceptions are broadcast up to this many bytes.
 SHARD_KEYS, BROADCAST_BYTES = 1 << 15, 32 << 20
 KEY_BYTES, SLOTS, KICKS = 16, 4, 400
+#: A filter is built for this share of its places and built anew beyond the other.
+SPARSE, FULL = 0.6, 0.9
+#: Keys that so small a share of all documents' lines hold are joined; the others, 1 / HOT_SHARE at most, are broadcast.
+HOT_SHARE = 1e-5
 
 
 def line_key(line: bytes) -> bytes:
@@ -37,16 +43,16 @@ def digest(key: bytes) -> bytes:
 
 
 class CuckooFilter:
-    """16-bit fingerprints in buckets of four; one that finds no place after KICKS moves goes to an exact stash."""
+    """16-bit fingerprints in buckets of four; one that finds no place after KICKS moves goes to an exact, counted stash."""
 
-    def __init__(self, buckets: int, table: np.ndarray | None = None, stash: set[tuple[int, int]] | None = None):
+    def __init__(self, buckets: int, table: np.ndarray | None = None, stash: Counter[tuple[int, int]] | None = None):
         self.buckets = buckets
         self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
-        self.stash = stash if stash is not None else set()
+        self.stash = stash if stash is not None else Counter()
 
     @classmethod
     def sized(cls, members: int) -> CuckooFilter:
-        return cls(1 << max(4, int(np.ceil(np.log2(max(1, members) / (SLOTS * 0.8))))))
+        return cls(1 << max(4, int(np.ceil(np.log2(max(1, members) / (SLOTS * SPARSE))))))
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """keys: uint64 (n, 2). Fingerprint, never 0, and the two buckets, each the other's partner under the fingerprint."""
@@ -63,48 +69,57 @@ class CuckooFilter:
         print_, one, two = self.places(keys)
         found = (self.table[one] == print_[:, None]).any(axis=1) | (self.table[two] == print_[:, None]).any(axis=1)
         if self.stash:
-            found |= [bool({(p, a), (p, b)} & self.stash) for p, a, b in zip(print_.tolist(), one.tolist(), two.tolist())]
+            found |= [(p, a) in self.stash or (p, b) in self.stash for p, a, b in zip(print_.tolist(), one.tolist(), two.tolist())]
         return found
 
     def insert(self, keys: np.ndarray) -> None:
         moves = np.random.default_rng(len(keys))
+        table = self.table.tolist()
+        step = {}
         for p, a, b in zip(*(x.tolist() for x in self.places(keys))):
-            at = a
-            for _ in range(KICKS):
-                free = np.flatnonzero(self.table[at] == 0)
-                if not len(free) and at == a:
-                    at, free = b, np.flatnonzero(self.table[b] == 0)
-                if len(free):
-                    self.table[at, free[0]] = p
+            for at in (a, b):
+                if 0 in table[at]:
+                    table[at][table[at].index(0)] = p
                     break
-                slot = int(moves.integers(SLOTS))
-                p, self.table[at, slot] = int(self.table[at, slot]), p
-                at = at ^ int(self._step(np.array([p], np.uint16))[0])
-                a = -1
             else:
-                self.stash.add((p, at))
+                at = b
+                for slot in moves.integers(SLOTS, size=KICKS).tolist():
+                    p, table[at][slot] = table[at][slot], p
+                    if p not in step:
+                        step[p] = int(self._step(np.array([p], np.uint16))[0])
+                    at ^= step[p]
+                    if 0 in table[at]:
+                        table[at][table[at].index(0)] = p
+                        break
+                else:
+                    self.stash[p, at] += 1
+        self.table = np.array(table, np.uint16).reshape(self.buckets, SLOTS)
 
     def delete(self, keys: np.ndarray) -> None:
-        """Removes members; a key that was never inserted must not be given."""
+        """Removes one entry of each member; a key that was never inserted must not be given.
+
+        Members of equal fingerprints and places are alike: which of them loses its entry makes no difference.
+        """
         for p, a, b in zip(*(x.tolist() for x in self.places(keys))):
             for at in (a, b):
                 if len(slot := np.flatnonzero(self.table[at] == p)):
                     self.table[at, slot[0]] = 0
                     break
-            else:
-                self.stash.discard((p, a))
-                self.stash.discard((p, b))
+                if self.stash[p, at] > 0:
+                    self.stash[p, at] -= 1
+                    break
+        self.stash = +self.stash
 
     def state(self) -> bytes:
-        stash = np.array(sorted(self.stash), np.int64).reshape(-1, 2)
+        stash = np.array(sorted((p, at, n) for (p, at), n in self.stash.items()), np.int64).reshape(-1, 3)
         return np.array([self.buckets, len(stash)], np.int64).tobytes() + self.table.tobytes() + stash.tobytes()
 
     @classmethod
     def load(cls, state: bytes) -> CuckooFilter:
         buckets, n = np.frombuffer(state, np.int64, 2).tolist()
         end = 16 + 2 * SLOTS * buckets
-        stash = np.frombuffer(state, np.int64, 2 * n, end).reshape(-1, 2).tolist()
-        return cls(buckets, np.frombuffer(state, np.uint16, SLOTS * buckets, 16).reshape(buckets, SLOTS).copy(), {tuple(x) for x in stash})
+        stash = np.frombuffer(state, np.int64, 3 * n, end).reshape(-1, 3).tolist()
+        return cls(buckets, np.frombuffer(state, np.uint16, SLOTS * buckets, 16).reshape(buckets, SLOTS).copy(), Counter({(p, at): k for p, at, k in stash}))
 
 
 def _wide(keys) -> np.ndarray:
@@ -128,13 +143,13 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 
 def _shard(shards: int):
-    """A key's shard, from its last four bytes."""
+    """A key's shard, from its last four bytes; with twice the shards, each is split in two."""
     return (F.conv(F.hex(F.substring("key", KEY_BYTES - 3, 4)), 16, 10).cast("long") % shards).cast("int").alias("shard")
 
 
 @dataclass(frozen=True)
 class LineIndex:
-    """min_docs documents make a key frequent; shards is fixed when the index is built, so that filters stay aligned."""
+    """min_docs documents make a key frequent; filters (shard, buckets, state) part the keys into `shards`, a power of two."""
 
     counts: DataFrame
     filters: DataFrame
@@ -145,25 +160,30 @@ class LineIndex:
     def build(cls, docs: DataFrame, min_docs: int = 10) -> LineIndex:
         """Rows are documents, also where they repeat a doc_id or text; null and empty texts add no key."""
         counts = checkpointed(document_keys(docs).groupBy("key").agg(F.count(F.lit(1)).alias("refs")))
-        shards = max(1, -(-counts.where(F.col("refs") >= min_docs).count() // SHARD_KEYS))
-        empty = docs.sparkSession.createDataFrame([], "shard int, state binary")
-        index = cls(counts, empty, shards, min_docs)
-        return index._crossed(counts.where(F.col("refs") >= min_docs).select("key", F.lit(1).alias("way")))
-
-    def _crossed(self, crossed: DataFrame) -> LineIndex:
-        """crossed (key, way): 1 enters its filter, -1 leaves it."""
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            state, keys = rows["state"].dropna(), rows[rows["way"] != 0]
-            came, gone = (_wide(keys.loc[keys["way"] == w, "key"]) for w in (1, -1))
-            f = CuckooFilter.load(state.iloc[0]) if len(state) else CuckooFilter.sized(max(len(came), 2 * SHARD_KEYS if len(gone) else 0))
-            f.delete(gone)
-            f.insert(came)
-            return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "state": [f.state()]})
-
-        changes = crossed.select(_shard(self.shards), F.lit(None).cast("binary").alias("state"), "key", "way")
-        old = self.filters.select("shard", "state", F.lit(None).cast("binary").alias("key"), F.lit(0).alias("way"))
-        return replace(self, filters=checkpointed(changes.unionAll(old).groupBy("shard").applyInPandas(run, "shard int, state binary")))
+        return cls(counts, docs.sparkSession.createDataFrame([], "shard int, buckets long, state binary"), 0, min_docs)._fitted(None)
+
+    def _fitted(self, crossed: DataFrame | None) -> LineIndex:
+        """The index whose filters hold the frequent keys of its counts.
+
+        crossed (key, way): keys that entered (1) or left (-1) since the filters were made. Shards that it would make
+        too full, and all shards where they are too few, are built from the counts, which hold every frequent key.
+        """
+        frequent = self.frequent()
+        shards = max(1, self.shards)
+        total = frequent.count()
+        while total > shards * SHARD_KEYS * 0.8:  # a share of room, for shards differ a little in size
+            shards *= 2
+        if crossed is None or shards != self.shards:
+            changes = frequent.select(_shard(shards), F.lit(None).cast("binary").alias("state"), "key", F.lit(1).alias("way"))
+        else:
+            members = frequent.groupBy(_shard(shards)).agg(F.count(F.lit(1)).alias("members"))
+            full = members.join(self.filters.select("shard", "buckets"), "shard", "left").where(F.col("members") > F.coalesce("buckets", F.lit(0)) * SLOTS * FULL)
+            full = F.broadcast(checkpointed(full.select("shard")))  # a row for each shard at most
+            moved = crossed.select(_shard(shards), F.lit(None).cast("binary").alias("state"), "key", "way").join(full, "shard", "left_anti")
+            anew = frequent.select(_shard(shards), F.lit(None).cast("binary").alias("state"), "key", F.lit(1).alias("way")).join(full, "shard", "left_semi")
+            old = self.filters.select("shard", "state", F.lit(None).cast("binary").alias("key"), F.lit(0).alias("way")).join(full, "shard", "left_anti")
+            changes = moved.unionAll(anew).unionAll(old)
+        return replace(self, shards=shards, filters=checkpointed(changes.groupBy("shard").applyInPandas(_filled, "shard int, buckets long, state binary")))
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
         delta = document_keys(docs).groupBy("key").agg((F.count(F.lit(1)) * sign).alias("refs"))
@@ -171,7 +191,7 @@ class LineIndex:
         both = checkpointed(both.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("old").alias("old")))
         is_, was = F.col("refs") >= self.min_docs, F.col("old") >= self.min_docs
         crossed = both.where(is_ != was).select("key", F.when(is_, 1).otherwise(-1).alias("way"))
-        return replace(self, counts=both.where("refs > 0").select("key", "refs"))._crossed(crossed)
+        return replace(self, counts=both.where("refs > 0").select("key", "refs"))._fitted(crossed)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._changed(docs, 1)
@@ -183,25 +203,45 @@ class LineIndex:
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("refs") >= self.min_docs).select("key")
 
-    def exceptions(self, states: Broadcast) -> DataFrame:
-        """(key): keys of the counts below the threshold that their shard's filter takes for members."""
+    def exceptions(self, docs: DataFrame, states: Broadcast) -> DataFrame:
+        """(key): line keys of docs that their shard's filter takes for members and the exact counts do not."""
         shards = self.shards
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = {k: CuckooFilter.load(s) for k, s in states.value.items()}
+            sent: set[bytes] = set()  # what the filters take for members is mostly a few frequent keys
             for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array(member(filters, batch.column(0).to_pylist(), shards)))
+                for at in range(0, batch.num_rows, 500):
+                    keys = {line_key(x) for t in batch.column(0).slice(at, 500).to_pylist() for x in (t or "").encode().split(b"\n")}
+                    keys.discard(b"")
+                    own = [*map(digest, keys)]
+                    hits = [k for k, m in zip(own, member(filters, own, shards)) if m and k not in sent] if own else []
+                    if len(sent) > 100_000:
+                        sent.clear()
+                    sent.update(hits)
+                    yield pa.RecordBatch.from_arrays([pa.array(hits, pa.binary())], ["key"])
 
-        return self.counts.where(F.col("refs") < self.min_docs).select("key").mapInArrow(run, "key binary")
+        hits = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary").distinct()
+        return hits.join(self.frequent(), "key", "left_anti")
+
+
+def _filled(rows: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filter after its changes; a new one is made where the rows hold no state."""
+    state, keys = rows["state"].dropna(), rows[rows["way"] != 0]
+    came, gone = (_wide(keys.loc[keys["way"] == w, "key"]) for w in (1, -1))
+    f = CuckooFilter.load(state.iloc[0]) if len(state) else CuckooFilter.sized(len(came))
+    f.delete(gone)
+    f.insert(came)
+    return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "buckets": [f.buckets], "state": [f.state()]})
 
 
 def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     """docs with a new text column that lacks all lines whose key the index has as frequent, and `n_lines`, `n_dropped`.
 
-    A null or empty text is one empty line and becomes the empty text; empty lines stay. All other columns stay,
-    n_lines and n_dropped excepted, which are replaced. The filters and their exceptions are broadcast while they have
-    at most BROADCAST_BYTES; beyond that the lines are joined with the exact counts.
+    The documents need not be those of the index. A null or empty text is one empty line and becomes the empty text;
+    empty lines stay. All other columns stay, n_lines and n_dropped excepted, which are replaced. The filters and their
+    exceptions are broadcast while they have at most BROADCAST_BYTES; beyond that the lines are joined with the exact
+    counts, with the same result.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -209,7 +249,7 @@ def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
     if size <= BROADCAST_BYTES:
         context = docs.sparkSession.sparkContext
         states = context.broadcast({r["shard"]: bytes(r["state"]) for r in index.filters.collect()})
-        wrong = checkpointed(index.exceptions(states))
+        wrong = checkpointed(index.exceptions(docs, states))
         if size + KEY_BYTES * wrong.count() <= BROADCAST_BYTES:
             return _drop_broadcast(docs, index.shards, states, context.broadcast(frozenset(bytes(r["key"]) for r in wrong.collect())))
     return _drop_joined(docs, index)
@@ -261,37 +301,42 @@ def member(filters: dict[int, CuckooFilter], keys: list[bytes], shards: int) ->
 
 
 def _drop_joined(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """Lines as rows, joined with the frequent keys; each document's lines meet again by a key of its own content."""
-    key = F.expr("unhex(sha2(to_json(struct(*)), 256))")
-    place = docs.columns.index("text")
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("id"))
+    """Lines as rows, joined with the frequent keys; each document's lines meet again by a key of its own content.
+
+    Keys that more than HOT_SHARE of all references go to are few whatever the input's size; they are broadcast, so
+    that no key of the join has more than that share of the rows.
+    """
+    place, names = docs.columns.index("text"), docs.columns
+    total = index.counts.agg(F.sum("refs")).first()[0] or 0
+    hot = index.counts.where(F.col("refs") >= max(index.min_docs, total * HOT_SHARE)).select("key")
+    common = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in hot.collect()))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.expr("unhex(sha2(to_json(struct(*)), 256))").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, keys = [], []
                 for i, t in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist()):
-                    found = {line_key(x) for x in t.encode().split(b"\n")} - {b""}
+                    found = {digest(k) for x in t.encode().split(b"\n") if (k := line_key(x))} - common.value
                     ids += [i] * len(found)
-                    keys += map(digest, found)
+                    keys += found
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(keys, pa.binary())], ["id", "key"])
 
     lines = rows.select("id", "row.text").mapInArrow(run, "id binary, key binary").distinct()
     gone = lines.join(index.frequent(), "key").groupBy("id").agg(F.collect_list("key").alias("gone"))
-    whole = rows.join(gone, "id", "left").select("row.*", F.col("gone"))
+    whole = rows.join(gone, "id", "left").select("row", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch.column(0).flatten()
             texts, n_lines, n_dropped = [], [], []
-            for t, keys in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
+            for t, keys in zip(columns[place].to_pylist(), batch.column(1).to_pylist()):
                 lines, keys = t.encode().split(b"\n"), set(keys or ())
-                kept = [x for x in lines if not (k := line_key(x)) or digest(k) not in keys]
+                kept = [x for x in lines if not (k := line_key(x)) or (d := digest(k)) not in keys and d not in common.value]
                 texts.append(b"\n".join(kept).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            columns = list(batch.columns)[: len(names)]
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*batch.schema.names[: len(names)], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     return whole.mapInArrow(cut, _schema(docs))

@@ -10,6 +10,7 @@ import numpy as np
 import oracle
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meterflow.llm import components, lines, projections, queries, simhash, sql, substrings
 
@@ -61,15 +62,19 @@ def plain_lines(texts, least):
     return sorted(out)
 
 
-def test_lines_of_odd_rows(spark):
+def test_lines_of_odd_rows(spark, monkeypatch):
     texts = [*edge.TEXTS, "A\nb\n\n", " a\t\nB", "a\nc", "\x0ba\x0c\n\xa0a"]
     docs = edge.frame(spark, texts)
     got = lines.drop_lines(docs, lines.LineIndex.build(docs, 3))
     assert set(docs.columns) <= set(got.columns)
     all_texts = [r["text"] for r in docs.collect()]
     assert sorted((r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()) == plain_lines(all_texts, 3)
-    joined = lines._drop_joined(docs.drop("n_lines").fillna({"text": ""}), lines.LineIndex.build(docs, 3))
-    assert sorted((r["text"], r["n_lines"], r["n_dropped"]) for r in joined.collect()) == plain_lines(all_texts, 3)
+    clashing = docs.withColumns({c: F.lit(c) for c in ("gone", "row", "id", "key")})
+    for share in (lines.HOT_SHARE, 1.0):
+        monkeypatch.setattr(lines, "HOT_SHARE", share)
+        joined = lines._drop_joined(clashing.drop("n_lines").fillna({"text": ""}), lines.LineIndex.build(docs, 3))
+        assert sorted((r["text"], r["n_lines"], r["n_dropped"]) for r in joined.collect()) == plain_lines(all_texts, 3)
+        assert {(r["gone"], r["row"], r["id"], r["key"]) for r in joined.collect()} == {("gone", "row", "id", "key")}
     none = edge.empty(spark)
     assert lines.drop_lines(none, lines.LineIndex.build(none)).count() == 0
 
@@ -87,6 +92,34 @@ def test_line_index_is_reversible(spark):
     assert cut(grown) == [3] * 12 and cut(back) == [1] * 12
 
 
+def test_line_index_grows_and_shrinks_like_a_new_one(spark, monkeypatch):
+    """From an empty table by 50,000 keys, of which half go: shards split, full filters are built anew, no member is lost."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 4096)
+    text = lambda low, high: "\n".join(f"line {k}" for k in range(low, high))
+    docs = lambda *bounds: spark.createDataFrame([(n, text(*b)) for n, b in enumerate(bounds) for _ in range(2)], "doc_id long, text string")
+    index = lines.LineIndex.build(docs((0, 5)).limit(0), 2).insert(docs((0, 5))).insert(docs((5, 3000), (3000, 25_000)))
+    grown = index.insert(docs((25_000, 50_000)))
+    assert grown.shards > index.shards > 1
+    back = grown.delete(docs((25_000, 50_000)))
+    for got, low, high in ((grown, 0, 50_000), (back, 0, 25_000)):
+        new = lines.LineIndex.build(docs((low, high)), 2)
+        rows = docs((0, 50_000), (60_000, 70_000))  # also lines that the index has never seen
+        dropped = {(r["doc_id"], r["n_dropped"]) for r in lines.drop_lines(rows, got).collect()}
+        assert dropped == {(r["doc_id"], r["n_dropped"]) for r in lines.drop_lines(rows, new).collect()} == {(0, high), (1, 0)}
+        members = sum(int((lines.CuckooFilter.load(bytes(r["state"])).table != 0).sum()) for r in got.filters.collect())
+        assert members == high
+
+
+def test_stash_counts_equal_entries():
+    f, keys = lines.CuckooFilter(16), np.random.default_rng(8).integers(0, 1 << 63, (20_000, 2)).astype(np.uint64)
+    f.insert(keys)
+    f = lines.CuckooFilter.load(f.state())
+    f.delete(keys[:10_000])
+    assert f.contains(keys[10_000:]).all()
+    f.delete(keys[10_000:])
+    assert not f.stash and not f.table.any()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, (5000, 2)).astype(np.uint64)
