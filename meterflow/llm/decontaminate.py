@@ -12,16 +12,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, gram_hashes, letter_table, slices, word_hashes
+from .common import Bloom, Texts, Words, bloom_of, checkpointed, gram_hashes, letter_table, slices, word_hashes
 
 SEED, COVERAGE = 5, 0.8
 #: The seeds of a benchmark are broadcast up to so many; a larger one is joined by shuffled seeds.
 BROADCAST_SEEDS = 2_000_000
+#: Bytes up to which a filter of a larger benchmark's seeds is broadcast.
+FILTER_BYTES = 64 << 20
 _LETTERS = letter_table()
 _WORD = re.compile("[^\x00-&(-/:-@\\[-`{-\x7f]+")
 
@@ -52,24 +53,36 @@ def tiles(document: list, item: list, shortest: int) -> list[tuple[int, int, int
     d, place = _runs([codes.get(w, -1) for w in document], shortest)
     free_d, free_t = [x >= 0 for x in d], [True] * len(t)
     found = []
-    length = min(_longest(free_d), len(t))
-    while length >= shortest:
+    length = _longest_match(d, free_d, t, free_t, shortest, min(_longest(free_d), len(t)))
+    while length:
         table: dict[int, list[int]] = {}
         for at, h in _running(d, free_d, length):
             table.setdefault(h, []).append(at)
-        longest_left = 0
-        if table:
-            for at, h in _running(t, free_t, length):
-                for other in table.get(h, ()):
-                    if all(free_d[other : other + length]) and all(free_t[at : at + length]) and d[other : other + length] == t[at : at + length]:
-                        found.append((place[other], at, length))
-                        free_d[other : other + length] = free_t[at : at + length] = [False] * length
-                        break
-            longest_left = min(_longest(free_d), _longest(free_t))
-        length = min(length - 1, longest_left)
+        for at, h in _running(t, free_t, length):
+            for other in table.get(h, ()):
+                if all(free_d[other : other + length]) and all(free_t[at : at + length]) and d[other : other + length] == t[at : at + length]:
+                    found.append((place[other], at, length))
+                    free_d[other : other + length] = free_t[at : at + length] = [False] * length
+                    break
+        length = _longest_match(d, free_d, t, free_t, shortest, min(length - 1, _longest(free_d), _longest(free_t)))
     return found
 
 
+def _longest_match(d: list[int], free_d: list[bool], t: list[int], free_t: list[bool], shortest: int, most: int) -> int:
+    """The length, from shortest to most, of the longest free runs with equal hashes; 0 if there are none.
+
+    Runs of one length that match give runs of any smaller one, so that the length is found by halving.
+    """
+    low, high = shortest - 1, most
+    while low < high:
+        length = (low + high + 1) // 2
+        if {h for _, h in _running(t, free_t, length)}.isdisjoint(h for _, h in _running(d, free_d, length)):
+            high = length - 1
+        else:
+            low = length
+    return low if low >= shortest else 0
+
+
 def _runs(codes: list[int], shortest: int) -> tuple[list[int], list[int]]:
     """The runs of at least `shortest` codes that are not -1, a -1 after each, and where each code stood."""
     out, place, start = [], [], 0
@@ -178,21 +191,29 @@ def _leaks_broadcast(docs: DataFrame, items: DataFrame, coverage: float, seed: i
 
 
 def _leaks_joined(docs: DataFrame, items: DataFrame, coverage: float, seed: int) -> DataFrame:
-    """The same by a join of seeds, for benchmarks that are too large to broadcast: only pairs that share one meet their texts."""
-    docs, items = docs.withColumn("row", F.xxhash64("doc_id", "text")), items.withColumn("item", F.xxhash64("item_id", "text"))
+    """The same by a join of seeds, for benchmarks that are too large to broadcast: only pairs that share one meet their texts.
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for k in range(1, seed + 1):
-                grams, row = _seeds(batch.column(1), k)
-                both = pd.DataFrame({"id": batch.column(0).to_numpy()[row], "seed": grams.view(np.int64)}).drop_duplicates()
-                yield pa.RecordBatch.from_arrays([pa.array(both["id"]), pa.array(both["seed"]), pa.array(np.full(len(both), k, np.int32))], ["id", "seed", "k"])
-
-    schema = "id long, seed long, k int"
-    left = docs.select(F.col("row").alias("id"), "text").mapInArrow(hashed, schema).withColumnRenamed("id", "row")
-    right = items.select(F.col("item").alias("id"), "text").mapInArrow(hashed, schema).withColumnRenamed("id", "item")
-    longest = right.groupBy("item").agg(F.max("k").alias("k"))  # seeds of full length, or of the whole item where it is shorter
-    right = right.join(longest, ["item", "k"])
+    Documents send only seeds that a Bloom filter of the benchmark's seeds takes for its own, of the lengths that items
+    have. An item of n words whose tiles cover coverage * n of them holds at least one seed in `seed` covered words, so
+    that a leak shares coverage * n / seed seed places with the document: the item's most frequent places, fewer than
+    that by one, are left out of the join without losing a pair, and with them the seeds that many items share.
+    """
+    spark = docs.sparkSession
+    docs, items = docs.withColumn("row", F.xxhash64("doc_id", "text")), items.withColumn("item", F.xxhash64("item_id", "text"))
+    places = checkpointed(items.select(F.col("item").alias("id"), "text").distinct().mapInArrow(_hashed(range(1, seed + 1), seed, None), "id long, seed long, k int"))
+    places = places.withColumnRenamed("id", "item")
+    lengths = sorted(r["k"] for r in places.select("k").distinct().collect())  # at most `seed` numbers
+    known = places.select("seed").distinct()
+    count = known.count()
+    filter_ = spark.sparkContext.broadcast(bloom_of(known, count)) if Bloom.size(count) <= FILTER_BYTES else None
+    left = docs.select(F.col("row").alias("id"), "text").mapInArrow(_hashed(lengths, None, filter_), "id long, seed long, k int").withColumnRenamed("id", "row").distinct()
+    left = checkpointed(left.join(known, "seed", "left_semi"))
+    often = left.groupBy("seed", "k").agg(F.count(F.lit(1)).alias("often"))
+    ranked = places.join(often, ["seed", "k"])
+    number = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("often"), "seed"))  # an item's own places
+    words = places.groupBy("item").agg((F.count(F.lit(1)) + F.max("k") - 1).alias("words"))
+    spare = F.ceil(F.col("words") * F.lit(coverage) / F.col("k") - 1e-9) - 1
+    right = ranked.withColumn("number", number).join(words, "item").where(F.col("number") > spare).select("item", "seed", "k").distinct()
     pairs = left.join(right, ["seed", "k"]).select("row", "item").distinct()
     met = pairs.join(docs, "row").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
 
@@ -205,14 +226,34 @@ def _leaks_joined(docs: DataFrame, items: DataFrame, coverage: float, seed: int)
     return met.select("doc_id", "text", "item_id", "item_text").mapInArrow(tile, "doc_id long, item_id long, coverage double")
 
 
+def _hashed(lengths, whole: int | None, filter_):
+    """Rows (id, seed, k) of batches (id, text): every run of k words for each k; with `whole` only runs of that many, or of the whole text where it is shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = np.array([len(words_of(t)) for t in batch.column(1).to_pylist()]) if whole else None
+            for k in lengths:
+                grams, row = _seeds(batch.column(1), k)
+                if whole:
+                    own = np.minimum(counts, whole)[row] == k
+                    grams, row = grams[own], row[own]
+                if filter_ is not None:
+                    own = filter_.value.holds(grams.view(np.int64))
+                    grams, row = grams[own], row[own]
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(grams.view(np.int64)), pa.array(np.full(len(row), k, np.int32))], ["id", "seed", "k"])
+
+    return run
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:
     """The rows of docs, with all their columns, into which no item leaks; rows without doc_id are kept unless their text leaks."""
     place = docs.columns.index("text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > BROADCAST_SEEDS:
-        marked = docs.withColumn("leak_key", F.xxhash64("text"))
-        bad = _leaks_joined(marked.select(F.col("leak_key").alias("doc_id"), F.col("text").cast("string").alias("text")).distinct(), items, coverage, seed)
-        return marked.join(bad.select(F.col("doc_id").alias("leak_key")).distinct(), "leak_key", "left_anti").select(*docs.columns)
+        marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+        texts = marked.select(F.col("key").alias("doc_id"), F.col("row.text").cast("string").alias("text")).dropDuplicates(["doc_id"])
+        bad = _leaks_joined(texts, items, coverage, seed).select(F.col("doc_id").alias("key")).distinct()
+        return marked.join(bad, "key", "left_anti").select("row.*")
     shared = docs.sparkSession.sparkContext.broadcast(_Items(items.collect(), seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,14 +177,26 @@ def simhash_components(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: its fingerprint and the smallest doc_id that links reach.
 
     Equal fingerprints are one node, so copies cost nothing beyond a partial minimum. Null and empty texts have
-    fingerprint zero and are linked like any other. A row without doc_id takes the class of its fingerprint (null if
-    no row of the class has an id); repeated rows stay, each with the same answer. An empty table gives no rows.
+    fingerprint zero and are linked like any other. A row without doc_id links like any other and takes the name of its
+    class (null if no row of the class has an id); repeated rows stay, each with the same answer. Rows of different
+    texts that share a doc_id are judged each by its own text. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, k))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = components(links(distinct.where("id is not null"), bits))
-    classes = distinct.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    return _named(prints, _classes(prints, bits))
+
+
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, c): the class of each distinct fingerprint of prints, named by its smallest fingerprint."""
+    distinct = checkpointed(prints.select("fp").distinct())
+    found = components(links(distinct.select("fp", F.col("fp").alias("id")), bits)).withColumnRenamed("node", "fp")
+    return checkpointed(distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("c")))
+
+
+def _named(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of prints; ids are reduced to one for each fingerprint before classes meet."""
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    ids = classes.join(least, "fp").groupBy("c").agg(F.min("id").alias("component_id"))
+    return prints.join(classes.join(ids, "c").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp):
@@ -193,19 +205,46 @@ def hexed(fp):
 
 
 def near_unique(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each class: the one whose doc_id is the class's smallest; rows without doc_id stay.
+    """docs with one row of each class of simhash_components, as first_of_each picks it."""
+    prints = checkpointed(fingerprints(docs.withColumn("doc_id", _row_key(docs)), k).withColumnRenamed("doc_id", "key"))
+    return first_of_each(docs, prints.join(_classes(prints, bits), "fp").select("key", "c"))
+
+
+def _row_key(docs: DataFrame):
+    """A row's name, made of its doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with one row of each class: of the smallest doc_id, rows without one last; of one id that of the smallest key.
 
-    Only ids meet in the join's keys; of rows that repeat one doc_id, one stays.
+    classes (key, c): the class of each row of docs by _row_key. Rows that repeat doc_id and text have one key, and of
+    them the row stays whose other columns come first as JSON. Only keys are shuffled for the decision; then rows whose
+    key may have lost or is repeated meet the keys that stay, and all others stay in their place.
     """
-    return _first_of_each(docs, simhash_components(docs, k, bits))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), _row_key(docs).alias("key"))
+    rows = checkpointed(keyed.select("id", "key").join(classes.dropDuplicates(["key"]), "key").groupBy("key", "c").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    stay = checkpointed(rows.groupBy("c").agg(first).select(F.col("first.key").alias("key")))
+    contested = checkpointed(rows.join(stay, "key", "left_anti").select("key").unionAll(rows.where("rows > 1").select("key")))
+    count = contested.count()
+    if Bloom.size(count) > FILTER_BYTES:
+        sure, unsure = None, keyed
+    else:
+        filter_ = docs.sparkSession.sparkContext.broadcast(bloom_of(contested, count))
+
+        def may_lose(wanted: bool):
+            def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.filter(pa.array(filter_.value.holds(batch.column(2).to_numpy()) == wanted))
 
+            return pick
 
-def _first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    keep = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("doc_id")  # the join's own partitions and order; only rows that repeat an id are more than one
-    kept = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id").withColumn("n", F.row_number().over(order))
-    return kept.where("n = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+        sure, unsure = (keyed.mapInArrow(may_lose(w), keyed.schema) for w in (False, True))
+    order = Window.partitionBy("key").orderBy(F.to_json("row"))
+    kept = unsure.join(stay, "key", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
+    return kept if sure is None else sure.select("row.*").unionAll(kept)
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
@@ -273,7 +312,13 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     makes a candidate; the exact sets decide. Each candidate is verified first against the smallest it meets, then only
     pairs whose ends are not linked yet, so that a large class is not verified pair by pair.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _similar(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, similarity)
+    names = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "c").select("doc_id", "component_id")
+
+
+def _similar(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(doc_id, c): the class of each row of texts (doc_id, text), named by one of its sets."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -293,7 +338,7 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     count = nodes.count()
     wanted = None
     if Bloom.size(count) <= FILTER_BYTES:
-        wanted = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, count))
+        wanted = texts.sparkSession.sparkContext.broadcast(bloom_of(nodes, count))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -315,11 +360,10 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     end = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     found = components(star.unionAll(verified(apart)))
-    rows = rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
-    names = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(names, "c").select("doc_id", "component_id")
+    return rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
 
 
 def near_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each class of similar_components, as near_unique keeps them."""
-    return _first_of_each(docs, similar_components(docs, k, similarity))
+    """docs with one row of each class of similar_components, as first_of_each picks it."""
+    rows = _similar(docs.select(_row_key(docs).alias("doc_id"), F.col("text").cast("string").alias("text")), k, similarity)
+    return first_of_each(docs, rows.select(F.col("doc_id").alias("key"), "c"))

@@ -166,6 +166,34 @@ def test_simhash_components(spark):
     assert simhash.simhash_components(edge.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.near_unique, simhash.near_similar])
+@pytest.mark.parametrize("limit", [simhash.FILTER_BYTES, 0])
+def test_one_row_of_each_class_by_its_own_text(spark, monkeypatch, keep, limit):
+    monkeypatch.setattr(simhash, "FILTER_BYTES", limit)
+    a, b, c = (" ".join(f"{x}{n}" for n in range(60)) for x in "abc")
+    rows = [(1, a, "z"), (1, b, "y"), (2, a, "x"), (None, a, "w"), (None, c, "v"), (None, c, "u"), (3, None, "t"), (1, b, "s"), (4, "", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `key` string").withColumns({n: F.lit(n) for n in ("row", "c", "id", "n")})
+    got = keep(docs)
+    assert got.columns == docs.columns and {(r["row"], r["c"], r["id"], r["n"]) for r in got.collect()} == {("row", "c", "id", "n")}
+    kept = sorted(((r["doc_id"], r["text"], r["key"]) for r in got.collect()), key=repr)
+    assert kept == sorted([(1, a, "z"), (1, b, "s"), (None, c, "u"), (3, None, "t")], key=repr)
+
+
+def test_rows_without_id_link(spark):
+    """A fingerprint that only a row without id has joins two others that are too far apart."""
+    rng = np.random.default_rng(13)
+    while True:
+        words = [f"w{n}" for n in rng.integers(0, 10_000, 200)]
+        texts = [" ".join(words[k : k + 190]) for k in (0, 4, 8)]
+        fp = [simhash.fingerprint(t) for t in texts]
+        near, other, ends = (fp[0] ^ fp[1]).bit_count(), (fp[1] ^ fp[2]).bit_count(), (fp[0] ^ fp[2]).bit_count()
+        if max(near, other) < ends:
+            break
+    docs = spark.createDataFrame([(5, texts[0]), (None, texts[1]), (9, texts[2])], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.simhash_components(docs, bits=max(near, other)).collect()} == {5}
+    assert {r["component_id"] for r in simhash.simhash_components(docs.where("doc_id > 0"), bits=max(near, other)).collect()} == {5, 9}
+
+
 def test_pivots_lose_no_pair_and_big_groups_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 62, 6)

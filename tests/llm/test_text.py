@@ -150,7 +150,7 @@ def leak_cases():
     return [f"before {ITEM} after", reordered, ITEM.upper().replace(" ", ",  "), " ".join(w[:11]), "nothing of the kind at all here", None, "", "short one", *edge.TEXTS]
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     docs = edge.frame(spark, leak_cases())
     items = spark.createDataFrame([(1, ITEM), (2, "short one"), (3, None), (4, ""), (1, ITEM)], "item_id long, text string")
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -164,14 +164,29 @@ def test_leaks(spark):
     shape = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], round(r["coverage"], 9)) for r in df.collect())
     assert {e[0] for e in expected} >= {0, 1, 2, 7}
     assert shape(decontaminate.leaks(docs, items)) == sorted(expected)
-    joined = decontaminate._leaks_joined(docs.select("doc_id", "text"), texts, 0.8, 5)
-    assert set(shape(joined)) == set(expected)
-    clean = decontaminate.drop_leaks(docs, items)
-    assert clean.columns == docs.columns
-    assert {r["doc_id"] for r in clean.where("doc_id is not null").collect()} == set(range(len(leak_cases()))) - {e[0] for e in expected}
+    for limit in (decontaminate.FILTER_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "FILTER_BYTES", limit)
+        joined = decontaminate._leaks_joined(docs.select("doc_id", "text"), texts, 0.8, 5)
+        assert set(shape(joined)) == set(expected)
+    named = docs.withColumns({c: F.lit(c) for c in ("leak_key", "key", "row", "item")})
+    for limit in (decontaminate.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+        clean = decontaminate.drop_leaks(named, items)
+        assert clean.columns == named.columns and {tuple(r)[-4:] for r in clean.collect()} == {("leak_key", "key", "row", "item")}
+        assert {r["doc_id"] for r in clean.where("doc_id is not null").collect()} == set(range(len(leak_cases()))) - {e[0] for e in expected}
     assert decontaminate.leaks(edge.empty(spark), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_by_join_are_those_by_broadcast(spark, sf_dir):
+    docs, items = (common.table(spark, sf_dir, n) for n in ("documents", "benchmark"))
+    shared = " and this is a phrase that all of them have in common"
+    items = items.withColumn("text", F.concat("text", F.when(F.col("item_id") % 2 == 0, F.lit(shared)).otherwise(F.lit(""))))
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0").withColumn("text", F.concat("text", F.lit(shared)))).select("doc_id", "text")
+    shape = lambda df: {(r["doc_id"], r["item_id"], round(r["coverage"], 9)) for r in df.collect()}
+    expected = shape(decontaminate.leaks(docs, items, 0.6))
+    assert expected and shape(decontaminate._leaks_joined(docs, items.select("item_id", "text"), 0.6, 5)) == expected
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
