@@ -2,25 +2,28 @@
 
 A pair says that one labelled text is preferred to another. The strength of a text is linear in features of its
 characters, words and lines, and the chance that it wins a pair is the logistic function of the difference of the two
-strengths; the weights are fitted by Newton steps on the feature differences. The quantile of the strengths at the
-share of label 0 becomes the threshold, and strengths are mapped so that it has the score 0.3.
+strengths; the weights are fitted by Newton steps on the feature differences. The quantile at the share of label 0 among
+the strengths of all labelled rows that may be learned from becomes the threshold, and strengths are mapped so that it
+has the score 0.3.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, blank_table, gram_hashes, slices, word_hashes
+from .common import Texts, Words, blank_table, checkpointed, gram_hashes, slices, word_hashes
 from .toxicity import training_rows
 
-#: per class, the most labelled rows that are fitted; pairs for each row of the smaller class; score at the threshold.
-PER_CLASS, PAIRS, AT_THRESHOLD = 4000, 12, 0.3
+#: per class, the most labelled rows and bytes that are fitted; pairs for each row of the smaller class; score at the threshold.
+PER_CLASS, CLASS_BYTES, PAIRS, AT_THRESHOLD = 4000, 32 << 20, 12, 0.3
+#: Ranges that strengths are counted in to find a quantile, and values that are then sorted at once.
+RANGES, SORTED = 2048, 20_000
 _BLANK = blank_table()
 _NEWLINE = blank_table(b"\n")
 
@@ -86,18 +89,15 @@ def features(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Ranking:
+    """Strengths from features; with a threshold, scores."""
+
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    threshold: float
-    slope: float
-
-    def strengths(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale).clip(-6, 6) @ self.weights
+    threshold: float = 0.0
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        away = self.slope * (self.strengths(features(column)) - self.threshold) + np.log(AT_THRESHOLD / (1 - AT_THRESHOLD))
-        return 1 / (1 + np.exp(-away.clip(-500, 500)))
+    def strengths(self, column: pa.Array) -> np.ndarray:
+        return ((features(column) - self.mean) / self.scale).clip(-6, 6) @ self.weights
 
 
 def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -114,43 +114,85 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1.0, ste
     return w
 
 
-def rank(x: np.ndarray, y: np.ndarray, share_of_0: float, seed: int = 1) -> Ranking:
+def rank(x: np.ndarray, y: np.ndarray, seed: int = 1) -> Ranking:
+    """The ranking learned from pairs of a row of label 1, the preferred one, and a row of label 0."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1
     z = ((x - mean) / scale).clip(-6, 6)
     good, bad = z[y == 1], z[y == 0]
     if not len(good) or not len(bad):
-        return Ranking(mean, scale, np.zeros(x.shape[1]), 0.0, 1.0)
+        return Ranking(mean, scale, np.zeros(x.shape[1]))
     rng, n = np.random.default_rng(seed), PAIRS * min(len(good), len(bad))
-    w = bradley_terry(good[rng.integers(len(good), size=n)], bad[rng.integers(len(bad), size=n)])
-    s, weight = z @ w, np.where(y == 1, (1 - share_of_0) / len(good), share_of_0 / len(bad))  # the sample's classes, in the corpus's shares
-    order = np.argsort(s)
-    reached = np.cumsum(weight[order])
-    k = int(np.searchsorted(reached, share_of_0))
-    low, high = s[order[max(0, min(k, len(s) - 1) - 1)]], s[order[min(k, len(s) - 1)]]
-    return Ranking(mean, scale, w, float((low + high) / 2), 1.0)
+    return Ranking(mean, scale, bradley_terry(good[rng.integers(len(good), size=n)], bad[rng.integers(len(bad), size=n)]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Ranking:
-    """The ranking from at most per_class labelled rows of each class; with one class or none, every score is 0.3."""
+def fit_ranking(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Ranking:
+    """The weights, without threshold, from at most per_class labelled rows of each class; all zero with one class or none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    training = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
-    counts = labels.where(F.col(label).isin(0, 1) & training).agg(F.avg((F.col(label) == 0).cast("double"))).first()[0]
-    sample = training_rows(docs, labels, label, per_class).select("doc_id", "text", "label")
+    sample = training_rows(docs, labels, label, per_class, class_bytes).select("doc_id", "text", "label")
     rows = sample.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")  # at most 2 * per_class rows of numbers
     x = np.stack(list(rows["x"])) if len(rows) else np.zeros((1, features(pa.array([""])).shape[1]))
-    return rank(x, rows["label"].to_numpy() if len(rows) else np.zeros(1), float(counts or 0.0))
+    return rank(x, rows["label"].to_numpy() if len(rows) else np.zeros(1))
 
 
-def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
-    """(doc_id, score) for each row; null and empty texts are scored by their features like others, repeated rows alike."""
+def strengths(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """(doc_id, strength) for each row; null and empty texts are judged by their features like others, repeated rows alike."""
     shared = docs.sparkSession.sparkContext.broadcast(ranking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.strengths(batch.column(1)))], ["doc_id", "strength"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, strength double")
+
+
+def smallest(values: DataFrame, k: int) -> float:
+    """The k-th smallest (from 1) of a DataFrame's one double column, exactly: the range that holds it is counted in ever finer ranges."""
+    values = values.toDF("v")
+    while True:
+        low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+        if low == high:
+            return low
+        if n <= SORTED:
+            return sorted(r["v"] for r in values.collect())[k - 1]
+        edges = np.linspace(low, high, RANGES + 1)
+        place = F.least(F.floor((F.col("v") - low) / (high - low) * RANGES), F.lit(RANGES - 1)).cast("int")
+        counts = {r["p"]: r["n"] for r in values.groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for p in sorted(counts):
+            if k <= counts[p]:
+                break
+            k -= counts[p]
+        if len(counts) == 1 or edges[1] == edges[0]:
+            return low
+        values = values.where(place == p)
+
+
+def at_threshold(ranking: Ranking, known: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking:
+    """The ranking with its threshold: halfway between the two strengths that part the share of label 0 from the rest.
+
+    known (doc_id, strength) of documents; all rows with a training label count, an id with two labels with neither.
+    """
+    training = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    training = training.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    met = checkpointed(known.join(training, "doc_id").select("strength", "label"))
+    n, bad = met.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    if not 0 < bad < n:
+        return ranking
+    low, high = (smallest(met.select("strength"), k) for k in (bad, bad + 1))
+    return replace(ranking, threshold=float((low + high) / 2))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Ranking:
+    """fit_ranking() and at_threshold(); with one class or none, every score is 0.3."""
+    ranking = fit_ranking(docs, labels, label, per_class)
+    return at_threshold(ranking, strengths(docs, ranking), labels, label)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+def score(known: DataFrame, ranking: Ranking) -> DataFrame:
+    """(doc_id, score) of rows (doc_id, strength)."""
+    away = F.least(F.greatest(F.col("strength") - ranking.threshold + float(np.log(AT_THRESHOLD / (1 - AT_THRESHOLD))), F.lit(-500.0)), F.lit(500.0))
+    return known.select("doc_id", (1 / (1 + F.exp(-away))).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, lines, pieces, projections, quality, secrets, simhash, substrings, toxicity
-from .common import table
+from .common import checkpointed, table
 
 
 def _held_out(scores: DataFrame, threshold: float) -> DataFrame:
@@ -17,8 +17,10 @@ def _held_out(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return _held_out(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), quality.AT_THRESHOLD)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranking = quality.fit_ranking(docs, labels)
+    known = checkpointed(quality.strengths(docs, ranking))
+    return _held_out(quality.score(known, quality.at_threshold(ranking, known, labels)), quality.AT_THRESHOLD)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

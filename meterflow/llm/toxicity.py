@@ -1,9 +1,11 @@
 """Toxicity (operator 10): FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 The features of a text are the distinct hashes of its words, its pairs of neighbours, and its pairs with one or two
-words between. A bounded sample of labelled rows is dealt into shards; each shard runs FTRL-proximal in a task of its
-own, with a learning rate for each coordinate and an L1 term that leaves most weights at zero; the bias is then moved to
-where the fitted scores part the labels best, and the shards' weights are averaged. Only the weights that are not zero reach the driver; they are broadcast for scoring.
+words between. A sample of labelled rows, bounded in rows and bytes, is dealt into shards; each shard runs FTRL-proximal
+in a task of its own, with a learning rate for each coordinate and an L1 term that leaves most weights at zero. Folds of
+the shard's rows choose the L1 term, and the bias is moved to where the scores of rows that their model has not seen
+part the labels best; the shards' weights are averaged. Only the weights that are not zero reach the driver; they are
+broadcast for scoring.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, letter_table, lowered, mixed, slices, word_hashes
+from .common import Texts, Words, checkpointed, letter_table, lowered, mixed, slices, word_hashes
 
 SPANS = (0, 1, 2, 3)  # 0: the word; else the pair with the word so many places on
 _LETTERS = letter_table()
@@ -25,16 +27,21 @@ _LETTERS = letter_table()
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """per_class bounds the labelled rows of each class that are fitted; bits sizes the hash space, and so the weights."""
+    """per_class and class_bytes bound the labelled rows of each class that are fitted; bits sizes the hash space, and so the weights.
+
+    l1: the terms that the folds choose from.
+    """
 
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 12.0
+    l1: tuple[float, ...] = (4.0, 8.0, 16.0)
     l2: float = 0.1
     epochs: int = 4
+    folds: int = 3
     shards: int = 1
     per_class: int = 4000
+    class_bytes: int = 32 << 20
 
 
 def features(texts: Texts, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,27 +65,53 @@ def distinct_features(batch: pa.Array, bits: int) -> list[np.ndarray]:
     return [x & ((1 << bits) - 1) for x in np.split(both, cuts)]
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, l1: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and weights that are not zero, and the bias; each row is a list of slots of value 1."""
-    z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
+    slots, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
+    own = np.split(flat, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
+    z, n = np.zeros(len(slots)), np.zeros(len(slots))
     bias, order = 0.0, np.random.default_rng(seed)
 
-    def weights(at: np.ndarray) -> np.ndarray:
+    def weights(at) -> np.ndarray:
         zi = z[at]
-        return np.where(np.abs(zi) <= p.l1, 0.0, -(zi - np.sign(zi) * p.l1) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
+        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
 
-    for _ in range(p.epochs):
+    for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            at = rows[i]
+            at = own[i]
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - labels[i]
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
-            z[at] += g - sigma * w
+            before = np.sqrt(n[at])
             n[at] += g * g
+            z[at] += g - (np.sqrt(n[at]) - before) / p.alpha * w
             bias -= 0.02 * g
-    w = weights(np.arange(1 << p.bits))
-    at = np.flatnonzero(w)
-    return at, w[at], bias - best_cut(np.array([w[r].sum() + bias for r in rows]), labels)
+    w = weights(slice(None))
+    return slots[w != 0], w[w != 0], bias
+
+
+def totals(rows: list[np.ndarray], slots: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The log-odds of rows of distinct slots."""
+    if not len(slots):
+        return np.full(len(rows), bias)
+    near = [np.minimum(np.searchsorted(slots, r), len(slots) - 1) for r in rows]
+    return np.array([bias + weights[k][slots[k] == r].sum() for k, r in zip(near, rows)])
+
+
+def learned(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """ftrl() of all rows with the L1 term of the least log-loss over folds, and the bias that the unseen scores of the folds call for."""
+    fold = np.random.default_rng([seed, 7]).permutation(len(rows)) % p.folds
+    best = None
+    for l1 in p.l1:
+        unseen = np.zeros(len(rows))
+        for k in range(p.folds):
+            seen, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            if len(seen) and len(out):
+                unseen[out] = totals([rows[i] for i in out], *ftrl([rows[i] for i in seen], labels[seen], p, l1, p.epochs, seed))
+        loss = float(np.mean(np.logaddexp(0, np.where(labels == 1, -unseen, unseen)))) if len(rows) else 0.0
+        if best is None or loss < best[0]:
+            best = loss, l1, best_cut(unseen, labels)
+    slots, weights, bias = ftrl(rows, labels, p, best[1], p.epochs, seed)
+    return slots, weights, bias - best[2]
 
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -122,12 +155,13 @@ class LinearModel:
         return t
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: bool = True) -> DataFrame:
-    """(doc_id, text, label): at most per_class rows of each class, those of the smallest hashes of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int, held_out: bool = True) -> DataFrame:
+    """(doc_id, text, label): at most per_class rows of each class, those of the smallest hashes of doc_id, one row for each id.
 
     Ids that carry both labels are left out, as are null ids and labels; with held_out, so are ids with
-    crc32(doc_id as text) mod 5 = 0. Only ids and labels are ordered; they are then joined with the texts by a
-    broadcast of at most 2 * per_class rows.
+    crc32(doc_id as text) mod 5 = 0. Of rows that repeat an id the one whose text has the smallest hash counts. Rows
+    are taken while those of the class before them have fewer than class_bytes bytes of text. Ids and labels are ordered
+    alone; what meets the texts is a broadcast of at most 2 * per_class rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     if held_out:
@@ -137,8 +171,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))).alias("one")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(one).select("doc_id", "label", "one.*")
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of per_class rows at most
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0))).where(F.col("before") < class_bytes)
+    rows = checkpointed(rows.select(F.col("doc_id").alias("id"), "label", "hash"))
+    met = texts.join(F.broadcast(rows), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")))
+    return met.select("doc_id", "text", "label").dropDuplicates(["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: FtrlParams | None = None) -> LinearModel:
@@ -152,13 +192,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: FtrlPa
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")  # shuffled rows come in any order
-        at, w, bias = ftrl([np.asarray(x, np.int64) for x in rows["slots"]], rows["label"].to_numpy(float), p, int(rows["shard"].iloc[0]))
+        at, w, bias = learned([np.asarray(x, np.int64) for x in rows["slots"]], rows["label"].to_numpy(float), p, int(rows["shard"].iloc[0]))
         return pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w, bias)})
 
-    sample = training_rows(docs, labels, label, p.per_class)
+    sample = training_rows(docs, labels, label, p.per_class, p.class_bytes)
     sample = sample.select("text", "doc_id", "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(p.shards)).cast("int").alias("shard"))
-    learned = sample.mapInArrow(extract, "slots array<int>, doc_id long, label int, shard int").groupBy("shard").applyInPandas(learn, "slot long, weight double")
-    mean = learned.groupBy("slot").agg((F.sum("weight") / p.shards).alias("weight")).orderBy("slot").collect()  # at most 2^bits rows; L1 leaves a few thousand
+    shards = sample.mapInArrow(extract, "slots array<int>, doc_id long, label int, shard int").groupBy("shard").applyInPandas(learn, "slot long, weight double")
+    mean = shards.groupBy("slot").agg((F.sum("weight") / p.shards).alias("weight")).orderBy("slot").collect()  # at most 2^bits rows; L1 leaves a few thousand
     slots, weights = np.array([r["slot"] for r in mean], np.int64), np.array([r["weight"] for r in mean])
     bias = float(weights[slots == -1].sum())
     keep = (slots >= 0) & (np.abs(weights) > 1e-3)

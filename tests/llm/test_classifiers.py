@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from pathlib import Path
+
 import edge
 import numpy as np
 import pyarrow as pa
@@ -13,9 +17,12 @@ from meterflow.llm import common, quality, queries, secrets, toxicity
 LABELS = "doc_id long, quality int, toxic int"
 
 
+LARGER = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).parent / "sf0.01"  # labels enough to hold some out
+
+
 @pytest.mark.parametrize("query, label, least", [("op1_quality", "quality", 0.8), ("op10_toxicity", "toxic", 0.9)])
 def test_held_out_accuracy(spark, query, label, least):
-    sf = "/root/testdata/sf0.01"
+    sf = str(LARGER)
     out = queries.queries()[query](spark, sf)
     assert out.count() == common.table(spark, sf, "documents").count()
     met = out.join(common.table(spark, sf, "labels"), "doc_id").where(F.col("held_out") & F.col(label).isNotNull()).toPandas()
@@ -25,21 +32,69 @@ def test_held_out_accuracy(spark, query, label, least):
     assert met["score"].between(0, 1).all() and set(met["predicted"]) <= {0, 1}
 
 
+def scored(module, docs, labels):
+    model = module.fit(docs, labels)
+    return module.score(quality.strengths(docs, model) if module is quality else docs, model)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_odd_rows(spark, module):
     docs = edge.frame(spark)
     labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1), (5, 1, None), (None, 1, 1), (6, 0, 0), (6, 1, 0)], LABELS)
-    scores = module.score(docs, module.fit(docs, labels)).collect()
+    scores = scored(module, docs, labels).collect()
     assert len(scores) == docs.count() and all(0 <= r["score"] <= 1 for r in scores)
     same = [r["score"] for r in scores if r["doc_id"] in (1, 2)]
     assert same[0] == same[1]  # null is the empty text
-    assert module.score(edge.empty(spark), module.fit(edge.empty(spark), labels.limit(0))).count() == 0
+    assert scored(module, edge.empty(spark), labels.limit(0)).count() == 0
 
 
 def test_one_class_or_none(spark):
     docs, none = edge.frame(spark), spark.createDataFrame([], LABELS)
-    assert {round(r["score"], 9) for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}
-    assert {round(r["score"], 9) for r in quality.score(docs, quality.fit(docs, none)).collect()} == {quality.AT_THRESHOLD}
+    for module, value in ((toxicity, 0.5), (quality, quality.AT_THRESHOLD)):
+        assert {round(r["score"], 9) for r in scored(module, docs, none).collect()} == {value}
+
+
+def test_a_repeated_id_is_one_training_row(spark):
+    copies = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text"))
+    docs = copies.unionAll(spark.createDataFrame([(2, "b" * 50), (3, "c" * 50), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, 1, 1) for k in (1, 2, 3, 4, 4)] + [(3, 0, 1)], LABELS)
+    rows = lambda *bounds: toxicity.training_rows(docs, labels, "quality", *bounds, held_out=False).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows(10, 1 << 20)}
+    assert len(rows(10, 1 << 20)) == 3 and set(texts) == {1, 2, 4} and texts[4] == ""
+    assert texts[1] == spark.range(700).select(F.concat(F.lit("text "), "id").alias("t")).orderBy(F.xxhash64("t")).first()["t"]
+    assert len(rows(1, 1 << 20)) == 1 and len(rows(10, 1)) < 3
+
+
+def test_threshold_is_a_quantile_of_all_labelled_strengths(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    s = np.round(rng.normal(size=3000), 2)
+    known = spark.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "doc_id long, strength double")
+    labels = spark.createDataFrame([(k, int(rng.random() < 0.7), 0) for k in range(0, 3000, 2)], LABELS)
+    monkeypatch.setattr(quality, "SORTED", 50)
+    flat = quality.Ranking(np.zeros(1), np.ones(1), np.zeros(1))
+    own = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).toPandas()
+    mine, bad = np.sort(s[own["doc_id"]]), int((own["quality"] == 0).sum())
+    assert quality.at_threshold(flat, known, labels).threshold == (mine[bad - 1] + mine[bad]) / 2
+    assert [quality.smallest(known.select("strength"), k) for k in (1, 1500, 3000)] == np.sort(s)[[0, 1499, 2999]].tolist()
+
+
+def test_toxic_scores_are_those_of_the_weights():
+    """A text's score is the logistic function of the bias and the weights of its distinct words and skip-grams, each found alone."""
+    texts = ["You are awful, you ARE", "", None, "a b c d e a b", "don't  x"]
+    slot = lambda t: set(toxicity.distinct_features(pa.array([t], pa.string()), 20)[0].tolist())
+    single = {w: slot(w) for t in texts for w in re.findall(r"[a-z0-9']+", (t or "").lower())}
+    assert all(len(s) == 1 for s in single.values())
+    rng = np.random.default_rng(1)
+    at = np.unique(np.concatenate([sorted(slot(t)) or [0] for t in texts]))
+    model = toxicity.LinearModel(at, rng.normal(size=len(at)), 0.3, 20)
+    weight = dict(zip(at.tolist(), model.weights.tolist()))
+    for t, got in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        words = re.findall(r"[a-z0-9']+", (t or "").lower())
+        own = set().union(*(single[w] for w in words)) if words else set()
+        for gap in (1, 2, 3):
+            for i in range(len(words) - gap):
+                own |= slot(" ".join(words[i : i + gap + 1])) - slot(" ".join(words[i : i + gap])) - slot(" ".join(words[i + 1 : i + gap + 1]))
+        assert np.isclose(got, 1 / (1 + np.exp(-0.3 - sum(weight[s] for s in own))))
 
 
 def test_drop_toxic_keeps_all_columns(spark):
@@ -61,9 +116,12 @@ def test_pair_fit_finds_the_better_side():
 
 def test_ftrl_separates_and_is_sparse():
     rows = [np.array([1, 5]), np.array([2, 5])] * 60
-    at, weights, bias = toxicity.ftrl(rows, np.array([1, 0] * 60), toxicity.FtrlParams(bits=4, l1=1.0))
-    table = dict(zip(at.tolist(), weights.tolist()))
-    assert table[1] > 0 > table[2] and set(table) <= {1, 2, 5}
+    p = toxicity.FtrlParams(bits=4, l1=(1.0, 500.0))
+    for at, weights, bias in (toxicity.ftrl(rows, np.array([1, 0] * 60), p, 1.0, 4), toxicity.learned(rows, np.array([1, 0] * 60), p)):
+        table = dict(zip(at.tolist(), weights.tolist()))
+        assert table[1] > 0 > table[2] and set(table) <= {1, 2, 5}
+        assert (toxicity.totals(rows, at, weights, bias) > 0).tolist() == [True, False] * 60
+    assert len(toxicity.ftrl(rows, np.array([1, 0] * 60), p, 500.0, 4)[0]) == 0
 
 
 def test_skip_grams_are_counted_once_per_text():
