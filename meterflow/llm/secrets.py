@@ -1,19 +1,28 @@
 """Secret scans (operator 4): candidates by pattern, false positives removed by a random forest.
 
-Features of a candidate: its length, its character transitions, how much of it a dictionary covers, whether it looks
-like a path or address, and the words beside it. The forest (Spark ML, trained on executors) learns from labelled
-findings, a table (doc_id, start, label); where none is given, rules label the clear cases.
+Candidates are runs of key characters with a digit, and whatever is assigned to or follows a word for a credential.
+Features of a candidate: its length, its character transitions, how much of it a dictionary of the corpus's own frequent
+words covers, whether it looks like a path or address, and the words beside it. The forest (Spark ML, trained on
+executors) learns from labelled findings, a table (doc_id, start, label). Where people have labelled none, secrets of
+several kinds and harmless look-alikes are planted at known places of a bounded sample of documents: their labels come
+from what was planted, not from the features.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -22,115 +31,283 @@ from pyspark.sql import functions as F
 from .common import checkpointed, slices
 
 #: Findings that the forest is fitted on at most, trees and their depth.
-SAMPLE, TREES, DEPTH = 20_000, 30, 6
-CANDIDATE = re.compile(r"[A-Za-z0-9_\-/+=.:@~]{12,}")
-#: Words beside a candidate that speak for a secret, and those that speak for a harmless number or name.
-FOR = frozenset("token secret password passwd pwd key apikey api_key auth bearer credential credentials access private client_secret signature".split())
-AGAINST = frozenset("sha sha1 sha256 md5 commit revision checksum digest hash id uuid guid order invoice phone tel card isbn version build http https www file path".split())
-#: Common words, for the share of a candidate that a dictionary covers.
-DICTIONARY = sorted(
-    "about access account action address after all and any application archive article assets back base before body book branch build button byte cache call case change char check class clear click client close code color column com command comment common component config connect content context control copy count create data database date day debug default delete design detail dev device docs document domain down download draft edit element email end error event example export feature field file filter final find first flag folder font for form format from function game get global google graph group guide handle header height help home host hour html http image import index info input install internal issue item java job join json label lang language last layout lib library license light line link list load local location log login main manage map master media member menu message meta method mobile mode model module month name net network new next node note number object office old online open option order org other package page panel parent part path pattern people phone photo platform plugin point policy port post preview price print private process product profile program project property public query question read record release remote report request reset resource response result return role root row run sample save schema score screen script search section select send server service session set setting share shop show side site size software source spec sql stack start state static status step stop storage store stream string style submit support sync system table tag target task team template term test text theme this time title token tool top total track type update upload url user value version video view web week wiki window with word work world year".split(),
-    key=len,
-    reverse=True,
+SAMPLE, TREES, DEPTH = 20_000, 40, 10
+#: Documents that get planted findings, findings planted in each, and characters of a document that they are planted in.
+PLANTED_DOCS, PLANTED_EACH, PLANTED_CHARS = 1500, 8, 4000
+#: Most frequent words of the corpus that make the dictionary, and letters that a word of it has at least.
+DICTIONARY, LETTERS = 20_000, 4
+
+RUN = re.compile(r"[A-Za-z0-9_\-/+=.:@~]{12,}")
+#: A word for a credential, an assignment or a verb or nothing, and the value: in quotes or up to the next blank or quote.
+ASSIGNED = re.compile(
+    r"(?:passwo?r?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|bearer|authorization|credentials?)[A-Za-z0-9_-]{0,24}[\"']?"
+    r"\s{0,4}(?:[:=]{1,2}>?|is\b|was\b)?\s{0,4}(?:(?:bearer|basic)\s{1,4})?(?:\"([^\"\n]{1,200})\"|'([^'\n]{1,200})'|([^\s\"':=][^\s\"']*))",
+    re.IGNORECASE,
 )
-_WORDS = re.compile("|".join(w for w in DICTIONARY if len(w) > 3))
-_NEAR = re.compile(r"[A-Za-z_0-9]+")
-_KIND = str.maketrans({**{c: "l" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "u" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "d" for c in "0123456789"}, **{c: "s" for c in "_-/+=.:@~"}})
+_TRAIL = ".,;:!?)]}>"
+_NEAR = re.compile(r"[A-Za-z]+")
+_KIND = {**{c: "l" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "u" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "d" for c in "0123456789"}}
 PAIRS = [a + b for a in "luds" for b in "luds"]
+#: Slots for the last two words before a candidate, each hashed to one, and for the word after it.
+SLOTS = 48
+BEFORE, AFTER = 48, 16
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate: assigned values, the inner one where they overlap, and runs with a digit that overlap none."""
+    found: list[tuple[int, int]] = []
+    m = ASSIGNED.search(text)
+    while m:
+        group = next(g for g in (1, 2, 3) if m.group(g) is not None)
+        start, end = m.span(group)
+        m = ASSIGNED.search(text, start)  # the value may be a word for a credential itself
+        if group == 3:
+            end = start + len(text[start:end].rstrip(_TRAIL))
+        if found and found[-1][1] > start:
+            found.pop()
+        if end > start:
+            found.append((start, end))
+    taken = iter([*found, (len(text) + 1, len(text) + 1)])
+    low, high = next(taken)
+    runs = []
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while high <= start:
+            low, high = next(taken)
+        if low >= end and any(c.isdigit() for c in m.group()):
+            runs.append((start, end))
+    return sorted(found + runs)
+
 
+def covered(value: str, words: ahocorasick.Automaton | None) -> float:
+    """The share of a value's characters in dictionary words that don't overlap, the one that ends first and is longest first."""
+    if words is None or not len(words):
+        return 0.0
+    at = total = 0
+    for end, size in words.iter(value.lower()):
+        if end + 1 - size >= at:
+            at, total = end + 1, total + size
+    return total / len(value)
 
-def features(value: str, before: str, after: str) -> list[float]:
-    """The numbers of one candidate with up to 48 characters before it and 16 after it."""
-    n, kinds = len(value), value.translate(_KIND)
+
+def features(value: str, before: str, after: str, words: ahocorasick.Automaton | None) -> list[float]:
+    """The numbers of one candidate with the characters before and after it."""
+    n, kinds = len(value), "".join(_KIND.get(c, "s") for c in value)
     moves = Counter(map("".join, zip(kinds, kinds[1:])))
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    near = [w.lower() for w in _NEAR.findall(before)[-3:]]
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    near = [0.0] * SLOTS
+    for k, w in enumerate([*_NEAR.findall(before)[-2:], *_NEAR.findall(after)[:1]]):
+        near[xxhash.xxh32_intdigest(f"{k == 2}{w.lower()}") % SLOTS] = 1.0
+    stripped = before.rstrip(" \"'")
     return [
         math.log(n),
         entropy,
-        entropy / math.log2(n),
-        *(moves[p] / (n - 1) for p in PAIRS),
-        sum(map(len, _WORDS.findall(value.lower()))) / n,
+        entropy / max(1.0, math.log2(n)),
+        *(moves[p] / max(1, n - 1) for p in PAIRS),
+        *(kinds.count(k) / n for k in "luds"),
+        covered(value, words),
         sum(c in "0123456789abcdefABCDEF" for c in value) / n,
-        float(value.isdigit()),
-        float("/" in value),
+        value.count("/") / n,
+        value.count(".") / n,
+        value.count("-") / n,
         float("://" in value or value.startswith("www.")),
         float("@" in value),
-        value.count(".") / n,
-        float(any(w in FOR for w in near)),
-        float(any(w in AGAINST for w in near)),
-        float(before.rstrip()[-1:] in ("=", ":") or before.rstrip(" \"'")[-1:] in ("=", ":")),
+        float(stripped[-1:] in ("=", ":")),
         float(before[-1:] in ("'", '"') and after[:1] == before[-1:]),
+        *near,
     ]
 
 
-FEATURES = 3 + len(PAIRS) + 11
+FEATURES = 3 + len(PAIRS) + 4 + 9 + SLOTS
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The most frequent words of LETTERS letters or more, counted over all whole texts; equals come in the order of the words."""
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= LETTERS)
+    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size)
+    return [r["w"] for r in top.collect()]  # at most `size` words
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in words:
+        a.add_word(w, len(w))
+    if words:
+        a.make_automaton()
+    return a
+
+
+def _rows(i, text: str, words: ahocorasick.Automaton) -> Iterator[tuple]:
+    for start, end in spans(text):
+        value = text[start:end]
+        yield i, start, end - start, hashlib.sha256(value.encode()).hexdigest(), features(value, text[max(0, start - BEFORE) : start], text[end : end + AFTER], words)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, length, secret_sha256, features, rule) of each run of 12 or more key characters with a digit.
+FOUND = "doc_id long, start int, length int, secret_sha256 string, features array<double>"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64())]
 
-    start counts characters. rule is 1 for values that a name for a credential is assigned to in quotes, 0 for plain
-    numbers, addresses, paths and words, null for the rest. Null and empty texts have no candidates.
+
+def candidates(docs: DataFrame, words: Broadcast) -> DataFrame:
+    """(doc_id, start, length, secret_sha256, features) of each candidate; start counts characters. Null and empty texts have none.
+
+    words: the broadcast dictionary().
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _automaton(words.value)
         for batch in slices(batches):
-            out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for m in CANDIDATE.finditer(t or ""):
-                    value = m.group()
-                    if not any(c.isdigit() for c in value):
-                        continue
-                    x = features(value, t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 16])
-                    out.append((i, m.start(), len(value), hashlib.sha256(value.encode()).hexdigest(), x, rule(x)))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "secret_sha256", "features", "rule"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, start int, length int, secret_sha256 string, features array<double>, rule int")
-
-
-def rule(x: list[float]) -> int | None:
-    """The clear cases: 1, 0 or None."""
-    covered, _, digits, path, url, mail, _, for_, against, assigned, quoted = x[3 + len(PAIRS) :]
-    if digits or mail or url or against and not for_ or covered > 0.5 or path and not for_:
-        return 0
-    if for_ and assigned and quoted and x[1] > 3:
-        return 1
-    return None
-
-
-def fit(found: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
-    """A forest from at most `sample` labelled candidates, those of the smallest hashes; None unless both labels occur.
-
-    labelled: (doc_id, start, label) of findings that people have judged; the rules' labels where it is None.
+            out = [row for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in _rows(i, t or "", known)]
+            columns = list(zip(*out)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], [f.split()[0] for f in FOUND.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+
+
+class Planter:
+    """Draws secrets and look-alikes with their surroundings; both kinds use most shapes of values and of contexts."""
+
+    _HEX, _LOW, _UP, _DIGITS, _SIGNS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!#$%&*+-_?@^~"
+    _NAMES = "password passwd pwd token secret api_key access_token client_secret auth_token private_key db_password SECRET_KEY apiKey".split()
+    _OTHERS = "commit revision checksum sha256 md5 etag id uuid order invoice ticket build version file path batch serial ref session trace row".split()
+    _HOLDERS = "your_password_here changeme example required <TOKEN> ******** null undefined xxxxxxxx ${PASSWORD} TODO placeholder N/A reset expired ring".split()
+
+    def __init__(self, seed: int, words: list[str]):
+        self.r, self.words = np.random.default_rng(seed), words[:2000] or ["house", "river", "stone", "winter"]
+
+    def of(self, chars: str, n: int) -> str:
+        return "".join(chars[k] for k in self.r.integers(0, len(chars), n))
+
+    def one(self, items):
+        return items[int(self.r.integers(len(items)))]
+
+    def secret(self) -> str:
+        alnum = self._LOW + self._UP + self._DIGITS
+        kind = int(self.r.integers(9))
+        if kind == 0:
+            return self.of(self._HEX, self.one((32, 40, 48, 64)))
+        if kind == 1:
+            return base64.b64encode(self.r.bytes(int(self.r.integers(15, 45)))).decode()
+        if kind == 2:
+            return self.one(("AKIA", "ASIA")) + self.of(self._UP + self._DIGITS, 16)
+        if kind == 3:
+            return self.one(("ghp_", "sk_live_", "xoxb-", "glpat-")) + self.of(alnum, int(self.r.integers(20, 37)))
+        if kind == 4:
+            return self.of(alnum + self._SIGNS, int(self.r.integers(8, 21)))
+        if kind == 5:
+            return self.one(("", "-", ".")).join(self.one(self.words) for _ in range(int(self.r.integers(3, 5))))
+        if kind == 6:
+            return self.one(self.words)[:8] + self.of(self._DIGITS, int(self.r.integers(1, 5))) + self.one(("", "!", "$"))
+        if kind == 7:
+            return ".".join(base64.urlsafe_b64encode(self.r.bytes(n)).decode().rstrip("=") for n in (15, 30, 24))
+        return self.of(alnum, int(self.r.integers(16, 41)))
+
+    def lookalike(self) -> str:
+        kind = int(self.r.integers(11))
+        if kind == 0:
+            return self.of(self._HEX, self.one((32, 40, 64)))
+        if kind == 1:
+            return str(uuid.UUID(bytes=self.r.bytes(16)))
+        if kind == 2:
+            return self.of(self._DIGITS, int(self.r.integers(12, 20)))
+        if kind == 3:
+            return f"20{self.of(self._DIGITS, 2)}-0{self.one('123456789')}-1{self.one(self._DIGITS)}T12:{self.of('012345', 2)}:{self.of('012345', 2)}Z"
+        if kind == 4:
+            return "/" + "/".join(self.one(self.words) for _ in range(int(self.r.integers(2, 5)))) + f"/lib{self.of(self._DIGITS, 2)}.so.{self.one(self._DIGITS)}"
+        if kind == 5:
+            return f"https://{self.one(self.words)}.example.com/{self.one(self.words)}/{self.of(self._DIGITS, 4)}"
+        if kind == 6:
+            return f"{self.one(self.words)}.{self.of(self._DIGITS, 2)}@mail{self.one(self._DIGITS)}.example.com"
+        if kind == 7:
+            return f"{self.one(self.words)}-{self.one(self._DIGITS)}.{self.of(self._DIGITS, 2)}.{self.one(self._DIGITS)}-rc{self.one(self._DIGITS)}"
+        if kind == 8:
+            return f"{self.one(self.words)}_{self.one(self.words)}_{self.of(self._DIGITS, 2)}"
+        if kind == 9:
+            return ".".join(str(int(x)) for x in self.r.integers(100, 256, 4))
+        return self.one(self._HOLDERS)
+
+    def finding(self, label: int) -> tuple[str, str, str]:
+        """(before, value, after)."""
+        value = self.secret() if label else self.lookalike()
+        held = value in self._HOLDERS
+        name = self.one(self._NAMES if held or self.r.random() < (0.9 if label else 0.15) else self._OTHERS)
+        before, after = self.one((('{} = "', '"'), ("{}: ", ""), ("{}=", ""), ("export {}=", ""), ("the {} is ", ""), ('"{}": "', '",'), ("{} '", "'"), ("{} ", "")))
+        if not held and self.r.random() < 0.1:
+            before, after = self.one((("Authorization: Bearer ", ""), ('"', '"'), ("", ""))) if label else self.one((("see ", ""), ("", ""), ("(", ")")))
+        return before.format(name), value, after
+
+
+def planted(docs: DataFrame, words: Broadcast, most: int = PLANTED_DOCS) -> DataFrame:
+    """The rows of candidates() with a label, from at most `most` documents (of the smallest hashes) with planted findings.
+
+    A candidate has the label of the planted finding that covers most of it and is mostly covered by it; what the
+    documents held before has none and is left out. The draw depends on doc_id and text alone.
     """
-    if labelled is None:
-        known = found.where("rule is not null").withColumn("label", F.col("rule").cast("double"))
-    else:
-        known = found.join(labelled.select("doc_id", "start", F.col("label").cast("double").alias("label")), ["doc_id", "start"])
+    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, PLANTED_CHARS)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
+    some = some.withColumn("seed", F.xxhash64("doc_id", "text")).orderBy(F.xxhash64("doc_id", F.lit(4)), "seed").limit(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _automaton(words.value)
+        for batch in batches:
+            out = []
+            for i, t, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                p = Planter(seed & (1 << 63) - 1, words.value)
+                pieces = re.split(r"(?<=\s)", t)
+                where = sorted(p.r.integers(0, len(pieces) + 1, PLANTED_EACH).tolist(), reverse=True)
+                marks = []
+                for at in where:
+                    label = int(p.r.random() < 0.5)
+                    pieces[at:at] = [(*p.finding(label), label)]
+                whole = ""
+                for x in pieces:
+                    if isinstance(x, str):
+                        whole += x
+                    else:
+                        whole += (" " if whole and not whole[-1].isspace() else "") + x[0]
+                        marks.append((len(whole), len(whole) + len(x[1]), x[3]))
+                        whole += x[1] + x[2] + " "
+                for row in _rows(i, whole, known):
+                    start, end = row[1], row[1] + row[2]
+                    for a, b, label in marks:
+                        both = min(b, end) - max(a, start)
+                        if both > 0.8 * max(b - a, end - start):
+                            out.append((*row, label))
+            columns = list(zip(*out)) or [()] * (len(_KINDS) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*_KINDS, pa.int32()])], [*(f.split()[0] for f in FOUND.split(", ")), "label"])
+
+    return some.mapInArrow(run, FOUND + ", label int")
+
+
+def fit(known: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
+    """A forest from at most `sample` rows (features, label) of labelled candidates, those of the smallest hashes; None unless both labels occur."""
     half = None
-    for value in (0.0, 1.0):
+    for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("secret_sha256", "doc_id", "start"), "doc_id", "start").limit(sample // 2)
         half = part if half is None else half.unionAll(part)
-    rows = checkpointed(half.select("label", array_to_vector("features").alias("x")))
+    rows = checkpointed(half.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("x")))
     if rows.select("label").distinct().count() < 2:
         return None
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=4).fit(rows)
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, length, secret_sha256, probability, is_secret) of each candidate; is_secret from `threshold` on.
-
-    Repeated rows give repeated findings. Without labels of both kinds a candidate's probability is its rule's label,
-    0.5 where no rule applies. An empty table gives no rows.
-    """
-    found = checkpointed(candidates(docs))
-    model = fit(found, labelled)
+def judged(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, start, length, secret_sha256, probability, is_secret) of candidates; without a model the probability is 0.5."""
     if model is None:
-        scored = found.withColumn("probability", F.coalesce(F.col("rule").cast("double"), F.lit(0.5)))
+        scored = found.withColumn("probability", F.lit(0.5))
     else:
         scored = model.transform(found.withColumn("x", array_to_vector("features"))).withColumn("probability", vector_to_array("probability")[1])
     return scored.select("doc_id", "start", "length", "secret_sha256", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, start, length, secret_sha256, probability, is_secret) of each candidate; is_secret from `threshold` on.
+
+    labelled: (doc_id, start, label) of findings that people have judged; planted findings where it is None. Repeated
+    rows give repeated findings; candidates of rows without doc_id are judged like others. An empty table gives no rows.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
+    if labelled is None:
+        return judged(candidates(docs, words), fit(planted(docs, words)), threshold)
+    found = checkpointed(candidates(docs, words))
+    known = labelled.select("doc_id", "start", "label").dropDuplicates(["doc_id", "start"])
+    return judged(found, fit(found.join(known, ["doc_id", "start"])), threshold)
