@@ -265,38 +265,63 @@ def unit(rng, n, d=32):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_embeddings_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("crowd, block", [(projections.CROWD, projections.BLOCK), (2, 16), (10**6, 24)])
+def test_embeddings_against_all_pairs(spark, monkeypatch, crowd, block):
     rng = np.random.default_rng(4)
     x = unit(rng, 60)
-    x = np.concatenate([x, x[:30] + rng.normal(scale=0.04, size=(30, 32)), x[:5]])
+    group = x[:1] + rng.normal(scale=0.02, size=(50, 32))  # a narrow group of near copies
+    chain = np.stack([np.cos(t) * x[1] + np.sin(t) * x[2] for t in np.arange(0, 1.5, 0.05)])  # a long one, linked step by step
+    x = np.concatenate([x, x[:30] + rng.normal(scale=0.03, size=(30, 32)), x[:5], group, chain])
     rows = [(n, v.tolist(), n % 2 if n < 90 else 0) for n, v in enumerate(x)]
-    rows += [(200, None, 0), (201, [0.0] * 32, 0), (202, [float("nan")] + [1.0] * 31, 0), (203, x[0].tolist(), None), (204, [], 1), (205, x[0].tolist()[:7], 0), (206, [None] + [1.0] * 31, 0), (0, x[0].tolist(), 0)]
-    monkeypatch.setattr(projections, "CHUNK", 16)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = projections.embedding_links(df, 0.93).collect()
+    rows += [(500, None, 0), (501, [0.0] * 32, 0), (502, [float("nan")] + [1.0] * 31, 0), (503, x[0].tolist(), None), (504, [], 1), (505, x[0].tolist()[:7], 0), (506, [None] + [1.0] * 31, 0), (0, x[0].tolist(), 0)]
+    rows += [(None, x[0].tolist(), 0), (None, (x[50] + 0.01).tolist(), 0), (None, None, 0)]
+    monkeypatch.setattr(projections, "CROWD", crowd)
+    monkeypatch.setattr(projections, "BLOCK", block)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, node string")
+    got = sorted(tuple(r) for r in projections.embedding_links(df, 0.93).fillna(-1).collect())
     assert len(got) == len(rows)
-    good = [(i, np.array(v), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
-    n_links, links = defaultdict(int), []
-    for k, (i, v, lab) in enumerate(good):
-        for j, (o, w, other) in enumerate(good):
-            if j != k and lab == other and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
-                n_links[i] = max(n_links[i], sum(1 for jj, (_, ww, ll) in enumerate(good) if jj != k and ll == lab and len(ww) == len(v) and v @ ww / np.sqrt((v @ v) * (ww @ ww)) >= 0.93))
-                links.append((i, o))
-    expected = lowest(links, {r[0] for r in rows})
-    for r in got:
-        assert (r["n_links"], r["component_id"]) == (n_links[r["vec_id"]], expected[r["vec_id"]])
+    good = [k for k, (_, v, lab) in enumerate(rows) if v and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    links = []
+    for k in good:
+        v, w = (np.array(rows[k][1]) for _ in range(2))
+        for j in good:
+            w = np.array(rows[j][1])
+            if j != k and rows[j][2] == rows[k][2] and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
+                links.append((k, j))
+    part = lowest(links, range(len(rows)))
+    name = {}
+    for k, (i, _, _) in enumerate(rows):
+        name[part[k]] = min([n for n in (name.get(part[k]), i) if n is not None], default=None)
+    expected = sorted((-1 if i is None else i, sum(a == k for a, _ in links), -1 if name[part[k]] is None else name[part[k]]) for k, (i, _, _) in enumerate(rows))
+    assert got == expected
     assert projections.embedding_links(df.limit(0)).count() == 0
 
 
-def test_calibrated_count():
-    count = projections.calibrated(0.93, 0.9999)
+def test_recall_at_the_least_cosine_and_few_strangers():
     rng = np.random.default_rng(6)
-    a = unit(rng, 4000, 64)
-    b = unit(rng, 4000, 64)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    hits = (np.abs((a - b) @ projections._lines(64)) <= projections.HALF_WINDOW).sum(axis=1)
-    assert (hits >= count).mean() > 0.998
+    for vectors in (500, 50_000):
+        lines, tables, least = projections.plan(0.93, 0.999, vectors)
+        a, b = unit(rng, 4000, 64), unit(rng, 4000, 64)
+        c = b - (a * b).sum(axis=1, keepdims=True) * a
+        c = 0.93 * a + np.sqrt(1 - 0.93**2) * c / np.linalg.norm(c, axis=1, keepdims=True)
+        (ca, pa_), (cc, pc), (cb, pb) = (projections.cells(v, 0.93, lines, tables) for v in (a, c, b))
+        hits = ((ca == cc) & (np.abs(pa_ - pc) <= 1)).sum(axis=1)
+        assert least >= 2 and (hits >= least).mean() > 0.995
+        strangers = ((ca == cb) & (np.abs(pa_ - pb) <= 1)).mean() * vectors
+        assert strangers <= 3 * projections.STRANGERS
+
+
+def test_collisions_and_searches_against_all_pairs():
+    rng = np.random.default_rng(15)
+    cell, place, node = np.sort(rng.integers(0, 12, 300)), rng.random(300) * 9, rng.permutation(300)
+    order = np.lexsort((place, cell))
+    a, b = projections.collisions(cell[order], place[order], node[order])
+    expected = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(300) for j in range(i) if cell[i] == cell[j] and abs(place[i] - place[j]) <= 1}
+    assert set(zip(a.tolist(), b.tolist())) == expected and len(a) == len(expected)
+    x = unit(rng, 200, 4)
+    p, q = projections.reached(x, 0.93)
+    near = [(i, j) for i in range(200) for j in range(i) if x[i] @ x[j] >= 0.93]
+    assert lowest(zip(p.tolist(), q.tolist()), range(200)) == lowest(near, range(200)) and all(x[i] @ x[j] >= 0.93 for i, j in zip(p, q))
 
 
 def plain_repeats(rows, window):
