@@ -86,7 +86,7 @@ class Vocabulary:
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     def normalised(self, text: str) -> str:
-        """The normaliser's output: blanks are escaped, folded if the model says so, and a leading one is added."""
+        """What Normaliser.composed gives for a whole text, by its runs instead of its characters."""
         if self.fold_spaces:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
@@ -165,25 +165,62 @@ class Splitter:
         return len(word) > 1
 
 
+class Normaliser:
+    """The normaliser as a transducer: for each state and kind of character, what an arc writes and where it leads.
+
+    Kinds are the blank and any other character, which is written as it is (None). All arcs weigh nothing.
+    """
+
+    START, TEXT, GAP = range(3)
+
+    def __init__(self, dummy_prefix: bool, fold_spaces: bool):
+        lead = SPACE if dummy_prefix else ""
+        self.arcs: dict[tuple[int, bool], tuple[str, str | None, int]] = {  # (state, blank): (written before, the character or another, next state)
+            (self.START, False): (lead, None, self.TEXT),
+            (self.TEXT, False): ("", None, self.TEXT),
+            (self.GAP, False): (SPACE, None, self.TEXT),
+            (self.START, True): ("", "", self.START) if fold_spaces else (lead, SPACE, self.TEXT),
+            (self.TEXT, True): ("", "", self.GAP) if fold_spaces else ("", SPACE, self.TEXT),
+            (self.GAP, True): ("", "", self.GAP),
+        }
+        #: States whose arcs lead back to them and write one character each.
+        self.loops = {k for k in range(3) if self.arcs[k, False] == ("", None, k) and self.arcs[k, True] == ("", SPACE, k)}
+
+    def composed(self, text: str, state: int = START) -> str:
+        """The output side of the transducer composed with a text, read from a state."""
+        if state in self.loops:
+            return text.replace(" ", SPACE)
+        out, arcs = [], self.arcs
+        for char in text:
+            before, own, state = arcs[state, char == " "]
+            out += (before, char if own is None else own)
+        return "".join(out)
+
+
 class PieceTransducer:
-    """Pieces and byte fallback as one weighted transducer, composed with a pre-token by reading it from the left.
+    """Normaliser, pieces and byte fallback as weighted transducers, composed with a text; the cheapest path is its encoding.
 
     A state is a position and the piece that ends there. In a unigram model an arc costs the negated score of its
     piece. In a BPE model the arcs are those of the transducer of proper encodings: piece b may follow piece a only if
-    merging the text of a and b gives back a and b, so that arc costs nothing, and any other costs infinity; exactly one
-    path has a finite cost, and it is the encoding by merges. A character without a piece goes over its bytes. The
-    tropical shortest path is built state by state: the cheapest arc into each position is kept.
+    merging the text of a and b gives back a and b, so that the arc costs nothing, and any other costs infinity; one
+    path has a finite cost, and it is the encoding by merges. A character without a piece goes over its bytes. Both
+    kinds of model take one path, found in the tropical semiring: costs add along a path, and the least cost into each
+    position is kept.
     """
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
-        self._pairs, self._free = Table(self._apart), len(v.text) << 32
+    def __init__(self, v: Vocabulary, bpe: bool | None = None):
+        self.v, self.bpe = v, v.bpe if bpe is None else bpe
+        self.normaliser = Normaliser(v.dummy_prefix, v.fold_spaces)
+        self._free = len(v.text)
+        self._pairs = Table(self._arc)
         self._piece = {i: p for p, i in v.ids.items()}
         self._sizes = {i: len(p) for p, i in v.ids.items()}
         self._spines: dict[int, tuple] = {}
-        self._bad = min(v.score) - 10.0
+        self._chars = {p for p in v.ids if len(p) == 1}
+        self._least = 0.0 if self.bpe else -max(v.score)
+        self._bytes = 0.0 if self.bpe else 10.0 - min(v.score)
         self.splitter = _BlankRuns(self)
-        self._blanks = max((len(p) for p in v.ids if not p.strip(SPACE)), default=1)
+        self._blanks = v.ids.get(SPACE * max((len(p) for p in v.ids if not p.strip(SPACE)), default=1), -1)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The parts that merging the best-scored neighbours, the first of equals first, leaves of a short text; the last two that merged."""
@@ -215,13 +252,21 @@ class PieceTransducer:
             self._spines[piece] = found
         return found
 
-    def _apart(self, pair: int) -> bool:
-        """Whether merging the text of pieces a and b gives a and b: no part at the edge of a ever merges across with one of b."""
+    def _arc(self, pair: int) -> float:
+        """The weight of an arc from the first piece of a pair, or from none, to the second."""
         a, b = pair >> 32, pair & 0xFFFFFFFF
+        if not self.bpe:
+            return -self.v.score[b]
+        if a != self._free and not (self._piece[a] + self._piece[b]).strip(SPACE):
+            return 0.0 if a == self._blanks else math.inf  # equal scores: blanks merge from the left into the longest piece
+        return 0.0 if self._apart(a, b) else math.inf
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether merging the text of pieces a and b gives a and b: no part at the edge of a ever merges across with one of b."""
         right = self._spine(b)
         if right is None:
             return False
-        if a << 32 == self._free:
+        if a == self._free:
             return True
         left, right, ids, score = self._spine(a)[1], right[0], self.v.ids, self.v.score
         i, j, n, m = 0, 0, len(left) - 1, len(right) - 1
@@ -237,62 +282,54 @@ class PieceTransducer:
             else:
                 j += 1
 
-    def shortest_path(self, token: str) -> list[int]:
-        return self._merging_path(token) if self.v.bpe else self._unigram_path(token)
-
-    def _merging_path(self, token: str) -> list[int]:
-        ids, n = self.v.ids, len(token)
+    def shortest_path(self, normal: str) -> list[int]:
+        """The ids along the cheapest path over a normalised text."""
+        n, pairs, least = len(normal), self._pairs, self._least
+        cost, last = [0.0] + [math.inf] * n, [self._free << 32] * (n + 1)
+        odd = [] if self._chars.issuperset(normal) else [k for k, c in enumerate(normal) if c not in self._chars]  # have an arc over their bytes
+        next_odd, done = odd[0] if odd else n, 0
+        for at, (piece, size) in self.v.matches.iter(normal):
+            end = at + 1
+            start = end - size
+            while next_odd < start:  # all arcs into the place before it are known by now
+                self._over_bytes(next_odd, cost, last)
+                done += 1
+                next_odd = odd[done] if done < len(odd) else n
+            best = cost[end]
+            if cost[start] + least < best:
+                total = cost[start] + pairs[last[start] | piece]
+                if total < best:
+                    cost[end], last[end] = total, piece << 32
+        for k in odd[done:]:
+            self._over_bytes(k, cost, last)
         out: list[int] = []
-        if n > 1 and token.count(SPACE) == n:  # equal scores: blanks are merged from the left into the longest piece
-            while n:
-                k = min(n, self._blanks)
-                out.append(ids[SPACE * k])
-                n -= k
-            return out
-        pairs, free = self._pairs, self._free
-        last = [free] * (n + 1)  # the last piece on the finite path into each position, shifted; free where a character goes over its bytes
-        for at, (piece, size) in self.v.matches.iter(token):
-            if last[at + 1] == free and pairs[last[at + 1 - size] | piece]:
-                last[at + 1] = piece << 32
         while n:
-            if last[n] == free:
-                out += self._fallback(token[n - 1])
+            piece = last[n] >> 32
+            if piece == self._free:
+                out += self._fallback(normal[n - 1])
                 n -= 1
             else:
-                piece = last[n] >> 32
                 out.append(piece)
                 n -= self._sizes[piece]
         return out[::-1]
 
+    def _over_bytes(self, at: int, cost: list[float], last: list[int]) -> None:
+        if cost[at] + self._bytes < cost[at + 1]:
+            cost[at + 1], last[at + 1] = cost[at] + self._bytes, self._free << 32
+
     def _fallback(self, char: str) -> list[int]:
         v = self.v
         return [v.byte.get(b, v.unknown) for b in reversed(char.encode())] if v.byte else [v.unknown]
 
-    def _unigram_path(self, token: str) -> list[int]:
-        v, n = self.v, len(token)
-        cost, back = [0.0] + [math.inf] * n, [(0, -1)] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - v.longest), end):
-                piece = v.ids.get(token[start:end])
-                if piece is not None and cost[start] - v.score[piece] < cost[end]:
-                    cost[end], back[end] = cost[start] - v.score[piece], (start, piece)
-            if token[end - 1] not in v.ids and cost[end - 1] - self._bad < cost[end]:
-                cost[end], back[end] = cost[end - 1] - self._bad, (end - 1, -2)
-        out: list[int] = []
-        while n:
-            start, piece = back[n]
-            out += [piece] if piece >= 0 else self._fallback(token[start])
-            n = start
-        return out[::-1]
-
     def packed(self, token: str) -> bytes:
-        return array("i", self.shortest_path(token)).tobytes()
+        """The ids of a pre-token inside a text, as bytes."""
+        return array("i", self.shortest_path(self.normaliser.composed(token, Normaliser.TEXT))).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """int32 ids of a whole text; none for null and empty ones."""
-        if self.v.bpe and not self.v.inner_space:
+        if self.bpe and not self.v.inner_space:
             return np.frombuffer(b"".join(self.splitter.values(text or "")), np.int32)
-        return np.array(self.shortest_path(self.v.normalised(text or "")), np.int32)
+        return np.array(self.shortest_path(self.normaliser.composed(text or "")), np.int32)
 
 
 class _BlankRuns(Splitter):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 
@@ -44,21 +45,37 @@ def test_round_trip(spark, vocabulary):
     assert pieces.encode(edge.empty(spark)).count() == 0
 
 
-def test_unigram_path_is_the_cheapest(vocabulary):
-    t = pieces.PieceTransducer(vocabulary)
-    cost = lambda ids: sum(-vocabulary.score[i] for i in ids)
-    for token in ("▁hello", "▁there", "abc", "▁ab"):
-        every = []
-
-        def walk(at, ids, token=token, every=every):
-            if at == len(token):
-                every.append(ids)
-            for end in range(at + 1, len(token) + 1):
-                if token[at:end] in vocabulary.ids:
-                    walk(end, [*ids, vocabulary.ids[token[at:end]]])
-
-        walk(0, [])
-        assert math.isclose(cost(t._unigram_path(token)), min(map(cost, every)))
+def test_path_is_the_cheapest_of_all(vocabulary):
+    """Both kinds of arcs against every path over pieces and bytes."""
+    for bpe in (False, True):
+        t = pieces.PieceTransducer(vocabulary, bpe)
+        for token in ("▁hello", "▁there", "abc", "▁ab", "▁▁▁", "a漢b", "xx▁▁"):
+            every = []
+
+            def walk(at, ids, last, cost, token=token, every=every, t=t):
+                if at == len(token):
+                    every.append((cost, ids))
+                for end in range(at + 1, len(token) + 1):
+                    piece = vocabulary.ids.get(token[at:end])
+                    if piece is not None:
+                        walk(end, [*ids, piece], piece, cost + t._arc(last << 32 | piece))
+                    elif end == at + 1:
+                        walk(end, [*ids, *(vocabulary.byte[b] for b in token[at].encode())], t._free, cost + t._bytes)
+
+            walk(0, [], t._free, 0.0)
+            least = min(c for c, _ in every)
+            assert t.shortest_path(token) in [ids for c, ids in every if math.isclose(c, least, abs_tol=1e-9)]
+            if bpe:
+                assert sum(math.isfinite(c) for c, _ in every) == 1
+
+
+def test_normaliser_composes_like_its_runs(vocabulary):
+    v = copy.copy(vocabulary)
+    for v.dummy_prefix in (True, False):
+        for v.fold_spaces in (True, False):
+            n = pieces.Normaliser(v.dummy_prefix, v.fold_spaces)
+            for t in [*ODD, "  a  b ", " ", "   ", "a", " \n a"]:
+                assert n.composed(t or "") == v.normalised(t or "")
 
 
 def plain_count(trie, token):
