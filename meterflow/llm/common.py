@@ -13,22 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 19
 #: Bytes of an Arrow batch, in the JVM and again in a Python worker; a longer document is a batch of its own.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Parts of a Bloom filter that are merged by themselves.
+FILTER_PARTS = 16
 #: The bytes that end a word in `[^\x20\x09-\x0D]+`.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session, with batches for Python bounded in bytes: by default they take 10,000 rows, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """The session, with batches for Python bounded in bytes: by default they take 10,000 rows, whatever their length.
+
+    A smaller bound that the session has already is kept.
+    """
+    own = spark.conf.get(BATCH_SETTING).lower().rstrip("b")
+    if not own.isdigit() or int(own) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in the shared checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    """df from files in the shared folder that the session names in spark.checkpoint.dir.
+
+    Where it names none, a local session gets a temporary folder, and a cluster an error: its executors share no local folder.
+    """
     spark = bounded(df.sparkSession)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
 
 
@@ -193,22 +208,29 @@ class Bloom:
 
 
 def bloom_of(keys: DataFrame, count: int) -> Bloom:
-    """The filter of a DataFrame's one long column; each task makes a filter, and tasks are merged pairwise on executors."""
+    """The filter of a DataFrame's one long column; tasks make filters, their parts are merged on executors, and the driver gets each part once."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Bloom(count)
         for batch in batches:
             f.add(batch.column(0).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([f.bits.tobytes()], pa.binary())], ["bits"])
+        for k, part in enumerate(np.split(f.bits, FILTER_PARTS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = Bloom(count).bits
+        parts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                bits = bits | np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
-    parts = keys.coalesce(16).mapInArrow(build, "bits binary").coalesce(4).mapInArrow(merge, "bits binary")
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(bits.as_buffer(), np.uint8)
+                parts[k] = parts[k] | own if k in parts else own.copy()
+        for k, own in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
+
+    schema = "part int, bits binary"
+    merged = keys.coalesce(FILTER_PARTS).mapInArrow(build, schema).repartition(FILTER_PARTS, "part").mapInArrow(merge, schema)
     f = Bloom(count)
-    for row in parts.toLocalIterator():  # four filters of the size that was checked
-        f.bits |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    size = len(f.bits) // FILTER_PARTS
+    for row in merged.toLocalIterator():  # one filter of the size that was checked
+        f.bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return f

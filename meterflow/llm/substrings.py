@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import Bloom, Texts, Words, blank_table, bloom_of, checkpointed, gram_hashes, slices, word_hashes
 
 WINDOW, GRAM = 13, 5
-#: Anchors of at least so many documents are dealt out window by window.
-HOT = 2000
+#: Anchors of at least so many documents are dealt out window by window; of more than 1 / HOT_ANCHORS of all occurrences, if that is more.
+HOT, HOT_ANCHORS = 2000, 50_000_000
 #: The filter of shared anchors is broadcast up to this many bytes; a larger one is left out, and all segments are then shuffled.
 BROADCAST_BYTES = 64 << 20
 _BLANK = blank_table()
@@ -248,10 +248,10 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     shared = checkpointed(_anchors(docs, window, gram, parts))
     total = shared.count()
-    hot_at = max(HOT, total // 1_000_000)
-    hot = np.sort(np.array([r["anchor"] for r in shared.where(F.col("docs") >= hot_at).select("anchor").orderBy(F.desc("docs")).limit(1_000_000).collect()], np.int64))
+    occurrences = shared.agg(F.sum("docs")).first()[0] or 0
+    hot = shared.where(F.col("docs") >= max(HOT, occurrences // HOT_ANCHORS)).select("anchor")  # HOT_ANCHORS at most, and so a filter within BROADCAST_BYTES
     small = Bloom.size(total) <= BROADCAST_BYTES
-    known = spark.sparkContext.broadcast((bloom_of(shared.select("anchor"), total) if small else None, hot))
+    known = spark.sparkContext.broadcast((bloom_of(shared.select("anchor"), total) if small else None, bloom_of(hot, n) if (n := hot.count()) else None))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Segments]]:
         anchors, hot = known.value
@@ -259,9 +259,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             s = Segments(Texts(batch.column(1)), window, gram)
             if anchors is not None:
                 s.keep(anchors.holds(s.anchor))
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, s.anchor), len(hot) - 1)
-                s.split(hot[at] == s.anchor)
+            if hot is not None:
+                s.split(hot.holds(s.anchor))  # the few that it takes for hot are split in every document alike
             yield batch.column(0).to_numpy()[s.document], s
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +288,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
             yield flush()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; an anchor has fewer segments than HOT allows, or one window's (others are split)."""
+        """Rows come sorted by anchor; an anchor has fewer segments than the documents that make one hot, or one window's (others are split)."""
         anchor, own = None, {}
         out: list[tuple[int, int, list[int]]] = []
 

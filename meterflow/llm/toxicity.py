@@ -4,7 +4,7 @@ The features of a text are the distinct hashes of its words, its pairs of neighb
 words between. A sample of labelled rows, bounded in rows and bytes, is dealt into shards; each shard runs FTRL-proximal
 in a task of its own, with a learning rate for each coordinate and an L1 term that leaves most weights at zero. Folds of
 the shard's rows choose the L1 term, and the bias is moved to where the scores of rows that their model has not seen
-part the labels best; the shards' weights are averaged. Only the weights that are not zero reach the driver; they are
+part the labels with the fewest errors; the shards' weights are averaged. Only the weights that are not zero reach the driver; they are
 broadcast for scoring.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ class FtrlParams:
     l1: the terms that the folds choose from.
     """
 
-    bits: int = 20
+    bits: int = 22
     alpha: float = 1.0
     beta: float = 1.0
     l1: tuple[float, ...] = (4.0, 8.0, 16.0)
@@ -65,40 +66,40 @@ def distinct_features(batch: pa.Array, bits: int) -> list[np.ndarray]:
     return [x & ((1 << bits) - 1) for x in np.split(both, cuts)]
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, l1: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots and weights that are not zero, and the bias; each row is a list of slots of value 1."""
-    slots, flat = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-    own = np.split(flat, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
-    z, n = np.zeros(len(slots)), np.zeros(len(slots))
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, p: FtrlParams, l1: float, seed: int = 0) -> tuple[np.ndarray, float]:
+    """The weights of `size` slots and the bias; each row is a list of slots of value 1."""
+    z, n = np.zeros(size), np.zeros(size)
     bias, order = 0.0, np.random.default_rng(seed)
 
     def weights(at) -> np.ndarray:
         zi = z[at]
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
 
-    for _ in range(epochs):
+    for _ in range(p.epochs):
         for i in order.permutation(len(rows)):
-            at = own[i]
+            at = rows[i]
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - labels[i]
             before = np.sqrt(n[at])
             n[at] += g * g
             z[at] += g - (np.sqrt(n[at]) - before) / p.alpha * w
             bias -= 0.02 * g
-    w = weights(slice(None))
-    return slots[w != 0], w[w != 0], bias
-
-
-def totals(rows: list[np.ndarray], slots: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The log-odds of rows of distinct slots."""
-    if not len(slots):
-        return np.full(len(rows), bias)
-    near = [np.minimum(np.searchsorted(slots, r), len(slots) - 1) for r in rows]
-    return np.array([bias + weights[k][slots[k] == r].sum() for k, r in zip(near, rows)])
+    return weights(slice(None)), bias
 
 
 def learned(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """ftrl() of all rows with the L1 term of the least log-loss over folds, and the bias that the unseen scores of the folds call for."""
+    """Slots and weights that are not zero, and the bias: the L1 term of the least log-loss over folds, and the cut that their unseen scores call for.
+
+    A slot's gradients are below 1, so that one of d rows never leaves zero if d * epochs is no more than the L1 term:
+    such slots are left out beforehand.
+    """
+    flat = np.concatenate([*rows, np.zeros(0, np.int32)])
+    used = np.bincount(flat, minlength=1 << p.bits) * p.epochs > min(p.l1)
+    number, kept = np.cumsum(used, dtype=np.int32) - 1, used[flat]
+    ends = np.cumsum(kept)[np.cumsum([len(r) for r in rows], dtype=np.int64) - 1] if len(flat) else np.zeros(len(rows), np.int64)
+    ends[np.cumsum([len(r) for r in rows]) == 0] = 0  # rows without slots before all others
+    own, slots = np.split(number[flat[kept]], ends[:-1]) if len(rows) else [], np.flatnonzero(used)
+    del flat, kept, number
     fold = np.random.default_rng([seed, 7]).permutation(len(rows)) % p.folds
     best = None
     for l1 in p.l1:
@@ -106,26 +107,29 @@ def learned(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, seed: int
         for k in range(p.folds):
             seen, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if len(seen) and len(out):
-                unseen[out] = totals([rows[i] for i in out], *ftrl([rows[i] for i in seen], labels[seen], p, l1, p.epochs, seed))
+                w, bias = ftrl([own[i] for i in seen], labels[seen], len(slots), p, l1, seed)
+                unseen[out] = [w[own[i]].sum() + bias for i in out]
         loss = float(np.mean(np.logaddexp(0, np.where(labels == 1, -unseen, unseen)))) if len(rows) else 0.0
         if best is None or loss < best[0]:
             best = loss, l1, best_cut(unseen, labels)
-    slots, weights, bias = ftrl(rows, labels, p, best[1], p.epochs, seed)
-    return slots, weights, bias - best[2]
+    w, bias = ftrl(own, labels, len(slots), p, best[1], seed)
+    at = np.flatnonzero(w)
+    return slots[at], w[at], bias - best[2]
 
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Halfway between the two neighbouring scores that part the labels best by F1; 0 where there is one label or one score.
+    """Halfway between the two neighbouring scores that part the labels with the fewest errors, the highest such; 0 where there is one label.
 
-    Sparse weights leave most texts of label 0 at the bias, which is then far below what separates the labels.
+    Sparse weights leave most texts of label 0 at the bias, which is then far below what separates the labels. Scores
+    that separate nothing have their cut above them all.
     """
+    if not len(labels) or labels.min() == labels.max():
+        return 0.0
     order = np.argsort(-scores, kind="stable")
-    s, right = scores[order], np.cumsum(labels[order] == 1)
+    s = np.concatenate([[scores[order[0]] + 2], scores[order]])
+    errors = np.concatenate([[0], np.cumsum(np.where(labels[order] == 1, -1, 1))])  # of a cut below each score, but for a constant
     ends = np.flatnonzero(s[:-1] > s[1:])
-    if not len(ends) or right[-1] in (0, len(s)):
-        return 0.0
-    f1 = 2 * right[ends] / (ends + 1 + right[-1])
-    k = ends[int(np.argmax(f1))]
+    k = ends[int(np.argmin(errors[ends]))]
     return float(s[k] + s[k + 1]) / 2
 
 
@@ -136,24 +140,25 @@ class LinearModel:
     bias: float
     bits: int
 
+    @cached_property
+    def used(self) -> np.ndarray:
+        """Whether each slot has a weight."""
+        t = np.zeros(1 << self.bits, bool)
+        t[self.slots] = True
+        return t
+
     def scores(self, column: pa.Array) -> np.ndarray:
         """The probability of label 1 for each text; without features, that of the bias."""
-        table = self.table()
         found = []
         for slot, doc in features(Texts(column), self.bits):
-            hit = table[slot] != 0  # most features have no weight: only the others are made distinct
+            hit = self.used[slot]  # most features have no weight: only the others are made distinct
             found.append(doc[hit] << self.bits | slot[hit])
         total = np.full(len(column), self.bias)
         if found:
             both = np.unique(np.concatenate(found))
-            np.add.at(total, both >> self.bits, table[both & ((1 << self.bits) - 1)])
+            np.add.at(total, both >> self.bits, self.weights[np.searchsorted(self.slots, both & ((1 << self.bits) - 1))])
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
-    def table(self) -> np.ndarray:
-        t = np.zeros(1 << self.bits)
-        t[self.slots] = self.weights
-        return t
-
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int, held_out: bool = True) -> DataFrame:
     """(doc_id, text, label): at most per_class rows of each class, those of the smallest hashes of doc_id, one row for each id.
@@ -192,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: FtrlPa
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")  # shuffled rows come in any order
-        at, w, bias = learned([np.asarray(x, np.int64) for x in rows["slots"]], rows["label"].to_numpy(float), p, int(rows["shard"].iloc[0]))
+        at, w, bias = learned(list(rows["slots"]), rows["label"].to_numpy(float), p, int(rows["shard"].iloc[0]))
         return pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w, bias)})
 
     sample = training_rows(docs, labels, label, p.per_class, p.class_bytes)

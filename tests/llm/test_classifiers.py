@@ -116,12 +116,29 @@ def test_pair_fit_finds_the_better_side():
 
 def test_ftrl_separates_and_is_sparse():
     rows = [np.array([1, 5]), np.array([2, 5])] * 60
-    p = toxicity.FtrlParams(bits=4, l1=(1.0, 500.0))
-    for at, weights, bias in (toxicity.ftrl(rows, np.array([1, 0] * 60), p, 1.0, 4), toxicity.learned(rows, np.array([1, 0] * 60), p)):
-        table = dict(zip(at.tolist(), weights.tolist()))
-        assert table[1] > 0 > table[2] and set(table) <= {1, 2, 5}
-        assert (toxicity.totals(rows, at, weights, bias) > 0).tolist() == [True, False] * 60
-    assert len(toxicity.ftrl(rows, np.array([1, 0] * 60), p, 500.0, 4)[0]) == 0
+    labels, p = np.array([1, 0] * 60), toxicity.FtrlParams(bits=4, l1=(1.0, 500.0))
+    weights, bias = toxicity.ftrl(rows, labels, 16, p, 1.0)
+    at, some, cut = toxicity.learned(rows, labels, p)
+    for table, b in ((weights, bias), (np.bincount(at, some, 16), cut)):
+        assert table[1] > 0 > table[2] and set(np.flatnonzero(table)) <= {1, 2, 5}
+        assert [table[r].sum() + b > 0 for r in rows] == [True, False] * 60
+    assert not toxicity.ftrl(rows, labels, 16, p, 500.0)[0].any()
+
+
+def test_left_out_slots_would_have_no_weight():
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 400, rng.integers(0, 12))) for _ in range(150)]
+    labels, p = (rng.random(150) < 0.4) * 1.0, toxicity.FtrlParams(bits=9, l1=(8.0,), epochs=3)
+    weights, bias = toxicity.ftrl(rows, labels, 512, p, 8.0)
+    at, some, _ = toxicity.learned(rows, labels, p)
+    assert np.allclose(np.bincount(at, some, 512), weights)
+    assert len(toxicity.learned([], np.zeros(0), p)[0]) == 0
+
+
+def test_best_cut():
+    scores, labels = np.array([3.0, 2.0, 1.0, 0.0, 0.0]), np.array([1, 1, 0, 0, 1])
+    assert toxicity.best_cut(scores, labels) == 1.5
+    assert toxicity.best_cut(np.zeros(4), np.array([1, 0, 0, 0])) > 0 and toxicity.best_cut(scores, np.ones(5)) == 0.0
 
 
 def test_skip_grams_are_counted_once_per_text():
