@@ -103,14 +103,6 @@ def drum_digit(first: Column, p1: Column, second: Column, p2: Column, threshold:
     return F.when((p1 + p2 >= threshold) & (near | wraps), F.when(wraps, F.lit(9)).otherwise(F.least(first, second)))
 
 
-def missing_digit(centers: Column, expected: int = 5, gap: float = 1.6) -> Column:
-    """With one digit box too few, the position of the gap: the first step over `gap` times the mean step; null if there is none."""
-    steps = F.transform(F.sequence(F.lit(1), F.size(centers) - 1), lambda i: F.element_at(centers, i + 1) - F.element_at(centers, i))
-    mean = (F.element_at(centers, -1) - F.element_at(centers, 1)) / (F.size(centers) - 1)
-    wide = F.filter(F.transform(steps, lambda s, i: F.when(s > mean * gap, i + 1)), lambda i: i.isNotNull())
-    return F.when(F.size(centers) == expected - 1, F.get(wide, F.lit(0)))
-
-
 def plausible(reading: Column, last: Column, low: int = -1500, high: int = 3000) -> Column:
     """Whether the change since the last reading lies in the window; false where either is missing."""
     return F.coalesce((reading - last).between(low, high), F.lit(False))

@@ -9,10 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lookups import nearest_by_length
 from .metrics import group_logsumexp
 
 
@@ -61,43 +60,159 @@ def ctc_scores(matrices: list[np.ndarray], texts: list[str], alphabet: str, blan
     return np.where(steps > 0, np.logaddexp(last, before), np.where(size == 1, 0.0, -np.inf))
 
 
-def scored(pairs: DataFrame, alphabet: str, blank: int) -> DataFrame:
-    """pairs (matrix, string, ...) with ll: null strings and those with symbols beyond the alphabet have minus infinity."""
-    known = set(alphabet)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for matrix, string in batches:
-            out = np.full(len(string), -np.inf)
-            good = np.array([isinstance(s, str) and set(s) <= known for s in string], bool)
-            at = np.flatnonzero(good)
-            rows = [np.asarray(matrix.iloc[k], float).reshape(-1, len(alphabet) + 1) for k in at]
-            out[at] = ctc_scores(rows, [string.iloc[k] for k in at], alphabet, blank)
-            yield pd.Series(out)
-
-    return pairs.withColumn("ll", F.pandas_udf(run, "double")(F.flatten("matrix"), "string"))
+class Trie:
+    """Distinct strings over an alphabet as a prefix tree, so that strings share the forward scores of their prefixes.
 
+    Nodes are numbered level by level; 0 is the empty prefix. `of` is the node of each string.
+    """
 
-def lexicon_matches(images: DataFrame, lexicon: DataFrame, alphabet: str, blank: int, oov: float = 0.05, top: int = 3, window: int = 2) -> DataFrame:
+    def __init__(self, strings: list[str], alphabet: str):
+        place = {c: k for k, c in enumerate(alphabet)}
+        nodes: dict[tuple[int, int], int] = {}
+        parent, label, self.of = [0], [-1], np.zeros(len(strings), np.int64)
+        at = [0] * len(strings)
+        for depth in range(max(map(len, strings), default=0)):
+            for k, s in enumerate(strings):
+                if depth < len(s):
+                    key = at[k], place[s[depth]]
+                    if key not in nodes:
+                        nodes[key] = len(parent)
+                        parent.append(key[0])
+                        label.append(key[1])
+                    at[k] = nodes[key]
+        self.of[:] = at
+        self.parent, self.label = np.array(parent), np.array(label)
+        self.repeats = self.label == self.label[self.parent]
+
+    def scores(self, matrices: np.ndarray, blank: int) -> np.ndarray:
+        """log P(string) for each string under each of the matrices (images, steps, symbols), summed over all alignments.
+
+        For each prefix the sums of the alignments that end in its last symbol and in a blank are carried from step to
+        step for all images at once.
+        """
+        images, steps, _ = matrices.shape
+        symbol, rest = np.full((images, len(self.parent)), -np.inf), np.full((images, len(self.parent)), -np.inf)
+        rest[:, 0] = 0.0
+        for t in range(steps):
+            come = np.where(self.repeats, rest[:, self.parent], np.logaddexp(rest[:, self.parent], symbol[:, self.parent]))
+            ended = np.logaddexp(rest, symbol)
+            symbol = np.logaddexp(symbol, come) + matrices[:, t, self.label]
+            symbol[:, 0] = -np.inf
+            rest = ended + matrices[:, t, blank][:, None]
+        return np.logaddexp(rest, symbol)[:, self.of]
+
+
+#: Bytes of a lexicon that are broadcast, strings of a chunk of a larger one, and cells of a table of forward scores.
+BROADCAST_BYTES, CHUNK, CELLS = 16 << 20, 20_000, 1 << 20
+
+
+class _Lexicon:
+    """Strings with their groups, ready to score images."""
+
+    def __init__(self, members: list[tuple[str, str]], alphabet: str):
+        known = set(alphabet)
+        members = sorted({(g, s) for g, s in members if g is not None and s and set(s) <= known})
+        self.strings = sorted({s for _, s in members})
+        place = {s: k for k, s in enumerate(self.strings)}
+        self.groups = [g for k, (g, _) in enumerate(members) if not k or members[k - 1][0] != g]
+        self.first = np.array([k for k, (g, _) in enumerate(members) if not k or members[k - 1][0] != g], np.int64)
+        self.member = np.array([place[s] for _, s in members], np.int64)
+        self.lengths = np.array([len(s) for s in self.strings])
+        self.trie = Trie(self.strings, alphabet)
+
+    def by_group(self, matrices: list[np.ndarray], greedy: list[str], blank: int, window: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each image the log-sum of each group and its best string's number."""
+        size = np.array([len(m) for m in matrices])
+        out: list = [None] * len(matrices)
+        for steps in np.unique(size):
+            same = np.flatnonzero(size == steps)
+            per = max(1, CELLS // len(self.trie.parent))
+            for at in range(0, len(same), per):
+                some = same[at : at + per]
+                ll = self.trie.scores(np.stack([matrices[k] for k in some]).reshape(len(some), steps, -1), blank)
+                for k, own in zip(some, ll):
+                    if window is not None and greedy[k]:
+                        own = np.where(np.abs(self.lengths - len(greedy[k])) <= window, own, -np.inf)
+                    members = own[self.member]
+                    total = np.logaddexp.reduceat(members, self.first)
+                    out[k] = total, self.member[_argmax(members, self.first)]
+        yield from out
+
+
+def _argmax(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The place of the first greatest value of each run."""
+    most = np.maximum.reduceat(values, first)
+    at = np.flatnonzero(values == np.repeat(most, np.diff(np.append(first, len(values)))))
+    return at[np.searchsorted(at, first)]
+
+
+def lexicon_matches(images: DataFrame, lexicon: DataFrame, alphabet: str, blank: int, oov: float = 0.05, top: int = 3, window: int | None = None) -> DataFrame:
     """(image, greedy, group, string, share, place): the `top` groups of each image (image, matrix) by their share.
 
-    lexicon: (group, string). Only strings whose length is within `window` of the greedy reading are scored, by an
-    equi-join on lengths; a group's score is the log-sum of its strings, and its share is taken over all groups and,
-    where the greedy reading is in no group, over that reading too with weight `oov`. Images of which nothing can be
-    scored are not returned; an empty lexicon gives no rows.
+    lexicon: (group, string). All strings are scored; with `window` only those whose length is within it of the greedy
+    reading's, all again where that is empty. A group's score is the log-sum of its strings, and its share is taken
+    over all groups and, where the greedy reading is not in the lexicon, over that reading too with weight `oov`. Groups
+    that no alignment can give are left out; an image of which nothing can be scored has one row of nulls. Each image
+    is scored in its task, against a lexicon that is broadcast while it has at most BROADCAST_BYTES; a larger one
+    meets the images chunk by chunk.
     """
-    read = images.withColumn("greedy", greedy_text(F.col("matrix"), alphabet, blank))
-    strings = lexicon.where("string <> ''").select("string").distinct()
-    near = nearest_by_length(read.select("greedy").distinct(), strings, "greedy", "string", window)
-    pairs = scored(read.join(near, "greedy"), alphabet, blank).select("image", "string", "ll").where(F.col("ll") > float("-inf"))
-    members = pairs.join(lexicon.select("group", "string").distinct(), "string")
-    by_group = members.select(F.struct("image", "group").alias("k"), "ll")
-    sums = group_logsumexp(by_group, "k", "ll").select("k.image", "k.group", F.col("logsumexp").alias("g"))
-    best = members.groupBy("image", "group").agg(F.max_by("string", F.struct("ll", "string")).alias("string"))
-    other = read.join(strings.withColumnRenamed("string", "greedy"), "greedy", "left_anti").withColumn("string", F.col("greedy"))
-    other = scored(other, alphabet, blank).select("image", (F.col("ll") + F.log(F.lit(oov))).alias("g"))
-    terms = sums.select("image", "g").unionAll(other) if oov > 0 else sums.select("image", "g")
-    norm = group_logsumexp(terms, "image", "g").withColumnRenamed("logsumexp", "norm")
-    shares = sums.join(norm, "image").join(best, ["image", "group"]).withColumn("share", F.exp(F.col("g") - F.col("norm")))
-    place = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("share"), "group"))
-    ranked = shares.withColumn("place", place).where(F.col("place") <= top)
-    return ranked.join(read.select("image", "greedy"), "image").select("image", "greedy", "group", "string", "share", "place")
+    read = images.withColumn("greedy", greedy_text(F.col("matrix"), alphabet, blank)).select("image", "greedy", F.flatten("matrix").alias("matrix"))
+    members = lexicon.where("string <> '' and group is not null").select(F.col("group").cast("string").alias("group"), "string").distinct()
+    size = members.agg(F.sum(F.octet_length("string") + F.octet_length("group"))).first()[0] or 0
+    width = len(alphabet) + 1
+    found = "struct<group string, string string, g double>"
+
+    def scored(lexicon: _Lexicon, matrices: pd.Series, greedy: pd.Series, most: int | None) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[] for _ in matrices]
+        if lexicon.groups:
+            rows = [np.asarray(m if m is not None else [], float).reshape(-1, width) for m in matrices]
+            for k, (total, best) in enumerate(lexicon.by_group(rows, list(greedy), blank, window)):
+                order = np.argsort(-total, kind="stable")[:most]
+                out[k] = [(lexicon.groups[g], lexicon.strings[best[g]], float(total[g])) for g in order if total[g] > -np.inf]
+                if most is not None:
+                    out[k].append((None, None, float(np.logaddexp.reduce(total))))  # the sum of all groups
+        return out
+
+    if size <= BROADCAST_BYTES:
+        shared = images.sparkSession.sparkContext.broadcast([(r["group"], r["string"]) for r in members.collect()])
+
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            own = _Lexicon(shared.value, alphabet)
+            for matrix, greedy in batches:
+                yield pd.Series(scored(own, matrix, greedy, top))
+
+        groups = read.withColumn("found", F.pandas_udf(run, f"array<{found}>")("matrix", "greedy"))
+        groups = groups.select("image", "greedy", "matrix", F.filter("found", lambda x: x["group"].isNotNull()).alias("best"), F.get(F.filter("found", lambda x: x["group"].isNull()), F.lit(0))["g"].alias("all"))
+    else:
+        parts = members.groupBy(F.pmod(F.xxhash64("string"), F.lit(-(-members.count() // CHUNK))).alias("part")).agg(F.collect_list(F.struct("group", "string")).alias("members"))
+        every = F.sequence(F.lit(0).cast("long"), F.lit(-(-members.count() // CHUNK) - 1).cast("long"))
+
+        def meet(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for matrix, greedy, chunk in batches:
+                out = []
+                for m, g, members in zip(matrix, greedy, chunk):
+                    out += scored(_Lexicon([(x["group"], x["string"]) for x in members], alphabet), pd.Series([m]), pd.Series([g]), None)
+                yield pd.Series(out)
+
+        met = read.select("*", F.explode(every).alias("part")).join(parts, "part")
+        rows = met.select("image", "greedy", "matrix", F.explode(F.pandas_udf(meet, f"array<{found}>")("matrix", "greedy", "members")).alias("x")).select("image", "x.*")
+        sums = group_logsumexp(rows.select(F.struct("image", "group").alias("k"), "g"), "k", "g").select("k.image", "k.group", F.col("logsumexp").alias("g"))
+        string = rows.groupBy("image", "group").agg(F.max_by("string", F.struct("g", "string")).alias("string"))
+        by = sums.join(string, ["image", "group"]).groupBy("image").agg(F.array_sort(F.collect_list(F.struct((-F.col("g")).alias("g"), "group", "string"))).alias("a"))
+        peak = -F.col("a")[0]["g"]
+        total = peak + F.log(F.aggregate("a", F.lit(0.0), lambda t, x: t + F.exp(-x["g"] - peak)))
+        best = F.transform(F.slice("a", 1, top), lambda x: F.struct(x["group"].alias("group"), x["string"].alias("string"), (-x["g"]).alias("g")))
+        groups = read.join(by.select("image", best.alias("best"), total.alias("all")), "image", "left")
+
+    def alone(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for matrix, greedy in batches:
+            yield pd.Series(ctc_scores([np.asarray(m if m is not None else [], float).reshape(-1, width) for m in matrix], [g or "" for g in greedy], alphabet, blank))
+
+    groups = groups.join(members.select(F.col("string").alias("greedy"), F.lit(True).alias("listed")).distinct(), "greedy", "left")
+    reading = F.when(F.col("listed").isNull() & F.lit(oov > 0), F.pandas_udf(alone, "double")("matrix", "greedy") + float(np.log(oov)) if oov > 0 else F.lit(None))
+    groups = groups.withColumn("own", reading)
+    peak = F.greatest(F.coalesce("all", F.lit(float("-inf"))), F.coalesce("own", F.lit(float("-inf"))))
+    norm = peak + F.log(F.coalesce(F.exp(F.col("all") - peak), F.lit(0.0)) + F.coalesce(F.exp(F.col("own") - peak), F.lit(0.0)))
+    groups = groups.withColumn("norm", F.when(peak > float("-inf"), norm)).select("image", "greedy", "norm", F.posexplode_outer("best").alias("at", "x"))
+    share = F.exp(F.col("x.g") - F.col("norm"))
+    return groups.select("image", "greedy", F.col("x.group").alias("group"), F.col("x.string").alias("string"), share.alias("share"), (F.col("at") + 1).cast("int").alias("place"))

@@ -69,12 +69,6 @@ def serial_hints(reads: DataFrame, register: DataFrame, top: int = 3) -> DataFra
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("photo", "serial_read", "serial", "account", "delta", "rank")
 
 
-def nearest_by_length(words: DataFrame, lexicon: DataFrame, word: str, entry: str, window: int = 2) -> DataFrame:
-    """Pairs of words and entries whose lengths differ by at most `window`, as an equi-join on exploded lengths."""
-    lengths = words.select(word, F.explode(F.sequence(F.length(word) - window, F.length(word) + window)).alias("_n"))
-    return lengths.join(lexicon.select(entry, F.length(entry).alias("_n")), "_n").drop("_n")
-
-
 def substrings_of(text: Column, shortest: int = 3) -> Column:
     """The distinct runs of at least `shortest` characters of a short text."""
     starts = F.sequence(F.lit(1), F.length(text) - shortest + 1)

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exclusive_quantile
-
 
 def threshold_sweep(predictions: DataFrame, thresholds: list[float], slack: float = 1e-9) -> DataFrame:
     """Rows accepted and wrong at each confidence threshold: each row is exploded to the thresholds that it passes, and counted before the shuffle."""
@@ -70,13 +68,6 @@ def quartiles(rows: DataFrame, keys: list[str], value: str, ranges: int = 1024)
     return ranked.groupBy(*keys, "n").agg(*out).select(*keys, "n", cut(1), cut(2), cut(3))
 
 
-def range_5_95(rows: DataFrame, value: str) -> DataFrame:
-    """The range between the first and last of 19 cuts of a bounded set of values; null below 20 values."""
-    got = rows.agg(F.array_sort(F.collect_list(value)).alias("a"))
-    few = F.size("a") < 20
-    return got.select(F.when(~few, exclusive_quantile(F.col("a"), 1, 20)).alias("low"), F.when(~few, exclusive_quantile(F.col("a"), 19, 20)).alias("high"))
-
-
 def group_logsumexp(rows: DataFrame, key: str, value: str) -> DataFrame:
     """log of the sum of exp by key, shifted by the key's maximum; minus infinity if all are."""
     top = rows.groupBy(key).agg(F.max(value).alias("_top"))
