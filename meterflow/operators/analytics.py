@@ -114,13 +114,14 @@ def common(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
 def fingerprint(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, files, fingerprint): 16 hex digits for each dataset, whatever the order of its files (path, size).
 
-    Lines are hashed in 256 buckets, each in path order, and the sorted buckets again, so that no task holds all lines.
+    Each line's SHA-256 is cut into numbers of 48 bits, these are summed, and the sums are hashed: a data set of any size
+    is folded by partial sums.
     """
-    line = F.concat("path", F.lit("\t"), F.col("size").cast("string"), F.lit("\n"))
-    bucket = F.substring(F.sha2("path", 256), 1, 2)
-    parts = files.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(F.col("path"), line.alias("l")))), lambda x: x["l"])), 256).alias("_h"))
-    whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]))
-    return parts.groupBy(*keys).agg(F.sum("_n").alias("files"), F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"))
+    hashed = F.sha2(F.concat("path", F.lit("\t"), F.col("size").cast("string"), F.lit("\n")), 256)
+    number = lambda k: F.conv(F.substring(hashed, 12 * k + 1, 12), 16, 10).cast("decimal(20,0)")
+    sums = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), *[F.sum(number(k)).alias(f"_{k}") for k in range(4)])
+    whole = F.concat_ws("|", F.col("files").cast("string"), *[F.col(f"_{k}").cast("string") for k in range(4)])
+    return sums.select(*keys, "files", F.substring(F.sha2(whole, 256), 1, 16).alias("fingerprint"))
 
 
 def nearest_variant(rows: DataFrame, keys: list[str]) -> DataFrame:

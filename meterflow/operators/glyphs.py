@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: References that are broadcast at most; larger banks are refused, as each row is scored against all of them.
-MOST = 10_000
+#: Bytes of references that are broadcast at most; larger banks are refused, as each row is scored against all of them.
+MOST_BYTES = 16 << 20
 
 
 def bank(rows: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -16,20 +20,45 @@ def bank(rows: DataFrame, vector: str = "embedding", label: str = "label") -> Da
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+def nearest(rows: DataFrame, references: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, nearest, similarity, margin): ties go to the smaller label; margin is null with one label.
 
+    references (label, centre), of at most MOST_BYTES, are broadcast and each batch of vectors is scored against all of
+    them. Missing components count as 0, null vectors are left out; without references there are no rows.
+    """
+    size = references.agg(F.sum(F.size("centre") * 8 + 16)).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of references, more than {MOST_BYTES}")
+    few = sorted(((r["label"], r["centre"]) for r in references.collect()), key=lambda x: x[0])
+    width = max((len(c) for _, c in few), default=0)
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([_padded(c, width) for _, c in few], float).reshape(-1, width), [x for x, _ in few]))
 
-def nearest(rows: DataFrame, references: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, nearest, similarity, margin): ties go to the smaller label; margin is null with one label."""
-    size = references.count()
-    if size > MOST:
-        raise ValueError(f"{size} references, more than {MOST}")
-    unit = lambda v: F.sqrt(_dot(v, v))
-    few = references.agg(F.collect_list(F.struct("label", "centre", unit(F.col("centre")).alias("norm"))).alias("refs")).first()["refs"]
-    held = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.array(*[F.lit(x) for x in r["centre"]]).alias("centre"), F.lit(r["norm"]).alias("norm")) for r in few])
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    scored = F.transform(held, lambda r: F.struct((-_dot(v, r["centre"]) / (unit(v) * r["norm"])).alias("s"), r["label"].alias("label")))
-    by = rows.where(F.col(vector).isNotNull()).select(key, F.array_sort(scored).alias("all"))
-    best, other = F.get("all", F.lit(0)), F.get("all", F.lit(1))
-    return by.select(key, best["label"].alias("nearest"), (-best["s"]).alias("similarity"), (other["s"] - best["s"]).alias("margin"))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        centres, labels = shared.value
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+        for vectors in batches:
+            x = np.array([_padded(v, width) for v in vectors], float).reshape(-1, width)
+            norm = np.array([np.sqrt(sum(float(c) ** 2 for c in v if c is not None)) for v in vectors])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (x @ unit.T) / norm[:, None]
+            order = np.argsort(-s, axis=1, kind="stable")
+            best, rows_ = order[:, 0], np.arange(len(s))
+            margin = s[rows_, best] - s[rows_, order[:, 1]] if len(labels) > 1 else np.full(len(s), np.nan)
+            yield pd.DataFrame({"place": best, "similarity": s[rows_, best], "margin": margin})
+
+    by = rows.where(F.col(vector).isNotNull())
+    if not few:
+        by = by.limit(0)
+    scored = by.select(key, F.pandas_udf(score, "place int, similarity double, margin double")(F.col(vector)).alias("s"))
+    label = F.element_at(F.array(*[F.lit(x) for x, _ in few]), F.col("s.place") + 1) if few else F.lit(None)
+    one = F.col("s.margin") if len(few) > 1 else F.lit(None).cast("double")
+    return scored.select(key, label.alias("nearest"), F.col("s.similarity").alias("similarity"), one.alias("margin"))
+
+
+def _padded(vector, width: int) -> np.ndarray:
+    """The first `width` components; missing ones are 0."""
+    out = np.zeros(width)
+    own = [0.0 if x is None else float(x) for x in vector[:width]]
+    out[: len(own)] = own
+    return out

@@ -120,11 +120,33 @@ def serial_choices(photos: DataFrame, register: DataFrame) -> DataFrame:
     return met.groupBy("photo", "serial", "account").agg(F.min("row_order").alias("row_order"))
 
 
-def dense_ids(low: int, high: int, width: int, register: DataFrame, most: int = 200_000) -> DataFrame:
-    """(account): every zero-filled number from low to high, made by executors; the register's session is used. More than `most` are refused."""
-    if high - low + 1 > most:
+def dense_ids(register: DataFrame, width: int, most: int = 200_000) -> DataFrame:
+    """(account): every zero-filled number from the register's smallest to its greatest, made by executors. More than `most` are refused.
+
+    Accounts that are no plain numbers don't count; a register without any gives no rows.
+    """
+    low, high = register.where("account rlike '^[0-9]+$'").agg(F.min(F.col("account").cast("bigint")), F.max(F.col("account").cast("bigint"))).first()
+    if low is not None and high - low + 1 > most:
         raise ValueError(f"{high - low + 1} numbers, more than {most}")
-    return register.sparkSession.range(low, high + 1).select(F.lpad(F.col("id").cast("string"), width, "0").alias("account"))
+    ids = register.sparkSession.range(low or 0, 0 if low is None else high + 1)
+    return ids.select(F.lpad(F.col("id").cast("string"), width, "0").alias("account"))
+
+
+def placed(rows: DataFrame, share: str, key: str, ranges: int = 1024, parts: int = 64) -> DataFrame:
+    """rows with `place`, their number in the order of share, from 0 to 1, and of key, a long number.
+
+    Rows are counted by ranges of the share, then by share and parts of the key's range; a place is what comes before
+    in these counts and the row's number in its part, so that no task orders more than a part of one share.
+    """
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+    own = rows.withColumns({"_r": F.floor(F.col(share) * ranges), "_p": F.floor((F.col(key) - F.lit(low or 0)) / step)})
+    counts = own.groupBy("_r", share, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.groupBy("_r").agg(F.sum("_n").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).drop("_n")  # at most ranges + 1 rows
+    inner = F.sum("_n").over(Window.partitionBy("_r").orderBy(share, "_p")) - F.col("_n")
+    starts = counts.withColumn("_inner", inner).join(F.broadcast(before), "_r").select(share, "_p", (F.col("_before") + F.col("_inner")).alias("_start"))
+    n = F.row_number().over(Window.partitionBy(share, "_p").orderBy(key))
+    return own.join(starts, [share, "_p"]).withColumn("place", F.col("_start") + n).drop("_r", "_p", "_start")
 
 
 def judged(guessed: DataFrame) -> DataFrame:

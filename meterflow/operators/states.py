@@ -56,10 +56,14 @@ def unique_names(files: DataFrame) -> DataFrame:
 
 
 def first_success(log: DataFrame) -> DataFrame:
-    """Of an account's PLUS and MINUS rows the first stays; later ones become REPEAT, as a run in order decides them."""
-    good: Column = F.col("outcome").isin("PLUS", "MINUS")
-    n = F.row_number().over(Window.partitionBy("account", good).orderBy("seq"))
-    return log.withColumn("decided", F.when(good & (n > 1), "REPEAT").otherwise(F.col("outcome")))
+    """Of an account's PLUS and MINUS rows the first stays; later ones become REPEAT, as a run in order decides them.
+
+    Only those rows are dealt by account: failed ones, which mostly have none and would be one group, keep their place.
+    """
+    good: Column = F.coalesce(F.col("outcome").isin("PLUS", "MINUS"), F.lit(False))
+    n = F.row_number().over(Window.partitionBy("account").orderBy("seq"))
+    decided = log.where(good).withColumn("decided", F.when(n > 1, "REPEAT").otherwise(F.col("outcome")))
+    return decided.unionByName(log.where(~good).withColumn("decided", F.col("outcome")))
 
 
 def log_row(results: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -22,22 +21,22 @@ def _readings(spark, sf):
 
 
 @query("d02_accepted", with_("register reads", "").rstrip() + f", {_READINGS}" + """,
-both_ AS (SELECT account, value, date, 'table' AS source, -1 AS seq FROM readings UNION ALL SELECT owner, reading, strftime(day, '%Y-%m-%d'), 'manual', photo FROM reads WHERE photo % 5 = 0)
+both_ AS (SELECT account, value, date, 'table' AS source, -1 AS seq FROM readings UNION ALL SELECT owner, reading, strftime(day, '%Y-%m-%d'), 'manual', photo FROM reads)
 SELECT account, value, date, source FROM both_ QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq DESC) = 1""")
 def accepted(spark, sf):
-    new = A.reads(spark, sf).where("photo % 5 = 0").select(F.col("photo").alias("seq"), F.col("owner").alias("account"), F.col("reading").alias("value"), F.date_format("day", "yyyy-MM-dd").alias("date"))
+    new = A.reads(spark, sf).select(F.col("photo").alias("seq"), F.col("owner").alias("account"), F.col("reading").alias("value"), F.date_format("day", "yyyy-MM-dd").alias("date"))
     return events.readings_after(_readings(spark, sf).withColumn("source", F.lit("table")), new)
 
 
 @query("d02_changes", with_("register reads", "").rstrip() + f", {_READINGS}" + """
-SELECT owner AS account, coalesce(lag(reading) OVER (PARTITION BY owner ORDER BY photo), readings.value) AS old, reading AS new FROM reads LEFT JOIN readings ON readings.account = owner WHERE photo % 5 = 0""")
+SELECT owner AS account, coalesce(lag(reading) OVER (PARTITION BY owner ORDER BY photo), readings.value) AS old, reading AS new FROM reads LEFT JOIN readings ON readings.account = owner""")
 def changes(spark, sf):
-    new = A.reads(spark, sf).where("photo % 5 = 0").select(F.col("photo").alias("seq"), F.col("owner").alias("account"), F.col("reading").alias("value"))
+    new = A.reads(spark, sf).select(F.col("photo").alias("seq"), F.col("owner").alias("account"), F.col("reading").alias("value"))
     return events.changes_of(_readings(spark, sf), new)
 
 
 _CORRECTIONS = """corrections AS (SELECT photo AS seq, owner AS old_account, CASE WHEN photo % 3 = 0 THEN last ELSE reading END AS logged, CASE WHEN photo % 2 = 0 THEN owner ELSE (1 + (owner::BIGINT * 7) % 1500)::VARCHAR END AS account, reading AS value
- FROM reads JOIN register ON owner = register.account WHERE photo % 8 < 2)"""
+ FROM reads JOIN register ON owner = register.account)"""
 
 
 @query("d04_corrected", with_("register reads", "").rstrip() + f", {_READINGS}, {_CORRECTIONS}" + """,
@@ -45,7 +44,7 @@ kept AS (SELECT * FROM readings WHERE (account, value) NOT IN (SELECT old_accoun
 fresh AS (SELECT c.account, c.value, r.date FROM (SELECT * FROM corrections QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq DESC) = 1) c LEFT JOIN readings r ON r.account = c.old_account)
 SELECT coalesce(kept.account, fresh.account) AS account, coalesce(fresh.value, kept.value) AS value, coalesce(fresh.date, kept.date) AS date FROM kept FULL JOIN fresh ON kept.account = fresh.account""")
 def corrected(spark, sf):
-    met = A.reads(spark, sf).where("photo % 8 < 2").join(A.register(spark, sf), F.expr("owner = account"))
+    met = A.reads(spark, sf).join(A.register(spark, sf), F.expr("owner = account"))
     other = (F.lit(1) + (F.col("owner").cast("bigint") * 7) % 1500).cast("string")
     rows = met.select(
         F.col("photo").alias("seq"), F.col("owner").alias("old_account"), F.when(F.col("photo") % 3 == 0, F.col("last")).otherwise(F.col("reading")).alias("logged"),
@@ -98,11 +97,11 @@ def upsert(spark, sf):
     return register.upserted(side(A.register(spark, sf), 0), side(A.next_register(spark, sf), 1), "account", "v").drop("v")
 
 
-@query("r07_checked", with_("runs", """, a AS (SELECT seq AS key, outcome AS reason, '0' || serial AS serial, reading FROM runs WHERE seq % 2 = 0), p AS (SELECT seq AS key, CASE WHEN seq % 5 = 0 THEN 'x' ELSE serial END AS serial, conf, CASE WHEN seq % 3 = 0 THEN reading WHEN seq % 3 = 1 THEN reading + 1 END AS number FROM runs)
+@query("r07_checked", with_("runs", """, a AS (SELECT seq AS key, outcome AS reason, '0' || serial AS serial, reading FROM runs), p AS (SELECT seq AS key, CASE WHEN seq % 5 = 0 THEN 'x' ELSE serial END AS serial, conf, CASE WHEN seq % 3 = 0 THEN reading WHEN seq % 3 = 1 THEN reading + 1 END AS number FROM runs)
 SELECT key, reason, p.serial <> 'x' AND conf >= 0.6 AS serial_ok, coalesce(number = reading, FALSE) AS reading_ok, (conf >= 0.6 AND p.serial = 'x') OR (number IS NOT NULL AND number <> reading) AS wrong_sure FROM a JOIN p USING (key)"""))
 def checked(spark, sf):
     k, rows = F.col("seq"), A.runs(spark, sf)
-    answers = rows.where("seq % 2 = 0").select(k.alias("key"), F.col("outcome").alias("reason"), F.concat(F.lit("0"), "serial").alias("serial"), "reading")
+    answers = rows.select(k.alias("key"), F.col("outcome").alias("reason"), F.concat(F.lit("0"), "serial").alias("serial"), "reading")
     number = F.when(k % 3 == 0, F.col("reading")).when(k % 3 == 1, F.col("reading") + 1)
     return events.checked(rows.select(k.alias("key"), F.when(k % 5 == 0, "x").otherwise(F.col("serial")).alias("serial"), F.col("conf").alias("serial_conf"), number.alias("number")), answers, 0.6)
 
@@ -110,9 +109,8 @@ def checked(spark, sf):
 @query("t02_first_success_stream", with_("log", """SELECT seq, account, CASE WHEN outcome IN ('PLUS', 'MINUS') AND row_number() OVER (PARTITION BY account, outcome IN ('PLUS', 'MINUS') ORDER BY seq) > 1 THEN 'REPEAT' ELSE outcome END AS decided FROM log"""))
 def first_success_stream(spark, sf):
     """The stateful stream over the events file, all that is there, written batch by batch to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
-    rows = A.log(spark, sf).select("seq", F.coalesce("account", F.lit("")).alias("account"), "photo_hash", "outcome")
+    folder = f"{cycle.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = A.log(spark, sf).select("seq", "account", "photo_hash", "outcome")
     rows.write.parquet(f"{folder}/in")
     stream = cycle.first_success_stream(cycle.new_files(spark, f"{folder}/in", cycle.RESULT))
     cycle.run_available(stream, cycle.idempotent_sink(f"{folder}/out"), f"{folder}/state")
@@ -155,13 +153,11 @@ def top_readings(spark, sf):
     return lookups.top(A.reads(spark, sf), ["owner"], 3, F.desc("reading"), F.col("photo")).select("owner", "photo", "reading")
 
 
-@query("o04_review_order", with_("reads texts", """SELECT photo, conf, row_number() OVER (ORDER BY conf, photo) AS place FROM texts WHERE "read" <> "true" ORDER BY conf, photo LIMIT 50"""))
+@query("o04_review_order", with_("reads texts", """SELECT photo, conf, row_number() OVER (ORDER BY conf, photo) AS place FROM texts WHERE "read" <> "true" OR conf < 0.6"""))
 def review_order(spark, sf):
-    """The fifty least sure mistakes: a top-k, then places for the few."""
-    from pyspark.sql import Window
-
-    few = A.texts(spark, sf).where(F.col("read") != F.col("true")).select("photo", "conf").orderBy("conf", "photo").limit(50)
-    return few.withColumn("place", F.row_number().over(Window.orderBy("conf", "photo")).cast("bigint"))
+    """All that was read wrongly or unsurely, the least sure first."""
+    rows = A.texts(spark, sf).where((F.col("read") != F.col("true")) | (F.col("conf") < 0.6)).select("photo", "conf")
+    return lookups.placed(rows, "conf", "photo")
 
 
 @query("s17_waiting_counts", with_("runs", """SELECT outcome, count(*) AS n FROM (SELECT outcome FROM runs WHERE NOT starts_with(notes, 'copy of') QUALIFY row_number() OVER (PARTITION BY folder, name ORDER BY seq DESC) = 1) WHERE outcome IN ('NO_METER', 'SERIAL_NOT_FOUND', 'DIGITS_ERROR', 'SUSPICIOUS') GROUP BY 1"""))

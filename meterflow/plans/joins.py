@@ -137,9 +137,9 @@ def truths(spark, sf):
     return met.groupBy("photo").agg(F.array_sort(F.collect_set("account")).alias("accounts"), F.max("reading").alias("reading"))
 
 
-@query("j27_dense_ids", "SELECT lpad(x::VARCHAR, 6, '0') AS account FROM range(0, 1000) t(x)")
+@query("j27_dense_ids", "SELECT lpad(unnest(range(min(c_custkey), max(c_custkey) + 1))::VARCHAR, 8, '0') AS account FROM customer")
 def dense_ids(spark, sf):
-    return lookups.dense_ids(0, 999, 6, A.register(spark, sf))
+    return lookups.dense_ids(A.register(spark, sf), 8)
 
 
 @query("j29_verify_correction", with_("register reads", """, first AS (SELECT * FROM register QUALIFY row_number() OVER (PARTITION BY serial ORDER BY row_order) = 1),
@@ -168,7 +168,7 @@ def collect_files(spark, sf):
     return lookups.numbered(fresh, ["source", "lang"], "doc_id").select("doc_id", F.concat("source", F.lit("/"), "lang", F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("target"))
 
 
-_PHOTOS = """photos AS (SELECT event_id AS photo, 'p' || (event_id % 5003)::VARCHAR || '.jpg' AS name, CASE WHEN event_id % 4 = 0 THEN '' ELSE sha256('p' || (event_id % 5003)::VARCHAR || '.jpg') END AS photo_hash FROM events WHERE event_id % 10 = 0)"""
+_PHOTOS = """photos AS (SELECT event_id AS photo, 'p' || (event_id % 5003)::VARCHAR || '.jpg' AS name, CASE WHEN event_id % 4 = 0 THEN '' ELSE sha256('p' || (event_id % 5003)::VARCHAR || '.jpg') END AS photo_hash FROM events)"""
 
 
 @query("w06_processed", with_("runs", "").rstrip() + f", {_PHOTOS}" + """, rows AS (SELECT * FROM runs WHERE NOT starts_with(notes, 'copy of')),
@@ -179,7 +179,7 @@ SELECT photo, m IS NOT NULL OR d IS NOT NULL AS skip, CASE WHEN m IS NOT NULL TH
 def processed(spark, sf):
     k = F.col("event_id")
     name = F.concat(F.lit("p"), (k % 5003).cast("string"), F.lit(".jpg"))
-    asked = table(spark, sf, "events").where("event_id % 10 = 0").select(k.alias("photo"), name.alias("name"), F.when(k % 4 == 0, "").otherwise(F.sha2(name, 256)).alias("photo_hash"))
+    asked = table(spark, sf, "events").select(k.alias("photo"), name.alias("name"), F.when(k % 4 == 0, "").otherwise(F.sha2(name, 256)).alias("photo_hash"))
     return photos.processed(asked, A.runs(spark, sf))
 
 

@@ -113,9 +113,9 @@ def class_objects(spark, sf):
     return rows.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("photos"))
 
 
-@query("a22_fingerprint", """WITH f AS (SELECT lang, source || '/' || doc_id::VARCHAR AS path, n_chars AS size FROM documents),
-b AS (SELECT lang, substr(sha256(path), 1, 2) AS b, count(*) AS n, sha256(string_agg(path || chr(9) || size::VARCHAR || chr(10), '' ORDER BY path)) AS h FROM f GROUP BY ALL)
-SELECT lang, sum(n)::BIGINT AS files, substr(sha256(string_agg(h, '' ORDER BY b)), 1, 16) AS fingerprint FROM b GROUP BY lang""")
+@query("a22_fingerprint", """WITH f AS (SELECT lang, sha256(source || '/' || doc_id::VARCHAR || chr(9) || n_chars::VARCHAR || chr(10)) AS h FROM documents),
+s AS (SELECT lang, count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT) AS a, sum(('0x' || substr(h, 13, 12))::BIGINT) AS b, sum(('0x' || substr(h, 25, 12))::BIGINT) AS c, sum(('0x' || substr(h, 37, 12))::BIGINT) AS d FROM f GROUP BY lang)
+SELECT lang, n AS files, substr(sha256(concat_ws('|', n::VARCHAR, a::VARCHAR, b::VARCHAR, c::VARCHAR, d::VARCHAR)), 1, 16) AS fingerprint FROM s""")
 def fingerprint(spark, sf):
     files = table(spark, sf, "documents").select("lang", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"))
     return analytics.fingerprint(files, ["lang"])

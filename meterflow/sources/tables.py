@@ -13,28 +13,46 @@ LOG_COLUMNS = "original_filename final_filename serial_id account_id reading las
 PHOTO_TYPES = (".jpg", ".jpeg", ".png")
 
 
-def dialect(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) of a CSV file, by its first line: UTF-8 unless its bytes are none, then Windows-1251; ; where it is the more frequent."""
-    head = spark.read.text(path).limit(1).select(F.encode("value", "UTF-8").alias("b")).first()
-    line = bytes(head["b"]).decode("utf-8", "replace") if head else ""
-    return (";" if line.count(";") > line.count(",") else ","), ("windows-1251" if "�" in line else "utf-8")
+#: What the upper half of the bytes means in ISO 8859-1, which Spark reads, and in Windows-1251.
+_LATIN = bytes(range(128, 256)).decode("latin-1")
+_CYRILLIC = bytes(range(128, 256)).decode("cp1251", "replace")
+
+
+def dialect(spark: SparkSession, path: str) -> tuple[str, bool, bool]:
+    """(separator, whether the bytes are Windows-1251, whether cells span lines) of a CSV file.
+
+    ; separates where the first line has more of it than commas. The file is UTF-8 unless one of its lines is no valid
+    UTF-8; a line with an odd number of quotes opens a cell that goes on. One pass over all lines, on executors.
+    """
+    lines = spark.read.text(path)
+    head = lines.limit(1).select(F.length(F.regexp_replace("value", "[^;]", "")) > F.length(F.regexp_replace("value", "[^,]", ""))).first()
+    odd = F.length(F.regexp_replace(F.make_valid_utf8("value"), '[^"]', "")) % 2 == 1
+    cyrillic, spans = lines.agg(F.bool_or(~F.is_valid_utf8("value")), F.bool_or(odd)).first()
+    return (";" if head and head[0] else ","), bool(cyrillic), bool(spans)
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file as text columns with trimmed names and cells, '' for missing, row_order in the order of the file.
 
-    Columns without name are left out, as are rows without any cell. An empty file has no columns but row_order.
+    Columns without name are left out, as are rows without any cell; of columns with one name the first counts. An empty
+    file has no columns but row_order. A file whose cells stay in their lines is read in parts.
     """
-    separator, encoding = dialect(spark, path)
-    if encoding != "utf-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", True)  # Spark takes other charsets only so
-    rows = spark.read.csv(path, sep=separator, encoding=encoding, header=True, inferSchema=False, multiLine=True)
-    names = [(c, c.lstrip("﻿").strip()) for c in rows.columns]
-    named = [(c, n) for c, n in names if n and not n.startswith("_c")]
+    separator, cyrillic, spans = dialect(spark, path)
+    options = {"sep": separator, "encoding": "ISO-8859-1" if cyrillic else "UTF-8", "multiLine": spans, "quote": '"', "escape": '"'}
+    head = spark.read.csv(path, header=False, inferSchema=False, **options).first()
+    names: dict[str, int] = {}
+    for k, n in enumerate(head or ()):
+        n = (n or "").lstrip("\ufeff").strip()
+        n = n.translate(str.maketrans(_LATIN, _CYRILLIC)).strip() if cyrillic else n
+        if n:
+            names.setdefault(n, k)
+    schema = ", ".join(f"c{k} string" for k in range(len(head or ()))) or "c0 string"
+    rows = spark.read.csv(path, header=True, schema=schema, **options)
+    cell = lambda k: F.translate(F.col(f"c{k}"), _LATIN, _CYRILLIC) if cyrillic else F.col(f"c{k}")
     blank = r"(?U)^\s+|\s+$"
-    cells = [F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), blank, "").alias(n) for c, n in named]
+    cells = [F.regexp_replace(F.coalesce(cell(k), F.lit("")), blank, "").alias(n) for n, k in names.items()]
     out = rows.select(*cells, F.monotonically_increasing_id().alias("row_order"))
-    return out.where(reduce(lambda a, b: a | b, [F.col(f"`{n}`") != "" for _, n in named])) if named else out.limit(0)
+    return out.where(reduce(lambda a, b: a | b, [F.col(f"`{n}`") != "" for n in names])) if names else out.limit(0)
 
 
 def register(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

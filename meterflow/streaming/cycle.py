@@ -6,19 +6,21 @@ failure leaves one copy; all other tables are derived from these rows.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.lookups import in_register, pick_last
 from ..operators.photos import WAITING, meaningful
-from ..operators.states import photo_state
+from ..operators.states import first_success, photo_state
 
 #: The state store, and the columns of a result that decisions need.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RESULT = "seq long, account string, photo_hash string, outcome string"
 
@@ -52,15 +54,18 @@ class FirstSuccess(StatefulProcessor):
 
 
 def first_success_stream(results: DataFrame) -> DataFrame:
-    """results (RESULT) with decided, keyed by account; the state holds one number for each account of the month."""
-    return results.groupBy("account").transformWithStateInPandas(FirstSuccess(), f"{RESULT}, decided string", "Append", "None")
+    """results (RESULT) with decided: successes are keyed by account, and the state holds one number for each account of the month.
+
+    All other results pass by the state: most of them have no account, and would be one group.
+    """
+    good = F.coalesce(F.col("outcome").isin("PLUS", "MINUS"), F.lit(False))
+    keyed = results.where(good).groupBy("account").transformWithStateInPandas(FirstSuccess(), f"{RESULT}, decided string", "Append", "None")
+    return keyed.unionByName(results.where(~good).withColumn("decided", F.col("outcome")))
 
 
 def first_success_batch(results: DataFrame) -> DataFrame:
     """The same of a whole table."""
-    good = F.col("outcome").isin("PLUS", "MINUS")
-    n = F.row_number().over(Window.partitionBy("account", good).orderBy("seq"))
-    return results.select("seq", "account", "photo_hash", "outcome", F.when(good & (n > 1), "REPEAT").otherwise(F.col("outcome")).alias("decided"))
+    return first_success(results.select("seq", "account", "photo_hash", "outcome"))
 
 
 def distinct_contents(photos: DataFrame) -> DataFrame:
@@ -82,14 +87,28 @@ def idempotent_sink(folder: str, transform: Callable[[DataFrame], DataFrame] | N
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """All that is there now, in batches, then the end; the checkpoint makes the next run go on where this one stopped.
 
-    State is kept in RocksDB, which the stateful operators need and which does not hold it in the heap.
+    State is kept in RocksDB, which the stateful operators need and which does not hold it in the heap; the session's own
+    provider is in place again when the query has ended.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    own = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(PROVIDER, own) if own else conf.unset(PROVIDER)
     return query
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it names none and runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp()
+
+
 def reread(log: DataFrame, register: DataFrame, all_errors: bool = False) -> DataFrame:
     """(folder, name, serial): photos to read again: after a crash, with a serial that the register has by now, or all errors.
 

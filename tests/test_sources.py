@@ -22,6 +22,22 @@ def test_register(spark, tmp_path, separator, encoding):
         tables.register(spark, str(path), NAMES | {"last": "none"})
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "cp1251"])
+def test_encoding_of_the_whole_file_and_plain_names(spark, tmp_path, encoding):
+    rows = ["account;serial;_code;;_c1", *(f"{k};7;x;;" for k in range(500)), "A-9;8;улица Мира;dropped;н"]
+    (tmp_path / "late.csv").write_bytes("\n".join(rows).encode(encoding))
+    got = tables.csv(spark, str(tmp_path / "late.csv"))
+    assert got.columns == ["account", "serial", "_code", "_c1", "row_order"] and got.count() == 501
+    assert tuple(got.where("account = 'A-9'").first())[:4] == ("A-9", "8", "улица Мира", "н")
+
+
+def test_cells_that_span_lines(spark, tmp_path):
+    (tmp_path / "quoted.csv").write_text('a,b\n1,"first\nsecond, ""third"""\n2,\n')
+    assert [tuple(r)[:2] for r in tables.csv(spark, str(tmp_path / "quoted.csv")).orderBy("row_order").collect()] == [("1", 'first\nsecond, "third"'), ("2", "")]
+    (tmp_path / "empty.csv").write_text("")
+    assert tables.csv(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
 def test_log(spark, tmp_path):
     assert tables.log(spark, str(tmp_path / "none.csv")).count() == 0
     (tmp_path / "old.csv").write_text("original_filename,outcome\na.jpg,PLUS\n")
