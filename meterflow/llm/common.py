@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task; one longer document is a slice of its own.
 SLICE_BYTES = 1 << 19
@@ -172,6 +173,17 @@ def lowered(texts: Texts) -> np.ndarray:
     return np.where((d >= 65) & (d <= 90), d + np.uint8(32), d).astype(np.uint8)
 
 
+def chunk_pairs(rows: DataFrame, chunks, name: str = "node") -> DataFrame:
+    """rows with `mine`, `i` and `j`: a key of several chunks is dealt so that every two of them, and each by itself, meet in one group.
+
+    chunks: the number for a row's key; `mine` is the row's own by the hash of `name`.
+    """
+    rows = rows.withColumn("_chunks", F.greatest(F.lit(1), chunks).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(name), F.col("_chunks")).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: F.struct(F.least(c, F.col("mine")).alias("i"), F.greatest(c, F.col("mine")).alias("j")))
+    return rows.withColumn("_p", F.explode(each)).withColumns({"i": F.col("_p.i"), "j": F.col("_p.j")}).drop("_p", "_chunks")
+
+
 class Bloom:
     """A Bloom filter of 64-bit keys with about ten bits a key; its size is known before it is built."""
 

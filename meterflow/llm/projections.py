@@ -27,7 +27,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mixed
+from .common import checkpointed, chunk_pairs, mixed
 from .components import components, forest
 
 #: Cells and windows in standard deviations of a linked pair's difference on a line; vectors of a label that a vector meets by chance in a table.
@@ -127,17 +127,6 @@ def reached(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _dealt(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """rows with `group`, `i` and `j`: a key of over `block` rows is cut into chunks, of which every two meet in one group.
-
-    A row's chunk is `mine`; groups of one chunk (i = j) count the pairs in it, the others those between i and j.
-    """
-    rows = rows.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col(size) * 2 / block)).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("mine")).alias("i"), F.greatest(c, F.col("mine")).alias("j")))
-    return rows.withColumn("p", F.explode(each)).withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p", "chunks")
-
-
 def embedding_links(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.999) -> DataFrame:
     """(vec_id, n_links, component_id) for each row of vectors (vec_id, embedding, label).
 
@@ -209,7 +198,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     apart = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     crowds = crowds.join(so_far, "node", "left").withColumn("c", F.coalesce("component", "node"))
     parted = crowds.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("cell")
-    open_ = _dealt(crowds.join(parted, "cell").select("cell", "node", "size"), "cell", "size", BLOCK)
+    open_ = chunk_pairs(crowds.join(parted, "cell").select("cell", "node", "size"), F.ceil(F.col("size") * 2 / BLOCK))
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"a": [], "b": []}).astype("int64")]
@@ -265,5 +254,5 @@ def _neighbours(members: DataFrame, cosine: float) -> DataFrame:
             n -= copies  # a vector is not its own neighbour
         return pd.DataFrame({"node": part["node"], "n": n})
 
-    blocks = _dealt(wide, "component", "size", BLOCK).groupBy("component", "i", "j").applyInPandas(count, "node long, n long")
+    blocks = chunk_pairs(wide, F.ceil(F.col("size") * 2 / BLOCK)).groupBy("component", "i", "j").applyInPandas(count, "node long, n long")
     return sure.unionAll(blocks).groupBy("node").agg(F.sum("n").alias("n"))

@@ -8,7 +8,8 @@ links that they find, not the pairs.
 
 Word shingles owe a similarity, not a number of bits: near_similar takes as candidates the texts that share one of their
 least shingle hashes and whose fingerprints of 256 bits over distinct shingles are within a radius that a pair of the
-similarity hardly exceeds, and links those whose exact shingle sets are similar enough.
+similarity hardly exceeds. Candidates are sent as a spanning forest; its components hold every pair that may be linked,
+and in each the exact shingle sets are searched from one text to those it reaches.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, bloom_of, checkpointed, slices
+from .common import Bloom, bloom_of, checkpointed, chunk_pairs, slices
 from .components import components, forest
 
 #: Members of a group that are compared in one task; larger groups are compared chunk by chunk.
@@ -35,8 +37,8 @@ LEAST = 10
 #: Words of 64 bits of the fingerprint that parts candidates from chance meetings.
 WORDS = 4
 WORD_COLUMNS = [f"w{n}" for n in range(WORDS)]
-#: Bytes up to which a filter of the texts to verify is broadcast.
-FILTER_BYTES = 64 << 20
+#: Bytes up to which a filter of the texts to verify is broadcast, and shingle hashes that are searched in one task.
+FILTER_BYTES, HASHES = 64 << 20, 4_000_000
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 64, 12, dtype=np.uint64)
 
 
@@ -288,7 +290,7 @@ def radius(similarity: float, bits: int = 64, loss: float = 1e-6) -> int:
 
 
 def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of kinds (node, size, least, w0 to the last word) that share a least hash and may be as similar as that."""
+    """Links (a, b) that connect all kinds (node, size, least, w0 to the last word) which share a least hash and may be as similar as that."""
     bits, wide = radius(similarity), radius(similarity, 64 * WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +298,41 @@ def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
             for i, j in near_pairs(fp.view(np.uint64), np.unique(group, return_inverse=True)[1], bits):
                 away = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (fp, *more))  # signed, it would count the magnitude's bits
                 fit = (away <= wide) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-                a, b = node[i[fit]], node[j[fit]]
-                yield _links_of(np.minimum(a, b), np.maximum(a, b))
+                yield _links_of(*forest(node[i[fit]], node[j[fit]]))
 
     keys = kinds.select(F.col("w0").alias("fp"), F.col("size").alias("shingles"), "node", *WORD_COLUMNS[1:], F.explode("least").alias("key"))
-    keys = keys.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
-    return _dealt(keys, ["key"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return _dealt(keys.join(sizes, "key"), ["key"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect all sets of sorted distinct hashes with at least this Jaccard similarity; two empty sets are equal.
+
+    From one set after the other that has been reached, the common hashes of all sets not yet reached are counted at once.
+    """
+    size = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)[1].astype(np.int32)
+    ends = np.cumsum(size)
+    starts, held = ends - size, np.zeros(len(flat) + 1, bool)
+    a, b, rest = [], [], np.arange(len(sets))
+    while len(rest):
+        front, rest = [int(rest[0])], rest[1:]
+        own = np.concatenate([flat[starts[k] : ends[k]] for k in rest]) if len(rest) else flat[:0]
+        while front and len(rest):
+            one = front.pop()
+            held[flat[starts[one] : ends[one]]] = True
+            sums = np.concatenate([[0], np.cumsum(held[own])])
+            held[flat[starts[one] : ends[one]]] = False
+            to = np.cumsum(size[rest])
+            both = sums[to] - sums[to - size[rest]]
+            near = both / np.maximum(size[rest] + size[one] - both, 1) >= similarity if size[one] else size[rest] == 0
+            if near.any():
+                a += [one] * int(near.sum())
+                b += rest[near].tolist()
+                front += rest[near].tolist()
+                own = own[np.repeat(~near, size[rest])]
+                rest = rest[~near]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -309,8 +340,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
 
     Equal sets are one node; null and empty texts have the empty set, and are linked with each other. Every row's text
     links, also one without doc_id, but only ids name a component. Of two texts, one shared hash among the LEAST least
-    makes a candidate; the exact sets decide. Each candidate is verified first against the smallest it meets, then only
-    pairs whose ends are not linked yet, so that a large class is not verified pair by pair.
+    makes a candidate; the exact sets decide. Candidates are sent as a forest, and the texts of each of its components are
+    searched together, in chunks where they are many, so that no pairs of a large class are sent.
     """
     rows = _similar(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k, similarity)
     names = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -328,38 +359,35 @@ def _similar(texts: DataFrame, k: int, similarity: float) -> DataFrame:
                 out.append((_node(own), len(own), own[:LEAST].view(np.int64).tolist(), signature(own)))
             node, size, least, words = zip(*out)
             words = np.array(words, np.uint64).view(np.int64).T
-            columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(least, pa.list_(pa.int64())), *map(pa.array, words)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "least", *WORD_COLUMNS])
-
-    rows = checkpointed(texts.mapInArrow(sketch, "doc_id long, node long, size long, least array<long>, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)))
-    kinds = rows.dropDuplicates(["node"])
-    pairs = checkpointed(_candidates(kinds, similarity))
-    nodes = checkpointed(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
-    count = nodes.count()
-    wanted = None
-    if Bloom.size(count) <= FILTER_BYTES:
-        wanted = texts.sparkSession.sparkContext.broadcast(bloom_of(nodes, count))
+            columns = [batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(least, pa.list_(pa.int64())), *map(pa.array, words)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "own", "node", "size", "least", *WORD_COLUMNS])
+
+    texts = texts.withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = checkpointed(texts.mapInArrow(sketch, "doc_id long, own long, node long, size long, least array<long>, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)))
+    clusters = components(checkpointed(_candidates(rows.dropDuplicates(["node"]), similarity))).withColumnRenamed("component", "cluster")
+    members = rows.groupBy("node").agg(F.min("own").alias("own"), F.max("size").alias("size")).join(clusters, "node")
+    members = checkpointed(members.select("cluster", "node", "own", "size"))
+    count = members.count()
+    wanted = texts.sparkSession.sparkContext.broadcast(bloom_of(members.select("own"), count)) if Bloom.size(count) <= FILTER_BYTES else None
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            node = np.array([_node(s) for s in sets], np.int64)
-            at = np.flatnonzero(wanted.value.holds(node)) if wanted is not None else np.arange(len(node))
-            lists = pa.array([sets[n].view(np.int64) for n in at], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(node[at], pa.int64()), lists], ["node", "own"])
-
-    sets = checkpointed(texts.mapInArrow(whole, "node long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-
-    def verified(some: DataFrame) -> DataFrame:
-        met = some.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return met.where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
-
-    star = checkpointed(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    so_far = components(star)
-    end = lambda c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    apart = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    found = components(star.unionAll(verified(apart)))
+            own = batch.column(1).to_numpy()
+            at = np.flatnonzero(wanted.value.holds(own)) if wanted is not None else np.arange(len(own))
+            sets = [shingles(batch.column(0)[int(n)].as_py(), k).view(np.int64) for n in at]
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(sets, pa.list_(pa.int64()))], ["own", "hashes"])
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        p, q = alike([np.asarray(s, np.int64) for s in part["hashes"]], similarity)
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"a": node[p], "b": node[q]}).astype("int64")
+
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("sum"))
+    chunks = F.greatest(F.ceil(F.col("many") * 2 / GROUP), F.ceil(F.col("sum") * 2 / HASHES))
+    dealt = chunk_pairs(members.join(sizes, "cluster"), F.when((F.col("many") <= GROUP) & (F.col("sum") <= HASHES), F.lit(1)).otherwise(chunks).cast("int"))
+    sets = texts.select("text", "own").mapInArrow(whole, "own long, hashes array<long>").join(members.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"])
+    met = dealt.select("cluster", "i", "j", "node", "own").join(checkpointed(sets), "own")
+    found = components(checkpointed(met.groupBy("cluster", "i", "j").applyInPandas(search, "a long, b long")))
     return rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
 
 

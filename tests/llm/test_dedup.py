@@ -237,6 +237,17 @@ def test_similar_components_against_brute_force(spark, monkeypatch):
     assert simhash.similar_components(edge.empty(spark)).count() == 0
 
 
+def test_exact_search_of_sets():
+    rng = np.random.default_rng(17)
+    base = [rng.integers(0, 1 << 40, 60) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rng.choice(x, 56, replace=False), rng.integers(0, 1 << 40, rng.integers(0, 9))])) for x in base for _ in range(15)] + [np.zeros(0, np.int64)] * 2
+    a, b = simhash.alike(sets, 0.8)
+    own = [set(x.tolist()) for x in sets]
+    near = {(i, j) for i in range(len(own)) for j in range(len(own)) if i != j and (own[i] == own[j] or len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]))}
+    assert set(zip(a.tolist(), b.tolist())) <= near and len(a) < len(sets)
+    assert lowest(zip(a.tolist(), b.tolist()), range(len(sets))) == lowest(near, range(len(sets)))
+
+
 def test_signatures_of_similar_sets_lie_within_the_radius():
     rng = np.random.default_rng(12)
     for n in (9, 18, 90, 450):
