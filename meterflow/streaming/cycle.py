@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.decisions import Limits, decided, log_rows
 from ..operators.lookups import in_register, pick_last
 from ..operators.photos import WAITING, meaningful
 from ..operators.states import first_success, photo_state
@@ -151,3 +152,26 @@ class CloseWaiting(StatefulProcessor):
 def close_waiting_stream(results: DataFrame) -> DataFrame:
     """The REPEAT rows (seq of the closed row, account, photo_hash, outcome) that readings among results (RESULT) give."""
     return results.groupBy("account").transformWithStateInPandas(CloseWaiting(), RESULT, "Append", "None")
+
+
+def run_month(spark: SparkSession, photos: str, schema: StructType, register: DataFrame, log: DataFrame, folder: str, limits: Limits | None = None, per_batch: int = 1) -> None:
+    """Decides the photos that come as files into a folder, batch by batch; results are in <folder>/results, in one part for each batch.
+
+    A batch sees the register and log as the batches before it left them: their rows are in the log, and accounts with a
+    PLUS or MINUS have their reading. Both are derived from the results, so that one write is all that a batch does: it
+    is whole or done again. Photos whose reading failed come with `failed` and stay as ERROR, to be read again later.
+    """
+
+    def decide(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        seen, known = log, register
+        if number:
+            before = session.read.parquet(f"{folder}/results").where(F.col("batch") < number)
+            names = session.read.schema(schema).option("recursiveFileLookup", True).parquet(photos)
+            seen = log.unionByName(log_rows(before, names), allowMissingColumns=True)
+            filled = before.where("outcome in ('PLUS', 'MINUS')").select("account", F.lit(True).alias("_filled")).distinct()
+            known = register.join(filled, "account", "left").withColumn("filled", F.coalesce("filled", F.lit(False)) | F.coalesce("_filled", F.lit(False))).drop("_filled")
+        decided(batch, known, seen, limits).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).parquet(photos)
+    run_available(stream, decide, f"{folder}/state")
