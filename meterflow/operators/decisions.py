@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import lookup_variants
 from . import notes
+from .lineage import cut
 from .lookups import prioritised
 from .photos import duplicates, processed
 
@@ -75,29 +77,30 @@ def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limi
         "first": F.when(F.col("taken"), F.col("table_first")).otherwise(F.col("first")),
         "among": F.coalesce(F.when(F.col("taken"), F.col("table_among")).otherwise(F.col("among")), no),
     })
-    rows = rows.withColumn("read_serial", F.when(F.col("first").isNotNull(), F.col("first.found_serial")).otherwise(F.col("serial")))
+    rows = cut(rows.withColumn("read_serial", F.when(F.col("first").isNotNull(), F.col("first.found_serial")).otherwise(F.col("serial"))))
 
     # another account where the serial gave none: the marker's, then the note's
     named = reg.groupBy("account").agg(F.min(F.struct("row_order", "account", "register_last", "filled", F.col("serial").alias("found_serial"))).alias("named"), F.collect_set("serial").alias("serials"))
     confident = F.col("marker").isNotNull() & (F.col("marker_conf") >= limits.marker)
     helped = rows.where(F.col("failure").isNotNull() & confident).select("photo", F.col("marker").alias("account"), F.col("failure").alias("outcome"), F.col("read_serial").alias("serial"), "among")
-    helped = helped.join(named, "account").withColumn("ambiguous", F.when(F.col("among"), F.array("account")).otherwise(F.array().cast("array<string>")))
-    helped = notes.rescued(helped).where("rescued is not null").select("photo", F.col("named").alias("marker_row"))
+    agrees = (F.coalesce("serial", F.lit("")) != "") & F.exists("serials", lambda t: F.exists(lookup_variants(F.col("serial")), lambda v: F.levenshtein(v, t) <= 1))
+    takes = F.when(F.col("outcome") == "SERIAL_AMBIGUOUS", F.col("among")).otherwise((F.col("outcome") == "NO_SERIAL") | agrees)
+    helped = helped.join(named, "account").where(takes).select("photo", F.col("named").alias("marker_row"))
     rows = rows.join(helped, "photo", "left")
     lasts = register.select(F.col("account").cast("string").alias("account"), F.col("last").cast("double").alias("last"))
     if "lines" in photos.columns:
         told = notes.interpreted(rows.where(F.col("failure").isNotNull() & F.col("marker_row").isNull() & F.col("has_note")).select("photo", "lines", text.alias("account"), F.col("reading").alias("barrel"), "unread"), lasts)
-        told = told.where("account is not null").select("photo", "account").join(rows.select("photo", F.col("failure").alias("outcome"), F.col("read_serial").alias("serial"), F.trim("serial").alias("plate")), "photo").join(named, "account")
+        told = cut(told.where("account is not null").select("photo", "account")).join(rows.select("photo", F.col("failure").alias("outcome"), F.col("read_serial").alias("serial"), F.trim("serial").alias("plate")), "photo").join(named, "account")
         rivals = prioritised(told.where("outcome = 'SERIAL_AMBIGUOUS'").select("photo", F.col("account").alias("asked"), F.col("plate").alias("serial_read")), reg).where("account = asked").select("photo", F.col("asked").alias("rival")).distinct()
         told = told.join(rivals, "photo", "left").withColumn("ambiguous", F.when(F.col("rival").isNotNull(), F.array("account")).otherwise(F.array().cast("array<string>")))
         told = notes.rescued(told).where("rescued is not null").select("photo", F.col("named").alias("note_row"))
-        rows = rows.join(told, "photo", "left")
+        rows = cut(rows.join(told, "photo", "left"))
     else:
         rows = rows.withColumn("note_row", F.lit(None).cast(rows.schema["marker_row"].dataType))
     rows = rows.withColumn("row", F.when(F.col("failure").isNull() & open_, F.col("first")).otherwise(F.coalesce("marker_row", "note_row")))
     if "lines" in photos.columns:
         known = notes.interpreted(rows.where("row is not null and has_note").select("photo", "lines", F.col("row.account").alias("account"), F.lit(None).cast("bigint").alias("barrel"), "unread"), lasts)
-        rows = rows.join(known.select("photo", F.col("reading").alias("note_reading"), F.col("conflict").alias("note_conflict")), "photo", "left")
+        rows = cut(rows.join(known.select("photo", F.col("reading").alias("note_reading"), F.col("conflict").alias("note_conflict")), "photo", "left"))
     else:
         rows = rows.withColumns({"note_reading": F.lit(None).cast("bigint"), "note_conflict": F.lit(None).cast("boolean")})
 

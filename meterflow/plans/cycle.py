@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import analytics, events, lookups, photos, register
+from ..operators import analytics, events, lineage, lookups, photos, register
 from ..streaming import cycle
 from . import analogs as A
 from .analogs import table, with_
@@ -109,7 +109,7 @@ def checked(spark, sf):
 @query("t02_first_success_stream", with_("log", """SELECT seq, account, CASE WHEN outcome IN ('PLUS', 'MINUS') AND row_number() OVER (PARTITION BY account, outcome IN ('PLUS', 'MINUS') ORDER BY seq) > 1 THEN 'REPEAT' ELSE outcome END AS decided FROM log"""))
 def first_success_stream(spark, sf):
     """The stateful stream over the events file, all that is there, written batch by batch to the shared folder and read again."""
-    folder = f"{cycle.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = A.log(spark, sf).select("seq", "account", "photo_hash", "outcome")
     rows.write.parquet(f"{folder}/in")
     stream = cycle.first_success_stream(cycle.new_files(spark, f"{folder}/in", cycle.RESULT))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions
+from ..operators import decisions, lineage
 from ..streaming import cycle
 from . import analogs as A
 from .analogs import with_
@@ -36,7 +36,7 @@ s3 AS (SELECT s2.* EXCLUDE (failure, f, among), CASE WHEN tn IS NOT NULL THEN CA
  coalesce(CASE WHEN tn IS NOT NULL THEN tamong ELSE among END, FALSE) AS among FROM s2 LEFT JOIN byt USING (photo)),
 s4 AS (SELECT *, CASE WHEN f IS NOT NULL THEN f.serial ELSE serial END AS read_serial, marker IS NOT NULL AND marker_conf >= 0.5 AS sure FROM s3),
 named AS (SELECT account, min({'row_order': row_order, 'account': account, 'last': last, 'filled': filled, 'serial': serial}) AS nf, list(DISTINCT serial) AS serials FROM reg GROUP BY account),
-helped AS (SELECT photo, nf FROM s4 JOIN named ON named.account = marker WHERE failure IS NOT NULL AND sure AND CASE failure WHEN 'SERIAL_AMBIGUOUS' THEN among WHEN 'NO_SERIAL' THEN TRUE WHEN 'SERIAL_LOW_CONF' THEN TRUE
+helped AS (SELECT photo, nf FROM s4 JOIN named ON named.account = marker WHERE failure IS NOT NULL AND sure AND CASE failure WHEN 'SERIAL_AMBIGUOUS' THEN among WHEN 'NO_SERIAL' THEN TRUE
   ELSE coalesce(read_serial, '') <> '' AND len(list_filter(serials, lambda t: least(levenshtein(read_serial, t), levenshtein('0' || read_serial, t), levenshtein('00' || read_serial, t)) <= 1)) > 0 END),
 s5 AS (SELECT s4.*, CASE WHEN failure IS NULL AND open THEN f ELSE nf END AS r FROM s4 LEFT JOIN helped USING (photo)),
 s6 AS (SELECT *, failure IS NULL AND sure AND marker <> r.account AS against FROM s5),
@@ -84,7 +84,7 @@ def photo_decisions(spark, sf):
 @query("t09_batches_equal", with_("register reads log", "").rstrip() + f", {_APART}, {_DECIDED}")
 def batches_equal(spark, sf):
     """The same photos, each a file of its own name, in three batches of a stream: the rows of one run over all of them."""
-    folder = f"{cycle.shared_folder(spark)}/month-{uuid.uuid4().hex}"
+    folder = f"{lineage.shared_folder(spark)}/month-{uuid.uuid4().hex}"
     rows = _photos(spark, sf, apart=True)
     most = rows.agg(F.max("photo")).first()[0] or 0
     day = F.least(F.floor(F.col("photo") * 3 / F.lit(most + 1)), F.lit(2)).cast("int")

@@ -6,7 +6,6 @@ failure leaves one copy; all other tables are derived from these rows.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -102,14 +101,6 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return query
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it names none and runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp()
-
-
 def reread(log: DataFrame, register: DataFrame, all_errors: bool = False) -> DataFrame:
     """(folder, name, serial): photos to read again: after a crash, with a serial that the register has by now, or all errors.
 
