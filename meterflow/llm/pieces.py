@@ -105,17 +105,24 @@ _PRE = re.compile(f"{SPACE}?[^{SPACE}\n\t]+|{SPACE}+(?={SPACE})|{SPACE}|[\n\t]+"
 
 
 class Table(dict):
-    """Values of distinct keys, made when first asked for; long keys aren't kept, and a full table is begun again."""
+    """Values of distinct keys, made when first asked for; long keys aren't kept.
+
+    A full table becomes the older one, from which keys that are asked for again come back; what nobody asked for since
+    goes when the next is full.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
-            self.clear()
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if isinstance(key, int) or len(key) <= 64:
+            if len(self) >= CACHED:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 
