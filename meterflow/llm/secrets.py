@@ -25,7 +25,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
@@ -122,10 +122,18 @@ FEATURES = 3 + len(PAIRS) + 4 + 9 + SLOTS
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of LETTERS letters or more, counted over all whole texts; equals come in the order of the words."""
+    """The words of LETTERS letters or more that are so frequent in all whole texts that at most `size` words are: the commonest first.
+
+    The least count is found from the numbers of words of each count, so that only the dictionary reaches the driver.
+    """
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= LETTERS)
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return [r["w"] for r in top.collect()]  # at most `size` words
+    counts = checkpointed(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    by = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    reached = F.sum("words").over(Window.orderBy(F.desc("n")))  # one row for each distinct count: a square root of the corpus at most
+    least = by.withColumn("reached", reached).where(F.col("reached") <= size).agg(F.min("n")).first()[0]
+    if least is None:
+        return []
+    return [r["w"] for r in sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["w"]))]
 
 
 def _automaton(words: list[str]) -> ahocorasick.Automaton:
@@ -243,8 +251,9 @@ def planted(docs: DataFrame, words: Broadcast, most: int = PLANTED_DOCS) -> Data
     documents held before has none and is left out. The draw depends on doc_id and text alone.
     """
     text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, PLANTED_CHARS)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null")
-    some = some.withColumn("seed", F.xxhash64("doc_id", "text")).orderBy(F.xxhash64("doc_id", F.lit(4)), "seed").limit(most)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id is not null").withColumn("seed", F.xxhash64("doc_id", "text"))
+    picked = some.select("doc_id", "seed").orderBy(F.xxhash64("doc_id", F.lit(4)), "seed").limit(most).distinct()  # numbers only; then `most` texts
+    some = some.join(F.broadcast(picked), ["doc_id", "seed"], "left_semi").dropDuplicates(["doc_id", "seed"]).select("doc_id", "text", "seed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _automaton(words.value)

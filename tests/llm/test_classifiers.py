@@ -192,7 +192,7 @@ def test_features_are_finite():
 def test_dictionary_counts_whole_texts(spark):
     docs = edge.frame(spark, ["horse horse Battery", None, "", "battery HORSE cat x", "naïveté"])
     assert secrets.dictionary(docs)[:2] == ["horse", "battery"] and "naïveté" in secrets.dictionary(docs) and "cat" not in secrets.dictionary(docs)
-    assert secrets.dictionary(docs, 1) == ["horse"] and secrets.dictionary(edge.empty(spark)) == []
+    assert secrets.dictionary(docs, 1) == ["horse"] and secrets.dictionary(docs, 0) == [] and secrets.dictionary(edge.empty(spark)) == []
 
 
 def test_forest_beats_each_rule_on_held_out_findings(spark):
