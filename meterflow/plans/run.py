@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, lineage
+from ..operators import decisions, lineage, lookups, photos, session, states
 from ..streaming import cycle
 from . import analogs as A
 from .analogs import with_
@@ -92,3 +93,63 @@ def batches_equal(spark, sf):
         rows.where(day == n).coalesce(1).write.parquet(f"{folder}/in/day={n}")
     cycle.run_month(spark, f"{folder}/in", rows.schema, _register(spark, sf), _log(spark, sf), folder, LIMITS)
     return spark.read.parquet(f"{folder}/results").drop("batch")
+
+
+_DECISIONS = """decisions AS (SELECT photo AS seq, 'p' || photo::VARCHAR || '.jpg' AS name, ['accept', 'serial_fix', 'duplicate', 'unreadable', 'not_in_db'][photo % 5 + 1] AS kind, serial_read AS serial,
+ CASE WHEN photo % 7 = 0 THEN 'X' || owner ELSE owner END AS account, reading, CASE WHEN photo % 2 = 0 THEN 'SUSPICIOUS' ELSE 'PLUS' END AS outcome FROM reads)"""
+
+
+def _operator(spark, sf):
+    k = F.col("photo")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("accept", "serial_fix", "duplicate", "unreadable", "not_in_db")]), (k % 5 + 1).cast("int"))
+    account = F.when(k % 7 == 0, F.concat(F.lit("X"), "owner")).otherwise(F.col("owner"))
+    return A.reads(spark, sf).select(k.alias("seq"), F.concat(F.lit("p"), k.cast("string"), F.lit(".jpg")).alias("name"), kind.alias("kind"), F.col("serial_read").alias("serial"), account.alias("account"), "reading", F.when(k % 2 == 0, "SUSPICIOUS").otherwise("PLUS").alias("outcome"))
+
+
+@query("r16_session_log", with_("register reads", "").rstrip() + f", {_DECISIONS}" + """
+SELECT seq, name, CASE WHEN kind IN ('accept', 'serial_fix', 'not_in_db') THEN d.serial ELSE '' END AS serial, CASE WHEN kind IN ('accept', 'serial_fix') THEN d.account ELSE '' END AS account,
+ CASE WHEN kind IN ('accept', 'serial_fix') THEN reading END AS reading, CASE WHEN kind IN ('accept', 'serial_fix') THEN last END AS last, CASE WHEN kind IN ('accept', 'serial_fix') THEN reading - last END AS delta,
+ CASE kind WHEN 'duplicate' THEN 'REPEAT' WHEN 'unreadable' THEN 'UNREADABLE' WHEN 'not_in_db' THEN 'NOT_IN_DB' ELSE CASE WHEN outcome <> 'SUSPICIOUS' THEN outcome WHEN coalesce(reading - last, 0) >= 0 THEN 'PLUS' ELSE 'MINUS' END END AS outcome,
+ 'manual' AS source, CASE WHEN kind = 'not_in_db' THEN 'meter is not in the register' ELSE '' END AS notes FROM decisions d LEFT JOIN register r ON r.account = d.account""")
+def session_log(spark, sf):
+    return session.log_rows(_operator(spark, sf), A.register(spark, sf))
+
+
+@query("r15_session_tables", with_("register reads", "").rstrip() + f", {_DECISIONS}" + """,
+taken AS (SELECT d.* FROM decisions d SEMI JOIN register r ON r.account = d.account WHERE kind IN ('accept', 'serial_fix')),
+old AS (SELECT account, last AS value FROM register WHERE row_order % 2 = 0),
+vals AS (SELECT account, value FROM (SELECT account, value, -1 AS seq FROM old UNION ALL SELECT account, reading, seq FROM taken) QUALIFY row_number() OVER (PARTITION BY account ORDER BY seq DESC) = 1),
+fixes AS (SELECT account, arg_max(serial, seq) AS fixed FROM taken WHERE kind = 'serial_fix' GROUP BY account)
+SELECT account, coalesce(fixed, serial) AS serial, value FROM register LEFT JOIN fixes USING (account) LEFT JOIN vals USING (account)""")
+def session_tables(spark, sf):
+    old = A.register(spark, sf).where("row_order % 2 = 0").select("account", F.col("last").alias("value"), F.lit("").alias("date"))
+    return session.tables_after(_operator(spark, sf), A.register(spark, sf), old)
+
+
+@query("s11_log_of_photo", with_("runs", "SELECT seq, outcome FROM runs WHERE photo_hash = sha256('p1.jpg') OR (photo_hash = '' AND name = 'p1.jpg')"))
+def log_of_photo(spark, sf):
+    key = hashlib.sha256(b"p1.jpg").hexdigest()
+    return session.log_where(A.runs(spark, sf), photo_hash=key, name="p1.jpg").select("seq", "outcome")
+
+
+@query("s12_log_of_account", with_("runs", "SELECT seq FROM runs WHERE source = 'auto' AND account = '42' AND outcome IN ('DIGITS_ERROR', 'SUSPICIOUS')"))
+def log_of_account(spark, sf):
+    return session.log_where(A.runs(spark, sf), account="42", outcomes=("DIGITS_ERROR", "SUSPICIOUS"), source="auto").select("seq")
+
+
+_QUEUE = "NO_METER SERIAL_NOT_FOUND DIGITS_ERROR SUSPICIOUS".split()
+
+
+@query("s18_question_queue", with_("runs", """, last AS (SELECT * FROM runs WHERE NOT starts_with(notes, 'copy of') QUALIFY row_number() OVER (PARTITION BY folder, name ORDER BY seq DESC) = 1)
+SELECT outcome, folder, name, row_number() OVER (ORDER BY list_position(['NO_METER', 'SERIAL_NOT_FOUND', 'DIGITS_ERROR', 'SUSPICIOUS'], outcome), folder, name) AS place FROM last WHERE outcome IN ('NO_METER', 'SERIAL_NOT_FOUND', 'DIGITS_ERROR', 'SUSPICIOUS')"""))
+def question_queue(spark, sf):
+    """Photos that wait for an operator: by the reason's rank, then folder and name."""
+    last = lookups.pick_last(photos.meaningful(A.runs(spark, sf)), ["folder", "name"], F.desc("seq")).where(F.col("outcome").isin(*_QUEUE))
+    rank = F.array_position(F.array(*[F.lit(x) for x in _QUEUE]), F.col("outcome"))
+    return session.queued(last.select("outcome", "folder", "name"), [rank, F.col("folder")], "name")
+
+
+@query("x04_report", with_("log filled last_rows", """SELECT 'source' AS section, source AS name, count(*) AS n, count(*) FILTER (outcome IN ('PLUS', 'MINUS')) AS good FROM last_rows GROUP BY source
+UNION ALL SELECT 'outcome', outcome, count(*), NULL FROM last_rows GROUP BY outcome UNION ALL SELECT 'folder', folder, count(*), count(*) FILTER (outcome IN ('PLUS', 'MINUS')) FROM last_rows GROUP BY folder"""))
+def analysis_report(spark, sf):
+    return session.report(states.last_state(states.folders_backfilled(A.log(spark, sf))))
