@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import account_variants, plausible
+from .lineage import cut
 
 #: Labels that inspectors write beside a number, and what they mean.
 LABELS = {"лс": "account", "л/с": "account", "лц": "account", "пок": "reading", "пк": "reading", "пкз": "reading"}
@@ -66,6 +67,22 @@ def _hypotheses(lines: pd.Series) -> pd.Series:
     return lines.map(hypotheses)
 
 
+def written_ways(lines: Column) -> Column:
+    """hypotheses() as a column. A note whose lines don't touch and have no 3 after к reads one way: only the others go through Python."""
+    texts = F.filter(lines, lambda t: t.isNotNull() & (t != ""))
+    label = lambda t: _meaning(F.regexp_replace(t, "(?<=к)3", "з")).isNotNull()
+    digit = lambda t, at: F.coalesce(F.substring(t, at, 1).rlike("[0-9]"), F.lit(False))
+
+    def touches(i: Column) -> Column:
+        upper, lower = F.get(texts, i), F.get(texts, i + 1)
+        return (digit(upper, -1) & (digit(lower, 1) | label(lower))) | (digit(lower, 1) & label(upper))
+
+    pairs = F.when(F.size(texts) > 1, F.sequence(F.lit(0), F.size(texts) - 2)).otherwise(F.array().cast("array<int>"))
+    one = ~F.exists(pairs, touches) & ~F.exists(texts, lambda t: t.contains("к3"))
+    own = F.when(F.size(texts) > 0, F.array(texts)).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(one, own).otherwise(_hypotheses(F.when(~one, lines)))
+
+
 def tokens(text: Column) -> Column:
     """array<struct<kind, number>>: the numbers of a line with the meaning of the label before them, or after the last one if it has none before."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
@@ -119,12 +136,13 @@ def interpreted(photos: DataFrame, register: DataFrame) -> DataFrame:
     the one account that all its numbers and the reading fit. A note that can't be read, has lines left unread, strange
     letters or numbers left over is not understood. Each photo has one row.
     """
-    asked = photos.withColumn("h", F.when(F.coalesce("unread", F.lit(0)) == 0, _hypotheses("lines")))
+    asked = photos.withColumn("h", F.when(F.coalesce("unread", F.lit(0)) == 0, written_ways(F.coalesce("lines", F.array().cast("array<string>")))))
     ways = asked.select("photo", F.col("account").alias("known"), "barrel", F.posexplode("h").alias("way", "texts"))
     alone = F.exists("texts", lambda t: _meaning(t).isNotNull() | _meaning(F.regexp_replace(t, "(?<=к)3", "з")).isNotNull())
     ways = ways.where(~F.exists("texts", strange) & ~alone).withColumn("tokens", F.flatten(F.transform("texts", tokens))).where(F.size("tokens") > 0)
+    ways = cut(ways.select("photo", "way", "known", "barrel", "tokens"))  # three joins read them
     parts = ways.select("photo", "way", "known", "barrel", F.posexplode("tokens").alias("at", "t")).select("photo", "way", "known", "barrel", "at", "t.*")
-    forms = accounts_of(parts.select("number"), account_keys(register.select("account")))
+    forms = cut(accounts_of(parts.select("number"), account_keys(register.select("account"))))
     many = forms.groupBy("number").agg(F.count(F.lit(1)).alias("forms"), F.min("account").alias("only"))
     bare = F.ltrim(F.col("number"), F.lit("0"))
     of_barrel = F.col("barrel").isNotNull() & (bare != "") & F.contains(F.col("barrel").cast("string"), bare)
