@@ -295,10 +295,12 @@ def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, fp, size, node, *more in _whole_groups(batches):
+            a = b = np.zeros(0, np.int64)  # one forest for all parts of the groups' pairs
             for i, j in near_pairs(fp.view(np.uint64), np.unique(group, return_inverse=True)[1], bits):
                 away = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int64) for w in (fp, *more))  # signed, it would count the magnitude's bits
                 fit = (away <= wide) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-                yield _links_of(*forest(node[i[fit]], node[j[fit]]))
+                a, b = forest(np.concatenate([a, node[i[fit]]]), np.concatenate([b, node[j[fit]]]))
+            yield _links_of(a, b)
 
     keys = kinds.select(F.col("w0").alias("fp"), F.col("size").alias("shingles"), "node", *WORD_COLUMNS[1:], F.explode("least").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
