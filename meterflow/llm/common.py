@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,21 +34,33 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df from files in the shared folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data that outlives executors, from spark.checkpoint.dir.
 
-    Where it names none, a local session gets a temporary folder, and a cluster an error: its executors share no local folder.
+    Where that names none, a local session gets a temporary folder, and a cluster an error: its executors share no local folder.
     """
-    spark = bounded(df.sparkSession)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from checkpoint files in the shared folder."""
+    shared_folder(bounded(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df reread from a Parquet table of its own in the shared folder, with a folder for each value of the columns `by`."""
+    at = f"{shared_folder(bounded(df.sparkSession))}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(at)
+    return df.sparkSession.read.schema(df.select(*[c for c in df.columns if c not in by], *by).schema).parquet(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, pieces, projections, quality, secrets, simhash, substrings, toxicity
+from . import decontaminate, filters, lines, negatives, pieces, projections, quality, secrets, simhash, substrings, toxicity
 from .common import checkpointed, table
 
 
@@ -64,10 +64,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0, negatives.Mining())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(*filters.text_relations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_quality, op2_line_dedup, op3_sentencepiece, op4_secret_scan, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_substring_dedup, op9_token_counts, op10_toxicity]
+    own = [op1_quality, op2_line_dedup, op3_sentencepiece, op4_secret_scan, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_substring_dedup, op9_token_counts, op10_toxicity, op12_hard_negatives, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -48,4 +48,70 @@ SELECT cut.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT
 FROM cut LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": LINE_DEDUP, "op6_embedding_dedup": EMBEDDING_DEDUP, "op8_substring_dedup": SUBSTRING_DEDUP}
+HARD_NEGATIVES = r"""
+WITH good AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END)::BIGINT AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+"""
+
+FILTER_AUDIT = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM cut GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN coalesce(cut.doc_id > first, false) THEN 'E' ELSE '' END) AS fails
+  FROM cut JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+kinds AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM flags GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+met AS (
+  SELECT part, filter_order, step, x, n, good, toxic, fails, contains(fails, x) AS failing,
+         len(list_filter(string_split(fails, ''), lambda y: y <> '' AND contains(before, y))) > 0 AS gone
+  FROM kinds, steps),
+counts AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND failing), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = x), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND failing), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE NOT gone AND failing), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM counts
+"""
+
+ORACLES = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op6_embedding_dedup": EMBEDDING_DEDUP,
+    "op8_substring_dedup": SUBSTRING_DEDUP,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_filter_audit": FILTER_AUDIT,
+}
