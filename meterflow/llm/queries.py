@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filters, lines, negatives, pieces, projections, quality, secrets, simhash, substrings, toxicity
+from . import decontaminate, extraction, filters, lines, negatives, pieces, projections, quality, secrets, simhash, substrings, toxicity
 from .common import checkpointed, table
 
 
@@ -80,7 +80,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_quality, op2_line_dedup, op3_sentencepiece, op4_secret_scan, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_substring_dedup, op9_token_counts, op10_toxicity, op12_hard_negatives, op13_filter_audit]
+    own = [op1_quality, op2_line_dedup, op3_sentencepiece, op4_secret_scan, op5_decontaminate, op6_embedding_dedup, op7_simhash, op8_substring_dedup, op9_token_counts, op10_toxicity, op11_html_extraction, op12_hard_negatives, op13_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
