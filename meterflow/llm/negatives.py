@@ -9,6 +9,8 @@ meet all shards; what the shards find is merged by rank.
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,8 @@ from .common import written
 
 #: Components of a shard and of a block of anchors, at 8 bytes each the most that a task holds of them.
 SHARD_CELLS, BLOCK_CELLS = 1 << 20, 1 << 15
-#: Blocks that a task takes to one shard.
-GROUP = 4
+#: Blocks that a task takes to one shard, where there are enough pairs of blocks and shards for as many tasks.
+GROUP, TASKS = 4, 256
 #: Rows of a leaf and children of an inner node.
 LEAF, FANOUT = 128, 8
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
@@ -129,10 +131,9 @@ class Search:
                 self.met[leaf, kind] = s[take], ids[take]
         return self.met[leaf, same]
 
-    def best(self, k: int, same: bool, least: int = LOWEST, most: int = HIGHEST) -> list[tuple[int, int]]:
-        """The k first (score, id) with scores between least and most, higher scores first, then smaller ids."""
+    def best(self, found: list[tuple[int, int]], k: int, same: bool, least: int = LOWEST, most: int = HIGHEST) -> None:
+        """Adds to the k first (score, -id) with scores between least and most; found is a heap whose root is the k-th."""
         low, high, useful, leaves = self.low, self.high, self.useful[same], self.tree.leaves
-        found: list[tuple[int, int]] = []  # (score, -id): the k-th is the root of the heap
         queue = [(-min(high[0], most), 0)]
         while queue:
             bound, node = heapq.heappop(queue)
@@ -151,7 +152,6 @@ class Search:
             for child in range(self.tree.first[node], self.tree.last[node]):
                 if useful[child] and low[child] <= most and high[child] >= least and (len(found) < k or high[child] >= found[0][0]):
                     heapq.heappush(queue, (-min(high[child], most), child))
-        return [(s, -i) for s, i in sorted(found, reverse=True)]
 
 
 def _rows(vectors: pa.Array, scale: int) -> np.ndarray:
@@ -208,6 +208,7 @@ def _search(mining: Mining):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree = None, None
+        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)  # carried from shard to shard, so that a later one is searched above the k-th
         for batch in batches:
             for r in batch.to_pylist():
                 v, a = unpacked(r["vectors"], r["n"]), unpacked(r["a_vectors"], r["a_n"])
@@ -219,19 +220,19 @@ def _search(mining: Mining):
                 if shard != (r["shard"], dims, exact):
                     shard, tree = (r["shard"], dims, exact), Tree(np.frombuffer(r["ids"], "q"), np.frombuffer(r["labels"], "q"), v)
                 rows, ids, labels = (np.frombuffer(r[x], "q") for x in ("a_rows", "a_ids", "a_labels"))
-                found: list[tuple[int, int, int, int]] = []
                 low, high = tree.bounds(a)
                 for k, positives in enumerate(r["positives"]):
                     search = Search(tree, a[k], int(ids[k]), int(labels[k]), low[k], high[k], exact)
                     if positives is None:
-                        found += [(int(rows[k]), 0, s, i) for s, i in search.best(mining.positives, True)]
+                        search.best(found[int(rows[k]), 0], mining.positives, True)
                         continue
-                    for place, score in enumerate(positives):
+                    for place, score in enumerate(positives, 1):
                         least, most = mining.window(score)
                         if least <= most:
-                            found += [(int(rows[k]), place + 1, s, i) for s, i in search.best(mining.negatives, False, least, most)]
-                columns = list(zip(*found)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64()])], ["row", "positive", "score", "id"])
+                            search.best(found[int(rows[k]), place], mining.negatives, False, least, most)
+        entries = ((row, place, score, -i) for (row, place), heap in found.items() for score, i in heap)
+        while part := list(itertools.islice(entries, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), [pa.int64(), pa.int32(), pa.int64(), pa.int64()])], ["row", "positive", "score", "id"])
 
     return run
 
@@ -244,7 +245,7 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 
 def _met(shards: DataFrame, anchors: DataFrame, n_shards: int, n_blocks: int, mining: Mining) -> DataFrame:
     """FOUND of every block of anchors in every shard: blocks go to each bucket of shards, shards to each group of blocks."""
-    groups = -(-n_blocks // GROUP)
+    groups = -(-n_blocks // GROUP) if n_shards * n_blocks > TASKS else n_blocks
     blocks = anchors.repartition(n_blocks).mapInArrow(_pack(mining.scale, BLOCK_CELLS, False), PACKED + ", positives array<array<long>>")
     blocks = blocks.select(*[F.col(c).alias(f"a_{c}") for c in ("n", "rows", "ids", "labels", "vectors")], "positives")
     blocks = blocks.withColumn("group", F.pmod(F.xxhash64("a_rows"), F.lit(groups))).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
