@@ -39,14 +39,15 @@ def _of_serial(rows: DataFrame, register: DataFrame) -> DataFrame:
     return rows.groupBy("photo").agg(F.countDistinct("account").alias("n"), first, F.bool_or(F.coalesce(F.col("account") == F.col("marker"), F.lit(False))).alias("among"))
 
 
-def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limits | None = None) -> DataFrame:
+def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limits | None = None, selected: bool = False) -> DataFrame:
     """One row (RESULT) for each photo. The order of the steps is the contract:
 
     a photo that failed is an ERROR; one that has been dealt with, or that copies an earlier one of the run, a REPEAT; without meter NO_METER;
     the serial names one account, or else the marker or the note does; marker or note against the serial, SUSPICIOUS
     without an account; an account that has its reading, REPEAT, or SUSPICIOUS where table and log disagree; no sure
     digits, DIGITS_ERROR; then the change decides. Once an account has its reading, later photos of it in the run are
-    REPEATs. Rows without account never meet in one group. An empty table gives no rows.
+    REPEATs. Rows without account never meet in one group. An empty table gives no rows. With selected a run has chosen
+    the photos by the log already, and none is a REPEAT for what is known of the photo itself.
     """
     limits = limits or Limits()
     yes, no, text = F.lit(True), F.lit(False), F.lit(None).cast("string")
@@ -55,10 +56,13 @@ def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limi
     rows = rows.withColumn("has_note", F.col("lines").isNotNull())
 
     # what the log knows
-    seen = processed(photos.select("photo", "name", "photo_hash"), log).join(log.select(F.col("seq").alias("row"), F.col("account").alias("seen_account"), F.col("serial").alias("seen_serial")), "row", "left").drop("row")
-    copied = rows.where("photo_hash <> ''").withColumn("copy", F.row_number().over(Window.partitionBy("photo_hash").orderBy("photo")) > 1).where("copy").select("photo", "copy")
-    rows = rows.join(seen, "photo", "left").join(copied, "photo", "left")
-    rows = rows.withColumn("repeat", (F.coalesce("skip", no) | F.coalesce("copy", no)) & ~F.coalesce("reread", no))
+    if selected:
+        rows = rows.withColumns({"copy": no, "reason": text, "seen_account": text, "seen_serial": text, "repeat": no})
+    else:
+        seen = processed(photos.select("photo", "name", "photo_hash"), log).join(log.select(F.col("seq").alias("row"), F.col("account").alias("seen_account"), F.col("serial").alias("seen_serial")), "row", "left").drop("row")
+        copied = rows.where("photo_hash <> ''").withColumn("copy", F.row_number().over(Window.partitionBy("photo_hash").orderBy("photo")) > 1).where("copy").select("photo", "copy")
+        rows = rows.join(seen, "photo", "left").join(copied, "photo", "left")
+        rows = rows.withColumn("repeat", (F.coalesce("skip", no) | F.coalesce("copy", no)) & ~F.coalesce("reread", no))
     open_ = ~F.coalesce("failed", no) & ~F.col("repeat") & (F.coalesce("meter", no) | F.col("has_note"))
 
     # the serial and its account
@@ -135,9 +139,3 @@ def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limi
         "delta",
     )
 
-
-def log_rows(results: DataFrame, photos: DataFrame) -> DataFrame:
-    """(seq, account, serial, outcome, name, photo_hash, source, notes) of a run's results, to be added to the log."""
-    note = F.when(F.col("detail") == "copy", "copy of an earlier photo").otherwise("")
-    met = results.join(photos.select("photo", "name", "photo_hash"), "photo")
-    return met.select(F.col("photo").alias("seq"), "account", "serial", "outcome", "name", "photo_hash", F.lit("auto").alias("source"), note.alias("notes"))

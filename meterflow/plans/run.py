@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import decisions, lineage, lookups, photos, session, states
+from ..operators import decisions, lineage, lookups, month, photos, session, states
 from ..streaming import cycle
 from . import analogs as A
 from .analogs import with_
@@ -18,7 +18,11 @@ _FIELDS = """k % 101 = 0 AS failed, k % 13 <> 0 AS meter, CASE WHEN k % 11 <> 0
  CASE WHEN k % 9 <> 0 THEN reading END AS reading, 'low_conf' AS digit_error"""
 _PHOTOS = f"""photos AS (SELECT k AS photo, name, CASE WHEN k % 4 = 0 THEN '' WHEN k % 10 = 0 THEN sha256(name) ELSE sha256('c' || (k // 3)::VARCHAR) END AS photo_hash, k % 50 = 0 AS reread, {_FIELDS}
  FROM (SELECT *, photo AS k, CASE WHEN photo % 10 = 0 THEN 'p' || (photo % 997)::VARCHAR ELSE 'q' || photo::VARCHAR END || '.jpg' AS name FROM reads))"""
-_APART = f"photos AS (SELECT k AS photo, 'q' || k::VARCHAR || '.jpg' AS name, '' AS photo_hash, FALSE AS reread, {_FIELDS} FROM (SELECT *, photo AS k FROM reads))"
+#: The photos that a run reads: the first of each key, if the log has nothing of it or an ERROR. No serial of the log is known.
+_CHOSEN = f"""{_PHOTOS.replace("photos AS", "all_photos AS", 1)},
+lasts AS (SELECT *, coalesce(nullif(photo_hash, ''), 'name:' || name) AS key FROM log WHERE NOT starts_with(notes, 'copy of') QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(photo_hash, ''), 'name:' || name) ORDER BY seq DESC) = 1),
+keyed AS (SELECT p.*, coalesce(nullif(photo_hash, ''), 'name:' || name) AS key FROM all_photos p QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(photo_hash, ''), 'name:' || name) ORDER BY photo) = 1),
+photos AS (SELECT keyed.* REPLACE (TRUE AS reread) FROM keyed LEFT JOIN lasts l USING (key) WHERE l.key IS NULL OR (l.source <> 'manual' AND l.outcome = 'ERROR'))"""
 
 #: The steps of decisions.decided over photos, reg and log, for photos without notes.
 _DECIDED = """reg AS (SELECT account, trim(serial) AS serial, last::DOUBLE AS last, row_order % 6 = 0 AS filled, row_order FROM register),
@@ -63,14 +67,14 @@ def _log(spark, sf):
     return A.log(spark, sf).withColumn("serial", F.lit(""))
 
 
-def _photos(spark, sf, apart: bool = False):
+def _photos(spark, sf):
     k = F.col("photo")
     name = F.concat(F.when(k % 10 == 0, F.concat(F.lit("p"), (k % 997).cast("string"))).otherwise(F.concat(F.lit("q"), k.cast("string"))), F.lit(".jpg"))
     part = lambda m: (k * m % 1000) / 1000.0
-    rows = A.reads(spark, sf).withColumn("name", F.concat(F.lit("q"), k.cast("string"), F.lit(".jpg")) if apart else name)
+    rows = A.reads(spark, sf).withColumn("name", name)
     copy = F.when(k % 4 == 0, "").when(k % 10 == 0, F.sha2("name", 256)).otherwise(F.sha2(F.concat(F.lit("c"), F.floor(k / 3).cast("string")), 256))
     return rows.select(
-        "photo", "name", (F.lit("") if apart else copy).alias("photo_hash"), (F.lit(False) if apart else k % 50 == 0).alias("reread"), (k % 101 == 0).alias("failed"), (k % 13 != 0).alias("meter"),
+        "photo", "name", copy.alias("photo_hash"), (k % 50 == 0).alias("reread"), (k % 101 == 0).alias("failed"), (k % 13 != 0).alias("meter"),
         F.when(k % 11 != 0, F.col("serial_read")).alias("serial"), part(37).alias("serial_conf"), F.when(k % 5 == 0, ((k * 17) % 1201).cast("string")).alias("table_serial"), part(53).alias("table_conf"),
         F.when(k % 3 == 0, F.col("owner")).alias("marker"), part(29).alias("marker_conf"), F.when(k % 9 != 0, F.col("reading")).alias("reading"), F.lit("low_conf").alias("digit_error"),
     )
@@ -82,17 +86,21 @@ def photo_decisions(spark, sf):
     return decisions.decided(_photos(spark, sf), _register(spark, sf), _log(spark, sf), LIMITS)
 
 
-@query("t09_batches_equal", with_("register reads log", "").rstrip() + f", {_APART}, {_DECIDED}")
+@query("t09_batches_equal", with_("register reads log", "").rstrip() + f", {_CHOSEN}, decided AS (WITH {_DECIDED})" + """,
+readings AS (SELECT DISTINCT account FROM decided WHERE outcome IN ('PLUS', 'MINUS')),
+ends AS (SELECT key, d.outcome, d.account, d.reading FROM decided d JOIN photos USING (photo) UNION ALL SELECT key, outcome, account, NULL FROM lasts WHERE key NOT IN (SELECT key FROM photos))
+SELECT key, CASE WHEN closed THEN 'REPEAT' ELSE outcome END AS outcome, account, CASE WHEN NOT closed THEN reading END AS reading
+FROM (SELECT *, outcome IN ('DIGITS_ERROR', 'SUSPICIOUS') AND coalesce(account IN (SELECT account FROM readings), FALSE) AS closed FROM ends) WHERE closed OR key IN (SELECT key FROM photos)""")
 def batches_equal(spark, sf):
-    """The same photos, each a file of its own name, in three batches of a stream: the rows of one run over all of them."""
+    """The same month on three days, with copies, log rows and photos that fail: the states after one run over all photos."""
     folder = f"{lineage.shared_folder(spark)}/month-{uuid.uuid4().hex}"
-    rows = _photos(spark, sf, apart=True)
+    rows = _photos(spark, sf)
     most = rows.agg(F.max("photo")).first()[0] or 0
-    day = F.least(F.floor(F.col("photo") * 3 / F.lit(most + 1)), F.lit(2)).cast("int")
+    day = F.least(F.floor(F.col("photo") * 3 / F.lit(most + 1)), F.lit(2))
     for n in range(3):
-        rows.where(day == n).coalesce(1).write.parquet(f"{folder}/in/day={n}")
-    cycle.run_month(spark, f"{folder}/in", rows.schema, _register(spark, sf), _log(spark, sf), folder, LIMITS)
-    return spark.read.parquet(f"{folder}/results").drop("batch")
+        rows.where(day == n).write.parquet(f"{folder}/in/day={n}")
+        cycle.run_month(spark, f"{folder}/in", rows.schema, _register(spark, sf), _log(spark, sf), folder, LIMITS)
+    return month.final_states(cycle.month_rows(spark, folder))
 
 
 _DECISIONS = """decisions AS (SELECT photo AS seq, 'p' || photo::VARCHAR || '.jpg' AS name, ['accept', 'serial_fix', 'duplicate', 'unreadable', 'not_in_db'][photo % 5 + 1] AS kind, serial_read AS serial,

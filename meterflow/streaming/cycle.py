@@ -1,4 +1,4 @@
-"""The monthly cycle as a stream: photos come in batches, each is decided once, and any cut into batches gives the rows of one batch.
+"""The monthly cycle as a stream: photos come in batches, and any cut into batches leaves the photos in the states of one run.
 
 The sink of each batch is a folder named by its number and written over, so that a batch that is run again after a
 failure leaves one copy; all other tables are derived from these rows.
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.decisions import Limits, decided, log_rows
+from ..operators import month
+from ..operators.decisions import Limits
+from ..operators.lineage import cut
 from ..operators.lookups import in_register, pick_last
 from ..operators.photos import WAITING, meaningful
 from ..operators.states import first_success, photo_state
@@ -141,28 +143,46 @@ class CloseWaiting(StatefulProcessor):
 
 
 def close_waiting_stream(results: DataFrame) -> DataFrame:
-    """The REPEAT rows (seq of the closed row, account, photo_hash, outcome) that readings among results (RESULT) give."""
-    return results.groupBy("account").transformWithStateInPandas(CloseWaiting(), RESULT, "Append", "None")
+    """The REPEAT rows (seq of the closed row, account, photo_hash, outcome) that readings among results (RESULT) give.
 
+    Results without account pass by the state: they wait for no reading, and would be one group.
+    """
+    return results.where("account <> ''").groupBy("account").transformWithStateInPandas(CloseWaiting(), RESULT, "Append", "None")
+
+
+def run_month(spark: SparkSession, photos: str, schema: StructType, register: DataFrame | Callable[[int], DataFrame], log: DataFrame, folder: str, limits: Limits | None = None, reread: bool = False, per_batch: int | None = None) -> None:
+    """Reads what has come into the folder `photos` since the last call; the month's rows (month.ROW) are in <folder>/log, in one part for each batch.
 
-def run_month(spark: SparkSession, photos: str, schema: StructType, register: DataFrame, log: DataFrame, folder: str, limits: Limits | None = None, per_batch: int = 1) -> None:
-    """Decides the photos that come as files into a folder, batch by batch; results are in <folder>/results, in one part for each batch.
+    A batch takes the new photos and those that are to be read again: after an ERROR, with a serial that the register has
+    by now (it may be a function of the batch's number), and with reread all that wait. It sees the register and log as
+    the batches before left them: accounts with a PLUS or MINUS have their reading, and photos that waited for it are
+    closed. All of that is derived from the rows, so that one write is all that a batch does: it is whole or done again.
 
-    A batch sees the register and log as the batches before it left them: their rows are in the log, and accounts with a
-    PLUS or MINUS have their reading. Both are derived from the results, so that one write is all that a batch does: it
-    is whole or done again. Photos whose reading failed come with `failed` and stay as ERROR, to be read again later.
+    However the photos are cut into batches in their order, every photo ends in the same state (month.final_states); one
+    that fails again and again has an ERROR of each batch. A batch reads the keys and outcomes of the rows before it, and
+    of earlier photos only those that it reads again.
     """
+    base = log.agg(F.max("seq")).first()[0] or 0
 
     def decide(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        seen, known = log, register
+        known = register(number) if callable(register) else register
+        seen = log
         if number:
-            before = session.read.parquet(f"{folder}/results").where(F.col("batch") < number)
-            names = session.read.schema(schema).option("recursiveFileLookup", True).parquet(photos)
-            seen = log.unionByName(log_rows(before, names), allowMissingColumns=True)
-            filled = before.where("outcome in ('PLUS', 'MINUS')").select("account", F.lit(True).alias("_filled")).distinct()
-            known = register.join(filled, "account", "left").withColumn("filled", F.coalesce("filled", F.lit(False)) | F.coalesce("_filled", F.lit(False))).drop("_filled")
-        decided(batch, known, seen, limits).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).parquet(photos)
+            before = session.read.schema(f"{month.ROW}, batch int").parquet(f"{folder}/log").where(F.col("batch") < number)
+            seen = log.unionByName(before.select("seq", "photo", "name", "photo_hash", "serial", "account", "outcome", "source", "notes"), allowMissingColumns=True)
+            known = month.filled_register(known, before)
+            keys = cut(month.to_read_again(seen, known, reread))
+            if not keys.isEmpty():
+                earlier = session.read.schema(schema).option("recursiveFileLookup", True).parquet(photos).withColumn("key", month.photo_key())
+                batch = batch.unionByName(earlier.join(keys, "key", "left_semi").drop("key")).dropDuplicates(["photo"])
+        month.run_rows(batch, known, seen, limits, reread, number, base).write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    stream = (stream.option("maxFilesPerTrigger", per_batch) if per_batch else stream).parquet(photos)
     run_available(stream, decide, f"{folder}/state")
+
+
+def month_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The log rows of all batches of a month."""
+    return spark.read.schema(f"{month.ROW}, batch int").parquet(f"{folder}/log")

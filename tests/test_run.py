@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from meterflow.operators import decisions
+from meterflow.operators import decisions, month
 from meterflow.streaming import cycle
 
 PHOTO = "photo long, name string, photo_hash string, reread boolean, failed boolean, meter boolean, serial string, serial_conf double, table_serial string, table_conf double, marker string, marker_conf double, reading long, digit_error string"
@@ -101,19 +101,98 @@ def test_empty_run(spark):
     assert decisions.decided(spark.createDataFrame([], PHOTO), spark.createDataFrame([], "account string, serial string, last long, filled boolean, row_order long"), spark.createDataFrame([], "seq long, account string, serial string, outcome string, name string, photo_hash string, source string, notes string")).count() == 0
 
 
-@pytest.mark.parametrize("cuts", [[4], [1, 2, 5]])
-def test_batches_equal_one_run(spark, tmp_path, cuts):
-    """Also the failed photo, which stays as ERROR and stops nothing."""
-    photos = [photo(0, failed=True), photo(1, reading=None), photo(2), photo(3, serial="7715"), photo(4, serial="7715", reading=7), photo(5, reading=1300), photo(6, serial=None)]
-    columns = [c.split()[0] for c in PHOTO.split(", ")]
-    frame = lambda some: spark.createDataFrame([tuple(p[c] for c in columns) for p in some], PHOTO)
-    for n, (low, high) in enumerate(zip([0, *cuts], [*cuts, len(photos)])):
-        frame(photos[low:high]).coalesce(1).write.parquet(str(tmp_path / "in" / f"day={n}"))
-    register = spark.createDataFrame(REGISTER, "account string, serial string, last long, filled boolean, row_order long")
-    log = spark.createDataFrame(LOG, "seq long, account string, serial string, outcome string, name string, photo_hash string, source string, notes string")
-    cycle.run_month(spark, str(tmp_path / "in"), frame(photos).schema, register, log, str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out" / "results"))
-    assert got.select("batch").distinct().count() == len(cuts) + 1
-    whole = decisions.decided(frame(photos), register, log)
-    assert sorted(map(tuple, got.drop("batch").collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
-    assert got.where(F.col("outcome") == "ERROR").count() == 1
+COLUMNS = [c.split()[0] for c in PHOTO.split(", ")]
+LOG_SCHEMA = "seq long, account string, serial string, outcome string, name string, photo_hash string, source string, notes string"
+REGISTER_SCHEMA = "account string, serial string, last long, filled boolean, row_order long"
+
+
+class Month:
+    """A month whose photos come day by day into a folder."""
+
+    def __init__(self, spark, at, register=REGISTER, log=LOG):
+        self.spark, self.at, self.days = spark, at, 0
+        self.register, self.log = spark.createDataFrame(register, REGISTER_SCHEMA), spark.createDataFrame(log, LOG_SCHEMA)
+
+    def day(self, *photos, **kw):
+        frame = self.spark.createDataFrame([tuple(p[c] for c in COLUMNS) for p in photos], PHOTO)
+        frame.coalesce(1).write.parquet(str(self.at / "in" / f"day={self.days}"))
+        self.days += 1
+        return self.run(frame.schema, **kw)
+
+    def run(self, schema=None, register=None, **kw):
+        schema = schema or self.spark.createDataFrame([], PHOTO).schema
+        cycle.run_month(self.spark, str(self.at / "in"), schema, register or self.register, self.log, str(self.at / "out"), decisions.Limits(delta=500.0), **kw)
+        return self
+
+    def rows(self):
+        return cycle.month_rows(self.spark, str(self.at / "out")).orderBy("seq").collect()
+
+    def outcomes(self, name):
+        return [r["outcome"] for r in self.rows() if r["name"] == name]
+
+    def states(self):
+        return sorted(map(tuple, month.final_states(cycle.month_rows(self.spark, str(self.at / "out"))).collect()), key=repr)
+
+
+def test_copies_and_failures_over_batches(spark, tmp_path):
+    """However the photos are cut into days they end alike: copies of read, waiting and failed photos, repeats and closings."""
+    photos = [
+        photo(0, failed=True, photo_hash="e"), photo(1, reading=None, photo_hash="w"), photo(2, serial="7715", photo_hash="c", reading=7), photo(3, serial="7715", photo_hash="c", reading=7),
+        photo(4, photo_hash="w"), photo(5, reading=1501), photo(6), photo(7, reading=1300), photo(8, photo_hash="e"), photo(9, serial=None), photo(10, photo_hash="h1"), photo(11, name="n9.jpg"), photo(12, name="again.jpg", serial="8888"),
+    ]
+    ends = []
+    for n, cuts in enumerate([[], [4], [2, 9]]):
+        m = Month(spark, tmp_path / str(n))
+        for low, high in zip([0, *cuts], [*cuts, len(photos)]):
+            m.day(*photos[low:high])
+        ends.append(m.states())
+        rows = m.rows()
+        assert len({r["seq"] for r in rows}) == len(rows) and min(r["seq"] for r in rows) > max(x[0] for x in LOG)
+        read = [r["photo"] for r in rows if r["photo"] is not None and r["outcome"] != "ERROR"]
+        assert len(read) == len(set(read)), "a photo is read once"
+    assert all(e == ends[0] for e in ends)
+    assert ends[0] == sorted([("e", "ERROR", None, None), ("w", "REPEAT", "3100000011", None), ("c", "PLUS", "3100000015", 7), ("name:n5.jpg", "REPEAT", "3100000011", None), ("name:n6.jpg", "PLUS", "3100000011", 1100), ("name:n7.jpg", "REPEAT", "3100000011", None), ("name:n9.jpg", "NO_SERIAL", None, None)], key=repr)
+
+
+def test_rows_that_share_numbers_with_the_log(spark, tmp_path):
+    """Numbers of the run never meet those of the log, and a copy of a photo of an earlier day has no row."""
+    m = Month(spark, tmp_path)
+    m.day(photo(1), photo(3, serial="7715", reading=5, photo_hash="x")).day(photo(2), photo(4, serial="7715", reading=5, photo_hash="x"))
+    assert [(r["photo"], r["outcome"], r["account"]) for r in m.rows()] == [(1, "PLUS", "3100000011"), (3, "PLUS", "3100000015"), (2, "REPEAT", "3100000011")]
+
+
+def test_late_reading_closes_waiting_photos(spark, tmp_path):
+    waiting = [(7, "3100000011", "457", "DIGITS_ERROR", "before.jpg", "b", "auto", ""), (8, "3100000011", "457", "REPEAT", "copy.jpg", "b", "auto", "copy of before.jpg"), (9, "3100000012", "981", "SUSPICIOUS", "other.jpg", "", "auto", "")]
+    m = Month(spark, tmp_path, log=[*LOG, *waiting]).day(photo(1, reading=None), photo(2, serial="7715", reading=None)).day(photo(3))
+    assert m.outcomes("n1.jpg") == ["DIGITS_ERROR", "REPEAT"] and m.outcomes("before.jpg") == ["REPEAT"]
+    assert m.outcomes("n2.jpg") == ["DIGITS_ERROR"] and m.outcomes("other.jpg") == []
+    closed = {r["name"]: r for r in m.rows() if r["closes"] is not None}
+    assert closed["before.jpg"]["closes"] == 7 and closed["before.jpg"]["notes"] == "closed: the account has a reading (photo 3)"
+    assert len(m.run().rows()) == 5, "a further run reads and closes nothing"
+
+
+def test_photo_read_again_for_another_account_is_not_closed(spark, tmp_path):
+    m = Month(spark, tmp_path, log=[*LOG, (5, "3100000011", "457", "DIGITS_ERROR", "y.jpg", "y", "auto", ""), (6, "3100000015", "7715", "DIGITS_ERROR", "y.jpg", "y", "auto", "")])
+    assert m.day(photo(1)).outcomes("y.jpg") == []
+
+
+def test_photos_are_read_again(spark, tmp_path):
+    """A serial that the register gets later, an operator's NOT_IN_DB, an error of the program, and all waiting photos on demand."""
+    log = [*LOG, (5, "", "8888", "NOT_IN_DB", "absent.jpg", "a", "manual", ""), (6, "", "", "ERROR", "broken.jpg", "r", "auto", ""), (7, "", "", "UNREADABLE", "dark.jpg", "d", "manual", "")]
+    m = Month(spark, tmp_path, log=log)
+    late = spark.createDataFrame([*REGISTER, ("3100000017", "8888", 10, False, 7)], REGISTER_SCHEMA)
+    m.day(photo(1, serial="8888", reading=20), photo(2, serial="8888", reading=21, name="absent.jpg", photo_hash="a"), photo(3, name="broken.jpg", photo_hash="r"), photo(4, name="dark.jpg", photo_hash="d"), photo(5, serial="7715", reading=None))
+    assert m.outcomes("n1.jpg") == ["SERIAL_NOT_FOUND"] and m.outcomes("broken.jpg") == ["PLUS"]
+    assert m.outcomes("absent.jpg") == [] and m.outcomes("dark.jpg") == []
+    m.day(photo(6, serial=None), register=late)
+    assert m.outcomes("n1.jpg") == ["SERIAL_NOT_FOUND", "PLUS"] and m.outcomes("n5.jpg") == ["DIGITS_ERROR"]
+    m.day(photo(7, serial=None), register=late, reread=True)
+    assert m.outcomes("n5.jpg") == ["DIGITS_ERROR"] * 2 and m.outcomes("n6.jpg") == ["NO_SERIAL"] * 2 and m.outcomes("n1.jpg")[-1] == "PLUS"
+
+
+def test_one_content_in_most_photos(spark):
+    """Copies are left out before anything is joined; rows without hash are photos of their own names."""
+    photos = spark.createDataFrame([tuple(photo(k, photo_hash="same" if k % 3 else "")[c] for c in COLUMNS) for k in range(60)], PHOTO)
+    read = month.chosen(photos, spark.createDataFrame([], LOG_SCHEMA), spark.createDataFrame(REGISTER, REGISTER_SCHEMA))
+    assert sorted(r["photo"] for r in read.collect()) == [0, 1, *range(3, 60, 3)]
+    assert month.chosen(photos.limit(0), spark.createDataFrame(LOG, LOG_SCHEMA), spark.createDataFrame(REGISTER, REGISTER_SCHEMA)).count() == 0
