@@ -55,10 +55,10 @@ def upserted(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFra
     return pick_last(table.unionByName(rows), [key], F.desc(order))
 
 
-def exported(register: DataFrame, readings: DataFrame) -> DataFrame:
-    """Register rows in table with their reading ('' without) and the difference to the last one."""
+def exported(register: DataFrame, readings: DataFrame, *keep: str) -> DataFrame:
+    """Register rows in table with their reading ('' without) and the difference to the last one, and the columns `keep`."""
     met = register.where("in_table").join(readings.select("account", "value"), "account", "left")
-    return met.select("account", "serial", "last", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("reading"), (F.col("value") - F.col("last")).alias("difference"))
+    return met.select("account", "serial", "last", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("reading"), (F.col("value") - F.col("last")).alias("difference"), *keep)
 
 
 def without_reading(register: DataFrame, readings: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import cycle, joins, measures, run, rules  # noqa: F401  # each adds its own when imported
+    from . import cycle, files, joins, measures, run, rules  # noqa: F401  # each adds its own when imported
 
     return dict(_QUERIES)
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import NUMBER, split_of
 from ..operators.lookups import pick_last
+from ..operators.register import exported
 from .tables import LOG_COLUMNS
+from .workbooks import write_workbooks
 
 
 def write_csv(rows: DataFrame, path: str, separator: str = ",") -> None:
@@ -70,3 +72,9 @@ def snapshot(table: DataFrame, folder: str, version: int, keep: int = 30) -> lis
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
     versions = sorted(int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith("version="))
     return versions[:-keep]
+
+
+def export_month(register: DataFrame, readings: DataFrame, folder: str, sheet: str = "Sheet1") -> None:
+    """The register's rows in table, in its order, as workbooks with their readings; the difference is a formula."""
+    rows = exported(register, readings, "row_order")
+    write_workbooks(rows, folder, numbers=("last", "reading"), differences={"difference": ("reading", "last")}, sheet=sheet)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_serial, crop_name_parts, stored_account, valid_label
+from ..operators.register import numeric_columns
+from . import workbooks
 
 LOG_COLUMNS = "original_filename final_filename serial_id account_id reading last_reading delta outcome source processed_by processed_at verified_by verified_at model_serial_conf model_reading_str notes photo_hash source_folder".split()
 PHOTO_TYPES = (".jpg", ".jpeg", ".png")
@@ -55,12 +58,32 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return out.where(reduce(lambda a, b: a | b, [F.col(f"`{n}`") != "" for n in names])) if names else out.limit(0)
 
 
+def read_register(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """A register file's cells as text (.xlsx, .xlsm or .csv), and its numeric columns, by the kinds of cells or, in CSV, their texts.
+
+    Other kinds of files, and a file without a row of headings, are an error.
+    """
+    kind = posixpath.splitext(path.rstrip("/"))[1].lower()
+    if kind in (".xlsx", ".xlsm"):
+        rows = workbooks.workbook(spark, path)
+        found = workbooks.numeric_by_kind(spark, path)
+    elif kind == ".csv":
+        rows = csv(spark, path)
+        names = [c for c in rows.columns if c != "row_order"]
+        if not names:
+            raise ValueError(f"no row of headings: {path}")
+        found = numeric_columns(rows, names)
+    else:
+        raise ValueError(f"a table must be .xlsx or .csv, not {kind or 'without a kind'}: {path}")
+    return rows, sorted(r["column"] for r in found.where("is_numeric").collect())  # as many as there are columns
+
+
 def register(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """account, serial, last, row_order and data (all cells) of a register file; columns says which of its names these are.
 
     Missing names are an error. Accounts lose a fraction of zeros, serials the junk at their edges.
     """
-    rows = csv(spark, path)
+    rows = workbooks.workbook(spark, path) if path.lower().endswith((".xlsx", ".xlsm")) else csv(spark, path)
     missing = [n for n in columns.values() if n not in rows.columns]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
