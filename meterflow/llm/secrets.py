@@ -28,24 +28,33 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import Texts, Words, blank_table, checkpointed, lowered, slices, word_hashes
 
 #: Findings that the forest is fitted on at most, trees and their depth.
-SAMPLE, TREES, DEPTH = 20_000, 40, 10
+SAMPLE, TREES, DEPTH = 20_000, 30, 9
+#: Folds that choose the threshold, and the recall that it has at least on them.
+FOLDS, RECALL = 2, 0.9
 #: Documents that get planted findings, findings planted in each, and characters of a document that they are planted in.
-PLANTED_DOCS, PLANTED_EACH, PLANTED_CHARS = 1500, 8, 4000
+PLANTED_DOCS, PLANTED_EACH, PLANTED_CHARS = 1000, 8, 2000
 #: Most frequent words of the corpus that make the dictionary, and letters that a word of it has at least.
 DICTIONARY, LETTERS = 20_000, 4
 
 RUN = re.compile(r"[A-Za-z0-9_\-/+=.:@~]{12,}")
-#: A word for a credential, an assignment or a verb or nothing, and the value: in quotes or up to the next blank or quote.
-ASSIGNED = re.compile(
-    r"(?:passwo?r?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|bearer|authorization|credentials?)[A-Za-z0-9_-]{0,24}[\"']?"
-    r"\s{0,4}(?:[:=]{1,2}>?|is\b|was\b)?\s{0,4}(?:(?:bearer|basic)\s{1,4})?(?:\"([^\"\n]{1,200})\"|'([^'\n]{1,200})'|([^\s\"':=][^\s\"']*))",
+#: Words for a credential; those of the second kind count only as parts of a name that something is assigned to.
+CREDENTIAL = re.compile(
+    r"(passwo?r?d|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|bearer|authorization|credentials?)|(?<![A-Za-z])(?:pass|key|auth|pin)(?![a-z])|(?-i:(?<=[a-z])(?:Pass|Key|Auth|Pin)(?![a-z]))",
     re.IGNORECASE,
 )
+_REST = re.compile(r"[A-Za-z0-9_-]*+")
+#: An assignment, a verb or nothing behind a name: the value begins where it ends.
+_LINK = re.compile(r"[\"']?+\s*+([:=]{1,2}>?)?+(?:is\b|was\b)?+\s*+(?:(?:bearer|basic)\s++)?+", re.IGNORECASE)
+_CLOSING = {'"': re.compile('["\n]'), "'": re.compile("['\n]")}
+_PLAIN_END = re.compile(r"[\s\"']|$")
+#: Names after which a value that looks like a key is none.
+PLAIN_NAMES = set("commit revision checksum sha md sum digest hash etag id uuid guid order invoice ticket build version file path batch serial ref session trace row page url see".split())
 _TRAIL = ".,;:!?)]}>"
 _NEAR = re.compile(r"[A-Za-z]+")
+_BREAKS = blank_table(bytes(c for c in range(128) if not chr(c).isalpha()))
 _KIND = {**{c: "l" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "u" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "d" for c in "0123456789"}}
 PAIRS = [a + b for a in "luds" for b in "luds"]
 #: Slots for the last two words before a candidate, each hashed to one, and for the word after it.
@@ -53,19 +62,31 @@ SLOTS = 48
 BEFORE, AFTER = 48, 16
 
 
-def spans(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each candidate: assigned values, the inner one where they overlap, and runs with a digit that overlap none."""
+def named_spans(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, named) of each candidate: values that follow a credential's name, the inner one where they overlap, and runs with a digit that overlap none.
+
+    Every character is passed a fixed number of times, whatever the names and values are.
+    """
     found: list[tuple[int, int]] = []
-    m = ASSIGNED.search(text)
-    while m:
-        group = next(g for g in (1, 2, 3) if m.group(g) is not None)
-        start, end = m.span(group)
-        m = ASSIGNED.search(text, start)  # the value may be a word for a credential itself
-        if group == 3:
-            end = start + len(text[start:end].rstrip(_TRAIL))
-        if found and found[-1][1] > start:
-            found.pop()
+    at = run_end = 0
+    while m := CREDENTIAL.search(text, at):
+        link = _LINK.match(text, _REST.match(text, m.end()).end())
+        at = start = link.end()  # the value may hold a name itself
+        sign = text[start : start + 1]
+        if not m.group(1) and not link.group(1):
+            continue
+        if sign in _CLOSING and (close := _CLOSING[sign].search(text, start + 1)) and close.group() == sign:
+            start, end = start + 1, close.start()
+        elif not sign or sign in ":=\"'":
+            continue
+        else:
+            run_end = run_end if start < run_end else _PLAIN_END.search(text, start).start()  # one end for all values of a run
+            end = run_end
+            while end > start and text[end - 1] in _TRAIL:
+                end -= 1
         if end > start:
+            if found and found[-1][1] > start:
+                found.pop()
             found.append((start, end))
     taken = iter([*found, (len(text) + 1, len(text) + 1)])
     low, high = next(taken)
@@ -75,8 +96,13 @@ def spans(text: str) -> list[tuple[int, int]]:
         while high <= start:
             low, high = next(taken)
         if low >= end and any(c.isdigit() for c in m.group()):
-            runs.append((start, end))
-    return sorted(found + runs)
+            runs.append((start, end, False))
+    return sorted([*((a, b, True) for a, b in found), *runs])
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each candidate."""
+    return [(a, b) for a, b, _ in named_spans(text)]
 
 
 def covered(value: str, words: ahocorasick.Automaton | None) -> float:
@@ -90,8 +116,8 @@ def covered(value: str, words: ahocorasick.Automaton | None) -> float:
     return total / len(value)
 
 
-def features(value: str, before: str, after: str, words: ahocorasick.Automaton | None) -> list[float]:
-    """The numbers of one candidate with the characters before and after it."""
+def features(value: str, before: str, after: str, words: ahocorasick.Automaton | None, named: bool = False) -> list[float]:
+    """The numbers of one candidate with the characters before and after it; named: whether it follows a credential's name."""
     n, kinds = len(value), "".join(_KIND.get(c, "s") for c in value)
     moves = Counter(map("".join, zip(kinds, kinds[1:])))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -99,6 +125,7 @@ def features(value: str, before: str, after: str, words: ahocorasick.Automaton |
     for k, w in enumerate([*_NEAR.findall(before)[-2:], *_NEAR.findall(after)[:1]]):
         near[xxhash.xxh32_intdigest(f"{k == 2}{w.lower()}") % SLOTS] = 1.0
     stripped = before.rstrip(" \"'")
+    last = _NEAR.findall(before)[-1:]
     return [
         math.log(n),
         entropy,
@@ -112,22 +139,38 @@ def features(value: str, before: str, after: str, words: ahocorasick.Automaton |
         value.count("-") / n,
         float("://" in value or value.startswith("www.")),
         float("@" in value),
+        float(value[:1] in ("<", "$", "{", "%", "*")),
         float(stripped[-1:] in ("=", ":")),
         float(before[-1:] in ("'", '"') and after[:1] == before[-1:]),
+        float(named),
+        float(bool(last) and last[0].lower() in PLAIN_NAMES),
         *near,
     ]
 
 
-FEATURES = 3 + len(PAIRS) + 4 + 9 + SLOTS
+FEATURES = 3 + len(PAIRS) + 4 + 12 + SLOTS
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The words of LETTERS letters or more that are so frequent in all whole texts that at most `size` words are: the commonest first.
+    """The words of LETTERS letters or more, A-Z as a-z, that are so frequent in all whole texts that at most `size` words are: the commonest first.
 
-    The least count is found from the numbers of words of each count, so that only the dictionary reaches the driver.
+    ASCII signs and digits part words. Words are counted slice by slice before they are dealt. The least count is found from the numbers of words of each count, so that only the dictionary reaches the driver.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= LETTERS)
-    counts = checkpointed(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = Texts(batch.column(0))
+            data = lowered(texts)
+            own = Words(texts, _BREAKS)
+            starts = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+            long = np.flatnonzero(starts[own.ends] - starts[own.starts] >= LETTERS)
+            _, first, n = np.unique(word_hashes(data, own)[long], return_index=True, return_counts=True)
+            at = long[first]
+            words = [data[a:b].tobytes().decode() for a, b in zip(own.starts[at], own.ends[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["w", "n"])
+
+    words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "w string, n long")
+    counts = checkpointed(words.groupBy("w").agg(F.sum("n").alias("n")))
     by = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     reached = F.sum("words").over(Window.orderBy(F.desc("n")))  # one row for each distinct count: a square root of the corpus at most
     least = by.withColumn("reached", reached).where(F.col("reached") <= size).agg(F.min("n")).first()[0]
@@ -146,9 +189,9 @@ def _automaton(words: list[str]) -> ahocorasick.Automaton:
 
 
 def _rows(i, text: str, words: ahocorasick.Automaton) -> Iterator[tuple]:
-    for start, end in spans(text):
+    for start, end, named in named_spans(text):
         value = text[start:end]
-        yield i, start, end - start, hashlib.sha256(value.encode()).hexdigest(), features(value, text[max(0, start - BEFORE) : start], text[end : end + AFTER], words)
+        yield i, start, end - start, hashlib.sha256(value.encode()).hexdigest(), features(value, text[max(0, start - BEFORE) : start], text[end : end + AFTER], words, named)
 
 
 FOUND = "doc_id long, start int, length int, secret_sha256 string, features array<double>"
@@ -175,7 +218,8 @@ class Planter:
     """Draws secrets and look-alikes with their surroundings; both kinds use most shapes of values and of contexts."""
 
     _HEX, _LOW, _UP, _DIGITS, _SIGNS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!#$%&*+-_?@^~"
-    _NAMES = "password passwd pwd token secret api_key access_token client_secret auth_token private_key db_password SECRET_KEY apiKey".split()
+    _CORES = "password passwd pwd pass token secret api_key access_key access_token client_secret auth_token private_key secret_key credential passphrase apikey".split()
+    _AFFIXES = "db my app user smtp admin prod old web cloud".split()
     _OTHERS = "commit revision checksum sha256 md5 etag id uuid order invoice ticket build version file path batch serial ref session trace row".split()
     _HOLDERS = "your_password_here changeme example required <TOKEN> ******** null undefined xxxxxxxx ${PASSWORD} TODO placeholder N/A reset expired ring".split()
 
@@ -188,6 +232,19 @@ class Planter:
     def one(self, items):
         return items[int(self.r.integers(len(items)))]
 
+    def name(self) -> str:
+        """The name of a credential: a word for it, with a part before or after it or without, in one of the usual spellings."""
+        parts = [self.one(self._CORES)]
+        if self.r.random() < 0.5:
+            parts.insert(int(self.r.integers(2)), self.one(self._AFFIXES) if self.r.random() < 0.5 else self.one(self.words)[:8])
+        style = int(self.r.integers(5))
+        if style == 0:
+            return "_".join(parts).upper()
+        if style == 1:
+            first, *rest = "_".join(parts).split("_")
+            return first + "".join(x.capitalize() for x in rest)
+        return self.one(("_", "-")).join(parts) if style < 4 else " ".join("_".join(parts).split("_"))
+
     def secret(self) -> str:
         alnum = self._LOW + self._UP + self._DIGITS
         kind = int(self.r.integers(9))
@@ -202,7 +259,7 @@ class Planter:
         if kind == 4:
             return self.of(alnum + self._SIGNS, int(self.r.integers(8, 21)))
         if kind == 5:
-            return self.one(("", "-", ".")).join(self.one(self.words) for _ in range(int(self.r.integers(3, 5))))
+            return self.one(("", "-", ".", "_")).join(self.one(self.words) for _ in range(int(self.r.integers(2, 5)))) + self.one(("", "", "-", "_")) + self.of(self._DIGITS, int(self.r.integers(0, 4)))
         if kind == 6:
             return self.one(self.words)[:8] + self.of(self._DIGITS, int(self.r.integers(1, 5))) + self.one(("", "!", "$"))
         if kind == 7:
@@ -220,27 +277,35 @@ class Planter:
         if kind == 3:
             return f"20{self.of(self._DIGITS, 2)}-0{self.one('123456789')}-1{self.one(self._DIGITS)}T12:{self.of('012345', 2)}:{self.of('012345', 2)}Z"
         if kind == 4:
-            return "/" + "/".join(self.one(self.words) for _ in range(int(self.r.integers(2, 5)))) + f"/lib{self.of(self._DIGITS, 2)}.so.{self.one(self._DIGITS)}"
+            return self.one(("/", "./", "~/")) + "/".join(self.part() for _ in range(int(self.r.integers(2, 5)))) + f"/{self.one(self.words)}{self.of(self._DIGITS, 2)}.{self.one(('so', 'txt', 'html', 'py'))}"
         if kind == 5:
-            return f"https://{self.one(self.words)}.example.com/{self.one(self.words)}/{self.of(self._DIGITS, 4)}"
+            return f"{self.one(('https://', 'http://', 'www.'))}{self.part()}.example.{self.one(('com', 'org', 'net'))}/{self.part()}/{self.of(self._DIGITS, int(self.r.integers(1, 7)))}{self.one(('', '.html', '.zip'))}"
         if kind == 6:
-            return f"{self.one(self.words)}.{self.of(self._DIGITS, 2)}@mail{self.one(self._DIGITS)}.example.com"
+            return f"{self.part()}{self.one(('', '.', '_'))}{self.of(self._DIGITS, 2)}@{self.one(self.words)}{self.one(('', '1'))}.example.{self.one(('com', 'org', 'net'))}"
         if kind == 7:
             return f"{self.one(self.words)}-{self.one(self._DIGITS)}.{self.of(self._DIGITS, 2)}.{self.one(self._DIGITS)}-rc{self.one(self._DIGITS)}"
         if kind == 8:
             return f"{self.one(self.words)}_{self.one(self.words)}_{self.of(self._DIGITS, 2)}"
         if kind == 9:
             return ".".join(str(int(x)) for x in self.r.integers(100, 256, 4))
+        if self.r.random() < 0.5:
+            return self.one(("<{}>", "${{{}}}", "{{{{{}}}}}", "%{}%", "your-{}-here", "<your_{}>")).format(self.name().replace(" ", "-"))
         return self.one(self._HOLDERS)
 
+    def part(self) -> str:
+        """A part of an address: a word or characters."""
+        return self.one(self.words) if self.r.random() < 0.5 else self.of(self._LOW + self._DIGITS, int(self.r.integers(4, 11)))
+
     def finding(self, label: int) -> tuple[str, str, str]:
         """(before, value, after)."""
         value = self.secret() if label else self.lookalike()
-        held = value in self._HOLDERS
-        name = self.one(self._NAMES if held or self.r.random() < (0.9 if label else 0.15) else self._OTHERS)
-        before, after = self.one((('{} = "', '"'), ("{}: ", ""), ("{}=", ""), ("export {}=", ""), ("the {} is ", ""), ('"{}": "', '",'), ("{} '", "'"), ("{} ", "")))
+        held = not label and (value in self._HOLDERS or not value[:1].isalnum() and value[:1] not in "/.~" or value.startswith("your-"))
+        words_only = value.replace("-", "").replace("_", "").isalpha()
+        likely = 0.95 if label else 0.3 if any(c in value for c in "/:@.") or words_only else 0.05
+        name = self.name() if held or self.r.random() < likely else self.one(self._OTHERS)
+        before, after = self.one((('{} = "', '"'), ("{}: ", ""), ("{}=", ""), ("export {}=", ""), ("the {} is ", ""), ("my {} was ", ""), ('"{}": "', '",'), ("{} '", "'"), ("{}     = ", ""), ("{} := ", "")))
         if not held and self.r.random() < 0.1:
-            before, after = self.one((("Authorization: Bearer ", ""), ('"', '"'), ("", ""))) if label else self.one((("see ", ""), ("", ""), ("(", ")")))
+            before, after = self.one((("Authorization: Bearer ", ""), ("Authorization: Basic ", ""))) if label else self.one((("see ", ""), ("", ""), ("(", ")"), ("at ", ",")))
         return before.format(name), value, after
 
 
@@ -287,16 +352,45 @@ def planted(docs: DataFrame, words: Broadcast, most: int = PLANTED_DOCS) -> Data
     return some.mapInArrow(run, FOUND + ", label int")
 
 
-def fit(known: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
-    """A forest from at most `sample` rows (features, label) of labelled candidates, those of the smallest hashes; None unless both labels occur."""
+def sampled(known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, label, x): at most `sample` rows (features, label) of labelled candidates, those of the smallest hashes, half of each label."""
     half = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy(F.xxhash64("secret_sha256", "doc_id", "start"), "doc_id", "start").limit(sample // 2)
         half = part if half is None else half.unionAll(part)
-    rows = checkpointed(half.select(F.col("label").cast("double").alias("label"), array_to_vector("features").alias("x")))
+    return checkpointed(half.select("doc_id", F.col("label").cast("double").alias("label"), array_to_vector("features").alias("x")))
+
+
+def fit(rows: DataFrame, trees: int = TREES) -> RandomForestClassificationModel | None:
+    """A forest from rows (label, x); None unless both labels occur."""
     if rows.select("label").distinct().count() < 2:
         return None
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=4).fit(rows)
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=DEPTH, seed=4).fit(rows)
+
+
+def threshold_of(rows: DataFrame, least_recall: float = RECALL, folds: int = FOLDS, trees: int = TREES // 3) -> float:
+    """The probability from which findings of folds that a forest has not seen are secrets: best F1 of the cuts with at least this recall.
+
+    Rows of one document are in one fold. 0.5 where a fold lacks a label.
+    """
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(folds))
+    seen = []
+    for k in range(folds):
+        model = fit(rows.where(fold != k), trees)
+        if model is None:
+            return 0.5
+        part = model.transform(rows.where(fold == k)).select("label", F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("cut"))
+        seen.append(part.groupBy("label", "cut").count())
+    counts = np.zeros((2, 101))
+    for part in seen:
+        for r in part.collect():  # 202 rows at most
+            counts[int(r["label"]), r["cut"]] += r["count"]
+    above = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+    if not above[1, 0]:
+        return 0.5
+    recall, f1 = above[1] / above[1, 0], 2 * above[1] / (above[0] + above[1] + above[1, 0])
+    fits = np.flatnonzero(recall >= least_recall)
+    return int(fits[np.argmax(f1[fits])]) / 100
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
@@ -308,15 +402,19 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | None, thre
     return scored.select("doc_id", "start", "length", "secret_sha256", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """(doc_id, start, length, secret_sha256, probability, is_secret) of each candidate; is_secret from `threshold` on.
 
+    Without a threshold the one that folds of the labelled findings give.
+
     labelled: (doc_id, start, label) of findings that people have judged; planted findings where it is None. Repeated
     rows give repeated findings; candidates of rows without doc_id are judged like others. An empty table gives no rows.
     """
     words = docs.sparkSession.sparkContext.broadcast(dictionary(docs))
     if labelled is None:
-        return judged(candidates(docs, words), fit(planted(docs, words)), threshold)
-    found = checkpointed(candidates(docs, words))
-    known = labelled.select("doc_id", "start", "label").dropDuplicates(["doc_id", "start"])
-    return judged(found, fit(found.join(known, ["doc_id", "start"])), threshold)
+        found, known = candidates(docs, words), planted(docs, words)
+    else:
+        found = checkpointed(candidates(docs, words))
+        known = found.join(labelled.select("doc_id", "start", "label").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
+    rows = sampled(known)
+    return judged(found, fit(rows), threshold_of(rows) if threshold is None else threshold)

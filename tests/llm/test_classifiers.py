@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 from pathlib import Path
 
@@ -174,13 +175,72 @@ def test_candidates_against_brute_force(spark, sf_dir):
 
 @pytest.mark.parametrize("text, value", [
     ("password = 'aK9x Q2mZ' y", "aK9x Q2mZ"), ("pwd=hunter2.", "hunter2"), ("the secret is correcthorsebattery, they said", "correcthorsebattery"), ('"api_key": "a!b$c#d%"', "a!b$c#d%"),
-    ("Authorization: Bearer abc", "abc"), ("password=a_token=xyz", "xyz"), ("x aK9xQ2mZ7pLw4TnB8vRc y", "aK9xQ2mZ7pLw4TnB8vRc"), ("token" + "x" * 60 + " 1", None), ("no candidate here", None), ("", None), ("token=", None),
+    ("Authorization: Bearer abc", "abc"), ("password=a_token=xyz", "xyz"), ("x aK9xQ2mZ7pLw4TnB8vRc y", "aK9xQ2mZ7pLw4TnB8vRc"), ("token" + "x" * 60 + " 1", "1"), ("aws_secret_" + "x" * 30 + ' = "abcDEFghi"', "abcDEFghi"), ("password     = x7", "x7"), ("token: \"" + "k3 " * 100 + '" y', "k3 " * 100), ("api_key\t\t\t\t\t\tabc", "abc"), ("pass: w0rd", "w0rd"), ("pass the salt", None), ("DB_PASS='o p'", "o p"), ('token="open\nline', None), ("no candidate here", None), ("", None), ("token=", None),
 ])
 def test_candidates(text, value):
     found = [text[a:b] for a, b in secrets.spans(text)]
     assert found[:1] == ([value] if value else found[:1]) and (value or not found or found[0].startswith("x"))
 
 
+class Others:
+    """Findings drawn apart from those of the training: other names, shapes, places and words."""
+
+    CHARS = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+
+    def of(self, n, chars=None):
+        return "".join(self.r.choice(chars or self.CHARS) for _ in range(n))
+
+    def secret(self):
+        kinds = [
+            lambda: self.of(44, "0123456789ABCDEF"), lambda: f"AKIA{self.of(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}", lambda: f"xoxp-{self.of(12, '0123456789')}-{self.of(24)}", lambda: self.of(10) + "!" + self.of(3) + "#",
+            lambda: "-".join(self.r.choice(["copper", "lantern", "violet", "marsh", "engine"]) for _ in range(3)) + str(self.r.randint(10, 99)), lambda: self.r.choice(["Summer", "Winter", "Berlin"]) + str(self.r.randint(1990, 2025)) + "!", lambda: "eyJ" + self.of(20) + "." + self.of(40) + "." + self.of(30), lambda: self.of(32, "0123456789abcdef"),
+        ]
+        name = self.r.choice("mysql_password REDIS_TOKEN stripeSecret github_token vaultSecret userPwd jwt-secret rootPassword wifi_passphrase SENDGRID_API_KEY serviceToken".split())
+        place = self.r.choice(["{} = '{}'", "{}: {}", "set {}={}\n", '{{"{}": "{}"}}', "our {} is {} by now", "{} => {}", "<{}>{}", "--{} {}"])
+        return name, place, self.r.choice(kinds)()
+
+    def harmless(self):
+        kinds = [
+            lambda: ("commit", self.of(40, "0123456789abcdef")), lambda: ("md5", self.of(32, "0123456789abcdef")), lambda: ("Order number", self.of(13, "0123456789")), lambda: ("download", f"https://cdn.example.org/{self.of(6)}/{self.r.randint(100, 999)}.zip"), lambda: ("contact", f"{self.of(7).lower()}{self.r.randint(1, 99)}@post.example.net"),
+            lambda: ("password", self.r.choice(["is required", "must be reset", "cannot be empty"])), lambda: ("token", self.r.choice(["expired", "<your-token-here>", "${API_TOKEN}"])), lambda: ("at", f"2023-{self.r.randint(10, 12)}-{self.r.randint(10, 28)}T10:{self.r.randint(10, 59)}:00Z"), lambda: ("host", "10.{}.{}.{}".format(*(self.r.randint(100, 250) for _ in range(3)))), lambda: ("in", f"/usr/share/{self.of(5).lower()}/module{self.r.randint(1, 99)}/index.html"),
+        ]
+        name, value = self.r.choice(kinds)()
+        return name, self.r.choice(["{} {}", "{}: {}", "the {} {}"]), value
+
+
+def test_findings_of_another_kind(spark):
+    """Recall and precision on findings that the training's generator did not draw, candidates included."""
+    draw, texts, marks = Others(11), [], []
+    base = [r["text"] for r in common.table(spark, str(LARGER), "documents").where("length(text) between 200 and 3000").select("text").limit(600).collect()]
+    for k in range(600):
+        label = k % 2
+        name, place, value = draw.secret() if label else draw.harmless()
+        words = base[k % len(base)].split(" ")
+        cut = draw.r.randint(0, len(words))
+        head = " ".join(words[:cut]) + " "
+        shown = place.format(name, value)
+        texts.append((1_000_000 + k, head + shown + " " + " ".join(words[cut:])))
+        marks.append((1_000_000 + k, len(head) + shown.index(value, len(name) if value != name else 0), len(value), label))
+    docs = common.table(spark, str(LARGER), "documents").select("doc_id", "text").unionAll(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = {}
+    for r in secrets.scan(docs).where("doc_id >= 1000000").collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    met = lambda r, at, n: max(0, min(r["start"] + r["length"], at + n) - max(r["start"], at)) > 0.6 * max(n, r["length"])
+    covered = sum(any(met(r, at, n) for r in found.get(d, ())) for d, at, n, label in marks if label)
+    caught = sum(any(met(r, at, n) and r["is_secret"] for r in found.get(d, ())) for d, at, n, label in marks if label)
+    wrong = sum(any(met(r, at, n) and r["is_secret"] for r in found.get(d, ())) for d, at, n, label in marks if not label)
+    assert covered >= 0.97 * 300, covered
+    assert caught >= 0.9 * 300 and caught / (caught + wrong) >= 0.9, (caught, wrong)
+
+
+def test_long_runs_of_names_end_soon():
+    for text in ("token=" * 100_000, "token" * 100_000, "password " * 50_000, "secret='" * 50_000, "key\"" * 50_000, "pass" + " " * 200_000 + "x", "key" * 100_000, "pin_" * 100_000):
+        secrets.spans(text)
+
+
 def test_features_are_finite():
     words = secrets._automaton(["horse", "battery", "corr"])
     for value in ("a", "correcthorsebattery", "漢字", "1" * 5000):
@@ -201,13 +261,13 @@ def test_forest_beats_each_rule_on_held_out_findings(spark):
     words = spark.sparkContext.broadcast(secrets.dictionary(docs))
     known = common.checkpointed(secrets.planted(docs, words))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = secrets.fit(known.where(~held))
-    out = secrets.judged(known.where(held), model).join(known.where(held), ["doc_id", "start"]).toPandas()
+    rows = secrets.sampled(known.where(~held))
+    out = secrets.judged(known.where(held), secrets.fit(rows), secrets.threshold_of(rows)).join(known.where(held), ["doc_id", "start"]).toPandas()
     assert len(out) > 500 and 0.3 < out["label"].mean() < 0.7
     f1 = lambda said, true: 2 * (said & true).sum() / max(1, said.sum() + true.sum())
     true, said = out["label"].to_numpy() == 1, out["is_secret"].to_numpy()
     precision, recall = (said & true).sum() / said.sum(), (said & true).sum() / true.sum()
-    assert precision >= 0.85 and recall >= 0.8
+    assert precision >= 0.85 and recall >= 0.9, (precision, recall)
     x = np.stack(list(out["features"]))
     rules = max(f1(side * x[:, k] >= side * cut, true) for k in range(x.shape[1]) for cut in np.unique(np.quantile(x[:, k], np.linspace(0, 1, 21))) for side in (1, -1))
     assert f1(said, true) > rules + 0.05
