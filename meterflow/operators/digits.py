@@ -127,6 +127,35 @@ def suppressed(boxes: DataFrame, keys: list[str], overlap: float = 0.5) -> DataF
     return rows.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.x1", "b.x2", (-F.col("b.o")).alias("conf"))
 
 
+def chosen_lines(lines: DataFrame, keys: list[str], overlap: float = 0.5) -> DataFrame:
+    """The lines of each key that stay where several readings of one place were found: (keys, refused, strict, x, y, w, h, likeness).
+
+    Read lines go before refused ones, then those of the first pass (strict is false), then wider ones. A line whose box
+    covers `overlap` of the smaller one's area with a kept line is left out, or takes the first such line's place if both
+    are read alike (the same refused and strict, widths within a third of its height) and its likeness is greater. One
+    fold over the few lines of a photo. Lines that agree in all of this go by likeness, x, y and h.
+    """
+    box = [F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "likeness")]
+    order = F.struct(F.col("refused"), F.col("strict"), (-F.col("w").cast("double")).alias("narrow"), (-F.col("likeness").cast("double")).alias("unlike"), F.col("x").cast("double").alias("ox"), F.col("y").cast("double").alias("oy"), F.col("h").cast("double").alias("oh"))
+    struct = F.struct(order.alias("order"), *box)
+    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(struct)).alias("all"))
+
+    def shared(a: Column, b: Column) -> Column:
+        side = lambda at, size: F.greatest(F.lit(0.0), F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at]))
+        return side("x", "w") * side("y", "h") / F.greatest(F.lit(1.0), F.least(a["w"] * a["h"], b["w"] * b["h"]))
+
+    def twins(new: Column, old: Column) -> Column:
+        return (new["order"]["refused"] == old["order"]["refused"]) & (new["order"]["strict"] == old["order"]["strict"]) & (F.abs(new["w"] - old["w"]) <= new["h"] / 3)
+
+    def fold(kept: Column, new: Column) -> Column:
+        rival = F.array_position(F.transform(kept, lambda k: shared(k, new) >= overlap), True)
+        swapped = F.transform(kept, lambda k, i: F.when((i == rival - 1) & twins(new, k) & (new["likeness"] > k["likeness"]), new).otherwise(k))
+        return F.when(rival == 0, F.concat(kept, F.array(new))).otherwise(swapped)
+
+    kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, 1), fold)
+    return rows.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.order.refused", "b.order.strict", "b.x", "b.y", "b.w", "b.h", "b.likeness")
+
+
 def meter_turn(turns: DataFrame) -> DataFrame:
     """(photo, turn): the first of the turns 0, 90, 180 and 270 with a meter; null if none has one. turns: photo, turn, has_meter."""
     return turns.groupBy("photo").agg(F.min(F.when(F.col("has_meter"), F.col("turn"))).alias("turn"))

@@ -67,6 +67,19 @@ def suppressed(spark, sf):
     return digits.suppressed(wide, ["photo"])
 
 
+@query("f37_chosen_lines", """WITH lines AS (SELECT l_orderkey AS photo, l_partkey % 4 = 0 AS refused, l_suppkey % 3 = 0 AS strict, (l_partkey % 90)::DOUBLE AS x, (l_suppkey % 25)::DOUBLE AS y, (30 + l_partkey % 23)::DOUBLE AS w, (18 + l_linenumber % 4)::DOUBLE AS h, (l_partkey * 7919 % 1000) / 1000.0::DOUBLE AS likeness FROM lineitem),
+folded AS (SELECT photo, list_reduce(list([{'refused': refused, 'strict': strict, 'x': x, 'y': y, 'w': w, 'h': h, 'likeness': likeness}] ORDER BY refused, strict, w DESC, likeness DESC, x, y, h), lambda kept, n:
+  CASE WHEN coalesce(list_position(list_transform(kept, lambda k: greatest(0, least(k.x + k.w, n[1].x + n[1].w) - greatest(k.x, n[1].x)) * greatest(0, least(k.y + k.h, n[1].y + n[1].h) - greatest(k.y, n[1].y)) / greatest(1, least(k.w * k.h, n[1].w * n[1].h)) >= 0.5), true), 0) = 0 THEN list_concat(kept, n)
+  ELSE list_transform(kept, lambda k, i: CASE WHEN i = list_position(list_transform(kept, lambda k2: greatest(0, least(k2.x + k2.w, n[1].x + n[1].w) - greatest(k2.x, n[1].x)) * greatest(0, least(k2.y + k2.h, n[1].y + n[1].h) - greatest(k2.y, n[1].y)) / greatest(1, least(k2.w * k2.h, n[1].w * n[1].h)) >= 0.5), true)
+    AND k.refused = n[1].refused AND k.strict = n[1].strict AND abs(n[1].w - k.w) <= n[1].h / 3 AND n[1].likeness > k.likeness THEN n[1] ELSE k END) END) AS kept FROM lines GROUP BY photo)
+SELECT photo, b.refused AS refused, b.strict AS strict, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.likeness AS likeness FROM (SELECT photo, unnest(kept) AS b FROM folded)""")
+def chosen_lines(spark, sf):
+    """Greedy suppression of overlapping lines with replacement of twins, each photo's few lines in one fold."""
+    k, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), (k % 4 == 0).alias("refused"), (s % 3 == 0).alias("strict"), (k % 90).alias("x"), (s % 25).alias("y"), (30 + k % 23).alias("w"), (18 + n % 4).alias("h"), (k * 7919 % 1000 / 1000.0).alias("likeness"))
+    return digits.chosen_lines(lines, ["photo"])
+
+
 @query("p05_serial_gate", with_("runs", "SELECT seq, conf >= 0.6 AS taken FROM runs"))
 def serial_gate(spark, sf):
     return A.runs(spark, sf).select("seq", (F.col("conf") >= 0.6).alias("taken"))
@@ -206,3 +219,27 @@ def nearest_glyph(spark, sf):
     from ..operators import glyphs
 
     return glyphs.nearest(table(spark, sf, "embeddings"), glyphs.bank(table(spark, sf, "embeddings"))).select("vec_id", "nearest")
+
+
+_SHAPED = """v AS (SELECT vec_id, ['0', 'о', 'п', 'к', '1', '2', '3', '4', '5', '6'][label + 1] AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e, 0.5 + (vec_id * 37 % 100) / 50.0::DOUBLE AS aspect, 0.6 + (vec_id * 53 % 40) / 50.0::DOUBLE AS height, vec_id % 5 AS font FROM embeddings),
+bank AS (SELECT label, font, list(m ORDER BY i) AS c, any_value(a) AS a, any_value(h) AS h FROM (SELECT label, font, i, avg(e[i]) AS m FROM v, range(1, 65) r(i) WHERE i <= len(e) GROUP BY ALL) JOIN (SELECT label, font, avg(aspect) AS a, avg(height) AS h FROM v GROUP BY ALL) USING (label, font) GROUP BY label, font),
+s AS (SELECT vec_id, bank.label, list_cosine_similarity(e, c) AS sim, abs(ln(aspect / a)) AS apart, list_cosine_similarity(e, c) - 0.3 * abs(ln(aspect / a)) - 0.8 * abs(height - h) AS score FROM v, bank),
+l AS (SELECT vec_id, label, max(score) AS top, min(apart) AS near, max(sim) AS sim FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY top DESC, label) AS k FROM l),
+g AS (SELECT vec_id, any_value(label) FILTER (k = 1) AS best, any_value(label) FILTER (k = 2) AS other, any_value(top) FILTER (k = 1) - any_value(top) FILTER (k = 2) AS margin, max(sim) AS likeness, any_value(near) FILTER (k = 1) AS deviation FROM r GROUP BY vec_id)"""
+
+
+@query("f36_read_glyphs", f"""WITH {_SHAPED}
+SELECT vec_id, best, other, round(margin, 6) AS margin, round(likeness, 6) AS likeness, round(deviation, 6) AS deviation,
+ CASE WHEN margin < 0.05 AND best IN ('0', 'о') AND other IN ('0', 'о') THEN CASE WHEN lag(best) OVER w = 'п' OR lead(best) OVER w = 'к' THEN 'о' ELSE '0' END ELSE best END AS "char"
+FROM g WINDOW w AS (PARTITION BY vec_id // 8 ORDER BY vec_id)""")
+def read_glyphs(spark, sf):
+    """Glyphs by shape, proportions and height against a bank of fonts, and the rule for 0 and о in lines of eight."""
+    from ..operators import glyphs
+
+    k = F.col("vec_id")
+    label = F.element_at(F.array(*[F.lit(c) for c in "0опк123456"]), F.col("label") + 1)
+    rows = table(spark, sf, "embeddings").select("vec_id", label.alias("label"), "embedding", (0.5 + k * 37 % 100 / 50.0).alias("aspect"), (0.6 + k * 53 % 40 / 50.0).alias("height"), (k % 5).alias("font"))
+    read = glyphs.read_glyphs(rows, glyphs.bank_of_shapes(rows, "font")).withColumn("line", F.floor(k / 8))
+    out = glyphs.zero_or_o(read, "line", "vec_id", 0.05)
+    return out.select("vec_id", "best", "other", *[F.round(c, 6).alias(c) for c in ("margin", "likeness", "deviation")], "char")
