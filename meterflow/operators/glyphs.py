@@ -82,7 +82,7 @@ def read_glyphs(rows: DataFrame, references: DataFrame, key: str = "vec_id", asp
     names = sorted({x[0] for x in few})
     width = max((len(x[1]) for x in few), default=0)
     label_of = np.array([names.index(x[0]) for x in few], int)
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([_padded(x[1], width) for x in few], float).reshape(-1, width), label_of, np.array([[x[2], x[3]] for x in few], float).reshape(-1, 2)))
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([_padded(x[1], width) for x in few], float).reshape(len(few), width), label_of, np.array([[x[2], x[3]] for x in few], float).reshape(-1, 2)))
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         centres, label, shapes = shared.value

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators import isolation, lineage
+from ..operators import isolation, lineage, reference_sets, training_sets
 from ..sources import sinks, tables, workbooks
 from ..streaming import progress
 from . import analogs as A
@@ -68,3 +68,59 @@ def observed_counts(spark, sf):
     seen = Observation("run")
     progress.observed(A.runs(spark, sf), seen).write.parquet(_folder(spark, "run"))
     return spark.createDataFrame([(k, seen.get[k]) for k in ("done", *progress.OUTCOMES)], "name string, n long")
+
+
+_ANSWERS = """answers AS (SELECT doc_id::VARCHAR AS key, lang AS stratum, n_chars::VARCHAR AS answer, CASE WHEN doc_id % 3 = 0 THEN (n_chars + 1)::VARCHAR ELSE '' END AS last FROM documents),
+known AS (SELECT key, stratum, answer, '' AS last FROM answers WHERE key::BIGINT % 9 = 0), quotas AS (SELECT unnest(['en', 'de', 'fr']) AS stratum, unnest([120, 45, 7]) AS quota)"""
+
+
+def _etalon(spark, sf):
+    k = F.col("doc_id")
+    rows = A.table(spark, sf, "documents").select(k.cast("string").alias("key"), F.col("lang").alias("stratum"), F.col("n_chars").cast("string").alias("answer"), F.when(k % 3 == 0, (F.col("n_chars") + 1).cast("string")).otherwise("").alias("last"))
+    return rows, rows.where("cast(key as bigint) % 9 = 0").withColumn("last", F.lit(""))
+
+
+@query("r08_added_answers", f"""WITH {_ANSWERS},
+room AS (SELECT stratum, greatest(0, quota - (SELECT count(*) FROM known k WHERE k.stratum = quotas.stratum)) AS quota FROM quotas),
+drawn AS (SELECT a.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256('e' || key), key) AS place FROM answers a WHERE key NOT IN (SELECT key FROM known))
+SELECT k.key, k.stratum, k.answer, a.last, CASE WHEN a.last <> '' THEN 'filled' ELSE 'kept' END AS state FROM known k JOIN answers a USING (key)
+UNION ALL SELECT key, stratum, answer, last, 'added' FROM drawn JOIN room USING (stratum) WHERE place <= quota""")
+def added_answers(spark, sf):
+    """A reference set after answers are added: known ones are kept or filled, new ones drawn to the quotas' rest."""
+    answers, known = _etalon(spark, sf)
+    quotas = spark.createDataFrame([("en", 120), ("de", 45), ("fr", 7)], "stratum string, quota int")
+    return reference_sets.added(known, answers, quotas, 120, "e")
+
+
+_CROPS = """photos AS (SELECT photo, CASE WHEN photo % 14 <> 3 THEN owner END AS account, photo % 101 = 7 AS failed, photo % 5 <> 1 AS has_serial, photo % 4 <> 1 AS has_account, photo % 6 <> 2 AS has_meter, CASE WHEN photo % 8 = 0 THEN 4 ELSE 5 END AS n_digits FROM reads),
+serials AS (SELECT account, serial FROM register UNION ALL SELECT account, serial || '9' FROM register WHERE row_order % 10 = 4), readings AS (SELECT account, last::VARCHAR AS reading FROM register WHERE row_order % 7 <> 5 UNION ALL SELECT account, '77' FROM register WHERE row_order % 13 = 6),
+s1 AS (SELECT account, min(trim(serial)) AS serial, count(DISTINCT trim(serial)) AS n FROM serials WHERE trim(serial) <> '' GROUP BY account), r1 AS (SELECT account, min(reading) AS reading, count(DISTINCT reading) AS n FROM readings GROUP BY account),
+met AS (SELECT p.*, s1.serial AS s, s1.n AS ns, lpad(r1.reading, 5, '0') AS r, length(r1.reading) AS size, r1.n AS nr FROM photos p LEFT JOIN s1 USING (account) LEFT JOIN r1 USING (account) WHERE NOT failed),
+built AS (SELECT *, CASE WHEN account IS NULL THEN 'no account in the name' WHEN ns IS NULL THEN 'not in the table' WHEN ns > 1 THEN 'several answers' WHEN NOT regexp_full_match(s, '[0-9]{4,10}') THEN 'answer unfit' WHEN NOT has_serial THEN 'not found' ELSE 'made' END AS serial_,
+ CASE WHEN account IS NULL THEN 'no account in the name' WHEN NOT has_account THEN 'not found' ELSE 'made' END AS marker,
+ CASE WHEN account IS NULL THEN 'no account in the name' WHEN nr IS NULL THEN 'not in the table' WHEN nr > 1 THEN 'several answers' WHEN size > 5 THEN 'answer unfit' WHEN NOT has_meter OR n_digits <> 5 THEN 'not found' ELSE 'made' END AS reading_ FROM met)"""
+
+
+def _built(spark, sf):
+    k, register = F.col("photo"), A.register(spark, sf)
+    photos = A.reads(spark, sf).select("photo", F.when(k % 14 != 3, F.col("owner")).alias("account"), (k % 101 == 7).alias("failed"), (k % 5 != 1).alias("has_serial"), (k % 4 != 1).alias("has_account"), (k % 6 != 2).alias("has_meter"), F.when(k % 8 == 0, 4).otherwise(5).alias("n_digits"))
+    serials = register.select("account", "serial").unionAll(register.where("row_order % 10 = 4").select("account", F.concat("serial", F.lit("9"))))
+    readings = register.where("row_order % 7 <> 5").select("account", F.col("last").cast("string").alias("reading")).unionAll(register.where("row_order % 13 = 6").select("account", F.lit("77")))
+    return training_sets.built(photos, serials, readings)
+
+
+@query("r09_named_crops", with_("register reads", "").rstrip() + f", {_CROPS}" + """,
+crops AS (SELECT photo, account, 'serial' AS kind, 1 AS position, s AS answer FROM built WHERE serial_ = 'made' UNION ALL SELECT photo, account, 'account', 1, '' FROM built WHERE marker = 'made'
+ UNION ALL SELECT photo, account, 'digit', p, substr(r, p, 1) FROM built, (SELECT unnest(range(1, 6))::INTEGER AS p) WHERE reading_ = 'made'),
+taken AS (SELECT account, 'account' AS kind, 1 AS position, '' AS answer, 2 AS copy FROM register),
+n AS (SELECT *, row_number() OVER (PARTITION BY account, kind, position, answer ORDER BY photo) AS n FROM crops)
+SELECT photo, kind, position, answer, CASE WHEN kind = 'account' AND n > 1 THEN n + 1 ELSE n END::INTEGER AS copy FROM n""")
+def named_crops(spark, sf):
+    """All crops of all photos that did not fail, under the least numbers that are free; each account's marker has a second one already."""
+    taken = A.register(spark, sf).select("account", F.lit("account").alias("kind"), F.lit(1).alias("position"), F.lit("").alias("answer"), F.lit(2).alias("copy"))
+    return training_sets.named(_built(spark, sf), taken)
+
+
+@query("r09_build_counts", with_("register reads", "").rstrip() + f", {_CROPS} SELECT 'serial' AS kind, serial_ AS state, count(*) AS n FROM built GROUP BY ALL UNION ALL SELECT 'account', marker, count(*) FROM built GROUP BY ALL UNION ALL SELECT 'digit', reading_, count(*) FROM built GROUP BY ALL")
+def build_counts(spark, sf):
+    return training_sets.kind_counts(_built(spark, sf))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +68,35 @@ def changed_labels(rows: DataFrame) -> DataFrame:
     return at.where(other).select("photo", (F.col("p") - 1).alias("position"), digit.alias("digit"))
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder and its path there."""
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
+def versions_in(folder: str) -> list[int]:
+    """The versions of a table in a folder that are whole: those with the mark that a write leaves at its end."""
+    store, at = store_of(folder)
+    found = [posixpath.basename(x.path) for x in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if x.type == fs.FileType.Directory]
+    numbers = [int(n.removeprefix("version=")) for n in found if re.fullmatch("version=[0-9]+", n)]
+    return sorted(n for n in numbers if store.get_file_info(f"{at}/version={n}/_SUCCESS").type == fs.FileType.File)
+
+
 def snapshot(table: DataFrame, folder: str, version: int, keep: int = 30) -> list[int]:
-    """Writes a table as a version of its own and returns the versions that are older than the last `keep`, for removal by the caller."""
+    """Writes a table as a version of its own and returns the versions that are older than the last `keep`, for removal."""
     table.write.mode("overwrite").parquet(f"{folder}/version={version}")
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    versions = sorted(int(f.getPath().getName().split("=")[1]) for f in found if f.getPath().getName().startswith("version="))
-    return versions[:-keep]
+    return versions_in(folder)[:-keep] if keep else versions_in(folder)
+
+
+def backup(table: DataFrame, folder: str, version: int, keep: int = 30) -> list[int]:
+    """A snapshot, after which only the last `keep` whole versions are there; returns those that were removed.
+
+    Versions are removed when the new one is whole, so that a failed write removes none.
+    """
+    old = snapshot(table, folder, version, keep)
+    store, at = store_of(folder)
+    for n in old:
+        store.delete_dir(f"{at}/version={n}")
+    return old
 
 
 def export_month(register: DataFrame, readings: DataFrame, folder: str, sheet: str = "Sheet1") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,21 @@ def photos(spark: SparkSession, folder: str) -> DataFrame:
     return out.where(F.col("kind").isin(*PHOTO_TYPES)).drop("kind")
 
 
+def manifest(spark: SparkSession, folder: str, roles: DataFrame) -> DataFrame:
+    """(field, role, path, size, modified, sha256, missing): the files that are in use, each with the first 16 signs of its hash.
+
+    roles: (field, role, path) with paths below the folder; an empty path is a role that is not filled and is left out. A
+    file that is not there has only its mark. Contents are hashed by executors and stay there.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
+    below = F.expr("substring(_root, locate(_folder, _root) + length(_folder))")
+    known = files.withColumns({"_root": root, "_folder": F.lit(re.sub("^[a-z]+:/+", "/", folder.rstrip("/")) + "/")})
+    known = known.select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.substring(F.sha2("content", 256), 1, 16).alias("sha256"))
+    wanted = roles.where("path <> ''").withColumn("path", F.translate("path", "\\", "/"))
+    return wanted.join(known, "path", "left").select("field", "role", "path", "size", "modified", "sha256", F.col("sha256").isNull().alias("missing"))
+
+
 def stray_files(spark: SparkSession, folder: str, ignored: tuple[str, ...] = ("Thumbs.db", "desktop.ini", ".DS_Store")) -> DataFrame:
     """(path): files of a folder that are no photos and no system's own."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
