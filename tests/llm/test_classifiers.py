@@ -236,6 +236,20 @@ def test_findings_of_another_kind(spark):
     assert caught >= 0.9 * 300 and caught / (caught + wrong) >= 0.9, (caught, wrong)
 
 
+def test_names_by_the_expression_alone(spark, sf_dir):
+    """The automaton finds the places where the expression matches, also in texts whose lower case is longer."""
+    texts = [r[0] for r in common.table(spark, sf_dir, "documents").select("text").where("text is not null").collect()]
+    draw = random.Random(2)
+    parts = "api_key apiKey Pass pass: key= PASSWORD my-token authKey pin=1 access-key Authorization: bearer tokens \u212aey \u017fecret monkey compass".split()
+    texts += [draw.choice(["", "\u0130 "]) + draw.choice([" ", "_", ""]).join(draw.choice(parts) for _ in range(8)) for _ in range(300)]
+    for t in texts:
+        found, at = [], 0
+        while m := secrets.CREDENTIAL.search(t, at):
+            found.append(m.span())
+            at = m.start() + 1
+        assert [m.span() for m in secrets._names(t)] == found
+
+
 def test_long_runs_of_names_end_soon():
     for text in ("token=" * 100_000, "token" * 100_000, "password " * 50_000, "secret='" * 50_000, "key\"" * 50_000, "pass" + " " * 200_000 + "x", "key" * 100_000, "pin_" * 100_000):
         secrets.spans(text)
