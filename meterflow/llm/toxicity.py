@@ -87,34 +87,53 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, p: FtrlParams, l
     return weights(slice(None)), bias
 
 
-def learned(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots and weights that are not zero, and the bias: the L1 term of the least log-loss over folds, and the cut that their unseen scores call for.
+def compacted(rows: list[np.ndarray], p: FtrlParams) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows with slots numbered from 0, and the slots by these numbers.
 
     A slot's gradients are below 1, so that one of d rows never leaves zero if d * epochs is no more than the L1 term:
-    such slots are left out beforehand.
+    such slots are left out.
     """
     flat = np.concatenate([*rows, np.zeros(0, np.int32)])
     used = np.bincount(flat, minlength=1 << p.bits) * p.epochs > min(p.l1)
     number, kept = np.cumsum(used, dtype=np.int32) - 1, used[flat]
     ends = np.cumsum(kept)[np.cumsum([len(r) for r in rows], dtype=np.int64) - 1] if len(flat) else np.zeros(len(rows), np.int64)
     ends[np.cumsum([len(r) for r in rows]) == 0] = 0  # rows without slots before all others
-    own, slots = np.split(number[flat[kept]], ends[:-1]) if len(rows) else [], np.flatnonzero(used)
-    del flat, kept, number
-    fold = np.random.default_rng([seed, 7]).permutation(len(rows)) % p.folds
-    best = None
-    for l1 in p.l1:
-        unseen = np.zeros(len(rows))
-        for k in range(p.folds):
-            seen, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            if len(seen) and len(out):
-                w, bias = ftrl([own[i] for i in seen], labels[seen], len(slots), p, l1, seed)
-                unseen[out] = [w[own[i]].sum() + bias for i in out]
-        loss = float(np.mean(np.logaddexp(0, np.where(labels == 1, -unseen, unseen)))) if len(rows) else 0.0
-        if best is None or loss < best[0]:
-            best = loss, l1, best_cut(unseen, labels)
-    w, bias = ftrl(own, labels, len(slots), p, best[1], seed)
+    return (np.split(number[flat[kept]], ends[:-1]) if len(rows) else []), np.flatnonzero(used)
+
+
+def folds_of(n: int, p: FtrlParams, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, 7]).permutation(n) % p.folds
+
+
+def fold_scores(own: list[np.ndarray], labels: np.ndarray, size: int, p: FtrlParams, l1: float, fold: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a fold and their scores by a fit on the others."""
+    of = folds_of(len(own), p, seed)
+    seen, out = np.flatnonzero(of != fold), np.flatnonzero(of == fold)
+    if not len(seen) or not len(out):
+        return out, np.zeros(len(out))
+    w, bias = ftrl([own[i] for i in seen], labels[seen], size, p, l1, seed)
+    return out, np.array([w[own[i]].sum() + bias for i in out])
+
+
+def chosen_term(unseen: dict[float, np.ndarray], labels: np.ndarray) -> tuple[float, float]:
+    """The L1 term with the least log-loss of its unseen scores, and the cut that these call for."""
+    loss = {l1: float(np.mean(np.logaddexp(0, np.where(labels == 1, -s, s)))) if len(s) else 0.0 for l1, s in unseen.items()}
+    l1 = min(unseen, key=loss.__getitem__)
+    return l1, best_cut(unseen[l1], labels)
+
+
+def learned(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and weights that are not zero, and the bias, of what fit() does over tasks in one place."""
+    own, slots = compacted(rows, p)
+    unseen = {l1: np.zeros(len(own)) for l1 in p.l1}
+    for l1, s in unseen.items():
+        for fold in range(p.folds):
+            at, values = fold_scores(own, labels, len(slots), p, l1, fold, seed)
+            s[at] = values
+    l1, cut = chosen_term(unseen, labels)
+    w, bias = ftrl(own, labels, len(slots), p, l1, seed)
     at = np.flatnonzero(w)
-    return slots[at], w[at], bias - best[2]
+    return slots[at], w[at], bias - cut
 
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -195,16 +214,55 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: FtrlPa
             rows = distinct_features(batch.column(0), p.bits)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in rows], pa.list_(pa.int32())), *batch.columns[1:]], ["slots", "doc_id", "label", "shard"])
 
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+    def compact(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")  # shuffled rows come in any order
-        at, w, bias = learned(list(rows["slots"]), rows["label"].to_numpy(float), p, int(rows["shard"].iloc[0]))
-        return pd.DataFrame({"slot": np.append(at, -1), "weight": np.append(w, bias)})
+        own, slots = compacted(list(rows["slots"]), p)
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "place": range(-1, len(own)), "label": [0, *rows["label"]], "slots": [slots.astype(np.int32).tobytes(), *(x.tobytes() for x in own)]})
 
     sample = training_rows(docs, labels, label, p.per_class, p.class_bytes)
     sample = sample.select("text", "doc_id", "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(p.shards)).cast("int").alias("shard"))
-    shards = sample.mapInArrow(extract, "slots array<int>, doc_id long, label int, shard int").groupBy("shard").applyInPandas(learn, "slot long, weight double")
-    mean = shards.groupBy("slot").agg((F.sum("weight") / p.shards).alias("weight")).orderBy("slot").collect()  # at most 2^bits rows; L1 leaves a few thousand
-    slots, weights = np.array([r["slot"] for r in mean], np.int64), np.array([r["weight"] for r in mean])
+    packed = sample.mapInArrow(extract, "slots array<int>, doc_id long, label int, shard int").groupBy("shard").applyInPandas(compact, "shard int, place int, label int, slots binary")
+    held: dict[int, tuple[list[np.ndarray], np.ndarray, np.ndarray]] = {}
+    table = packed.toPandas()  # at most 2 * per_class rows of class_bytes bytes of text, as numbers that occur more than once
+    for k, rows in table.groupby("shard"):
+        rows = rows.sort_values("place", kind="stable")
+        numbers = [np.frombuffer(x, np.int32) for x in rows["slots"]]
+        held[int(k)] = numbers[1:], rows["label"].to_numpy(float)[1:], numbers[0]
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(held)
+    trials = [(k, l1, fold) for k in held for l1 in p.l1 for fold in range(p.folds)]
+
+    def each(jobs: list, schema: str, work) -> pd.DataFrame:
+        """One task for each job: fits of the same rows run side by side."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for n in (n for f in frames for n in f["id"]):
+                yield work(n, *jobs[n])
+
+        return spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, schema).toPandas() if jobs else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    def trial(n: int, k: int, l1: float, fold: int) -> pd.DataFrame:
+        own, y, slots = shared.value[k]
+        at, s = fold_scores(own, y, len(slots), p, l1, fold, k)
+        return pd.DataFrame({"job": n, "row": at, "score": s})
+
+    scores = each(trials, "job int, row int, score double", trial)
+    chosen = []
+    for k, (own, y, _) in held.items():
+        unseen = {l1: np.zeros(len(own)) for l1 in p.l1}
+        for n, part in scores.groupby("job"):
+            if trials[n][0] == k:
+                unseen[trials[n][1]][part["row"]] = part["score"]
+        chosen.append((k, *chosen_term(unseen, y)))
+
+    def final(n: int, k: int, l1: float, cut: float) -> pd.DataFrame:
+        own, y, slots = shared.value[k]
+        w, bias = ftrl(own, y, len(slots), p, l1, k)
+        at = np.flatnonzero(w)
+        return pd.DataFrame({"slot": np.append(slots[at], -1).astype(np.int64), "weight": np.append(w[at], bias - cut)})
+
+    mean = each(chosen, "slot long, weight double", final).groupby("slot")["weight"].sum() / p.shards
+    slots, weights = mean.index.to_numpy(np.int64), mean.to_numpy(float)
     bias = float(weights[slots == -1].sum())
     keep = (slots >= 0) & (np.abs(weights) > 1e-3)
     return LinearModel(slots[keep], weights[keep], bias, p.bits)
