@@ -17,9 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that at least 10 of them hold; n_chars follows the text."""
+    """All documents without the lines that at least 10 of them hold; n_chars follows the text, columns named as the operator's counts stay."""
     bounded(spark)
-    kept = lines.drop_lines(docs, lines.LineIndex.build(docs, 10)).drop("n_lines", "n_dropped")
+    own = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c.lower() in ("n_lines", "n_dropped")}
+    kept = lines.drop_lines(docs.withColumnsRenamed(own), lines.LineIndex.build(docs, 10)).drop("n_lines", "n_dropped")
+    kept = kept.withColumnsRenamed({new: old for old, new in own.items()})
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -227,3 +227,28 @@ def test_pipeline(spark, sf_dir):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     expected = {r["doc_id"]: sp.encode(r["text"]) for r in clean.collect()}
     assert {r["doc_id"]: list(r["input_ids"]) for r in queries.queries()["pipeline"](spark, sf_dir).collect()} == expected
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, empty and repeated rows, columns that clash with those of the stages, and tables without rows."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, n_lines int, row string, own long, N_Dropped string"
+    prose = [" ".join(f"w{(n * 31 + k * k) % 997}" for k in range(60)) for n in range(12)]
+    rows = [(n, t, "en", None, 1, n, "r", 5, "x") for n, t in enumerate([*prose, None, "", "  \n\t", prose[0]])]
+    rows += [rows[1], (None, prose[2], None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    marks = [(n, 1, int(n % 2)) for n in range(6)]
+    for name, few in (("full", False), ("none", True)):
+        tables = {"documents": spark.createDataFrame(rows[:0] if few else rows, schema), "labels": spark.createDataFrame(marks[:0] if few else marks, "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([] if few else [(1, prose[5]), (2, None)], "item_id long, text string")}
+        for t, df in tables.items():
+            df.write.parquet(str(tmp_path / name / f"{t}.parquet"))
+    docs = common.table(spark, str(tmp_path / "full"), "documents")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, str(tmp_path / "full"))
+        assert out.columns == docs.columns and {r["N_Dropped"] for r in out.collect()} <= {"x", None}
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path / "full")).collect()
+    texts = [r["text"] for r in out if r["doc_id"] is not None]
+    assert sum(t == prose[0] for t in texts) == 1 and sum(t == prose[1] for t in texts) == 1 and prose[5] in texts
+    assert prose[5] not in [r["text"] for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path / "full")).collect()]
+    assert all(r["round_trip"] is not None for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect())
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
