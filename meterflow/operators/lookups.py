@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lookup_variants
+from .lineage import cut
 
 
 def pick_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -149,6 +150,19 @@ def placed(rows: DataFrame, share: str, key: str, ranges: int = 1024, parts: int
     return own.join(starts, [share, "_p"]).withColumn("place", F.col("_start") + n).drop("_r", "_p", "_start")
 
 
+def ordered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `place`, their number from 1 in this order: ranges are sorted side by side, and only their sizes are added up.
+
+    Rows that agree in all of the order stay in one range, and their places among themselves are any.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = cut(ranged.withColumn("_range", F.shiftright("_id", 33)))  # the id has the range above its lower 33 bits
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    place = F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(F.broadcast(starts), "_range").withColumn("place", place).drop("_id", "_range", "_start")
+
+
 def judged(guessed: DataFrame) -> DataFrame:
     """Guesses with verdict against the operator's answer (manual_outcome, manual_serial): right, other serial, not in table, ? or - without a guess."""
     found = F.col("manual_outcome").isin("PLUS", "MINUS", "SUSPICIOUS")

@@ -100,3 +100,21 @@ def filled_register(register: DataFrame, rows: DataFrame) -> DataFrame:
 def final_states(rows: DataFrame) -> DataFrame:
     """(key, outcome, account, reading) of each photo that a month's rows tell of: its last row."""
     return pick_last(rows.withColumn("key", photo_key()), ["key"], F.desc("seq")).select("key", "outcome", "account", "reading")
+
+
+def log_table(rows: DataFrame, photos: DataFrame, by: str, at: str) -> DataFrame:
+    """A run's rows (ROW) as the log's own 18 columns of text, in their order; what a row has not is ''.
+
+    photos: (photo, serial_conf, shown, folder), and final_name where files were renamed: what the models showed. Whole
+    numbers have no fraction, confidences four places; the detail of an outcome is the last part of the notes.
+    """
+    seen = photos if "final_name" in photos.columns else photos.withColumn("final_name", F.lit(""))
+    met = rows.join(seen.select("photo", "serial_conf", "shown", "folder", "final_name"), "photo", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    number = lambda c: F.coalesce(F.when(F.col(c) == F.floor(c), F.col(c).cast("bigint").cast("string")).otherwise(F.col(c).cast("string")), F.lit(""))
+    columns = {
+        "original_filename": text("name"), "final_filename": text("final_name"), "serial_id": text("serial"), "account_id": text("account"), "reading": text("reading"), "last_reading": number("last"), "delta": number("delta"), "outcome": text("outcome"), "source": text("source"),
+        "processed_by": F.lit(by), "processed_at": F.lit(at), "verified_by": F.lit(""), "verified_at": F.lit(""), "model_serial_conf": F.coalesce(F.format_string("%.4f", "serial_conf"), F.lit("")), "model_reading_str": text("shown"),
+        "notes": F.concat_ws(" | ", F.nullif(F.col("notes"), F.lit("")), F.nullif(F.col("detail"), F.lit(""))), "photo_hash": text("photo_hash"), "source_folder": text("folder"),
+    }
+    return met.select(*[F.when(F.col("serial_conf").isNull(), "").otherwise(c).alias(n) if n == "model_serial_conf" else c.alias(n) for n, c in columns.items()])

@@ -6,10 +6,11 @@ not_in_db; outcome is what the change of the reading suggests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .events import latest_fixes, readings_after
+from .lookups import ordered
 
 #: Kinds that take a reading, and what the others write as outcome.
 TAKES = ("accept", "serial_fix")
@@ -67,13 +68,9 @@ def log_where(log: DataFrame, account: str | None = None, outcomes: tuple[str, .
 
 
 def queued(rows: DataFrame, groups: list[Column], key: str) -> DataFrame:
-    """rows with `place` in the order of the groups and, inside one, of the key: only the groups' counts are ordered as a whole."""
+    """rows with `place` in the order of the groups and, inside one, of the key; a group of most rows is sorted by many tasks."""
     names = [f"_g{k}" for k in range(len(groups))]
-    own = rows.withColumns(dict(zip(names, groups)))
-    counts = own.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy(*names)) - F.col("_n")).drop("_n")
-    n = F.row_number().over(Window.partitionBy(*names).orderBy(key))
-    return own.join(F.broadcast(starts), names).withColumn("place", F.col("_start") + n).drop(*names, "_start")
+    return ordered(rows.withColumns(dict(zip(names, groups))), *names, key).drop(*names)
 
 
 def report(log: DataFrame) -> DataFrame:

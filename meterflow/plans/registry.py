@@ -132,9 +132,12 @@ def export(spark, sf):
     return registers.exported(A.register(spark, sf).withColumn("in_table", F.lit(True)), _latest(spark, sf))
 
 
-@query("u03_without_reading", with_("register reads", "").rstrip() + f", {_LATEST} SELECT account, serial FROM register ANTI JOIN latest USING (account)")
+@query("u03_without_reading", with_("register reads", "").rstrip() + f", {_LATEST}, taken AS (SELECT account FROM latest JOIN register USING (account) WHERE value - last BETWEEN -1500 AND 3000) SELECT account, serial FROM register ANTI JOIN taken USING (account)")
 def without_reading(spark, sf):
-    return registers.without_reading(A.register(spark, sf).withColumn("in_table", F.lit(True)), _latest(spark, sf)).select("account", "serial")
+    """Accounts whose latest reading was not taken, as its change is not plausible, or that have none."""
+    register = A.register(spark, sf).withColumn("in_table", F.lit(True))
+    taken = _latest(spark, sf).join(register.select("account", "last"), "account").where((F.col("value") - F.col("last")).between(-1500, 3000))
+    return registers.without_reading(register, taken.select("account")).select("account", "serial")
 
 
 @query("j06_or_key_join", with_("log", """SELECT p.photo, l.seq FROM (SELECT doc_id AS photo, 'p' || (doc_id % 1200)::VARCHAR || '.jpg' AS name,

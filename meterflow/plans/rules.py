@@ -243,3 +243,20 @@ def read_glyphs(spark, sf):
     read = glyphs.read_glyphs(rows, glyphs.bank_of_shapes(rows, "font")).withColumn("line", F.floor(k / 8))
     out = glyphs.zero_or_o(read, "line", "vec_id", 0.05)
     return out.select("vec_id", "best", "other", *[F.round(c, 6).alias(c) for c in ("margin", "likeness", "deviation")], "char")
+
+
+@query("r14_meter_turns", "SELECT l_orderkey AS photo, min([0, 90, 180, 270][l_linenumber % 4 + 1]) FILTER (l_partkey % 3 = 0) AS turn FROM lineitem GROUP BY l_orderkey")
+def meter_turns(spark, sf):
+    turn = F.element_at(F.array(*[F.lit(x) for x in (0, 90, 180, 270)]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return digits.meter_turn(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), turn.alias("turn"), (F.col("l_partkey") % 3 == 0).alias("has_meter")))
+
+
+@query("r06_judged_notes", """WITH n AS (SELECT o_orderkey AS photo, o_orderkey % 3 <> 0 AS understood, o_orderkey % 7 = 0 AS conflict, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 50 END AS account, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 40 END AS reading, o_custkey % 50 + (o_orderkey % 9 = 0)::INT AS ta, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 40 + (o_orderkey % 8 = 0)::INT END AS tr FROM orders)
+SELECT photo, CASE WHEN coalesce(account <> ta OR reading <> tr, account <> ta, reading <> tr, FALSE) THEN 'danger' WHEN conflict THEN 'conflict' WHEN understood AND (account IS NOT NULL OR reading IS NOT NULL) THEN 'right' WHEN understood THEN 'confirms' ELSE 'unclear' END AS verdict FROM n""")
+def judged_notes(spark, sf):
+    from ..operators import events
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    flag = lambda n: (k % n == 0).cast("int")
+    notes = table(spark, sf, "orders").select(k.alias("photo"), (k % 3 != 0).alias("understood"), (k % 7 == 0).alias("conflict"), F.when(k % 4 != 0, c % 50).alias("account"), F.when(k % 5 != 0, k % 40).alias("reading"), (c % 50 + flag(9)).alias("true_account"), F.when(k % 11 != 0, k % 40 + flag(8)).alias("true_reading"))
+    return events.judged(notes).select("photo", "verdict")

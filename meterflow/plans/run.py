@@ -103,6 +103,24 @@ def batches_equal(spark, sf):
     return month.final_states(cycle.month_rows(spark, folder))
 
 
+_NUMBER = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+
+
+@query("r01_log_table", with_("register reads log", "").rstrip() + f", {_CHOSEN}, decided AS (WITH {_DECIDED})" + f""",
+readings AS (SELECT account, min(photo) AS reader FROM decided WHERE outcome IN ('PLUS', 'MINUS') GROUP BY account),
+done AS (SELECT d.*, p.name, p.photo_hash, p.serial_conf, p.reading AS shown FROM decided d JOIN photos p USING (photo)),
+waiting AS (SELECT name, photo_hash, serial, account FROM done WHERE outcome IN ('DIGITS_ERROR', 'SUSPICIOUS') UNION ALL SELECT name, photo_hash, '', account FROM lasts WHERE outcome IN ('DIGITS_ERROR', 'SUSPICIOUS') AND key NOT IN (SELECT key FROM photos))
+SELECT name AS original_filename, '' AS final_filename, coalesce(serial, '') AS serial_id, coalesce(account, '') AS account_id, coalesce(reading::VARCHAR, '') AS reading, coalesce({_NUMBER.format('last')}, '') AS last_reading, coalesce({_NUMBER.format('delta')}, '') AS delta,
+ outcome, 'auto' AS source, 'run' AS processed_by, '2026-11-01T00:00:00' AS processed_at, '' AS verified_by, '' AS verified_at, coalesce(printf('%.4f', serial_conf), '') AS model_serial_conf, coalesce(shown::VARCHAR, '') AS model_reading_str, coalesce(detail, '') AS notes, photo_hash, 'f' || (photo % 6)::VARCHAR AS source_folder FROM done
+UNION ALL SELECT name, '', coalesce(serial, ''), account, '', '', '', 'REPEAT', 'auto', 'run', '2026-11-01T00:00:00', '', '', '', '', 'closed: the account has a reading (photo ' || reader::VARCHAR || ') | closed', photo_hash, '' FROM waiting JOIN readings USING (account)""")
+def log_table(spark, sf):
+    """The whole log of a run over all photos, with all of its columns as text: a row for each photo read and each one closed."""
+    shown = _photos(spark, sf)
+    rows = month.run_rows(shown, _register(spark, sf), _log(spark, sf), LIMITS)
+    seen = shown.select("photo", "serial_conf", F.col("reading").cast("string").alias("shown"), F.concat(F.lit("f"), (F.col("photo") % 6).cast("string")).alias("folder"))
+    return month.log_table(rows, seen, "run", "2026-11-01T00:00:00")
+
+
 _DECISIONS = """decisions AS (SELECT photo AS seq, 'p' || photo::VARCHAR || '.jpg' AS name, ['accept', 'serial_fix', 'duplicate', 'unreadable', 'not_in_db'][photo % 5 + 1] AS kind, serial_read AS serial,
  CASE WHEN photo % 7 = 0 THEN 'X' || owner ELSE owner END AS account, reading, CASE WHEN photo % 2 = 0 THEN 'SUSPICIOUS' ELSE 'PLUS' END AS outcome FROM reads)"""
 
@@ -140,9 +158,9 @@ def log_of_photo(spark, sf):
     return session.log_where(A.runs(spark, sf), photo_hash=key, name="p1.jpg").select("seq", "outcome")
 
 
-@query("s12_log_of_account", with_("runs", "SELECT seq FROM runs WHERE source = 'auto' AND account = '42' AND outcome IN ('DIGITS_ERROR', 'SUSPICIOUS')"))
+@query("s12_log_of_account", with_("runs", "SELECT seq FROM runs WHERE source = 'auto' AND account = '14' AND outcome IN ('DIGITS_ERROR', 'SUSPICIOUS')"))
 def log_of_account(spark, sf):
-    return session.log_where(A.runs(spark, sf), account="42", outcomes=("DIGITS_ERROR", "SUSPICIOUS"), source="auto").select("seq")
+    return session.log_where(A.runs(spark, sf), account="14", outcomes=("DIGITS_ERROR", "SUSPICIOUS"), source="auto").select("seq")
 
 
 _QUEUE = "NO_METER SERIAL_NOT_FOUND DIGITS_ERROR SUSPICIOUS".split()
