@@ -308,3 +308,51 @@ def test_scan_learns_from_labelled_findings(spark):
     assert ((out["probability"] >= 0.5) == (out["doc_id"] < 40)).mean() > 0.95
     none = secrets.scan(docs, labelled.where("label = 1"))
     assert {r["probability"] for r in none.collect()} == {0.5}
+
+
+def plain_features(text):
+    """The 22 numbers of a text by plain loops over its bytes, words and lines."""
+    data = (text or "").encode()
+    kind = lambda b: "l" if 97 <= b <= 122 else "u" if 65 <= b <= 90 else "d" if 48 <= b <= 57 else "x" if b > 127 else "b" if b in b" \t\n\x0b\x0c\r" else "p" if b in b".,;:'\"-()" else "!" if b in b"!?" else "o"
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r]+", data)
+    lines = [x for x in data.split(b"\n") if x]
+    share = lambda a, b: a / max(b, 1)
+    of = {k: share(sum(kind(b) == k for b in data), len(data)) for k in "udxbp!o"}
+    sizes = [len(w) for w in words]
+    mean = share(sum(sizes), len(words))
+    pairs = list(zip(words, words[1:]))
+    once = lambda x: 1 - share(len(set(x)), len(x))
+    return [
+        of["u"], of["d"], of["x"], of["p"], of["!"], of["o"], of["b"], of["o"] ** 0.5, of["!"] ** 0.5, of["u"] ** 0.5, np.log1p(len(words)), np.log1p(len(lines)), min(mean, 60), min(60.0, max(0.0, share(sum(n * n for n in sizes), len(words)) - mean**2) ** 0.5),
+        share(sum(n <= 3 for n in sizes), len(words)), share(sum(kind(w[0]) == "u" and kind(w[-1]) != "l" for w in words), len(words)), share(sum(kind(w[-1]) in "!o" for w in words), len(words)), once(words), once(pairs), once(lines), np.log1p(share(len(data), len(lines))), float(len(words) < 20),
+    ]
+
+
+def test_quality_features_by_brute_force(spark, sf_dir):
+    texts = [r["text"] for r in common.table(spark, sf_dir, "documents").select("text").limit(300).collect()] + [*edge.TEXTS, "A B A B A b!", "x\n\nx\n", "!? $$ é"]
+    got = quality.features(pa.array(texts, pa.string()))
+    assert got.shape[1] == 22 and np.allclose(got, [plain_features(t) for t in texts], atol=1e-6)
+
+
+def test_scores_and_threshold_by_brute_force(spark, sf_dir):
+    """Strengths by plain features and the fitted weights, the threshold as the quantile of all training labels' strengths, scores in between."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    ranking = quality.fit_ranking(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    strength = {d: float(((np.array(plain_features(t)) - ranking.mean) / ranking.scale).clip(-6, 6) @ ranking.weights) for d, t in texts.items()}
+    known = common.checkpointed(quality.strengths(docs, ranking))
+    assert all(abs(r["strength"] - strength[r["doc_id"]]) < 1e-6 for r in known.collect())
+    got = {r["doc_id"]: r for r in queries.op1_quality(spark, sf_dir).collect()}
+    order = sorted(strength, key=strength.__getitem__)
+    scores = [got[d]["score"] for d in order]
+    assert all(a <= b + 1e-9 for a, b in zip(scores, scores[1:])) and all(0 <= s <= 1 for s in scores)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+
+
+def test_clashing_columns_of_scores(spark):
+    """Columns named like those of the scores, the labels or the steps between them change nothing."""
+    docs = edge.frame(spark, [f"good text number {k} of some length and words" if k % 2 else f"$$$ {k} !!! ###" for k in range(40)])
+    odd = docs.withColumns({"score": F.lit("x"), "label": F.lit(5), "quality": F.lit(0), "strength": F.lit(1), "slots": F.lit("s")})
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(40)], LABELS)
+    for scores in (lambda d: quality.strengths(d, quality.fit_ranking(d, labels)), lambda d: toxicity.score(d, toxicity.fit(d, labels))):
+        assert sorted(map(tuple, scores(odd).collect()), key=repr) == sorted(map(tuple, scores(docs).collect()), key=repr)
