@@ -163,12 +163,15 @@ def _register(spark, sf):
     return A.register(spark, sf).select(F.concat(F.lit("13"), F.lpad("account", 8, "0")).alias("account"), "last")
 
 
-@query("j19_account_forms", """WITH acc AS (SELECT '13' || lpad(c_custkey::VARCHAR, 8, '0') AS account FROM customer), num AS (SELECT DISTINCT o_custkey::VARCHAR AS number FROM orders),
+_FORMS = """WITH acc AS (SELECT '13' || lpad(c_custkey::VARCHAR, 8, '0') AS account FROM customer), num AS (SELECT DISTINCT o_custkey::VARCHAR AS number FROM orders),
 forms AS (SELECT account, right(account, k) AS f FROM acc, range(4, 11) r(k) WHERE right(account, k)::BIGINT > 0
  UNION SELECT account, right(account, k) FROM acc, range(1, 9) r(k) WHERE k >= length(ltrim(substr(account, 3), '0'))
  UNION SELECT account, '13' || right(account, k) FROM acc, range(1, 9) r(k) WHERE k >= length(ltrim(substr(account, 3), '0')))
 SELECT number, account FROM num JOIN forms ON number = f
-UNION SELECT number, account FROM num, range(1, 9) r(k) JOIN acc ON left(account, k) = left(number, k) AND substr(account, k + 1)::BIGINT > 0 AND ltrim(substr(account, k + 1), '0') = ltrim(substr(number, k + 1), '0') WHERE length(number) > k""")
+UNION SELECT number, account FROM num, range(1, 9) r(k) JOIN acc ON left(account, k) = left(number, k) AND substr(account, k + 1)::BIGINT > 0 AND ltrim(substr(account, k + 1), '0') = ltrim(substr(number, k + 1), '0') WHERE length(number) > k"""
+
+
+@query("j19_account_forms", _FORMS)
 def account_forms(spark, sf):
     asked = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("number")).distinct()
     return notes.accounts_of(asked, notes.account_keys(_register(spark, sf).select("account")))
@@ -180,9 +183,13 @@ def note_tokens(spark, sf):
     return A.reads(spark, sf).select("photo", F.explode(notes.tokens(text)).alias("t")).select("photo", "t.*")
 
 
-@query("r03_interpreted")
+@query("r03_interpreted", with_("register reads", "").rstrip() + f""", forms_of AS ({_FORMS}),
+few AS (SELECT * FROM forms_of QUALIFY count(*) OVER (PARTITION BY number) <= 3),
+fit AS (SELECT photo, few.account FROM reads JOIN few ON number = owner JOIN register r ON few.account = '13' || lpad(r.account, 8, '0') WHERE reading - last BETWEEN -1500 AND 3000),
+told AS (SELECT photo, count(DISTINCT account) AS n, min(account) AS a FROM fit GROUP BY photo)
+SELECT photo, CASE WHEN n = 1 THEN a END AS account, CASE WHEN n = 1 THEN reading END AS reading, coalesce(n = 1, FALSE) AS understood, coalesce(n > 1, FALSE) AS conflict FROM reads LEFT JOIN told USING (photo)""")
 def interpreted(spark, sf):
-    """Notes of an account and a reading below each other, judged against the register."""
+    """Notes of an account and a reading below each other, judged against the register: the one account of at most three forms that the reading fits."""
     lines = F.array(F.concat(F.lit("лс"), "owner"), F.concat(F.lit("пок"), F.col("reading").cast("string")))
     asked = A.reads(spark, sf).select("photo", lines.alias("lines"), F.lit(None).cast("string").alias("account"), F.lit(None).cast("bigint").alias("barrel"), F.lit(0).alias("unread"))
     return notes.interpreted(asked, _register(spark, sf))

@@ -11,7 +11,7 @@ from meterflow.plans import analogs, registry, rules
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries that SQL can't express.
-BRUTE = {"f37_suppressed", "j21_lexicon_matches", "r03_interpreted"}
+BRUTE = {"f37_suppressed", "j21_lexicon_matches"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
