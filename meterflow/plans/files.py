@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators import isolation, lineage, reference_sets, training_sets
+from ..operators import dataset_checks, isolation, lineage, reference_sets, training_sets
 from ..sources import sinks, tables, workbooks
 from ..streaming import progress
 from . import analogs as A
@@ -124,3 +124,32 @@ def named_crops(spark, sf):
 @query("r09_build_counts", with_("register reads", "").rstrip() + f", {_CROPS} SELECT 'serial' AS kind, serial_ AS state, count(*) AS n FROM built GROUP BY ALL UNION ALL SELECT 'account', marker, count(*) FROM built GROUP BY ALL UNION ALL SELECT 'digit', reading_, count(*) FROM built GROUP BY ALL")
 def build_counts(spark, sf):
     return training_sets.kind_counts(_built(spark, sf))
+
+
+_FILES = """f AS (SELECT ['boxes', 'digits', 'serials', 'accounts'][l_suppkey % 4 + 1] AS kind, l_orderkey * 10 + l_linenumber AS k, l_partkey AS p FROM lineitem),
+files AS (SELECT kind || (k % 2)::VARCHAR AS dataset, kind, CASE kind WHEN 'digits' THEN CASE WHEN k % 41 = 0 THEN 'new' ELSE (k % 10)::VARCHAR END ELSE 'images' END AS folder,
+ CASE kind WHEN 'boxes' THEN (k // 4)::VARCHAR || CASE WHEN k % 3 = 0 THEN '.txt' ELSE '.jpg' END WHEN 'digits' THEN k::VARCHAR || CASE WHEN p % 29 = 0 THEN '' ELSE '__digit3' END || CASE WHEN p % 31 = 0 THEN '.db' ELSE '.jpg' END
+  WHEN 'serials' THEN k::VARCHAR || CASE WHEN p % 13 = 0 THEN '__account1' WHEN p % 11 = 0 THEN '__serial1__12' ELSE '__serial1__12345' END || '.png' ELSE CASE WHEN p % 17 = 0 THEN 'x' ELSE '' END || k::VARCHAR || '__account1.jpg' END AS name, sha256((k % 50000)::VARCHAR || 'c') AS hash FROM f),
+lines AS (SELECT dataset, name, CASE WHEN length(hash) > 0 AND substr(hash, 1, 1) < '3' THEN '9 0.5 0.5 0.1 0.1' ELSE '1 0.5 0.5 0.1 0.1' END AS line FROM files WHERE kind = 'boxes' AND name LIKE '%.txt')"""
+
+
+@query("r11_dataset_problems", f"""WITH {_FILES},
+a AS (SELECT *, regexp_replace(name, '[.][^.]*$', '') AS stem, regexp_matches(name, '[.](jpg|png)$') AS image, regexp_extract(name, '__(serial|account|digit)', 1) AS crop FROM files),
+pair AS (SELECT dataset, stem, bool_or(NOT image) AS has_label, bool_or(image) AS has_image FROM a WHERE kind = 'boxes' GROUP BY ALL), bad AS (SELECT dataset, name, count(*) FILTER (line LIKE '9%') AS n FROM lines GROUP BY ALL),
+same AS (SELECT dataset, hash, count(*) AS copies, min(folder) < max(folder) AS apart FROM a WHERE image GROUP BY ALL),
+m AS (SELECT a.*, coalesce(has_label, FALSE) AS has_label, coalesce(has_image, FALSE) AS has_image, coalesce(bad.n, 0) AS bad, image AND coalesce(copies, 1) > 1 AS twice, coalesce(apart, FALSE) AS apart, regexp_matches(folder, '^[0-9]$') AS df FROM a LEFT JOIN pair USING (dataset, stem) LEFT JOIN bad USING (dataset, name) LEFT JOIN same USING (dataset, hash)),
+p AS (SELECT dataset, folder, name, unnest(list_filter([CASE WHEN kind = 'boxes' AND image AND NOT has_label THEN 'image without label' END, CASE WHEN kind = 'boxes' AND NOT image AND NOT has_image THEN 'label without image' END, CASE WHEN kind = 'boxes' AND NOT image AND has_image AND bad > 0 THEN 'bad label' END,
+ CASE WHEN kind <> 'digits' AND twice THEN 'same content' END, CASE WHEN kind = 'digits' AND df AND twice AND apart THEN 'same content in another digit' END, CASE WHEN kind = 'digits' AND df AND twice AND NOT apart THEN 'same content in a digit' END, CASE WHEN kind = 'digits' AND df AND image AND crop <> 'digit' THEN 'name not of a digit' END,
+ CASE WHEN kind = 'digits' AND df AND NOT image THEN 'no image' END, CASE WHEN kind = 'digits' AND NOT df THEN 'folder is not read' END, CASE WHEN kind = 'serials' AND crop <> 'serial' THEN 'name not of a serial' END, CASE WHEN kind = 'serials' AND crop = 'serial' AND name LIKE '%\\_\\_12.png' ESCAPE '\\' THEN 'answer unfit' END, CASE WHEN kind = 'accounts' AND name LIKE 'x%' THEN 'name not of an account' END], lambda x: x IS NOT NULL)) AS problem FROM m)
+SELECT dataset, folder, name, problem FROM p""")
+def dataset_problems(spark, sf):
+    """Every problem of every file of eight data sets of four kinds, from one table of checks."""
+    k, p, kind = F.col("k"), F.col("p"), F.col("kind")
+    rows = A.table(spark, sf, "lineitem").select(F.element_at(F.array(*[F.lit(x) for x in ("boxes", "digits", "serials", "accounts")]), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_partkey").alias("p"))
+    text = k.cast("string")
+    name = F.when(kind == "boxes", F.concat(F.floor(k / 4).cast("string"), F.when(k % 3 == 0, ".txt").otherwise(".jpg"))).when(kind == "digits", F.concat(text, F.when(p % 29 == 0, "").otherwise("__digit3"), F.when(p % 31 == 0, ".db").otherwise(".jpg")))
+    name = name.when(kind == "serials", F.concat(text, F.when(p % 13 == 0, "__account1").when(p % 11 == 0, "__serial1__12").otherwise("__serial1__12345"), F.lit(".png"))).otherwise(F.concat(F.when(p % 17 == 0, "x").otherwise(""), text, F.lit("__account1.jpg")))
+    folder = F.when(kind != "digits", "images").when(k % 41 == 0, "new").otherwise((k % 10).cast("string"))
+    files = rows.select(F.concat("kind", (k % 2).cast("string")).alias("dataset"), "kind", folder.alias("folder"), name.alias("name"), F.sha2(F.concat((k % 50000).cast("string"), F.lit("c")), 256).alias("hash"))
+    lines = files.where((kind == "boxes") & F.col("name").endswith(".txt")).select("dataset", "name", F.when(F.substring("hash", 1, 1) < "3", "9 0.5 0.5 0.1 0.1").otherwise("1 0.5 0.5 0.1 0.1").alias("line"))
+    return dataset_checks.problems(files, lines, 4)

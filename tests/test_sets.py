@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from meterflow.operators import digits, glyphs, reference_sets, training_sets
+from meterflow.operators import dataset_checks, digits, glyphs, reference_sets, training_sets
 from meterflow.sources import sinks, tables
 
 ANSWER = "key string, stratum string, answer string, last string"
@@ -93,3 +93,22 @@ def test_manifest_and_versions(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         sinks.backup(spark.range(1).select(F.raise_error(F.lit("no")).alias("x")), at, 9, keep=1)
     assert sinks.versions_in(at) == [2, 3, 4]
+
+
+def test_checks_of_data_sets(spark):
+    files = [
+        ("b", "boxes", "images", "1.jpg", "h1"), ("b", "boxes", "labels", "1.txt", ""), ("b", "boxes", "images", "2.JPG", "h1"), ("b", "boxes", "labels", "3.txt", ""), ("b", "boxes", "labels", "2.txt", ""),
+        ("d", "digits", "3", "7__digit1.jpg", "x"), ("d", "digits", "4", "7__digit2.jpg", "x"), ("d", "digits", "4", "odd.png", ""), ("d", "digits", "4", "Thumbs.db", ""), ("d", "digits", "new", "8__digit1.jpg", "y"),
+        ("s", "serials", "images", "7__serial1__123.jpg", "z"), ("s", "serials", "images", "7__serial1__1234.jpg", "z"), ("s", "serials", "images", "7__account1.jpg", "q"),
+        ("a", "accounts", "images", "1300-2__account1.jpg", "1"), ("a", "accounts", "images", "IMG__account1.jpg", "2"), ("a", "accounts", "images", None, None),
+    ]
+    frame = spark.createDataFrame(files, "dataset string, kind string, folder string, name string, hash string")
+    lines = spark.createDataFrame([("b", "1.txt", "0 0.1 0.2 0.3 0.4"), ("b", "1.txt", "  "), ("b", "2.txt", "0 0.1 0.2 0.3 1.4"), ("b", "2.txt", "7 0.1 0.2 0.3 0.4")], "dataset string, name string, line string")
+    found = dataset_checks.problems(frame, lines, 2)
+    assert sorted((r["name"], r["problem"]) for r in found.collect()) == [
+        ("1.jpg", "same content"), ("2.JPG", "same content"), ("2.txt", "bad label"), ("3.txt", "label without image"), ("7__account1.jpg", "name not of a serial"), ("7__digit1.jpg", "same content in another digit"), ("7__digit2.jpg", "same content in another digit"),
+        ("7__serial1__123.jpg", "answer unfit"), ("7__serial1__123.jpg", "same content"), ("7__serial1__1234.jpg", "same content"), ("8__digit1.jpg", "folder is not read"), ("IMG__account1.jpg", "name not of an account"), ("Thumbs.db", "no image"), ("odd.png", "name not of a digit"),
+    ]
+    counts = {r["dataset"]: r for r in dataset_checks.report(frame, found).collect()}
+    assert (counts["b"]["files"], counts["b"]["images"], counts["b"]["problems"]["same content"]) == (5, 2, 2) and counts["a"]["problems"] == {"name not of an account": 1}
+    assert dataset_checks.problems(frame.limit(0), lines.limit(0), 2).count() == 0
