@@ -1,15 +1,17 @@
 """Toxicity (operator 10): FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 The features of a text are the distinct hashes of its words, its pairs of neighbours, and its pairs with one or two
-words between. A sample of labelled rows, bounded in rows and bytes, is dealt into shards; each shard runs FTRL-proximal
-in a task of its own, with a learning rate for each coordinate and an L1 term that leaves most weights at zero. Folds of
-the shard's rows choose the L1 term, and the bias is moved to where the scores of rows that their model has not seen
-part the labels with the fewest errors; the shards' weights are averaged. Only the weights that are not zero reach the driver; they are
+words between. A sample of labelled rows, bounded in rows and bytes, is dealt into shards, and FTRL-proximal learns each with a
+learning rate for each coordinate and an L1 term that leaves most weights at zero. Folds of the shard's rows, fitted side
+by side, choose the L1 term, and the bias is moved to where the scores of rows that their model has not seen part the
+labels with the fewest errors; the shards' weights are averaged. The sample's slots that occur more than once, squeezed,
+pass the driver to be broadcast for the fits (their bound is the sample's), then the weights that are not zero, which are
 broadcast for scoring.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -101,6 +103,15 @@ def compacted(rows: list[np.ndarray], p: FtrlParams) -> tuple[list[np.ndarray],
     return (np.split(number[flat[kept]], ends[:-1]) if len(rows) else []), np.flatnonzero(used)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers in few bytes."""
+    return zlib.compress(np.diff(numbers.astype(np.int32), prepend=np.int32(0)).tobytes(), 1)
+
+
+def restored(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.int32), dtype=np.int32)
+
+
 def folds_of(n: int, p: FtrlParams, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, 7]).permutation(n) % p.folds
 
@@ -217,17 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: FtrlPa
     def compact(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")  # shuffled rows come in any order
         own, slots = compacted(list(rows["slots"]), p)
-        return pd.DataFrame({"shard": rows["shard"].iloc[0], "place": range(-1, len(own)), "label": [0, *rows["label"]], "slots": [slots.astype(np.int32).tobytes(), *(x.tobytes() for x in own)]})
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "place": range(-1, len(own)), "label": [0, *rows["label"]], "slots": [squeezed(x) for x in (slots, *own)]})
 
     sample = training_rows(docs, labels, label, p.per_class, p.class_bytes)
     sample = sample.select("text", "doc_id", "label", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(p.shards)).cast("int").alias("shard"))
     packed = sample.mapInArrow(extract, "slots array<int>, doc_id long, label int, shard int").groupBy("shard").applyInPandas(compact, "shard int, place int, label int, slots binary")
-    held: dict[int, tuple[list[np.ndarray], np.ndarray, np.ndarray]] = {}
-    table = packed.toPandas()  # at most 2 * per_class rows of class_bytes bytes of text, as numbers that occur more than once
+    held: dict[int, tuple[list[bytes], np.ndarray]] = {}
+    table = packed.toPandas()  # at most 2 * per_class rows of class_bytes bytes of text, as numbers that occur more than once, squeezed
     for k, rows in table.groupby("shard"):
         rows = rows.sort_values("place", kind="stable")
-        numbers = [np.frombuffer(x, np.int32) for x in rows["slots"]]
-        held[int(k)] = numbers[1:], rows["label"].to_numpy(float)[1:], numbers[0]
+        held[int(k)] = list(rows["slots"]), rows["label"].to_numpy(float)[1:]
+    del table
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(held)
     trials = [(k, l1, fold) for k in held for l1 in p.l1 for fold in range(p.folds)]
@@ -241,22 +252,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", params: FtrlPa
 
         return spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, schema).toPandas() if jobs else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
+    def rows_of(k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        (slots, *own), y = shared.value[k]
+        return [restored(x) for x in own], y, restored(slots)
+
     def trial(n: int, k: int, l1: float, fold: int) -> pd.DataFrame:
-        own, y, slots = shared.value[k]
+        own, y, slots = rows_of(k)
         at, s = fold_scores(own, y, len(slots), p, l1, fold, k)
         return pd.DataFrame({"job": n, "row": at, "score": s})
 
     scores = each(trials, "job int, row int, score double", trial)
     chosen = []
-    for k, (own, y, _) in held.items():
-        unseen = {l1: np.zeros(len(own)) for l1 in p.l1}
+    for k, (_, y) in held.items():
+        unseen = {l1: np.zeros(len(y)) for l1 in p.l1}
         for n, part in scores.groupby("job"):
             if trials[n][0] == k:
                 unseen[trials[n][1]][part["row"]] = part["score"]
         chosen.append((k, *chosen_term(unseen, y)))
 
     def final(n: int, k: int, l1: float, cut: float) -> pd.DataFrame:
-        own, y, slots = shared.value[k]
+        own, y, slots = rows_of(k)
         w, bias = ftrl(own, y, len(slots), p, l1, k)
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": np.append(slots[at], -1).astype(np.int64), "weight": np.append(w[at], bias - cut)})
