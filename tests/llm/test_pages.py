@@ -10,11 +10,10 @@ import re
 
 import duckdb
 import numpy as np
-import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from meterflow.llm import extraction, filters, negatives, queries, sql
+from meterflow.llm import extraction, filters, negatives, queries
 
 P = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna."
 
