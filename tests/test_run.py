@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from meterflow.operators import decisions, month
 from meterflow.streaming import cycle
