@@ -31,6 +31,20 @@ def prioritised(reads: DataFrame, register: DataFrame, photo: str = "photo", ser
     return first_variants(reads, register, photo, serial).join(register, "serial")
 
 
+def ambiguous(reads: DataFrame, register: DataFrame) -> DataFrame:
+    """(photo, n, accounts): photos whose serial has n > 1 accounts, joined by commas in the register's order.
+
+    Accounts are listed once for each serial, and photos take the list of theirs. Only photos of several reads with
+    different serials gather register rows.
+    """
+    listed = lambda rows, key: rows.groupBy(key).agg(F.countDistinct("account").alias("n"), F.array_sort(F.collect_list(F.struct("row_order", "account"))).alias("rows"))
+    told = lambda rows: rows.where("n > 1").withColumn("accounts", F.concat_ws(",", F.transform("rows", lambda r: r["account"]))).drop("rows")
+    asked = first_variants(reads, register).groupBy("photo").agg(F.collect_list("serial").alias("serials"))
+    one = asked.where("size(serials) = 1").select("photo", F.col("serials")[0].alias("serial")).join(told(listed(register, "serial")), "serial")
+    several = asked.where("size(serials) > 1").select("photo", F.explode("serials").alias("serial")).join(register, "serial")
+    return one.select("photo", "n", "accounts").unionByName(told(listed(several, "photo")))
+
+
 def in_register(reads: DataFrame, register: DataFrame, serial: str = "serial_read") -> DataFrame:
     """Reads with found: whether any variant of the serial is in the register."""
     variants = reads.select(serial).distinct().select(serial, F.explode(lookup_variants(F.col(serial))).alias("_variant"))

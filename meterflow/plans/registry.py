@@ -110,9 +110,7 @@ def prioritised_lookup(spark, sf):
 @query("j02_ambiguous_serials", with_("register reads variants", """SELECT photo, count(DISTINCT account) AS n, string_agg(account, ',' ORDER BY row_order) AS accounts FROM (
 SELECT v.photo, r.account, r.row_order FROM variants v JOIN register r USING (serial) QUALIFY v.priority = min(v.priority) OVER (PARTITION BY v.photo)) GROUP BY photo HAVING count(DISTINCT account) > 1"""))
 def ambiguous_serials(spark, sf):
-    met = lookups.prioritised(A.reads(spark, sf), A.register(spark, sf))
-    rows = met.groupBy("photo").agg(F.countDistinct("account").alias("n"), F.array_sort(F.collect_list(F.struct("row_order", "account"))).alias("rows"))
-    return rows.where("n > 1").select("photo", "n", F.concat_ws(",", F.transform("rows", lambda r: r["account"])).alias("accounts"))
+    return lookups.ambiguous(A.reads(spark, sf), A.register(spark, sf))
 
 
 @query("j04_in_register", with_("register reads variants", "SELECT photo, bool_or(serial IN (SELECT serial FROM register)) AS found FROM variants GROUP BY photo"))

@@ -38,3 +38,12 @@ def test_matches_are_not_shuffled(spark):
     got = lookups.prioritised(reads, register)
     assert {(r["photo"], r["priority"], r["account"], r["serial"]) for r in got.collect()} == {(1, 1, "c", "07"), (2, 0, "d", "8"), (4, 0, "d", "8"), (5, 0, "a", "007"), (5, 0, "b", "007")}
     assert not above_joins(optimized(got)) & {"Window", "Aggregate"}
+
+
+def test_accounts_are_listed_once_for_each_serial(spark):
+    reads, register = tables(spark)
+    more = spark.createDataFrame([("f", "8", 1, 0)], REGISTER)
+    got = lookups.ambiguous(reads, register.unionByName(more))
+    assert {tuple(r) for r in got.collect()} == {(2, 2, "f,d"), (4, 2, "f,d"), (5, 2, "b,a,b")}
+    one = optimized(got).children().apply(0)
+    assert not above_joins(one) & {"Window", "Aggregate"}
