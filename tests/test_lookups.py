@@ -47,3 +47,10 @@ def test_accounts_are_listed_once_for_each_serial(spark):
     assert {tuple(r) for r in got.collect()} == {(2, 2, "f,d"), (4, 2, "f,d"), (5, 2, "b,a,b")}
     one = optimized(got).children().apply(0)
     assert not above_joins(one) & {"Window", "Aggregate"}
+
+
+def test_choices_are_folded_before_photos_meet_them(spark):
+    reads, register = tables(spark)
+    got = lookups.serial_choices(reads.unionByName(reads).selectExpr("photo", "serial_read as serial"), register)
+    assert sorted(tuple(r) for r in got.collect()) == [(2, "8", "d", 4), (4, "8", "d", 4), (5, "007", "a", 3), (5, "007", "b", 1)]
+    assert not above_joins(optimized(got)) & {"Window", "Aggregate"}
