@@ -141,6 +141,23 @@ def serial_choices(photos: DataFrame, register: DataFrame) -> DataFrame:
     return photos.select("photo", "serial").distinct().join(accounts, "serial").select("photo", "serial", "account", "row_order")
 
 
+def truths(reads: DataFrame, register: DataFrame) -> DataFrame:
+    """(photo, accounts, reading): the sorted accounts whose serial is the read one but for leading zeros, and the greatest reading that met one.
+
+    Accounts are listed once for each serial, and photos take the list of theirs. Only photos of several reads with
+    different serials gather register rows.
+    """
+    bare = lambda c: F.ltrim(F.col(c), F.lit("0"))
+    accounts = register.select(bare("serial").alias("_k"), "account")
+    asked = reads.select("photo", "reading", bare("serial_read").alias("_k")).join(accounts.select("_k").distinct(), "_k", "left_semi")
+    asked = asked.groupBy("photo").agg(F.collect_set("_k").alias("keys"), F.max("reading").alias("reading"))
+    listed = accounts.groupBy("_k").agg(F.array_sort(F.collect_set("account")).alias("accounts"))
+    one = asked.where("size(keys) = 1").select("photo", "reading", F.col("keys")[0].alias("_k")).join(listed, "_k")
+    several = asked.where("size(keys) > 1").select("photo", "reading", F.explode("keys").alias("_k")).join(accounts, "_k")
+    several = several.groupBy("photo").agg(F.array_sort(F.collect_set("account")).alias("accounts"), F.max("reading").alias("reading"))
+    return one.select("photo", "accounts", "reading").unionByName(several)
+
+
 def dense_ids(register: DataFrame, width: int, most: int = 200_000) -> DataFrame:
     """(account): every zero-filled number from the register's smallest to its greatest, made by executors. More than `most` are refused.
 

@@ -132,9 +132,7 @@ def found_files(spark, sf):
 
 @query("j26_truths", with_("register reads", """SELECT photo, list_sort(list(DISTINCT account)) AS accounts, max(reading) AS reading FROM reads JOIN register ON ltrim(serial_read, '0') = ltrim(serial, '0') GROUP BY photo"""))
 def truths(spark, sf):
-    bare = lambda c: F.ltrim(F.col(c), F.lit("0"))
-    met = A.reads(spark, sf).withColumn("_k", bare("serial_read")).join(A.register(spark, sf).withColumn("_k", bare("serial")), "_k")
-    return met.groupBy("photo").agg(F.array_sort(F.collect_set("account")).alias("accounts"), F.max("reading").alias("reading"))
+    return lookups.truths(A.reads(spark, sf), A.register(spark, sf))
 
 
 @query("j27_dense_ids", "SELECT lpad(unnest(range(min(c_custkey), max(c_custkey) + 1))::VARCHAR, 8, '0') AS account FROM customer")

@@ -54,3 +54,11 @@ def test_choices_are_folded_before_photos_meet_them(spark):
     got = lookups.serial_choices(reads.unionByName(reads).selectExpr("photo", "serial_read as serial"), register)
     assert sorted(tuple(r) for r in got.collect()) == [(2, "8", "d", 4), (4, "8", "d", 4), (5, "007", "a", 3), (5, "007", "b", 1)]
     assert not above_joins(optimized(got)) & {"Window", "Aggregate"}
+
+
+def test_truths_of_one_and_of_several_reads(spark):
+    reads, register = tables(spark)
+    got = lookups.truths(reads, register)
+    assert sorted((r["photo"], tuple(r["accounts"]), r["reading"]) for r in got.collect()) == [(1, ("a", "b", "c"), 10), (2, ("d", "e"), 20), (4, ("a", "b", "c", "d", "e"), 50), (5, ("a", "b", "c"), 60)]
+    one = optimized(got).children().apply(0)
+    assert not above_joins(one) & {"Window", "Aggregate"}
