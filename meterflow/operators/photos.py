@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compared_account
-from .lookups import or_key_join, pick_last
+from .lookups import pick_last
 from .states import DONE
 
 COPY_NOTE = "copy of"
@@ -55,11 +55,19 @@ def processed(photos: DataFrame, log: DataFrame) -> DataFrame:
     """(photo, skip, reason, row): whether a photo (photo, name, photo_hash) has been dealt with already.
 
     An operator's row decides first, then a finished automatic one; the last of them is returned. Errors of the models
-    alone do not close a photo. Rows are found by hash where both sides have one, else by name.
+    alone do not close a photo. Rows are found by hash where both sides have one, else by name. The log is folded to a
+    row for each hash and each name before photos meet it, so that no photo is multiplied by the rows of its name.
     """
-    rows = meaningful(log).select("seq", "source", "outcome", F.col("name").alias("row_name"), F.col("photo_hash").alias("row_hash"))
-    last = lambda when: F.max(F.when(when, F.col("seq")))
-    known = or_key_join(photos, rows).groupBy("photo").agg(last(F.col("source") == "manual").alias("_m"), last(F.col("outcome").isin(*DONE)).alias("_d"))
+    last = lambda when: F.when(when, F.col("seq"))
+    marked = meaningful(log).select(F.col("name").alias("row_name"), F.col("photo_hash").alias("row_hash"), last(F.col("source") == "manual").alias("_m"), last(F.col("outcome").isin(*DONE)).alias("_d"))
+    marked = marked.where("_m is not null or _d is not null")
+    of_hash = marked.where("row_hash <> ''").groupBy("row_hash").agg(F.max("_m").alias("_m"), F.max("_d").alias("_d"))
+    bare = lambda c: F.max(F.when(F.col("row_hash") == "", F.col(c)))
+    of_name = marked.groupBy("row_name").agg(F.max("_m").alias("_ma"), F.max("_d").alias("_da"), bare("_m").alias("_mb"), bare("_d").alias("_db"))
+    by_hash = photos.where("photo_hash <> ''").join(of_hash, F.expr("photo_hash = row_hash")).select("photo", "_m", "_d")
+    either = lambda a, b: F.when(F.col("photo_hash") == "", F.col(a)).otherwise(F.col(b))
+    by_name = photos.join(of_name, F.expr("name = row_name")).select("photo", either("_ma", "_mb").alias("_m"), either("_da", "_db").alias("_d"))
+    known = by_hash.unionByName(by_name).groupBy("photo").agg(F.max("_m").alias("_m"), F.max("_d").alias("_d"))
     met = photos.join(known, "photo", "left")
     reason = F.when(F.col("_m").isNotNull(), "manual").when(F.col("_d").isNotNull(), "done")
     return met.select("photo", reason.isNotNull().alias("skip"), reason.alias("reason"), F.coalesce("_m", "_d").alias("row"))

@@ -68,3 +68,14 @@ def test_all_numbers_of_a_wide_register(spark):
     register = spark.createDataFrame([("1",), ("250000",), ("x",)], "account string")
     got = lookups.dense_ids(register, 8)
     assert got.count() == 250_000 and got.agg({"account": "max"}).first()[0] == "00250000"
+
+
+LOG = "seq long, source string, outcome string, name string, photo_hash string, notes string, account string"
+
+
+def test_log_is_folded_before_photos_meet_it(spark):
+    log = spark.createDataFrame([(1, "manual", "PLUS", "n", "", "", ""), (2, "auto", "PLUS", "n", "h", "", ""), (3, "auto", "ERROR", "n", "h", "", ""), (4, "auto", "MINUS", "m", "g", "", ""), (5, "manual", "PLUS", "m", "g", "copy of n", "")], LOG)
+    asked = spark.createDataFrame([(1, "n", ""), (2, "n", "h"), (3, "n", "x"), (4, "m", ""), (5, "o", "g"), (6, "m", "x"), (7, "n", None)], "photo long, name string, photo_hash string")
+    got = photos.processed(asked, log)
+    assert sorted((r["photo"], r["reason"], r["row"]) for r in got.collect()) == [(1, "manual", 1), (2, "manual", 1), (3, "manual", 1), (4, "done", 4), (5, "done", 4), (6, None, None), (7, "manual", 1)]
+    assert all("Aggregate" in j.right().toString() for j in operators(optimized(got), "Join"))
