@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lookup_variants
 from . import notes
 from .lineage import cut
-from .lookups import prioritised
+from .lookups import first_variants
 from .photos import duplicates, processed
 
 RESULT = ("photo", "outcome", "detail", "serial", "account", "last", "reading", "delta")
@@ -34,9 +34,16 @@ class Limits:
 
 
 def _of_serial(rows: DataFrame, register: DataFrame) -> DataFrame:
-    """(photo, n, first, among) of rows that met register rows: accounts, the first row, and whether the marker's is one of them."""
-    first = F.min(F.struct("row_order", "account", "register_last", "filled", "found_serial")).alias("first")
-    return rows.groupBy("photo").agg(F.countDistinct("account").alias("n"), first, F.bool_or(F.coalesce(F.col("account") == F.col("marker"), F.lit(False))).alias("among"))
+    """(photo, n, first, among) of rows (photo, marker, serial), one for each photo, whose serial the register has: accounts, the first row, and whether the marker's is one of them.
+
+    The register is folded to a row for each serial, and a marker meets only its own account, so that photos are never
+    multiplied by the subscribers of a serial.
+    """
+    first = F.min(F.struct("row_order", "account", "register_last", "filled", F.col("serial").alias("found_serial"))).alias("first")
+    of_serial = register.groupBy("serial").agg(F.countDistinct("account").alias("n"), first)
+    met = rows.select("photo", "marker", "serial").join(of_serial, "serial")
+    mine = rows.where("marker is not null").join(register.select("serial", F.col("account").alias("marker")).distinct(), ["serial", "marker"], "left_semi").select("photo", F.lit(True).alias("_among"))
+    return met.join(mine, "photo", "left").select("photo", "n", "first", F.coalesce("_among", F.lit(False)).alias("among"))
 
 
 def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limits | None = None, selected: bool = False) -> DataFrame:
@@ -68,12 +75,12 @@ def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limi
     # the serial and its account
     sure = open_ & F.col("serial").isNotNull() & (F.col("serial_conf") >= limits.serial)
     asked = rows.where(sure).select("photo", "marker", F.trim("serial").alias("serial_read"))
-    plain = _of_serial(prioritised(asked, reg).withColumn("found_serial", F.col("serial")), reg)
+    plain = _of_serial(first_variants(asked, reg), reg)
     rows = rows.join(plain, "photo", "left")
     failure = F.when(F.col("serial").isNull(), "NO_SERIAL").when(F.col("serial_conf") < limits.serial, "SERIAL_LOW_CONF").when(F.col("n").isNull(), "SERIAL_NOT_FOUND").when(F.col("n") > 1, "SERIAL_AMBIGUOUS")
     rows = rows.withColumn("failure", F.when(open_, failure))
     by_table = F.col("failure").isin("SERIAL_NOT_FOUND", "SERIAL_LOW_CONF") & F.col("table_serial").isNotNull() & (F.col("table_conf") >= limits.table)
-    met = rows.where(by_table).select("photo", "marker", F.trim("table_serial").alias("serial")).join(reg, "serial").withColumn("found_serial", F.col("serial"))
+    met = rows.where(by_table).select("photo", "marker", F.trim("table_serial").alias("serial"))
     met = _of_serial(met, reg).select("photo", F.col("n").alias("table_n"), F.col("first").alias("table_first"), F.col("among").alias("table_among"))
     rows = rows.join(met, "photo", "left").withColumn("taken", F.col("table_n").isNotNull())
     rows = rows.withColumns({
@@ -95,7 +102,8 @@ def decided(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limi
     if "lines" in photos.columns:
         told = notes.interpreted(rows.where(F.col("failure").isNotNull() & F.col("marker_row").isNull() & F.col("has_note")).select("photo", "lines", text.alias("account"), F.col("reading").alias("barrel"), "unread"), lasts)
         told = cut(told.where("account is not null").select("photo", "account")).join(rows.select("photo", F.col("failure").alias("outcome"), F.col("read_serial").alias("serial"), F.trim("serial").alias("plate")), "photo").join(named, "account")
-        rivals = prioritised(told.where("outcome = 'SERIAL_AMBIGUOUS'").select("photo", F.col("account").alias("asked"), F.col("plate").alias("serial_read")), reg).where("account = asked").select("photo", F.col("asked").alias("rival")).distinct()
+        rivals = first_variants(told.where("outcome = 'SERIAL_AMBIGUOUS'").select("photo", "account", F.col("plate").alias("serial_read")), reg)
+        rivals = rivals.join(reg.select("serial", "account"), ["serial", "account"], "left_semi").select("photo", F.col("account").alias("rival")).distinct()
         told = told.join(rivals, "photo", "left").withColumn("ambiguous", F.when(F.col("rival").isNotNull(), F.array("account")).otherwise(F.array().cast("array<string>")))
         told = notes.rescued(told).where("rescued is not null").select("photo", F.col("named").alias("note_row"))
         rows = cut(rows.join(told, "photo", "left"))

@@ -79,3 +79,11 @@ def test_log_is_folded_before_photos_meet_it(spark):
     got = photos.processed(asked, log)
     assert sorted((r["photo"], r["reason"], r["row"]) for r in got.collect()) == [(1, "manual", 1), (2, "manual", 1), (3, "manual", 1), (4, "done", 4), (5, "done", 4), (6, None, None), (7, "manual", 1)]
     assert all("Aggregate" in j.right().toString() for j in operators(optimized(got), "Join"))
+
+
+def test_register_is_folded_before_photos_meet_it(spark):
+    rows = spark.createDataFrame([(1, "b", "007"), (2, "z", "007"), (3, None, "8")], "photo long, marker string, serial string")
+    reg = spark.createDataFrame(ROWS, REGISTER).selectExpr("account", "serial", "cast(last as double) as register_last", "false as filled", "row_order")
+    got = decisions._of_serial(rows, reg)
+    assert sorted((r["photo"], r["n"], r["first"]["account"], r["among"]) for r in got.collect()) == [(1, 2, "b", True), (2, 2, "b", False), (3, 1, "d", False)]
+    assert all("Aggregate" in j.right().toString() for j in operators(optimized(got), "Join"))
