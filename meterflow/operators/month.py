@@ -64,13 +64,15 @@ def to_read_again(log: DataFrame, register: DataFrame, reread: bool = False) ->
     return wanted(last_rows(log), register, reread).where("choice = 'read'").select("key")
 
 
-def run_rows(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limits | None = None, reread: bool = False, number: int = 0, base: int = 0) -> DataFrame:
-    """The log rows (ROW) of run `number` over photos, in the order of seq, which is above base and that of all earlier runs.
+def run_rows(photos: DataFrame, register: DataFrame, log: DataFrame, limits: Limits | None = None, reread: bool = False, number: int = 0, base: int | None = None) -> DataFrame:
+    """The log rows (ROW) of run `number` over photos, in the order of seq, which is above base (the log's greatest, if it is not given) and that of all earlier runs.
 
     Every photo that is chosen has one row with its outcome. When an account gets its reading, each photo whose last row
     is a DIGITS_ERROR or SUSPICIOUS of this account, in this run or before, gets a REPEAT that closes it. Numbers of rows
     are made of those of the run and the photo, or of the row from before the month that is closed, so they need no sort.
     """
+    if base is None:
+        base = log.agg(F.max("seq")).first()[0] or 0
     read = cut(chosen(photos, log, register, reread))
     results = decided(read, register, log, limits, selected=True).join(read.select("photo", "name", "photo_hash"), "photo")
 

@@ -195,3 +195,14 @@ def test_one_content_in_most_photos(spark):
     read = month.chosen(photos, spark.createDataFrame([], LOG_SCHEMA), spark.createDataFrame(REGISTER, REGISTER_SCHEMA))
     assert sorted(r["photo"] for r in read.collect()) == [0, 1, *range(3, 60, 3)]
     assert month.chosen(photos.limit(0), spark.createDataFrame(LOG, LOG_SCHEMA), spark.createDataFrame(REGISTER, REGISTER_SCHEMA)).count() == 0
+
+
+def test_rows_of_a_run_come_after_a_long_log(spark):
+    """A photo that is read again after an ERROR far down the log waits, and the reading of its account closes it."""
+    photos = [photo(1, reading=None, digit_error="gap"), photo(2)]
+    rows = spark.createDataFrame([tuple(p[c.split()[0]] for c in PHOTO.split(", ")) for p in photos], PHOTO)
+    register = spark.createDataFrame(REGISTER, "account string, serial string, last long, filled boolean, row_order long")
+    log = spark.createDataFrame([(1000, "", "", "ERROR", "n1.jpg", "", "auto", "")], "seq long, account string, serial string, outcome string, name string, photo_hash string, source string, notes string")
+    got = month.run_rows(rows, register, log, decisions.Limits(delta=500.0)).collect()
+    assert min(r["seq"] for r in got) > 1000
+    assert sorted((r["name"], r["outcome"]) for r in got) == [("n1.jpg", "DIGITS_ERROR"), ("n1.jpg", "REPEAT"), ("n2.jpg", "PLUS")]
