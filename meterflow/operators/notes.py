@@ -121,12 +121,17 @@ def account_keys(accounts: DataFrame) -> DataFrame:
     return plain.select("account", F.explode(F.array_distinct(F.concat(written, heads))).alias("key"))
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting. The planner takes exploded rows for no more than the column they come from, and would broadcast millions of them through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def accounts_of(numbers: DataFrame, keys: DataFrame) -> DataFrame:
     """(number, account): the accounts that each distinct number may write."""
     n = F.col("number")
     asked = numbers.select("number").distinct().where("number rlike '^[0-9]+$'")
     asked = asked.select("number", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("w"), n)), _heads(n)))).alias("key"))
-    return asked.join(keys, "key").select("number", "account").distinct()
+    return _merged(asked, keys, "key").select("number", "account").distinct()
 
 
 def interpreted(photos: DataFrame, register: DataFrame) -> DataFrame:
@@ -146,13 +151,13 @@ def interpreted(photos: DataFrame, register: DataFrame) -> DataFrame:
     many = forms.groupBy("number").agg(F.count(F.lit(1)).alias("forms"), F.min("account").alias("only"))
     bare = F.ltrim(F.col("number"), F.lit("0"))
     of_barrel = F.col("barrel").isNotNull() & (bare != "") & F.contains(F.col("barrel").cast("string"), bare)
-    few = forms.join(many.where(F.col("forms") <= MAX_CANDIDATES).select("number"), "number")
-    named = parts.where("known is null and kind <> 'reading'").where(~((F.col("kind") == "") & F.coalesce(of_barrel, F.lit(False)))).join(few, "number")
+    few = _merged(forms, many.where(F.col("forms") <= MAX_CANDIDATES).select("number"), "number")
+    named = _merged(parts.where("known is null and kind <> 'reading'").where(~((F.col("kind") == "") & F.coalesce(of_barrel, F.lit(False)))), few, "number")
     targets = named.select("photo", "way", F.col("account").alias("target")).unionAll(ways.where("known is not null").select("photo", "way", F.col("known").alias("target"))).distinct()
 
     lasts = register.groupBy(F.trim("account").alias("target")).agg(F.max("last").alias("last"))
-    met = parts.join(targets, ["photo", "way"]).join(lasts, "target", "left")
-    met = met.join(forms.select("number", F.col("account").alias("target"), F.lit(True).alias("is_form")), ["number", "target"], "left").join(many, "number", "left")
+    met = _merged(_merged(parts, targets, ["photo", "way"]), lasts, "target", "left")
+    met = _merged(_merged(met, forms.select("number", F.col("account").alias("target"), F.lit(True).alias("is_form")), ["number", "target"], "left"), many, "number", "left")
     number = F.when(F.length("number") <= MAX_DIGITS, F.col("number").try_cast("bigint"))
     form = (F.col("kind") != "reading") & F.coalesce("is_form", F.lit(False))
     fits = F.when(F.col("last").isNull(), F.col("kind") == "reading").otherwise(plausible(number, F.col("last")))
@@ -174,7 +179,7 @@ def interpreted(photos: DataFrame, register: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("understood"), F.col("reading")))).alias("readings"),
         F.bool_or(F.col("known").isNotNull() & (F.col("others") > 0)).alias("against"),
     )
-    out = photos.select("photo").join(by, "photo", "left")
+    out = _merged(photos.select("photo"), by, "photo", "left")
     understood, several = F.coalesce("understood", F.lit(False)), F.size("accounts") > 1
     return out.select(
         "photo",

@@ -87,3 +87,17 @@ def test_register_is_folded_before_photos_meet_it(spark):
     got = decisions._of_serial(rows, reg)
     assert sorted((r["photo"], r["n"], r["first"]["account"], r["among"]) for r in got.collect()) == [(1, 2, "b", True), (2, 2, "b", False), (3, 1, "d", False)]
     assert all("Aggregate" in j.right().toString() for j in operators(optimized(got), "Join"))
+
+
+def test_exploded_forms_are_not_broadcast(spark):
+    keys = notes.account_keys(spark.createDataFrame([("1300000042",)], "account string"))
+    got = notes.accounts_of(spark.createDataFrame([("42",)], "number string"), keys)
+    assert [tuple(r) for r in got.collect()] == [("42", "1300000042")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_notes_are_not_broadcast(spark):
+    asked = spark.createDataFrame([(1, ["лс42", "пок1100"], None, None, 0)], "photo long, lines array<string>, account string, barrel long, unread int")
+    got = notes.interpreted(asked, spark.createDataFrame([("1300000042", 1000)], "account string, last long"))
+    assert [tuple(r) for r in got.collect()] == [(1, "1300000042", 1100, True, False)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
