@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from meterflow.operators import decisions, lookups, notes, photos
 
 READS = "photo long, serial_read string, reading long"
@@ -101,3 +103,14 @@ def test_parts_of_notes_are_not_broadcast(spark):
     got = notes.interpreted(asked, spark.createDataFrame([("1300000042", 1000)], "account string, last long"))
     assert [tuple(r) for r in got.collect()] == [(1, "1300000042", 1100, True, False)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_keys_are_spread(spark):
+    """Many equal rows of one key and odd hashes give the rows of the plain join, from all tasks that the join names."""
+    cases = [None, "", "h", "g"]
+    asked = spark.createDataFrame([(n, "n", h) for n, h in enumerate(cases)], "photo long, name string, photo_hash string")
+    log = spark.createDataFrame([(n, "n" if n % 5 else "m", cases[n % 4]) for n in range(200)], "seq long, row_name string, row_hash string")
+    got = lookups.or_key_join(asked, log)
+    plain = asked.join(log, F.expr("(photo_hash <> '' and row_hash <> '' and photo_hash = row_hash) or ((photo_hash = '' or row_hash = '') and name = row_name)"))
+    pairs = lambda df: sorted((r["photo"], r["seq"]) for r in df.collect())
+    assert pairs(got) == pairs(plain) and got.rdd.getNumPartitions() >= lookups.TASKS
