@@ -10,6 +10,8 @@ from ..functions.scalars import reading_digits
 KINDS = ("serial", "account", "digit")
 #: What became of each kind of crop.
 MADE, NO_ACCOUNT, NOT_FOUND, NONE, SEVERAL, UNFIT = "made", "no account in the name", "not found", "not in the table", "several answers", "answer unfit"
+#: Photos of a task: it holds all their crops, which are more than the bytes by which Spark would choose tasks.
+PHOTOS = 1 << 17
 
 
 def only_one(answers: DataFrame, value: str) -> DataFrame:
@@ -25,17 +27,23 @@ def built(photos: DataFrame, serials: DataFrame, readings: DataFrame, digits: in
     photos: (photo, account, failed, has_serial, has_account, has_meter, n_digits), one row for each; serials (account,
     serial) and readings (account, reading) are the table. A crop is (kind, position, answer). A serial has four to ten
     digits; a reading gives its digits, as many as were found, one crop each. A photo whose reading failed at any step is
-    left out whole, with its names and counts. Tables without rows give no answers.
+    left out whole, with its names and counts. Tables without rows give no answers. Answers are judged once for each
+    account, and accounts are dealt to tasks by the number of photos.
     """
-    met = photos.where(~F.coalesce("failed", F.lit(False)))
-    met = met.join(only_one(serials, "serial").withColumnRenamed("n", "n_serials"), "account", "left")
-    met = met.join(only_one(readings, "reading").withColumnRenamed("n", "n_readings"), "account", "left")
+    fit = F.col("serial").rlike("^[0-9]{4,10}$")
+    known = only_one(serials, "serial").withColumn("_serial_is", F.when(F.col("n") > 1, SEVERAL).when(~fit, UNFIT).otherwise(MADE)).drop("n")
     text = reading_digits(F.col("reading"), digits)
+    read = only_one(readings, "reading").withColumn("_text", text).select("account", "_text", F.when(F.col("n") > 1, SEVERAL).when(F.col("_text").isNull(), UNFIT).otherwise(MADE).alias("_reading_is"))
+    met = photos.where(~F.coalesce("failed", F.lit(False)))
+    tasks = -(-met.count() // PHOTOS) or 1
+    answered = met.where("account is not null").repartition(tasks, "account").join(known.join(read, "account", "full").hint("merge"), "account", "left")
+    # photos without account ask no table, where they would be one key
+    met = answered.unionByName(met.where("account is null").withColumn("account", F.lit(None).cast("string")), allowMissingColumns=True)
     named = F.col("account").isNull()
-    serial = F.when(named, NO_ACCOUNT).when(F.col("n_serials").isNull(), NONE).when(F.col("n_serials") > 1, SEVERAL).when(~F.col("serial").rlike("^[0-9]{4,10}$"), UNFIT).when(~F.col("has_serial"), NOT_FOUND).otherwise(MADE)
+    serial = F.when(named, NO_ACCOUNT).when(F.col("_serial_is").isNull(), NONE).when(F.col("_serial_is") != MADE, F.col("_serial_is")).when(~F.col("has_serial"), NOT_FOUND).otherwise(MADE)
     marker = F.when(named, NO_ACCOUNT).when(~F.col("has_account"), NOT_FOUND).otherwise(MADE)
-    reading = F.when(named, NO_ACCOUNT).when(F.col("n_readings").isNull(), NONE).when(F.col("n_readings") > 1, SEVERAL).when(text.isNull(), UNFIT).when(~F.col("has_meter") | (F.col("n_digits") != digits), NOT_FOUND).otherwise(MADE)
-    met = met.withColumns({"_serial": serial, "_marker": marker, "_reading": reading, "_text": text})
+    reading = F.when(named, NO_ACCOUNT).when(F.col("_reading_is").isNull(), NONE).when(F.col("_reading_is") != MADE, F.col("_reading_is")).when(~F.col("has_meter") | (F.col("n_digits") != digits), NOT_FOUND).otherwise(MADE)
+    met = met.withColumns({"_serial": serial, "_marker": marker, "_reading": reading})
 
     def crop(kind: str, position: Column, answer: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), position.cast("int").alias("position"), answer.alias("answer"))
@@ -54,15 +62,19 @@ def named(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """(photo, kind, position, answer, copy) of each crop of built() rows: the number that makes its name free.
 
     A name is the account with its copy, kind, position and answer. taken: (account, kind, position, answer, copy) of names that are
-    there; in the order of photos each crop takes the least number of its name, from 1, that none has.
+    there; in the order of photos each crop takes the least number of its name, from 1, that none has. Crops are numbered
+    in the tasks to which built() dealt their accounts.
     """
     base = ["account", "kind", "position", "answer"]
-    crops = rows.select("photo", "account", F.explode("crops").alias("c")).select("photo", "account", "c.*")
-    there = taken.groupBy(*base).agg(F.collect_set(F.col("copy").cast("int")).alias("_there"))
-    crops = crops.withColumn("_n", F.row_number().over(Window.partitionBy(*base).orderBy("photo"))).join(there, base, "left")
-    have = F.coalesce("_there", F.array().cast("array<int>"))
-    free = F.filter(F.sequence(F.lit(1), F.col("_n") + F.size(have)), lambda k: ~F.array_contains(have, k))
-    return crops.select("photo", "kind", "position", "answer", F.when(F.size(have) == 0, F.col("_n")).otherwise(F.element_at(free, F.col("_n"))).alias("copy"))
+    crops = rows.where("account is not null").select("photo", "account", F.explode("crops").alias("c")).select("photo", "account", "c.*")
+    # of the n-th free number, those taken below it are added: the j-th taken one t is below it if t - j < n
+    copies = F.array_sort(F.collect_set(F.when(F.col("copy") > 0, F.col("copy").cast("int"))))
+    there = taken.groupBy(*base).agg(copies.alias("t")).select(*base, F.transform("t", lambda t, j: t - j - 1).alias("before"))
+    there = there.groupBy("account").agg(F.collect_list(F.struct("kind", "position", "answer", "before")).alias("_there"))
+    crops = crops.withColumn("_n", F.row_number().over(Window.partitionBy(*base).orderBy("photo"))).join(there.hint("merge"), "account", "left")
+    own = F.filter("_there", lambda x: (x["kind"] == F.col("kind")) & (x["position"] == F.col("position")) & (x["answer"] == F.col("answer")))
+    before = F.coalesce(F.get(own, F.lit(0))["before"], F.array().cast("array<int>"))
+    return crops.select("photo", "kind", "position", "answer", (F.col("_n") + F.size(F.filter(before, lambda t: t < F.col("_n")))).alias("copy"))
 
 
 def kind_counts(rows: DataFrame) -> DataFrame:

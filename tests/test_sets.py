@@ -54,6 +54,33 @@ def test_a_photo_that_fails_leaves_no_trace(spark):
     assert training_sets.built(photos.limit(0), serials, readings).count() == 0
 
 
+def test_crops_are_numbered_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(training_sets, "PHOTOS", 10, raising=False)
+    photos = spark.createDataFrame([(n, f"a{n % 40}" if n % 4 else None, False, True, True, True, 5) for n in range(600)], PHOTO)
+    serials = spark.createDataFrame([(f"a{n}", str(1000 + n)) for n in range(0, 40, 2)], "account string, serial string")
+    readings = spark.createDataFrame([(f"a{n}", str(n)) for n in range(0, 40, 3)], "account string, reading string")
+    rows = training_sets.built(photos, serials, readings)
+    held = {(n, k) for n, k in ((1, 1), (1, 2), (1, 4), (1, 9), (2, -1), (2, 0), (2, 3))}
+    taken = spark.createDataFrame([(f"a{n}", "account", 1, "", k) for n, k in held] + [("a2", "serial", 1, "1002", 1), ("a1", "account", 1, "", None), (None, "account", 1, "", 1)], "account string, kind string, position int, answer string, copy int")
+    named = training_sets.named(rows, taken)
+    sizes = [len(part) for part in rows.where("account is not null").rdd.glom().collect()]
+    assert sum(sizes) == 450 and len(sizes) >= 60 and sum(n == 0 for n in sizes) < len(sizes) - 8
+    got = {(r["photo"], r["kind"], r["position"], r["answer"]): r["copy"] for r in named.collect()}
+    next_of, expected = {}, {}
+    for n in range(600):
+        if n % 4:
+            a = n % 40
+            for kind, position, answer in [("account", 1, "")] + [("serial", 1, str(1000 + a))] * (a % 2 == 0) + [("digit", p, f"{a:05d}"[p - 1]) for p in range(1, 6)] * (a % 3 == 0):
+                name = a, kind, position, answer
+                there = {k for m, k in held if m == a} if kind == "account" else {1} if (a, kind) == (2, "serial") else set()
+                k = next_of.get(name, 1)
+                while k in there:
+                    k += 1
+                expected[n, kind, position, answer], next_of[name] = k, k + 1
+    assert got == expected
+    assert {(r["kind"], r["state"]): r["n"] for r in training_sets.kind_counts(rows).collect()}["account", "no account in the name"] == 150
+
+
 def test_chosen_lines(spark):
     lines = [
         (1, False, False, 0, 0, 100, 20, 0.8), (1, False, False, 5, 0, 99, 20, 0.9),  # twins: the likelier one takes the place
