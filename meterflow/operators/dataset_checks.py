@@ -27,8 +27,8 @@ def is_image() -> Column:
 
 
 def standard_checks() -> list[Check]:
-    """Over (kind, folder, name, crop, answer, has_label, has_image, bad_lines, copies, copy_folders): all that is wrong with a file."""
-    image, crop = is_image(), F.col("crop.kind")
+    """Over (kind, folder, name, image, crop, has_label, has_image, bad_lines, copies, copy_folders): all that is wrong with a file."""
+    image, crop = F.col("image"), F.col("crop.kind")
     digit_folder = F.col("folder").rlike("^[0-9]$")
     return [
         Check("image without label", (BOXES,), image & ~F.col("has_label")),
@@ -50,15 +50,19 @@ def looked_at(files: DataFrame, lines: DataFrame, classes: int) -> DataFrame:
     """files (dataset, kind, folder, name, hash) with what the checks ask: the partner of a label or image, bad lines, copies.
 
     lines: (dataset, name, line) of label files. Files of a data set whose hash is equal are copies; empty hashes are none.
-    Copies are counted before they meet the files again.
+    Copies are counted before they meet the files again; keys begin with what tells files apart, by which they are sorted. Partners are those of files of boxes, and bad lines those of
+    files that are no images: other files are dealt once, to meet their copies, and names are taken apart after that.
     """
     stem = F.regexp_replace("name", "[.][^.]*$", "")
-    rows = files.withColumns({"stem": stem, "crop": crop_name_parts(F.col("name"))})
-    partners = rows.where(F.col("kind") == BOXES).groupBy("dataset", "stem").agg(F.bool_or(~is_image()).alias("has_label"), F.bool_or(is_image()).alias("has_image"))
-    bad = lines.where(F.trim("line") != "").groupBy("dataset", "name").agg(F.count_if(~valid_label(F.col("line"), classes)).alias("bad_lines"))
-    same = rows.where(is_image() & (F.col("hash") != "")).groupBy("dataset", "hash").agg(F.count(F.lit(1)).alias("copies"), F.when(F.min("folder") < F.max("folder"), 2).otherwise(1).alias("copy_folders"))
-    met = rows.join(partners, ["dataset", "stem"], "left").join(bad, ["dataset", "name"], "left").join(same.where("copies > 1"), ["dataset", "hash"], "left")
-    return met.withColumns({"has_label": F.coalesce("has_label", F.lit(False)), "has_image": F.coalesce("has_image", F.lit(False)), "bad_lines": F.coalesce("bad_lines", F.lit(0)), "copies": F.coalesce("copies", F.lit(1)), "copy_folders": F.coalesce("copy_folders", F.lit(1))})
+    rows = files.select("dataset", "kind", "folder", "name", "hash", is_image().alias("image"))
+    partners = rows.where(F.col("kind") == BOXES).groupBy("dataset", stem.alias("stem")).agg(F.bool_or(~F.col("image")).alias("has_label"), F.bool_or("image").alias("has_image"))
+    bad = lines.where(F.trim("line") != "").groupBy("dataset", "name").agg(F.count_if(~valid_label(F.col("line"), classes)).alias("bad_lines")).where("bad_lines > 0")
+    same = rows.where(F.col("image") & (F.col("hash") != "")).groupBy("dataset", "hash").agg(F.count(F.lit(1)).alias("copies"), F.when(F.min("folder") < F.max("folder"), 2).otherwise(1).alias("copy_folders"))
+    alone = F.coalesce(F.col("image") & (F.col("kind") != BOXES), F.lit(False))
+    paired = rows.where(~alone).withColumn("stem", F.when(F.col("kind") == BOXES, stem)).join(partners, ["stem", "dataset"], "left").drop("stem").join(bad, ["name", "dataset"], "left")
+    met = paired.unionByName(rows.where(alone), allowMissingColumns=True).join(same.where("copies > 1"), ["hash", "dataset"], "left")
+    met = met.withColumns({"has_label": F.coalesce("has_label", F.lit(False)), "has_image": F.coalesce("has_image", F.lit(False)), "bad_lines": F.coalesce("bad_lines", F.lit(0)), "copies": F.coalesce("copies", F.lit(1)), "copy_folders": F.coalesce("copy_folders", F.lit(1))})
+    return met.withColumn("crop", crop_name_parts(F.col("name")))
 
 
 def problems(files: DataFrame, lines: DataFrame, classes: int, checks: Iterable[Check] | None = None) -> DataFrame:

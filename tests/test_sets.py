@@ -139,3 +139,14 @@ def test_checks_of_data_sets(spark):
     counts = {r["dataset"]: r for r in dataset_checks.report(frame, found).collect()}
     assert (counts["b"]["files"], counts["b"]["images"], counts["b"]["problems"]["same content"]) == (5, 2, 2) and counts["a"]["problems"] == {"name not of an account": 1}
     assert dataset_checks.problems(frame.limit(0), lines.limit(0), 2).count() == 0
+
+
+def test_files_are_dealt_without_their_parts(spark):
+    frame = spark.createDataFrame([("b", "boxes", "l", "1.txt", ""), ("b", "boxes", "i", "1.jpg", "h"), ("d", "digits", "3", "1.jpg", "h"), ("d", "digits", "3", "1.txt", "h"), ("d", None, "3", None, "h"), (None, "accounts", "i", "7__account1.jpg", None)], "dataset string, kind string, folder string, name string, hash string")
+    lines = spark.createDataFrame([("b", "1.txt", "9 0.1 0.2 0.3 0.4"), ("d", "1.txt", "x")], "dataset string, name string, line string")
+    seen = dataset_checks.looked_at(frame, lines, 2)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join")
+    assert "serial|account|digit" in above and "serial|account|digit" not in below  # names are taken apart after all joins
+    got = sorted((str(r["name"]), str(r["dataset"]), r["has_label"], r["has_image"], r["bad_lines"], r["copies"], r["crop"] is not None) for r in seen.collect())
+    assert got == [("1.jpg", "b", True, True, 0, 1, False), ("1.jpg", "d", False, False, 0, 1, False), ("1.txt", "b", True, True, 1, 1, False), ("1.txt", "d", False, False, 1, 1, False), ("7__account1.jpg", "None", False, False, 0, 1, True), ("None", "d", False, False, 0, 1, False)]
