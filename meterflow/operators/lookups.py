@@ -52,10 +52,21 @@ def in_register(reads: DataFrame, register: DataFrame, serial: str = "serial_rea
     return reads.join(known, serial, "left").withColumn("found", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-#: A key's log rows are dealt to so many places, which each photo of the key visits, and all places to so many tasks.
+#: A key's log rows are dealt to so many places, a power of two, which each photo of the key visits, and all places to so many tasks.
 PLACES, TASKS = 8, 256
 
 
+def _listed_join(rows: DataFrame, lists: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with the one long row of lists that has their key; rows of a key come out side by side.
+
+    Files then hold few different lists in sequence and fold them to a small part of their bytes. Rows are dealt to places
+    by a column, and tasks are numbered, since the result is far larger than what Spark chooses them by.
+    """
+    left = rows.withColumn("_place", F.xxhash64(by).bitwiseAND(PLACES - 1).cast("int")).repartition(TASKS, key, "_place")  # never null, so that no filter for it keeps the scans of branches apart
+    right = lists.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))).repartition(TASKS, key, "_place")
+    return left.join(right.hint("merge"), [key, "_place"]).drop("_place")
+
+
 def _spread_join(photos: DataFrame, log: DataFrame, a: str, b: str) -> DataFrame:
     """An equi-join a = b of few keys with very many rows each.
 
@@ -168,7 +179,7 @@ def truths(reads: DataFrame, register: DataFrame) -> DataFrame:
     asked = reads.select("photo", "reading", bare("serial_read").alias("_k")).join(accounts.select("_k").distinct(), "_k", "left_semi")
     asked = asked.groupBy("photo").agg(F.collect_set("_k").alias("keys"), F.max("reading").alias("reading"))
     listed = accounts.groupBy("_k").agg(F.array_sort(F.collect_set("account")).alias("accounts"))
-    one = asked.where("size(keys) = 1").select("photo", "reading", F.col("keys")[0].alias("_k")).join(listed, "_k")
+    one = _listed_join(asked.where("size(keys) = 1").select("photo", "reading", F.col("keys")[0].alias("_k")), listed, "_k", "photo")
     several = asked.where("size(keys) > 1").select("photo", "reading", F.explode("keys").alias("_k")).join(accounts, "_k")
     several = several.groupBy("photo").agg(F.array_sort(F.collect_set("account")).alias("accounts"), F.max("reading").alias("reading"))
     return one.select("photo", "accounts", "reading").unionByName(several)

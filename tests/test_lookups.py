@@ -66,6 +66,21 @@ def test_truths_of_one_and_of_several_reads(spark):
     assert not above_joins(one) & {"Window", "Aggregate"}
 
 
+def runs_of(df, column):
+    """In each task, the number of times that the column's value changes, and of its different values."""
+    parts = [[r[column] for r in rows] for rows in df.select(column).rdd.glom().collect()]
+    return [(sum(n == 0 or x != p[n - 1] for n, x in enumerate(p)), len(set(map(str, p)))) for p in parts if p]
+
+
+def test_equal_lists_come_side_by_side(spark):
+    """A file holds the lists of one serial in sequence, whatever the order of the photos."""
+    register = spark.createDataFrame([(f"{s}_{a}", str(s), 1, a) for s in range(1, 90) for a in range(3)], REGISTER)
+    reads = spark.createDataFrame([(n, str(n % 89 + 1), n) for n in range(3000)], READS)
+    got = lookups.truths(reads, register)
+    assert {(r["photo"], tuple(r["accounts"])) for r in got.collect()} == {(n, tuple(f"{n % 89 + 1}_{a}" for a in range(3))) for n in range(3000)}
+    assert all(changes <= different * lookups.PLACES for changes, different in runs_of(got, "accounts")) and got.rdd.getNumPartitions() >= lookups.TASKS
+
+
 def test_all_numbers_of_a_wide_register(spark):
     register = spark.createDataFrame([("1",), ("250000",), ("x",)], "account string")
     got = lookups.dense_ids(register, 8)
