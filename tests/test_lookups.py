@@ -81,6 +81,27 @@ def test_equal_lists_come_side_by_side(spark):
     assert all(changes <= different * lookups.PLACES for changes, different in runs_of(got, "accounts")) and got.rdd.getNumPartitions() >= lookups.TASKS
 
 
+SERIALS, OWNERS, PHOTOS = 60, 30, 3000
+
+
+def many(spark):
+    """Reads in any order of serials that have many accounts each."""
+    register = spark.createDataFrame([(f"{s}_{a}", str(s), a, a) for s in range(1, SERIALS + 1) for a in range(OWNERS)], REGISTER)
+    return spark.createDataFrame([(n, str(n % SERIALS + 1), n) for n in range(PHOTOS)], READS), register
+
+
+def few_changes(df, column):
+    """Whether the column's value stays for many rows in all but few places of each task."""
+    return sum(changes for changes, _ in runs_of(df, column)) * 5 < df.count()
+
+
+def test_matches_come_in_runs_of_an_account(spark):
+    reads, register = many(spark)
+    got = lookups.prioritised(reads, register)
+    assert {(r["photo"], r["priority"], r["account"], r["last"]) for r in got.collect()} == {(n, 0, f"{n % SERIALS + 1}_{a}", a) for n in range(PHOTOS) for a in range(OWNERS)}
+    assert got.count() == PHOTOS * OWNERS and few_changes(got, "account") and got.rdd.getNumPartitions() >= lookups.TASKS
+
+
 def test_all_numbers_of_a_wide_register(spark):
     register = spark.createDataFrame([("1",), ("250000",), ("x",)], "account string")
     got = lookups.dense_ids(register, 8)
