@@ -102,6 +102,13 @@ def test_matches_come_in_runs_of_an_account(spark):
     assert got.count() == PHOTOS * OWNERS and few_changes(got, "account") and got.rdd.getNumPartitions() >= lookups.TASKS
 
 
+def test_choices_come_in_runs_of_an_account(spark):
+    reads, register = many(spark)
+    got = lookups.serial_choices(reads.selectExpr("photo", "serial_read as serial"), register)
+    assert {(r["photo"], r["account"], r["row_order"]) for r in got.collect()} == {(n, f"{n % SERIALS + 1}_{a}", a) for n in range(PHOTOS) for a in range(OWNERS)}
+    assert got.count() == PHOTOS * OWNERS and few_changes(got, "account") and got.rdd.getNumPartitions() >= lookups.TASKS
+
+
 def test_all_numbers_of_a_wide_register(spark):
     register = spark.createDataFrame([("1",), ("250000",), ("x",)], "account string")
     got = lookups.dense_ids(register, 8)
