@@ -109,6 +109,15 @@ def test_choices_come_in_runs_of_an_account(spark):
     assert got.count() == PHOTOS * OWNERS and few_changes(got, "account") and got.rdd.getNumPartitions() >= lookups.TASKS
 
 
+def test_log_rows_come_in_blocks(spark):
+    """Rows of a key are more than a block holds: each is met once, and a file repeats no more than a block for each photo."""
+    log = spark.range(6 * lookups.BLOCK * lookups.PLACES).selectExpr("id as seq", "'n' as row_name", "'' as row_hash")
+    asked = spark.createDataFrame([(n, "n", "") for n in range(4)], "photo long, name string, photo_hash string")
+    got = lookups.or_key_join(asked, log)
+    assert got.select("photo", "seq").distinct().count() == got.count() == 4 * log.count()
+    assert sum(changes for changes, _ in runs_of(got, "photo")) >= 4 * log.count() / lookups.BLOCK
+
+
 def test_all_numbers_of_a_wide_register(spark):
     register = spark.createDataFrame([("1",), ("250000",), ("x",)], "account string")
     got = lookups.dense_ids(register, 8)
